@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, main_text, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
-from .common import table
+from . import decontaminate, main_text, mixing, quality_rules, secret_scan, sharding, simhash, token_files, toxicity
+from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,6 +72,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op6_secret_scan"] = secret_scan.oracle_sql()
 
 
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_folder(spark, "token-files")
+    token_files.write_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_digests(spark, path)
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "mix.*")
