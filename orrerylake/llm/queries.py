@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, main_text, mixing, quality_rules, secret_scan, sharding, simhash, token_files, toxicity
+from . import decontaminate, main_text, mixing, quality_rules, secret_scan, sharding, simhash, surrogates, token_files, toxicity
 from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,17 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+#: The key is a secret of who runs the job; this one is for the registered query only.
+SURROGATE_KEY = b"registered-query"
+
+
+@query
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.checked(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    kinds = F.array_distinct(F.transform("surrogate.found", lambda f: f["kind"]))
+    return found.select("doc_id", F.col("surrogate.text").alias("text"), F.size("surrogate.found").cast("long").alias("n_entities"), F.array_join(F.array_sort(kinds), ",").alias("kinds"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
