@@ -8,21 +8,25 @@ with a probability in proportion to it, scaled so that the expected tokens meet
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 OTHER = "other"
 SWEEPS = 25
 #: Bits of the hash that decides on a document.
 BITS = 52
-#: First pattern that a text matches names its topic.
+#: The first topic of which a text contains a string is its topic.
 TOPICS = {
-    "legal": "(?i)licen[cs]ed under|all rights reserved|copyright|terms of use",
-    "tabular": r"\|[^|\n]*\|[^|\n]*\|",
-    "contact": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]",
-    "numeric": "[0-9]{3}",
+    "legal": ["icensed under", "ll rights reserved", "opyright", "erms of use"],
+    "tabular": [" | "],
+    "symbols": ["***", "$$$", "%%%", "&&&", "###"],
+    "contact": ["@"],
 }
 GENERAL = "general"
 
@@ -47,19 +51,19 @@ class Plan:
 PLAN = Plan(
     source=(*((f"src{i}", 0.048) for i in range(20)), (OTHER, 0.04)),
     lang=(("en", 0.48), ("de", 0.18), ("fr", 0.18), ("es", 0.12), (OTHER, 0.04)),
-    topic=((GENERAL, 0.6), ("legal", 0.06), ("tabular", 0.14), ("contact", 0.1), ("numeric", 0.1)),
+    topic=((GENERAL, 0.68), ("legal", 0.06), ("tabular", 0.1), ("symbols", 0.06), ("contact", 0.1)),
 )
 
 
 def topic_of(text: Column) -> Column:
     out = F.lit(GENERAL)
-    for name, pattern in reversed(TOPICS.items()):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, strings in reversed(TOPICS.items()):
+        out = F.when(reduce(or_, [text.contains(s) for s in strings]), F.lit(name)).otherwise(out)
     return out
 
 
 def words_in(text: Column) -> Column:
-    return F.when(text.rlike("[^ \t-\r]"), F.size(F.split(F.trim(text, F.lit(" \t\n\x0b\f\r")), "[ \t-\r]+"))).otherwise(0).cast("long")
+    return F.regexp_count(text, F.lit("[^ \t-\r]+")).cast("long")
 
 
 def folded(value: Column, targets: dict[str, float]) -> Column:
@@ -89,9 +93,12 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.n
     return np.ones(len(weight))
 
 
-def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
+def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the column ``mix``: topic, tokens, weight, probability, sampled.
 
+    With ``keep``, only these columns of docs stay, and the texts are read once: what is kept and measured is
+    written to the shared folder.
+
     Null sources and languages count as other, null texts as empty: those have no tokens, and the
     probability of their cell. A cell without any tokens has weight 1. The draw hangs on the id alone:
     repeated rows are sampled together, rows with null ids too. An empty table stays empty. A column of docs
@@ -99,8 +106,13 @@ def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col:
     """
     margins = plan.margins
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"source": folded(F.col(source_col), margins["source"]), "lang": folded(F.col(lang_col), margins["lang"]), "topic": topic_of(text)}
-    cells = docs.select(*[v.alias(k) for k, v in keys.items()], words_in(text).alias("tokens")).groupBy(*keys).agg(F.sum("tokens").alias("tokens")).toPandas().sort_values(list(keys), ignore_index=True)
+    columns = docs.columns if keep is None else keep
+    keys = {"_source": folded(F.col(source_col), margins["source"]), "_lang": folded(F.col(lang_col), margins["lang"]), "_topic": topic_of(text)}
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("double") / float(1 << BITS)
+    held = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_doc"), *[v.alias(k) for k, v in keys.items()], words_in(text).alias("_tokens"), draw.alias("_draw"))
+    if keep is not None:
+        held = staged(held, "mix")
+    cells = held.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).toPandas().rename(columns=lambda c: c.lstrip("_")).sort_values([k[1:] for k in keys], ignore_index=True)
     tokens = cells["tokens"].to_numpy(float)
     full = tokens > 0
     weight = np.ones(len(cells))
@@ -118,11 +130,9 @@ def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col:
     cells["probability"] = probabilities(tokens, weight, plan.keep * tokens.sum())
     # As many rows as there are combinations of the plan's categories, at most.
     table = F.broadcast(docs.sparkSession.createDataFrame([(r.source, r.lang, r.topic, float(r.weight), float(r.probability)) for r in cells.itertuples()], "_source string, _lang string, _topic string, _weight double, _probability double"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("double") / float(1 << BITS)
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), *[v.alias(f"_{k}") for k, v in keys.items()], words_in(text).alias("_tokens"), draw.alias("_draw"))
     out = held.join(table, ["_source", "_lang", "_topic"])
     mix = F.struct(F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (F.col("_draw") < F.col("_probability")).alias("sampled"))
-    return out.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() != "mix"], mix.alias("mix"))
+    return out.select(*[F.col("_doc")[c].alias(c) for c in columns if c.lower() != "mix"], mix.alias("mix"))
 
 
 def sample(docs: DataFrame, plan: Plan = PLAN, **settings) -> DataFrame:
@@ -139,7 +149,7 @@ def oracle_sql(plan: Plan = PLAN, seed: str = "mix") -> str:
 
     m = plan.margins
     fold = lambda c: f"CASE WHEN {c} IN ({', '.join(lit(k) for k in m[c] if k != OTHER)}) THEN {c} ELSE '{OTHER}' END"
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), {lit(p)}) THEN '{n}'" for n, p in TOPICS.items()) + f" ELSE '{GENERAL}' END"
+    topic = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(text, {lit(x)})' for x in strings)} THEN '{n}'" for n, strings in TOPICS.items()) + f" ELSE '{GENERAL}' END"
     parts = [
         f"WITH d AS MATERIALIZED (SELECT doc_id, {fold('source')} AS source, {fold('lang')} AS lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",

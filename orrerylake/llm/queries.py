@@ -94,7 +94,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "mix.*")
+    mix = mixing.weigh(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "mix.*")
     return mix.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 

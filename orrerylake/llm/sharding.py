@@ -100,7 +100,7 @@ def shard(docs: DataFrame, keep: list[str], text_col: str = "text", n_shards: in
             F.monotonically_increasing_id().alias(rid),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.when(text.rlike("[^ \t-\r]"), F.size(F.split(F.trim(text, F.lit(" \t\n\x0b\f\r")), "[ \t-\r]+"))).otherwise(0).cast("long").alias("tokens"),
+            F.regexp_count(text, F.lit("[^ \t-\r]+")).cast("long").alias("tokens"),
             F.unhex(F.md5(text.cast("binary"))).alias("_key"),
         ),
         "shard-rows",
