@@ -9,21 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orrerylake.functions.binding import let
+
 ORDERS = ("little", "big")
 
 
+def _turned(digits: Column, width: int) -> Column:
+    """Hex digits with the bytes in the other order."""
+    return let(digits, lambda d: F.concat(*[F.substring(d, 2 * i - 1, 2) for i in range(width, 0, -1)]))
+
+
 def hex_of(raw: Column, start: Column | int, width: int, order: str) -> Column:
     """Hex digits of the field, most significant byte first."""
     digits = F.hex(F.substring(raw, start, width) if isinstance(start, int) else F.substr(raw, start, F.lit(width)))
-    if order == "big" or width == 1:
-        return digits
-    return F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(width, 0, -1)])
+    return digits if order == "big" or width == 1 else _turned(digits, width)
 
 
 def unsigned(raw: Column, start: Column | int, width: int, order: str) -> Column:
     """Unsigned integer: bigint up to 4 bytes, decimal(20,0) for 8. Short fields are null."""
-    digits = hex_of(raw, start, width, order)
-    value = F.conv(F.when(F.length(digits) == 2 * width, digits), 16, 10)
+    value = let(hex_of(raw, start, width, order), lambda d: F.conv(F.when(F.length(d) == 2 * width, d), 16, 10))
     return value.cast("decimal(20,0)" if width > 4 else "bigint")
 
 
@@ -31,33 +35,41 @@ def signed(raw: Column, start: Column | int, width: int, order: str) -> Column:
     """Two's complement integer of 1, 2, 4 or 8 bytes as bigint."""
     u = unsigned(raw, start, width, order)
     if width > 4:
-        return F.when(u >= F.lit(2**63).cast("decimal(20,0)"), u - F.lit(2**64).cast("decimal(20,0)")).otherwise(u).cast("bigint")
-    return F.when(u >= 1 << (8 * width - 1), u - (1 << 8 * width)).otherwise(u)
+        return let(u, lambda x: F.when(x >= F.lit(str(2**63)).cast("decimal(20,0)"), x - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(x).cast("bigint"))
+    return let(u, lambda x: F.when(x >= 1 << (8 * width - 1), x - (1 << 8 * width)).otherwise(x))
 
 
 def ieee(raw: Column, start: Column | int, width: int, order: str) -> Column:
     """IEEE float of 4 or 8 bytes as double, with infinities, NaN and subnormal values."""
-    bits, bias, fraction = (signed(raw, start, 8, order), 1023, 52) if width == 8 else (unsigned(raw, start, 4, order), 127, 23)
-    exponent = F.shiftrightunsigned(bits, fraction).bitwiseAND(F.lit(2 * bias + 1))
-    mantissa = bits.bitwiseAND(F.lit((1 << fraction) - 1)).cast("double")
-    negative = bits < 0 if width == 8 else bits >= 1 << 31
-    size = (
-        F.when(exponent == 0, mantissa * F.lit(2.0 ** (1 - bias - fraction)))
-        .when((exponent == 2 * bias + 1) & (mantissa == 0), F.lit(float("inf")))
-        .when(exponent == 2 * bias + 1, F.lit(float("nan")))
-        .otherwise((1 + mantissa / float(1 << fraction)) * F.pow(F.lit(2.0), (exponent - bias).cast("double")))
-    )
-    return F.when(negative, -size).otherwise(size)
+    field, bias, fraction = (signed(raw, start, 8, order), 1023, 52) if width == 8 else (unsigned(raw, start, 4, order), 127, 23)
+
+    def value(bits: Column) -> Column:
+        exponent = F.shiftrightunsigned(bits, fraction).bitwiseAND(F.lit(2 * bias + 1))
+        mantissa = bits.bitwiseAND(F.lit((1 << fraction) - 1)).cast("double")
+        negative = bits < 0 if width == 8 else bits >= 1 << 31
+        size = (
+            F.when(exponent == 0, mantissa * F.lit(2.0 ** (1 - bias - fraction)))
+            .when((exponent == 2 * bias + 1) & (mantissa == 0), F.lit(float("inf")))
+            .when(exponent == 2 * bias + 1, F.lit(float("nan")))
+            .otherwise((1 + mantissa / float(1 << fraction)) * F.pow(F.lit(2.0), (exponent - bias).cast("double")))
+        )
+        return size * F.when(negative, -1.0).otherwise(1.0)
+
+    return let(field, value)
 
 
 def vax(raw: Column, start: Column | int) -> Column:
     """VAX F real: the 16-bit words are swapped; (0.5 + m / 2^24) * 2^(e - 128), zero where e is 0."""
     at = F.lit(start) if isinstance(start, int) else start
     high, low = unsigned(raw, at, 2, "little"), unsigned(raw, at + 2, 2, "little")
-    exponent = F.shiftright(high, 7).bitwiseAND(F.lit(0xFF))
-    mantissa = (high.bitwiseAND(F.lit(0x7F)) * 65536 + low).cast("double")
-    size = F.when(exponent == 0, 0.0).otherwise((0.5 + mantissa / float(1 << 24)) * F.pow(F.lit(2.0), (exponent - 128).cast("double")))
-    return F.when(high >= 1 << 15, -size).otherwise(size)
+
+    def value(words: Column) -> Column:
+        exponent = F.shiftright(words["high"], 7).bitwiseAND(F.lit(0xFF))
+        mantissa = (words["high"].bitwiseAND(F.lit(0x7F)) * 65536 + words["low"]).cast("double")
+        size = F.when(exponent == 0, 0.0).otherwise((0.5 + mantissa / float(1 << 24)) * F.pow(F.lit(2.0), (exponent - 128).cast("double")))
+        return size * F.when(words["high"] >= 1 << 15, -1.0).otherwise(1.0)
+
+    return let(F.struct(high.alias("high"), low.alias("low")), value)
 
 
 def ibm(raw: Column, start: Column | int, width: int) -> Column:
@@ -127,18 +139,20 @@ def type_code(data_type: Column, width: Column) -> Column:
 def integer_bytes(value: Column, width: int, order: str) -> Column:
     """The low ``width`` bytes of a bigint."""
     digits = F.right(F.lpad(F.hex(value.cast("bigint")), 16, "0"), F.lit(2 * width))
-    if order == "little":
-        digits = F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(width, 0, -1)])
-    return F.unhex(digits)
+    return F.unhex(_turned(digits, width) if order == "little" else digits)
 
 
 def ieee_bytes(value: Column, width: int, order: str) -> Column:
     """IEEE bytes of a finite normal value or zero that fits the width exactly."""
     bias, fraction = (1023, 52) if width == 8 else (127, 23)
-    size = F.abs(value.cast("double"))
-    guess = F.floor(F.log2(size))
-    exponent = guess + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).when(size < F.pow(F.lit(2.0), guess), -1).otherwise(0)
-    mantissa = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << fraction)).cast("bigint")
-    bits = F.when(size == 0, F.lit(0).cast("bigint")).otherwise((exponent + bias) * (1 << fraction) + mantissa)
+
+    def of(size: Column) -> Column:
+        return let(F.floor(F.log2(size)), lambda guess: let(guess + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).when(size < F.pow(F.lit(2.0), guess), -1).otherwise(0), lambda e: packed(size, e)))
+
+    def packed(size: Column, exponent: Column) -> Column:
+        mantissa = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << fraction)).cast("bigint")
+        return F.when(size == 0, F.lit(0).cast("bigint")).otherwise((exponent + bias) * (1 << fraction) + mantissa)
+
     top = F.lit(-(1 << 63)) if width == 8 else F.lit(1 << 31)
-    return integer_bytes(F.when(value < 0, bits.bitwiseOR(top)).otherwise(bits), width, order)
+    bits = let(F.abs(value.cast("double")), of)
+    return let(F.when(value < 0, bits.bitwiseOR(top)).otherwise(bits), lambda b: integer_bytes(b, width, order))

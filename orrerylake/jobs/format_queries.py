@@ -1 +1,142 @@
-"""Queries."""
+"""Queries over format definitions and column decoders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrerylake.functions import binary, text
+from orrerylake.operators import formats as FM
+from orrerylake.sources import made
+
+from .register import query, table
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A format of one field for each line of an order, in a block that stands twice."""
+    c = F.col
+    none = F.lit(None).cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("F"), c("l_suppkey") % 3).alias("NAME"), ((c("l_linenumber") - 1) * 40 + 1).cast("int").alias("START_BYTE"), F.when(c("l_linenumber") % 2 == 1, 24).cast("int").alias("BYTES"),
+        (c("l_linenumber") % 4).cast("int").alias("ITEMS"), F.when(c("l_linenumber") % 2 == 0, 8).cast("int").alias("ITEM_BYTES"), F.when(c("l_linenumber") % 4 == 2, 10).otherwise(none).cast("int").alias("ITEM_OFFSET"),
+        F.lit(5).alias("BLOCK_START"), F.lit(2).alias("BLOCK_REPETITIONS"), F.lit(300).alias("BLOCK_BYTES"), F.lit(700).alias("ROW_BYTES"),
+    )
+
+
+_FLAT = """
+    SELECT l_orderkey, l_linenumber, l_partkey, r AS repetition, i AS item, CASE WHEN l_linenumber % 2 = 0 THEN 8 WHEN l_linenumber % 4 = 3 THEN 8 ELSE 24 END AS width,
+    4 + r * 300 + (l_linenumber - 1) * 40 + i * CASE WHEN l_linenumber % 4 = 2 THEN 10 WHEN l_linenumber % 2 = 0 THEN 8 WHEN l_linenumber % 4 = 3 THEN 8 ELSE 24 END AS sb_offset
+    FROM lineitem, range(2) a(r), range(3) b(i) WHERE i < greatest(l_linenumber % 4, 1)
+"""
+
+
+@query(sql=_FLAT)
+def f1_f4_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = FM.flattened(_fields(spark, sf_dir))
+    return flat.select("l_orderkey", "l_linenumber", "l_partkey", F.col("repetition").cast("bigint").alias("repetition"), F.col("item").cast("bigint").alias("item"), F.col("WIDTH").cast("bigint").alias("width"), F.col("SB_OFFSET").cast("bigint").alias("sb_offset"))
+
+
+@query(sql=f"SELECT l_orderkey, max(sb_offset + width) AS start, 700 - max(sb_offset + width) AS width FROM ({_FLAT}) GROUP BY 1")
+def f4_f7_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = FM.padded(FM.flattened(_fields(spark, sf_dir)), "l_orderkey", "ROW_BYTES")
+    kept = FM.without_placeholders(out).select("l_orderkey", F.lit(1).alias("x"))
+    pads = out.where(F.col("NAME") == FM.PLACEHOLDER).join(kept.distinct(), "l_orderkey", "left_semi")
+    return pads.select("l_orderkey", F.col("SB_OFFSET").cast("bigint").alias("start"), F.col("WIDTH").cast("bigint").alias("width"))
+
+
+@query(sql="SELECT p_partkey, order_key, key, value FROM (SELECT p_partkey, '1' AS order_key, 'NAME' AS key, p_name AS value FROM part UNION ALL SELECT p_partkey, '2.0', 'A', p_brand FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, '2.1.0', 'B', 'deep' FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, '2', '^STRUCTURE', 'none.fmt' FROM part WHERE p_size % 2 = 1)")
+def f2_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    brand = F.lower(F.regexp_replace("p_brand", "#", "_"))
+    rows = part.select("p_partkey", F.explode(F.array(F.struct(F.array(F.lit(1)).alias("order"), F.lit("NAME").alias("key"), F.col("p_name").alias("value")), F.struct(F.array(F.lit(2)).alias("order"), F.lit("^STRUCTURE").alias("key"), F.when(F.col("p_size") % 2 == 0, F.upper(made.text(brand, ".fmt"))).otherwise("none.fmt").alias("value")))).alias("r")).select("p_partkey", "r.*")
+    files = part.select("p_brand", brand.alias("b")).distinct().select(F.explode(F.array(F.struct(made.text(F.col("b"), ".fmt").alias("file"), F.lit(0).alias("seq"), F.lit("A").alias("key"), F.col("p_brand").alias("value")), F.struct(made.text(F.col("b"), ".fmt").alias("file"), F.lit(1).alias("seq"), F.lit("^COLUMN_STRUCTURE").alias("key"), F.lit("Deep.FMT").alias("value")))).alias("f")).select("f.*")
+    deep = spark.range(1).select(F.lit("deep.fmt").alias("file"), F.lit(0).alias("seq"), F.lit("B").alias("key"), F.lit("deep").alias("value"))
+    out, _ = FM.injected(rows, files.unionByName(deep), "p_partkey", F.lower)
+    return out.select("p_partkey", F.array_join(F.transform("order", lambda x: x.cast("string")), ".").alias("order_key"), "key", "value")
+
+
+@query(
+    sql="""
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN count(*) OVER w > 1 THEN name || '_' || (row_number() OVER (PARTITION BY l_orderkey, name ORDER BY l_linenumber, l_partkey) - 1) ELSE name END AS unique_name
+    FROM (SELECT *, 'F' || (l_suppkey % 3) AS name FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey, name)
+    """
+)
+def f3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FM.unique_names(_fields(spark, sf_dir), ["l_orderkey"], ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", F.col("unique").alias("unique_name"))
+
+
+@query(sql="SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber % 2 = 1 THEN 24 END, (l_linenumber % 4) * 8) AS n FROM lineitem")
+def f5_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("l_orderkey", "l_linenumber", FM.filled_bytes(F.col("BYTES"), F.col("ITEMS"), F.col("ITEM_BYTES")).alias("n"))
+
+
+_TYPES = "MSB_INTEGER LSB_UNSIGNED_INTEGER IEEE_REAL PC_REAL VAX_REAL IBM_REAL CHARACTER MSB_BIT_STRING".split()
+
+
+@query(
+    sql="""
+    WITH t AS (SELECT p_partkey, ['MSB_INTEGER', 'LSB_UNSIGNED_INTEGER', 'IEEE_REAL', 'PC_REAL', 'VAX_REAL', 'IBM_REAL', 'CHARACTER', 'MSB_BIT_STRING'][p_partkey % 8 + 1] AS t, [1, 2, 4, 8][p_size % 4 + 1] AS w FROM part)
+    SELECT p_partkey, k AS kind, CASE WHEN k IS NULL THEN NULL WHEN t LIKE 'LSB%' OR t LIKE 'PC%' OR t LIKE 'VAX%' THEN 'little' ELSE 'big' END AS byte_order, CASE WHEN k IS NOT NULL THEN t = 'MSB_INTEGER' END AS is_signed FROM (
+      SELECT *, CASE WHEN t LIKE '%INTEGER' THEN 'integer' WHEN t = 'VAX_REAL' THEN CASE WHEN w = 4 THEN 'vax' END WHEN t = 'IBM_REAL' THEN CASE WHEN w >= 4 THEN 'ibm' END
+      WHEN t LIKE '%REAL' THEN CASE WHEN w >= 4 THEN 'ieee' END WHEN t = 'CHARACTER' THEN 'text' ELSE 'bits' END AS k FROM t)
+    """
+)
+def f6_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % 8).cast("int"))
+    code = binary.type_code(F.regexp_replace(kind, "_", " "), F.get(F.array(*map(F.lit, (1, 2, 4, 8))), F.col("p_size") % 4))
+    return table(spark, sf_dir, "part").select("p_partkey", code["kind"].alias("kind"), code["order"].alias("byte_order"), code["is_signed"].alias("is_signed"))
+
+
+@query(sql="SELECT 'T' || o_custkey AS object, bool_or(o_orderstatus = 'F') AS ascii FROM orders GROUP BY 1")
+def f8_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = table(spark, sf_dir, "orders").select(made.text("T", F.col("o_custkey")).alias("object"), F.when(F.col("o_orderstatus") == "F", "ASCII_REAL").otherwise("IEEE_REAL").alias("DATA_TYPE"), F.lit(None).cast("string").alias("INTERCHANGE_FORMAT"))
+    return FM.is_ascii(fields, "object")
+
+
+@query(sql="SELECT l_orderkey, l_linenumber, 100 * l_linenumber AS rows, 16 AS row_suffix_bytes FROM lineitem WHERE l_linenumber > 1 UNION ALL SELECT l_orderkey, l_linenumber, 7, 16 FROM lineitem WHERE l_linenumber = 1")
+def f12_line_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    image = F.struct((n * 100).alias("LINES"), F.lit(8).alias("LINE_SAMPLES"), F.lit(16).alias("SAMPLE_BITS"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", FM.line_prefix(F.when(n == 1, 7), F.lit(None).cast("int"), image).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+
+
+@query(sql="SELECT p_partkey, coalesce(g, 'GROUP_' || (sum(CAST(g IS NULL AS INT)) OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)) || ', ' || CASE WHEN count(*) OVER (PARTITION BY p_brand, coalesce(g, 'x' || p_partkey), p_name) > 1 THEN p_name || '_' || (row_number() OVER (PARTITION BY p_brand, coalesce(g, 'x' || p_partkey), p_name ORDER BY p_partkey) - 1) ELSE p_name END AS full_name FROM (SELECT *, CASE WHEN p_size % 3 > 0 THEN p_type END AS g FROM part)")
+def f13_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("group_name"), F.col("p_name").alias("field_name"))
+    return FM.group_names(groups, ["p_brand"], ["p_partkey"]).select("p_partkey", "full_name")
+
+
+@query(sql="SELECT o_orderkey, o_totalprice AS big8, o_totalprice AS little8, CAST(o_custkey AS DOUBLE) / 4 AS big4, CAST(-o_orderkey AS SMALLINT) AS short, o_orderpriority AS ebcdic, true AS flag FROM orders WHERE o_orderkey < 32000")
+def d1_d6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, b = F.col, binary
+    return table(spark, sf_dir, "orders").where("o_orderkey < 32000").select(
+        "o_orderkey", b.ieee(b.ieee_bytes(c("o_totalprice"), 8, "big"), 1, 8, "big").alias("big8"), b.ieee(b.ieee_bytes(c("o_totalprice"), 8, "little"), 1, 8, "little").alias("little8"), b.ieee(b.ieee_bytes(c("o_custkey") / 4, 4, "big"), 1, 4, "big").alias("big4"),
+        b.signed(b.integer_bytes(-c("o_orderkey"), 2, "little"), 1, 2, "little").cast("smallint").alias("short"), b.ebcdic(b.to_ebcdic(c("o_orderpriority"))).alias("ebcdic"), b.boolean(b.integer_bytes(c("o_custkey") % 2 + 1, 1, "big"), 1).alias("flag"),
+    )
+
+
+@query(sql="SELECT o_orderkey, substr(b, 1, 3) AS b1, substr(b, 5, 4) AS b2, substr(b, 9, 8) AS b3 FROM (SELECT o_orderkey, lpad(bin(o_custkey), 16, '0') AS b FROM orders)")
+def d7_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = binary.bit_text(binary.integer_bytes(F.col("o_custkey"), 2, "big"), 1, 2)
+    parts, items = binary.bit_columns(bits, [(1, 3), (5, 4)]), binary.bit_items(bits, 9, 2, 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", parts[0].alias("b1"), parts[1].alias("b2"), F.array_join(items, "").alias("b3"))
+
+
+@query(sql="SELECT o_orderkey, o_orderkey AS dec, o_orderkey AS hex, o_orderkey AS oct, CASE WHEN o_orderstatus = 'F' THEN true WHEN o_orderstatus = 'O' THEN false END AS flag, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders")
+def d8_d11_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", *[text.ascii_integer(made.text(" ", F.conv(k, 10, b)), b).cast("bigint").alias(n) for b, n in ((10, "dec"), (16, "hex"), (8, "oct"))],
+        text.ascii_boolean(F.when(s == "F", " True").when(s == "O", "0").otherwise("maybe")).alias("flag"), text.ascii_real(text.null_spellings(F.when(s == "F", " N/A ").otherwise(F.format_string("%.2f", "o_totalprice")))).alias("price"),
+    )
+
+
+@query(
+    sql="""
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN date_trunc('year', o_orderdate) WHEN 1 THEN date_trunc('month', o_orderdate) WHEN 4 THEN NULL ELSE o_orderdate END AS at FROM orders
+    """
+)
+def d9_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    shown = F.when(k == 0, F.date_format(d, "yyyy")).when(k == 1, F.date_format(d, "yyyy-MM")).when(k == 2, F.date_format(d, " yyyy-DDD'T'HH:mm'Z'")).when(k == 3, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss.SSS")).otherwise("9999999")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.archive_date(shown).alias("at"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrerylake.functions import values
+from orrerylake.functions.binding import let
 
 #: Deepest block that gets a path; a fixed bound, so that paths need windows only.
 MOST_DEPTH = 8
@@ -28,19 +29,27 @@ def statements(label: Column) -> Column:
         head = F.substring(line, 1, 8)
         return F.when(line.contains("="), head == F.upper(head)).otherwise(line.rlike(TERMINAL))
 
-    marked = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"), (begins(x) | (i == 0)).alias("starts")))
-    starts = F.transform(F.filter(marked, lambda m: m["starts"]), lambda m: m["at"])
+    def assembled(lines: Column, starts: Column) -> Column:
+        def statement(at: Column, i: Column) -> Column:
+            stop = F.coalesce(F.get(starts, i + 1), F.size(lines))
+            rest = F.slice(lines, at + 2, stop - at - 1)
 
-    def statement(at: Column, i: Column) -> Column:
-        head = F.get(lines, at)
-        stop = F.coalesce(F.get(starts, i + 1), F.size(lines))
-        rest = F.slice(lines, at + 2, stop - at - 1)
-        parts = F.split(head, "=")
-        key = F.when(head.rlike(TERMINAL), F.regexp_extract(head, TERMINAL, 0)).when(F.size(parts) == 2, F.trim(F.get(parts, F.lit(0)), F.lit(_BLANK)))
-        value = F.when(head.rlike(TERMINAL), "").otherwise(F.concat(F.trim(F.get(parts, F.lit(1)), F.lit(_BLANK)), F.concat_ws(" ", rest)))
-        return F.struct(key.alias("key"), value.alias("value"))
+            def parsed(head: Column) -> Column:
+                parts = F.split(head, "=")
+                end = head.rlike(TERMINAL)
+                key = F.when(end, F.regexp_extract(head, TERMINAL, 0)).when(F.size(parts) == 2, F.trim(F.get(parts, F.lit(0)), F.lit(_BLANK)))
+                value = F.when(end, "").otherwise(F.concat(F.trim(F.get(parts, F.lit(1)), F.lit(_BLANK)), F.concat_ws(" ", rest)))
+                return F.struct(key.alias("key"), value.alias("value"))
 
-    return F.filter(F.transform(starts, statement), lambda s: s["key"].isNotNull())
+            return let(F.get(lines, at), parsed)
+
+        return F.filter(F.transform(starts, statement), lambda s: s["key"].isNotNull())
+
+    def starts_of(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.when(begins(x) | (i == 0), i))
+        return F.array_compact(marked)
+
+    return let(lines, lambda ls: let(starts_of(ls), lambda starts: assembled(ls, starts)))
 
 
 def statement_rows(labels: DataFrame, product: str, label: str) -> DataFrame:

@@ -60,7 +60,7 @@ def binary_records(lineitem: DataFrame) -> DataFrame:
     fraction = F.expr("bigint(l_quantity) * bigint(pow(2, 24 - (int(floor(log2(double(bigint(l_quantity))))) + 1)))")
     vax_high = (exponent + 128) * 128 + F.shiftright(fraction, 16).bitwiseAND(F.lit(0x7F))
     vax = F.concat(binary.integer_bytes(vax_high, 2, "little"), binary.integer_bytes(fraction.bitwiseAND(F.lit(0xFFFF)), 2, "little"))
-    ibm = F.concat(F.unhex(F.lit("C2")), binary.integer_bytes(quantity * 65536, 3, "big"))
+    ibm = F.concat(F.unhex(F.lit("42")), binary.integer_bytes(quantity * 65536, 3, "big"))
     record = F.concat(
         binary.integer_bytes(c("l_orderkey"), 4, "big"),
         binary.integer_bytes(-c("l_orderkey"), 8, "little"),
