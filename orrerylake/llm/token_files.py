@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,17 @@ TASK_BYTES = 12_000_000
 #: A pair must stand so often in a file to get a rule.
 LEAST_COUNT = 12
 ROUND_RULES = 4_096
-SLOTS = 1 << 21
+SLOTS = 1 << 18
 MOST_ROUNDS = 24
+#: Texts that are cut and looked up at once.
+BATCH_ROWS = 1_500
 MAGIC = b"REPAIR01"
 
 # ---------------------------------------------------------------- encoding
 
 #: Distinct pieces that an encoder remembers before it starts anew.
-MOST_PIECES = 800_000
+MOST_PIECES = 500_000
+LEARN_PIECES = 10_000
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
@@ -62,18 +66,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
+        self.flat = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, a = found.ids, self.ends[-1]
-            b = a + len(ids)
-            if b > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros(max(b, len(self.flat)), np.int32))
-            self.flat[a:b] = ids
-            self.known[piece] = len(self.ends) - 1
-            self.ends.append(b)
+        flat, ends = [self.flat], [self.ends]
+        for at in range(0, len(pieces), LEARN_PIECES):  # the library's results take much memory
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + LEARN_PIECES], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
+            ends.append(ends[-1][-1] + np.cumsum(sizes))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kind[points]
@@ -122,9 +126,10 @@ class Encoder:
         first = np.zeros(len(points), bool)
         first[bounds[:-1]] = True
         starts = np.flatnonzero(self._starts(points, first))
-        width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
-        place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        offsets = np.append(place[starts], place[-1]).astype(np.int32)
+        width = (points > 0x7F).view(np.int8) + (points > 0x7FF).view(np.int8) + (points > 0xFFFF).view(np.int8)
+        extra = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        cuts = np.append(starts, len(points))
+        offsets = (cuts + extra[cuts]).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())]).dictionary_encode()
         distinct, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         fresh = [w for w in distinct if w not in self.known]
@@ -133,8 +138,8 @@ class Encoder:
             fresh = distinct
         self._learn(fresh)
         held = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        ends = np.array(self.ends)
-        begin, sizes = ends[held], ends[held + 1] - ends[held]
+        begin = self.ends[held]
+        sizes = self.ends[held + 1] - begin
         ids = gather(self.flat, begin[codes], sizes[codes])
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])
         cuts = ends[np.searchsorted(starts, bounds)]
@@ -161,16 +166,16 @@ def repair(symbols: np.ndarray, size: int, barrier: int, least: int = LEAST_COUN
     Each round takes the most frequent pairs of which no symbol is the left of one and the right of another, so
     that their places cannot overlap. No pair contains ``barrier``.
     """
-    now, rules, top = symbols.astype(np.int64), [], size
+    now, rules, top = symbols.astype(np.int32), [], size
     for _ in range(MOST_ROUNDS):
         if len(now) < 2:
             break
-        inner = (now[:-1] != barrier) & (now[1:] != barrier)
-        keys = (now[:-1] << 32 | now[1:])[inner]
         # Pairs are counted in slots first: only those in a slot with enough of them can be frequent.
-        slots = (now[:-1] * 40_503 + now[1:])[inner] & (SLOTS - 1)
-        keys = keys[np.bincount(slots, minlength=SLOTS)[slots] >= least]
-        pair, n = np.unique(keys, return_counts=True)
+        slots = ((now[:-1] * np.int32(40_503) + now[1:]) & np.int32(SLOTS - 1)).astype(np.intp)
+        at = np.flatnonzero((np.bincount(slots, minlength=SLOTS) >= least)[slots])
+        at = at[(now[at] != barrier) & (now[at + 1] != barrier)]
+        own = now[at].astype(np.int64) << 32 | now[at + 1]
+        pair, n = np.unique(own, return_counts=True)
         often = np.flatnonzero(n >= least)
         often = often[np.lexsort((pair[often], -n[often]))]
         left: set[int] = set()
@@ -190,13 +195,12 @@ def repair(symbols: np.ndarray, size: int, barrier: int, least: int = LEAST_COUN
                     break
         if not chosen:
             break
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
+        is_left = np.zeros(top, bool)
         is_left[[k >> 32 for k in chosen]] = True
-        is_right[[k & 0xFFFFFFFF for k in chosen]] = True
-        at = np.flatnonzero(is_left[now[:-1]] & is_right[now[1:]])
+        some = is_left[now[at]]
+        at, own = at[some], own[some]
         order = np.argsort(chosen)
         ranked = np.array(chosen, np.int64)[order]
-        own = now[at] << 32 | now[at + 1]
         where = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
         hit = ranked[where] == own
         at, rank = at[hit], order[where[hit]]
@@ -334,8 +338,8 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(at, BATCH_ROWS)
                 for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist()), strict=True):
                     ids.append(i)
                     held.append(tokens)
