@@ -1 +1,102 @@
-"""Queries."""
+"""Queries over images: embeddings are lines, their labels bands, positions samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrerylake.functions import vectorized
+from orrerylake.operators import raster as R
+
+from .register import query, table
+from .sinks import grey_map
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").alias("band"), F.col("vec_id").alias("line"), F.posexplode("embedding").alias("sample", "v")).select("band", "line", "sample", F.col("v").cast("double").alias("value"))
+
+
+_CELLS = "(SELECT label AS band, vec_id AS line, i AS sample, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i))"
+
+
+@query(sql="SELECT p_partkey, p_size AS rows, p_size + 1 AS columns, p_size % 3 + 1 AS bands, 4 AS bytes_per_pixel, CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'several bands without a storage order' END AS error FROM part")
+def i1_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    p = R.properties(n, n + 1, n % 3 + 1, F.lit(32), F.when(n % 2 == 1, R.ORDERS[0]))
+    return table(spark, sf_dir, "part").select("p_partkey", p.alias("p")).select("p_partkey", "p.rows", "p.columns", "p.bands", "p.bytes_per_pixel", "p.error")
+
+
+@query(sql="SELECT p_partkey, p_size AS rows, 7 AS columns, 3 AS bands, CASE p_partkey % 3 WHEN 0 THEN 'BAND_SEQUENTIAL' WHEN 1 THEN 'LINE_INTERLEAVED' ELSE 'SAMPLE_INTERLEAVED' END AS \"order\", p_size // 4 AS prefix, p_size % 4 > 0 AS bad FROM part")
+def i2_i3_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    names = F.when(k == 0, F.array(*map(F.lit, ("SAMPLE", "LINE", "BAND")))).when(k == 1, F.array(*map(F.lit, ("SAMPLE", "BAND", "LINE")))).otherwise(F.array(*map(F.lit, ("BAND", "SAMPLE", "LINE"))))
+    size = {"SAMPLE": F.lit(7), "LINE": F.col("p_size"), "BAND": F.lit(3)}
+    items = F.transform(names, lambda a: F.when(a == "SAMPLE", size["SAMPLE"]).when(a == "LINE", size["LINE"]).otherwise(size["BAND"]))
+    pads = R.line_pads(F.col("p_size"), F.lit(8), F.lit(4))
+    return table(spark, sf_dir, "part").select("p_partkey", R.cube_properties(names, items).alias("c"), pads.alias("q")).select("p_partkey", "c.*", F.col("q.prefix").alias("prefix"), F.col("q.error").isNotNull().alias("bad"))
+
+
+_PLACES = " UNION ALL ".join(
+    f"SELECT '{o}' AS storage, vec_id, {b} AS band, {ln} AS line, {s} AS sample, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i)"
+    for o, b, ln, s in (("BSQ", "i // 16", "(i // 8) % 2", "i % 8"), ("BIL", "(i // 8) % 4", "i // 32", "i % 8"), ("BIP", "i % 4", "i // 32", "(i // 4) % 8"))
+)
+
+
+@query(sql=_PLACES)
+def s15_i4_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as an image of 4 bands, 2 lines and 8 samples in each storage order, from its bytes."""
+    raw = table(spark, sf_dir, "embeddings").select("vec_id", vectorized.bytes_of(F.col("embedding"), "ieee", 4, "big").alias("raw"))
+    decoded = raw.select("vec_id", vectorized.array_of(F.col("raw"), "ieee", 4, "big").alias("values"))
+    out = [R.pixels(decoded, "values", 2, 8, 4, o).withColumn("storage", F.lit(n)) for n, o in zip(("BSQ", "BIL", "BIP"), R.ORDERS, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("storage", "vec_id", "band", "line", "sample", "value")
+
+
+@query(sql="SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[4:62]]), 6) AS image, CAST(embedding[1] AS DOUBLE) AS prefix, CAST(embedding[64] AS DOUBLE) AS suffix, CAST(embedding[11] AS DOUBLE) AS eleventh FROM embeddings")
+def i5_i13_line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    total = F.aggregate(R.line_part(v, 3, 2), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 6).alias("image"), R.line_part(v, 3, 2, "prefix")[0].alias("prefix"), R.line_part(v, 3, 2, "suffix")[1].alias("suffix"), R.section(v, 10, 12)[0].alias("eleventh"))
+
+
+@query(sql=f"SELECT band, count(*) AS n FROM {_CELLS} WHERE sample < 60 AND line < 100 AND band < 5 GROUP BY 1")
+def i6_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.without_planes(_cells(spark, sf_dir), 60, 100, 5).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query(sql=f"SELECT line % 50 AS row, sample, max(value) FILTER (band = 0) AS r, max(value) FILTER (band = 1) AS g, max(value) FILTER (band = 2) AS b FROM {_CELLS} WHERE band IN (0, 1, 2) GROUP BY ALL")
+def i7_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("row", F.col("line") % 50)
+    return R.rgb(cells, ["row", "sample"], (0, 1, 2))
+
+
+_BOUNDS = f"(SELECT band, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM {_CELLS} GROUP BY 1)"
+
+
+@query(sql=f"SELECT band, round(low, 9) AS low, round(high, 9) AS high FROM {_BOUNDS}")
+def i8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bounds(_cells(spark, sf_dir), ["band"], (1.0, 1.0)).select("band", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query(sql=f"SELECT band, line, sample, CAST(round_even((greatest(least(value, high), low) - low) / (high - low) * 255, 0) AS SMALLINT) AS byte FROM {_CELLS} JOIN {_BOUNDS} USING (band)")
+def i9_i10_eight_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.eight_bit(_cells(spark, sf_dir), ["band"]).select("band", "line", "sample", "byte")
+
+
+@query(sql=f"SELECT line, sample, CASE WHEN value < 0 THEN 0 ELSE 100 END AS r, CASE WHEN value < 0 THEN 255 ELSE 100 END AS g, CASE WHEN value < 0 THEN 255 ELSE 100 END AS b FROM {_CELLS}")
+def i11_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte = F.when(F.col("value") >= 0, F.lit(100).cast("smallint"))
+    return _cells(spark, sf_dir).select("line", "sample", R.filled_colour(byte).alias("c")).select("line", "sample", "c.*")
+
+
+@query(sql=f"SELECT band, line // 3 AS line, sample // 3 AS sample, round(avg(value), 9) AS value, 3 AS factor FROM {_CELLS} GROUP BY ALL")
+def i12_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = R.shrunk(_cells(spark, sf_dir), ["band"], 3)
+    return small.select("band", F.col("line").cast("bigint").alias("line"), F.col("sample").cast("bigint").alias("sample"), F.round("value", 9).alias("value"), R.shrink_factor(F.lit(64), 25).cast("int").alias("factor"))
+
+
+@query(sql="SELECT label AS band, 'P5' || chr(10) || '64 ' || count(*) || chr(10) || '255' || chr(10) AS head, 64 * count(*) AS n_bytes FROM embeddings GROUP BY 1")
+def k3_grey_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.rows_of(R.eight_bit(_cells(spark, sf_dir), ["band"]), ["band"])
+    head = F.regexp_extract(F.decode("content", "ISO-8859-1"), "^(P5\n[0-9]+ [0-9]+\n255\n)", 1)
+    return grey_map(rows, ["band"]).select("band", head.alias("head"), (F.octet_length("content") - F.length(head)).cast("bigint").alias("n_bytes"))
