@@ -32,25 +32,32 @@ PIVOTS = 32
 HOT_BUCKET = 128
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, as a signed integer; 0 for no words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the text's word shingles, repeats included; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
+    line = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed integer; 0 for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[at : at + (1 << 14)], dtype="<u8")
+        part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, as a signed integer; 0 for no words."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(text: Column, width: int = 3) -> Column:
@@ -172,3 +179,133 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     print_of = free_name(docs, "_print")
     nameless = docs.where(F.col(id_col).isNull()).withColumn(print_of, fingerprints(F.col(text_col), width))
     return named.unionByName(nameless.join(alone, F.col(print_of) == F.col(mark), "left_semi").dropDuplicates([print_of]).drop(print_of))
+
+
+# ---------------------------------------------------------------- similar texts
+
+#: Longs of a wide fingerprint; the first VERIFY of them decide on a pair.
+PARTS = 8
+VERIFY = 4
+#: Bits of a band; bands are as many as the wide fingerprint holds.
+BAND_BITS = 16
+SIMILARITY = 0.8
+LEADER_ROUNDS = 4
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
+    """PARTS SimHashes of the same shingles, each under another mixing of their hashes."""
+    hashes, out = shingle_hashes(text, width), []
+    for k in range(PARTS):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority((x ^ (x >> np.uint64(31))).astype("<u8")))
+    return out
+
+
+def most_differing(similarity: float, bits: int = 64 * VERIFY) -> int:
+    """Bits by which texts of this Jaccard similarity of shingles differ, as expected: the angle between their vectors."""
+    return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def _wide(text: Column, width: int) -> Column:
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, width) for t in texts], dtype=object)
+
+    return F.pandas_udf(prints, "array<bigint>")(text)
+
+
+def _band_keys(wide: Column) -> Column:
+    bands = [F.shiftrightunsigned(wide[k], at).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(PARTS) for at in range(0, 64, BAND_BITS)]
+    return F.array(*[F.xxhash64(F.lit(k), b) for k, b in enumerate(bands)])
+
+
+def _differing(a: Column, b: Column) -> Column:
+    out = F.lit(0)
+    for k in range(VERIFY):
+        out = out + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return out
+
+
+def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between nodes (node, wide) whose fingerprints differ as texts of the similarity do, or less.
+
+    Candidates share a band. In a bucket of more than HOT_BUCKET the members are linked to a leader; those that
+    are not like it go on among themselves, and after LEADER_ROUNDS meet in narrower buckets of two bands.
+    """
+    radius = most_differing(similarity)
+    check = F.slice("wide", 1, VERIFY).alias("fp")
+    keyed = wide.select("node", check, F.posexplode(_band_keys(F.col("wide"))).alias("band", "key"))
+    rows = staged(keyed.select("node", "fp", "key"), "bands")
+    out = None
+    for _ in range(LEADER_ROUNDS):
+        big = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "fp"), F.col("node")).alias("lead")).where(F.col("n") > HOT_BUCKET), "hot")
+        if big.isEmpty():
+            break
+        met = staged(rows.join(big, "key").select("key", "node", "fp", F.col("lead.node").alias("lead"), (_differing(F.col("fp"), F.col("lead.fp")) <= radius).alias("like")), "led")
+        found = met.where("like and node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+        out = found if out is None else out.unionByName(found)
+        rows = staged(rows.join(big, "key", "left_anti").unionByName(met.where("not like").select("node", "fp", "key")), "bands")
+    big = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key"), "hot")
+    if not big.isEmpty():
+        hot = rows.join(big, "key", "left_semi").select("node", "fp", F.xxhash64("key", F.col("fp")[0].bitwiseAND(F.lit(0xFFFF))).alias("key"))
+        rows = staged(rows.join(big, "key", "left_anti").unionByName(hot), "bands")
+
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in chain(batches, [None]):
+            now = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if now is None or not len(now):
+                continue
+            keys = now["key"].to_numpy(np.int64)
+            whole = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+            rest = now.iloc[whole:]
+            if whole:
+                nodes = now["node"].to_numpy(np.int64)[:whole]
+                a, b = _wide_bucket_links(keys[:whole], np.array(now["fp"].iloc[:whole].tolist(), np.int64), radius)
+                yield pd.DataFrame({"u": np.maximum(nodes[a], nodes[b]), "v": np.minimum(nodes[a], nodes[b])})
+
+    cold = rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, "u bigint, v bigint")
+    return (cold if out is None else cold.unionByName(out)).distinct()
+
+
+def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions with equal keys whose fingerprints differ by ``radius`` bits or fewer."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, ahead = np.flatnonzero(keys[1:] == keys[:-1]), 1
+    while len(at):
+        near = np.bitwise_count((prints[at] ^ prints[at + ahead]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
+        left.append(at[near])
+        right.append(at[near] + ahead)
+        ahead += 1
+        at = at[at + ahead < len(keys)]
+        at = at[keys[at] == keys[at + ahead]]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, node, component_id) for each row: classes of texts whose shingles are about ``similarity`` alike or more.
+
+    Unlike ``near_duplicates``, which finds all pairs within two bits, this reaches the distances of edited copies. Banding
+    finds a pair at the similarity itself with a chance of some nine in ten, and closer ones almost surely. Pivot
+    tables discard nothing at such distances, so they are not used here. Nulls, ties and empty tables are
+    treated as there.
+    """
+    rows = staged(docs.select(F.col(id_col).alias("id"), _wide(F.col(text_col), width).alias("wide")).withColumn("node", F.xxhash64("wide")), "wide")
+    distinct = staged(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.min("id").alias("first")), "distinct")
+    linked = components(similar_links(distinct.select("node", "wide"), similarity))
+    named = staged(linked.join(distinct.select("node", "first"), "node"), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    whole = distinct.select("node", "first").join(named.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    return rows.select("id", "node").join(whole, "node").select(F.col("id").alias(id_col), "node", "component_id")
+
+
+def drop_similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each class of similar texts, as ``drop_near_duplicates`` has it."""
+    classes = staged(similar_texts(docs, id_col, text_col, width, similarity).select(F.col(id_col).alias("_id"), "component_id", "node"), "classes")
+    mark, node = free_name(docs, "_mark"), free_name(docs, "_node")
+    keep = classes.where("_id = component_id").select(F.col("_id").alias(mark)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col])
+    alone = classes.where("component_id is null").select(F.col("node").alias(mark)).distinct()
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(node, F.xxhash64(_wide(F.col(text_col), width)))
+    return named.unionByName(nameless.join(alone, F.col(node) == F.col(mark), "left_semi").dropDuplicates([node]).drop(node))

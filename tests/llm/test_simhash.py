@@ -74,3 +74,36 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 5, 8, None], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert simhash.drop_near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, group = [], {}
+    for g in range(60):
+        body = rng.choice(words, 300).tolist()
+        for k in range(1 + g % 4):
+            copy = list(body)
+            for at in rng.choice(300, 4, replace=False).tolist()[: 4 * (k > 0)]:
+                copy[at] = "edited"
+            rows.append((len(rows), " ".join(copy)))
+            group[len(rows) - 1] = g
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    first = {}
+    for i in sorted(group):
+        first.setdefault(group[i], i)
+    right = sum(r.component_id == first[group[r.doc_id]] for r in got)
+    assert right >= 0.97 * len(rows)
+    assert all(group[r.component_id] == group[r.doc_id] for r in got)
+
+
+@pytest.mark.parametrize("hot", [3, 128])
+def test_similar_texts_in_hot_buckets(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(60)] + [(100 + i, " ".join(f"y{i}z{j}" for j in range(50))) for i in range(20)]
+    rows += [(None, "only here"), (None, "only here"), (500, None), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.drop_similar_texts(df)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, *range(100, 120), None, 500], key=str)
+    assert simhash.drop_similar_texts(df.limit(0)).count() == 0
