@@ -60,12 +60,12 @@ def s11_white_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(parts[0].cast("bigint").alias("s_suppkey"), parts[1].alias("name"), parts[2].cast("int").alias("s_nationkey"), parts[3].cast("double").alias("s_acctbal"))
 
 
-@query(sql="SELECT vec_id, i // 8 AS line, i % 8 AS sample, round(CAST(embedding[i + 1] AS DOUBLE), 5) AS value FROM embeddings, range(64) t(i)")
+@query(sql="SELECT vec_id, i // 8 AS line, i % 8 AS sample, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i)")
 def s13_ascii_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.array_join(F.transform("embedding", lambda v: F.format_string("%.9e", v.cast("double"))), " ; ")
+    body = F.array_join(F.transform("embedding", lambda v: F.format_string("%.17e", v.cast("double"))), " ; ")
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(records.numbers_in(body)).alias("i", "v"))
     line, sample = records.axes(F.col("i"), [8, 8])
-    return cells.select("vec_id", line.cast("bigint").alias("line"), sample.cast("bigint").alias("sample"), F.round("v", 5).alias("value"))
+    return cells.select("vec_id", line.cast("bigint").alias("line"), sample.cast("bigint").alias("sample"), F.col("v").alias("value"))
 
 
 @query(sql="SELECT event_type, k AS bin, (SELECT count(*) FROM events e WHERE e.event_type = t.event_type AND CAST(floor(e.value / 50) AS BIGINT) = k) AS n FROM (SELECT DISTINCT event_type FROM events) t, range(8) r(k)")
