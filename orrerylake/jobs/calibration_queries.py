@@ -119,3 +119,11 @@ def k1_one_row_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("value", "=")
     names = F.split(parts[0], "_")
     return rows.groupBy(names[0].alias("p_brand"), names[1].alias("p_type")).agg(F.sum(parts[1].cast("bigint")).alias("total"))
+
+
+@query(sql="SELECT 'h' || p.p_partkey AS header, 'u' || q.p_partkey AS unit FROM part p JOIN part q ON p.p_brand = q.p_brand AND p.p_partkey * 10 + p.p_size = q.p_partkey * 10 + 5 AND p.p_size = 5")
+def q6_unit_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "file")
+    headers = part.where("p_size = 5").select("file", made.text("h", F.col("p_partkey")).alias("header"), (F.col("p_partkey") * 10).alias("offset"), F.col("p_size").alias("length"))
+    units = part.select("file", made.text("u", F.col("p_partkey")).alias("unit"), (F.col("p_partkey") * 10 + 5).alias("data_start"))
+    return Q.unit_headers(headers, units)

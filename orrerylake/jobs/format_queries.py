@@ -140,3 +140,25 @@ def d9_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
     shown = F.when(k == 0, F.date_format(d, "yyyy")).when(k == 1, F.date_format(d, "yyyy-MM")).when(k == 2, F.date_format(d, " yyyy-DDD'T'HH:mm'Z'")).when(k == 3, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss.SSS")).otherwise("9999999")
     return table(spark, sf_dir, "orders").select("o_orderkey", text.archive_date(shown).alias("at"))
+
+
+@query(sql="SELECT l_orderkey, l_linenumber, l_partkey, 3 + (11 - 1) + 40 * (l_linenumber - 1) + (5 - 1) + 8 * (l_suppkey % 4) AS start, 2 + 6 * (l_linenumber - 1) + 3 * (l_suppkey % 4) AS position FROM lineitem")
+def f9_nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, m = F.col("l_linenumber").cast("bigint"), F.col("l_suppkey") % 4
+    group = lambda location, stride, fields, repetition: F.struct(F.lit(location).cast("bigint").alias("location"), F.lit(stride).cast("bigint").alias("stride"), F.lit(fields).cast("bigint").alias("fields"), repetition.alias("repetition"))
+    around = F.array(group(11, 40, 6, n - 1), group(5, 8, 3, m))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", FM.group_offset(F.lit(3).cast("bigint"), around).alias("start"), FM.delimited_position(F.lit(2).cast("bigint"), around).alias("position"))
+
+
+@query(sql="SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v_0, CAST(embedding[2] AS DOUBLE) AS v_1, NULL::DOUBLE AS v_2, 'field_' || label AS name FROM embeddings")
+def d12_spread_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"), FM.clean_name(made.text("GROUP_0, GROUP_12, field_", F.col("label"), ", ")).alias("name"))
+    return FM.spread_cells(cells, "v", 3)
+
+
+@query(sql="SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS k, o_orderpriority AS p FROM orders")
+def f10_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A format table becomes the schema that delimited text is read with."""
+    fields = [{"name": "k", "kind": "integer", "width": 4, "is_signed": True}, {"name": "p", "kind": "text", "width": 15, "is_signed": False}]
+    line = made.text(F.col("o_orderkey"), "|", F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.from_csv(line, FM.schema_of(fields).simpleString()[7:-1].replace(":", " "), {"sep": "|"}).alias("r")).select("o_orderkey", "r.*")

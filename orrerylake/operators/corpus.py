@@ -45,3 +45,9 @@ def object_hash(frame: DataFrame, object_: list[str], columns: list[str]) -> Dat
 def prefix_tables(tables: DataFrame, images: DataFrame) -> DataFrame:
     """(table, image): tables that start where an image does, in the same file."""
     return tables.join(images, ["file", "start_byte"]).select("table", "image")
+
+
+def unit_headers(headers: DataFrame, units: DataFrame) -> DataFrame:
+    """(header, unit): headers that end where a unit's data start, in the same file."""
+    ends = headers.withColumn("data_start", F.col("offset") + F.col("length"))
+    return ends.join(units, ["file", "data_start"]).select("header", "unit")

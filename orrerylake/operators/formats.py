@@ -141,3 +141,25 @@ def decoded(record: Column, kind: str, order: str, start: int, width: int, is_si
 def decode_records(records: DataFrame, fields: list[dict], record: str = "record") -> DataFrame:
     """A typed column for each field of a format, all cut and decoded in one projection."""
     return records.select(*[decoded(F.col(record), f["kind"], f["order"], f["start"], f["width"], f["is_signed"]).alias(f["name"]) for f in fields])
+
+
+def group_offset(location: Column, groups: Column) -> Column:
+    """First byte of a field, from 1, in nested groups: its own location and, for each group around, the group's
+    location and its repetition's stride. ``groups``: array<struct<location, stride, repetition>>.
+    """
+    return F.aggregate(groups, location, lambda at, g: at + g["location"] - 1 + g["stride"] * g["repetition"])
+
+
+def delimited_position(position: Column, groups: Column) -> Column:
+    """Column of a delimited field in nested groups, from 1: groups repeat whole, ``fields`` columns at a time."""
+    return F.aggregate(groups, position, lambda at, g: at + g["fields"] * g["repetition"])
+
+
+def spread_cells(frame: DataFrame, column: str, n: int) -> DataFrame:
+    """An array column as NAME_0 to NAME_n-1; cells that an array lacks are null."""
+    return frame.select(*[c for c in frame.columns if c != column], *[F.get(column, F.lit(i)).alias(f"{column}_{i}") for i in range(n)])
+
+
+def clean_name(name: Column) -> Column:
+    """A full name without its unnamed groups and without commas and blanks at its ends."""
+    return F.trim(F.regexp_replace(name, r"GROUP_[0-9]+,?\s*", ""), F.lit(", "))
