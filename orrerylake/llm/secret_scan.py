@@ -82,8 +82,9 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
         stop = start + F.char_length(pair["text"])
         return F.struct(stop.alias("at"), F.concat(s["spans"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), pair["text"].alias("text")))).alias("spans"))
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("text")))
-    return F.aggregate(pairs, state, step, lambda s: s["spans"])
+    # Zipped, both arrays are made once; the gap after the last match has no match.
+    pairs = F.zip_with(gaps, found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("text")))
+    return F.aggregate(F.filter(pairs, lambda p: p["text"].isNotNull()), state, step, lambda s: s["spans"])
 
 
 def _when_any(text: Column, pattern: str, spans: Column) -> Column:
@@ -95,7 +96,7 @@ def high_windows(text: Column, kind: Kind) -> Column:
     codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(kind.alphabet), c))
     terms = F.array(*map(F.lit, TERMS))
     runs = "array<struct<start:int,stop:int>>"
-    first = F.struct(F.array_repeat(F.lit(0), len(kind.alphabet) + 1).alias("counts"), F.lit(0).alias("sum"), F.array().cast(runs).alias("runs"), F.array().cast("array<int>").alias("codes"))
+    first = F.struct(F.array_repeat(F.lit(0), len(kind.alphabet) + 1).alias("counts"), F.lit(0).alias("sum"), F.array().cast(runs).alias("runs"))
 
     def step(s: Column, pair: Column) -> Column:
         into, out, i = pair["into"], pair["out"], pair["i"]
@@ -115,10 +116,13 @@ def high_windows(text: Column, kind: Kind) -> Column:
             last.isNotNull() & (last["stop"] >= start),
             F.concat(F.slice(s["runs"], 1, F.greatest(F.size(s["runs"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), stop.alias("stop")))),
         ).otherwise(F.concat(s["runs"], F.array(F.struct(start.alias("start"), stop.alias("stop")))))
-        return F.struct(counts.alias("counts"), total.alias("sum"), joined.alias("runs"), s["codes"].alias("codes"))
+        return F.struct(counts.alias("counts"), total.alias("sum"), joined.alias("runs"))
 
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(0).alias("out"), i.alias("i")))
-    return F.aggregate(pairs, first, step, lambda s: s["runs"])
+    # The same codes, WINDOW places later, are those that leave.
+    leaving = F.concat(F.array_repeat(F.lit(0), WINDOW), codes)
+    pairs = F.filter(F.zip_with(codes, leaving, lambda c, d: F.struct(c.alias("into"), d.alias("out"))), lambda p: p["into"].isNotNull())
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["into"].alias("into"), p["out"].alias("out"), i.alias("i")))
+    return F.aggregate(numbered, first, step, lambda s: s["runs"])
 
 
 def allowed(text: Column, allow: list[str]) -> Column:
