@@ -94,8 +94,12 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, table: np.ndarray, radius
         ahead += 1
         at = at[at + ahead < len(keys)]
         at = at[keys[at] == keys[at + ahead]]
-    a, b = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
-    parent = {}
+    return spanning(np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)]))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that first join two parts: as connected as all of them, and fewer than there are members."""
+    parent: dict[int, int] = {}
     keep = np.zeros(len(a), bool)
 
     def top(x: int) -> int:
@@ -237,19 +241,24 @@ def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     check = F.slice("wide", 1, VERIFY).alias("fp")
     keyed = wide.select("node", check, F.posexplode(_band_keys(F.col("wide"))).alias("band", "key"))
     rows = staged(keyed.select("node", "fp", "key"), "bands")
-    out = None
-    for _ in range(LEADER_ROUNDS):
-        big = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "fp"), F.col("node")).alias("lead")).where(F.col("n") > HOT_BUCKET), "hot")
-        if big.isEmpty():
-            break
-        met = staged(rows.join(big, "key").select("key", "node", "fp", F.col("lead.node").alias("lead"), (_differing(F.col("fp"), F.col("lead.fp")) <= radius).alias("like")), "led")
-        found = met.where("like and node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-        out = found if out is None else out.unionByName(found)
-        rows = staged(rows.join(big, "key", "left_anti").unionByName(met.where("not like").select("node", "fp", "key")), "bands")
-    big = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key"), "hot")
-    if not big.isEmpty():
-        hot = rows.join(big, "key", "left_semi").select("node", "fp", F.xxhash64("key", F.col("fp")[0].bitwiseAND(F.lit(0xFFFF))).alias("key"))
-        rows = staged(rows.join(big, "key", "left_anti").unionByName(hot), "bands")
+    links_found: list[DataFrame] = []
+    crowded = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key"), "crowded")
+    if not crowded.isEmpty():
+        # Only the rows of crowded buckets go through the rounds; the others are shuffled once, below.
+        hot = staged(rows.join(crowded, "key", "left_semi"), "hot")
+        rows = rows.join(crowded, "key", "left_anti")
+        for _ in range(LEADER_ROUNDS):
+            leads = staged(hot.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "fp"), F.col("node")).alias("lead")).where(F.col("n") > HOT_BUCKET), "leads")
+            if leads.isEmpty():
+                break
+            led = hot.join(leads, "key", "left")
+            like = _differing(F.col("fp"), F.col("lead.fp")) <= radius
+            met = staged(led.select("key", "node", "fp", F.col("lead.node").alias("lead"), F.coalesce(like, F.lit(False)).alias("like")), "met")
+            links_found.append(met.where("like and node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")))
+            hot = met.where("not like").select("node", "fp", "key")
+        still = staged(hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key", F.lit(True).alias("still")), "still")
+        narrow = F.xxhash64("key", F.col("fp")[0].bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
+        rows = rows.select("node", "fp", "key").unionByName(hot.join(still, "key", "left").select("node", "fp", F.when(F.col("still"), narrow).otherwise(F.col("key")).alias("key")))
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -266,11 +275,13 @@ def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 yield pd.DataFrame({"u": np.maximum(nodes[a], nodes[b]), "v": np.minimum(nodes[a], nodes[b])})
 
     cold = rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, "u bigint, v bigint")
-    return (cold if out is None else cold.unionByName(out)).distinct()
+    for found in links_found:
+        cold = cold.unionByName(found)
+    return cold.distinct()
 
 
 def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions with equal keys whose fingerprints differ by ``radius`` bits or fewer."""
+    """Pairs of positions with equal keys whose fingerprints differ by ``radius`` bits or fewer, a forest of them."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, ahead = np.flatnonzero(keys[1:] == keys[:-1]), 1
     while len(at):
@@ -280,7 +291,7 @@ def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tup
         ahead += 1
         at = at[at + ahead < len(keys)]
         at = at[keys[at] == keys[at + ahead]]
-    return np.concatenate(left), np.concatenate(right)
+    return spanning(np.concatenate(left), np.concatenate(right))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
