@@ -12,7 +12,7 @@ neighbours and all that name the same one are linked to the least of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -194,6 +194,8 @@ VERIFY = 4
 BAND_BITS = 16
 SIMILARITY = 0.8
 LEADER_ROUNDS = 4
+#: Members of a block; a bucket of more is compared block against block, in as many tasks.
+BLOCK = 2048
 
 
 def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
@@ -235,7 +237,7 @@ def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between nodes (node, wide) whose fingerprints differ as texts of the similarity do, or less.
 
     Candidates share a band. In a bucket of more than HOT_BUCKET the members are linked to a leader; those that
-    are not like it go on among themselves, and after LEADER_ROUNDS meet in narrower buckets of two bands.
+    are not like it go on among themselves; what LEADER_ROUNDS leave is compared whole, in blocks.
     """
     radius = most_differing(similarity)
     check = F.slice("wide", 1, VERIFY).alias("fp")
@@ -256,23 +258,15 @@ def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             met = staged(led.select("key", "node", "fp", F.col("lead.node").alias("lead"), F.coalesce(like, F.lit(False)).alias("like")), "met")
             links_found.append(met.where("like and node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")))
             hot = met.where("not like").select("node", "fp", "key")
-        still = staged(hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key", F.lit(True).alias("still")), "still")
-        narrow = F.xxhash64("key", F.col("fp")[0].bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
-        rows = rows.select("node", "fp", "key").unionByName(hot.join(still, "key", "left").select("node", "fp", F.when(F.col("still"), narrow).otherwise(F.col("key")).alias("key")))
+        rows = rows.select("node", "fp", "key").unionByName(hot.select("node", "fp", "key"))
+    rows = _in_blocks(rows, BLOCK)
+    few = HOT_BUCKET
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in chain(batches, [None]):
-            now = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if now is None or not len(now):
-                continue
-            keys = now["key"].to_numpy(np.int64)
-            whole = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
-            rest = now.iloc[whole:]
-            if whole:
-                nodes = now["node"].to_numpy(np.int64)[:whole]
-                a, b = _wide_bucket_links(keys[:whole], np.array(now["fp"].iloc[:whole].tolist(), np.int64), radius)
-                yield pd.DataFrame({"u": np.maximum(nodes[a], nodes[b]), "v": np.minimum(nodes[a], nodes[b])})
+        for now in _whole_keys(batches):
+            nodes = now["node"].to_numpy(np.int64)
+            a, b = _wide_bucket_links(now["key"].to_numpy(np.int64), np.array(now["fp"].tolist(), np.int64), radius, few)
+            yield pd.DataFrame({"u": np.maximum(nodes[a], nodes[b]), "v": np.minimum(nodes[a], nodes[b])})
 
     cold = rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, "u bigint, v bigint")
     for found in links_found:
@@ -280,10 +274,60 @@ def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return cold.distinct()
 
 
-def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions with equal keys whose fingerprints differ by ``radius`` bits or fewer, a forest of them."""
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (key, node, ...) with a key of more than ``block`` rows replaced by one for each two blocks of its rows.
+
+    A row goes to all pairs of blocks that its own is in, so any two rows of a key still meet, and no key
+    has many more than 2 x ``block`` rows.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    parts = staged(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "parts")
+    if parts.isEmpty():
+        return rows
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != own)
+    pairs = F.transform(others, lambda q: F.xxhash64("key", F.least(own, q), F.greatest(own, q)))
+    split = rows.join(parts, "key", "left").withColumn("key", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)))
+    return split.select(*rows.columns)
+
+
+def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, cut so that no key is in two pieces."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch["key"].to_numpy(np.int64)
+        if held and held[-1]["key"].iloc[-1] == keys[-1] == keys[0]:
+            held.append(batch)
+            continue
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        whole = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+        held = [batch.iloc[last:]]
+        if len(whole):
+            yield whole
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions with equal keys whose fingerprints differ by ``radius`` bits or fewer, a forest of them.
+
+    All pairs of a bucket of ``few`` members are compared; larger ones go through ``connecting``.
+    """
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at, ahead = np.flatnonzero(keys[1:] == keys[:-1]), 1
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    for start, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
+        own = prints[start : start + size]
+
+        def like(x: int, others: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+            return np.bitwise_count((own[others] ^ own[x]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
+
+        a, b = connecting(size, like)
+        left.append(a + start)
+        right.append(b + start)
+    at, ahead = np.flatnonzero((keys[1:] == keys[:-1]) & np.repeat(sizes <= few, sizes)[1:]), 1
     while len(at):
         near = np.bitwise_count((prints[at] ^ prints[at + ahead]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
         left.append(at[near])
@@ -294,6 +338,41 @@ def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tup
     return spanning(np.concatenate(left), np.concatenate(right))
 
 
+def connecting(n: int, like: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions below ``n`` that form a forest of all that ``like(x, others)`` finds alike.
+
+    Leaders take their likes out of what is left, so each two leaders were compared. Then every member outside
+    the largest part is compared with all that it was not yet; no link within a part matters.
+    """
+    label, left, right = np.arange(n), [], []
+
+    def meet(x: int, near: np.ndarray) -> None:
+        parts, first = np.unique(label[near], return_index=True)
+        new = parts != label[x]
+        if new.any():
+            left.extend([x] * int(new.sum()))
+            right.extend(near[first[new]].tolist())
+            label[np.isin(label, parts[new])] = label[x]
+
+    free, leads = np.arange(n), np.zeros(n, bool)
+    while len(free):
+        x, free = int(free[0]), free[1:]
+        leads[x] = True
+        near = like(x, free)
+        meet(x, free[near])
+        free = free[~near]
+    largest = int(np.bincount(label).argmax()) if n else 0
+    largest = int(np.flatnonzero(label == largest)[0]) if n else 0
+    followers = np.flatnonzero(~leads)
+    for x in range(n):
+        if label[x] != label[largest]:
+            others = followers if leads[x] else np.arange(n)
+            others = others[label[others] != label[x]]
+            if len(others):
+                meet(x, others[like(x, others)])
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, component_id) for each row: classes of texts whose shingles are about ``similarity`` alike or more.
 

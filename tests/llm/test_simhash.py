@@ -107,3 +107,40 @@ def test_similar_texts_in_hot_buckets(spark, monkeypatch, hot):
     kept = simhash.drop_similar_texts(df)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, *range(100, 120), None, 500], key=str)
     assert simhash.drop_similar_texts(df.limit(0)).count() == 0
+
+
+def chains(seed, families, strangers):
+    """Wide fingerprints that all share band 20: chains of 12 of which neighbours differ in each other band, then strangers."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(families):
+        x = rng.integers(0, 2, (32, 16))
+        for k in range(12):
+            x[:, k] ^= 1
+            out.append(x.copy())
+    out += [rng.integers(0, 2, (32, 16)) for _ in range(strangers)]
+    for x in out:
+        x[20] = 1
+    return [[int(v) for v in np.packbits(out[i].astype(bool).ravel(), bitorder="little").view("<i8")] for i in rng.permutation(len(out))]
+
+
+def plain_wide_components(wide):
+    p = np.array(wide, np.int64)[:, : simhash.VERIFY].view(np.uint64)
+    near = np.array([np.bitwise_count(p ^ row).sum(axis=1) for row in p]) <= simhash.most_differing(simhash.SIMILARITY)
+    label = np.arange(len(p))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(p))])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+@pytest.mark.parametrize(("hot", "block"), [(2, 7), (5, 1000), (128, 30), (128, 1000)])
+def test_crowded_bucket_equals_all_pairs(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "LEADER_ROUNDS", 0, raising=False)
+    wide = chains(5, 9, 50)
+    df = spark.createDataFrame(list(enumerate(wide)), "node bigint, wide array<bigint>")
+    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df)).collect()}
+    assert [got.get(i, i) for i in range(len(wide))] == plain_wide_components(wide)
