@@ -193,7 +193,6 @@ VERIFY = 4
 #: Bits of a band; bands are as many as the wide fingerprint holds.
 BAND_BITS = 16
 SIMILARITY = 0.8
-LEADER_ROUNDS = 4
 #: Members of a block; a bucket of more is compared block against block, in as many tasks.
 BLOCK = 2048
 
@@ -226,40 +225,15 @@ def _band_keys(wide: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), b) for k, b in enumerate(bands)])
 
 
-def _differing(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for k in range(VERIFY):
-        out = out + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return out
-
-
 def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between nodes (node, wide) whose fingerprints differ as texts of the similarity do, or less.
 
-    Candidates share a band. In a bucket of more than HOT_BUCKET the members are linked to a leader; those that
-    are not like it go on among themselves; what LEADER_ROUNDS leave is compared whole, in blocks.
+    Candidates share a band. Not every link is emitted, but the links' connected components are those of all
+    candidates, whatever the sizes of the buckets.
     """
     radius = most_differing(similarity)
     check = F.slice("wide", 1, VERIFY).alias("fp")
-    keyed = wide.select("node", check, F.posexplode(_band_keys(F.col("wide"))).alias("band", "key"))
-    rows = staged(keyed.select("node", "fp", "key"), "bands")
-    links_found: list[DataFrame] = []
-    crowded = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key"), "crowded")
-    if not crowded.isEmpty():
-        # Only the rows of crowded buckets go through the rounds; the others are shuffled once, below.
-        hot = staged(rows.join(crowded, "key", "left_semi"), "hot")
-        rows = rows.join(crowded, "key", "left_anti")
-        for _ in range(LEADER_ROUNDS):
-            leads = staged(hot.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "fp"), F.col("node")).alias("lead")).where(F.col("n") > HOT_BUCKET), "leads")
-            if leads.isEmpty():
-                break
-            led = hot.join(leads, "key", "left")
-            like = _differing(F.col("fp"), F.col("lead.fp")) <= radius
-            met = staged(led.select("key", "node", "fp", F.col("lead.node").alias("lead"), F.coalesce(like, F.lit(False)).alias("like")), "met")
-            links_found.append(met.where("like and node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")))
-            hot = met.where("not like").select("node", "fp", "key")
-        rows = rows.select("node", "fp", "key").unionByName(hot.select("node", "fp", "key"))
-    rows = _in_blocks(rows, BLOCK)
+    rows = _in_blocks(wide.select("node", check, F.explode(_band_keys(F.col("wide"))).alias("key")), BLOCK)
     few = HOT_BUCKET
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,10 +242,7 @@ def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             a, b = _wide_bucket_links(now["key"].to_numpy(np.int64), np.array(now["fp"].tolist(), np.int64), radius, few)
             yield pd.DataFrame({"u": np.maximum(nodes[a], nodes[b]), "v": np.minimum(nodes[a], nodes[b])})
 
-    cold = rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, "u bigint, v bigint")
-    for found in links_found:
-        cold = cold.unionByName(found)
-    return cold.distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, "u bigint, v bigint").distinct()
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:

@@ -144,3 +144,12 @@ def test_crowded_bucket_equals_all_pairs(spark, monkeypatch, hot, block):
     df = spark.createDataFrame(list(enumerate(wide)), "node bigint, wide array<bigint>")
     got = {r.node: r.root for r in simhash.components(simhash.similar_links(df)).collect()}
     assert [got.get(i, i) for i in range(len(wide))] == plain_wide_components(wide)
+
+
+def test_chain_past_a_leader(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 3)
+    wide = chains(7, 2, 0)
+    df = spark.createDataFrame(list(enumerate(wide)), "node bigint, wide array<bigint>")
+    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df)).collect()}
+    assert [got.get(i, i) for i in range(len(wide))] == plain_wide_components(wide)
+    assert len(set(got.values())) == 2
