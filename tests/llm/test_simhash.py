@@ -153,3 +153,26 @@ def test_chain_past_a_leader(spark, monkeypatch):
     got = {r.node: r.root for r in simhash.components(simhash.similar_links(df)).collect()}
     assert [got.get(i, i) for i in range(len(wide))] == plain_wide_components(wide)
     assert len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_similarity_is_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", block, raising=False)
+    rng = np.random.default_rng(4)
+    rows, alike = [], {}
+    for g in range(300):
+        body = [f"g{g}w{i}" for i in range(300)]
+        copy = list(body)
+        for at in rng.choice(300, rng.integers(4, 11), replace=False).tolist():
+            copy[at] = f"g{g}edited{at}"
+        sets = [{tuple(x[i : i + 5]) for i in range(296)} for x in (body, copy)]
+        alike[g] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * g, " ".join(body)), (2 * g + 1, " ".join(copy))]
+    # A hundred copies of one text with an edit each: more than a block.
+    rows += [(1000 + i, " ".join(f"x{i}" if j == 2 * i else f"b{j}" for j in range(250))) for i in range(100)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    met = {g: got[2 * g + 1] == 2 * g for g in alike}
+    assert not [g for g in alike if alike[g] < 0.8 and met[g]]
+    due = [g for g in alike if 0.8 <= alike[g] < 0.87]
+    assert len(due) > 40 and sum(met[g] for g in due) >= 0.97 * len(due)
+    assert all(got[1000 + i] == 1000 for i in range(100))
