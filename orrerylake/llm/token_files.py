@@ -12,15 +12,18 @@ tasks, wherever the folder is.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,56 +31,72 @@ from pyspark.sql import functions as F
 END_ID = 2
 #: Ids of a file, about: a file is closed once it has so many, so only a longer document makes a longer file.
 FILE_IDS = 1_000_000
-#: Bytes of text that one task encodes, about.
+#: Bytes of text that one task encodes, about, as long as MOST_PARTS tasks are enough.
 TASK_BYTES = 12_000_000
+#: Ranges of ids at most; beyond MOST_PARTS * TASK_BYTES of text a task encodes more and writes more files.
+MOST_PARTS = 20_000
 #: A pair must stand so often in a file to get a rule.
 LEAST_COUNT = 12
 ROUND_RULES = 4_096
 SLOTS = 1 << 18
-MOST_ROUNDS = 24
-#: Texts that are cut and looked up at once.
-BATCH_ROWS = 1_500
-MAGIC = b"REPAIR01"
+#: Bytes of text that are cut and looked up at once; a longer text is taken whole.
+BATCH_BYTES = 5_000_000
+MAGIC = b"REPAIR02"
 
 # ---------------------------------------------------------------- encoding
 
 #: Distinct pieces that an encoder remembers before it starts anew.
-MOST_PIECES = 800_000
-LEARN_PIECES = 10_000
+MOST_PIECES = 1_000_000
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def cuts_like_us(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind that ``Encoder`` may cut into pieces by itself."""
+    cutter = spec.get("pre_tokenizer") or {}
+    plain = all(spec.get(k) is None for k in ("normalizer", "truncation", "padding"))
+    return plain and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") is True and cutter.get("add_prefix_space") is False and spec["model"].get("type") == "BPE"
+
+
 class Encoder:
-    """Ids of whole texts from a tokenizers file of the byte-level kind.
+    """Ids of whole texts from a tokenizers file.
 
-    Texts are cut where the library's own pre-tokenizer cuts them; each distinct piece is encoded by the
-    library once and looked up afterwards. Texts with an added token's string go to the library whole.
+    Of byte-level files without a normalizer, texts are cut where the library's own pre-tokenizer cuts them; the library's
+    model encodes each distinct piece once, which is looked up afterwards. Texts with an added token's string,
+    and all texts for files of other kinds, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.by_pieces = cuts_like_us(json.loads(Path(path).read_text(encoding="utf-8")))
         self.size = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
         self.kind = np.full(0x110000, -1, np.int8)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.flat = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        flat, ends = [self.flat], [self.ends]
-        for at in range(0, len(pieces), LEARN_PIECES):  # the library's results take much memory
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + LEARN_PIECES], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
-            ends.append(ends[-1][-1] + np.cumsum(sizes))
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
+    def _learn(self, pieces: pa.Array) -> None:
+        tokenize, letters = self.model.tokenize, self.letters
+        lists = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces.cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.known = pa.concat_arrays([self.known, pieces])
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kind[points]
@@ -113,7 +132,7 @@ class Encoder:
         return starts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not any(a in t for a in self.added) for t in texts]
+        plain = [self.by_pieces and not any(a in t for a in self.added) for t in texts]
         whole = [t for t, p in zip(texts, plain, strict=True) if p and t]
         pieces = iter(self._encode_plain(whole) if whole else ())
         none = np.zeros(0, np.int32)
@@ -126,18 +145,25 @@ class Encoder:
         first = np.zeros(len(points), bool)
         first[bounds[:-1]] = True
         starts = np.flatnonzero(self._starts(points, first))
-        width = (points > 0x7F).view(np.int8) + (points > 0x7FF).view(np.int8) + (points > 0xFFFF).view(np.int8)
-        extra = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        cuts = np.append(starts, len(points))
-        offsets = (cuts + extra[cuts]).astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())]).dictionary_encode()
-        distinct, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > MOST_PIECES:
-            self._forget()
-            fresh = distinct
-        self._learn(fresh)
-        held = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        raw = joined.encode()
+        lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # the first byte of each character
+        offsets = np.append(lead[starts], len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct, codes = pieces.dictionary, pieces.indices.to_numpy()
+        held = pc.index_in(distinct, value_set=self.known)
+        if held.null_count:
+            fresh = distinct.filter(held.is_null())
+            if len(self.known) + len(fresh) > MOST_PIECES:
+                self._forget()
+                fresh, held = distinct, pa.nulls(len(distinct), pa.int32())
+            before = len(self.known)
+            self._learn(fresh)
+            held = held.to_numpy(zero_copy_only=False)
+            lacks = np.isnan(held)
+            held[lacks] = before + np.arange(len(fresh))
+            held = held.astype(np.int64)
+        else:
+            held = held.to_numpy()
         begin = self.ends[held]
         sizes = self.ends[held + 1] - begin
         ids = gather(self.flat, begin[codes], sizes[codes])
@@ -160,67 +186,94 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- Re-Pair
 
 
-def repair(symbols: np.ndarray, size: int, barrier: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): frequent pairs replaced; rule k (left, right) is for the symbol size + k.
+def repair(symbols: np.ndarray, size: int, barrier: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): frequent pairs replaced until none is left; rule k (left, right) is for the symbol size + k.
 
     Each round takes the most frequent pairs of which no symbol is the left of one and the right of another, so
-    that their places cannot overlap. No pair contains ``barrier``.
+    that their places cannot overlap. No pair contains ``barrier``. A pair that was once too rare stays so, as replacing
+    only takes places from it; so only places of frequent pairs and those beside new symbols are counted again. Places
+    stay where they are, linked to those before and after, until the end.
     """
+    least = LEAST_COUNT if least is None else least
     now, rules, top = symbols.astype(np.int32), [], size
-    for _ in range(MOST_ROUNDS):
-        if len(now) < 2:
-            break
+    n_all = len(now)
+    before, after = np.arange(-1, n_all - 1, dtype=np.int32), np.arange(1, n_all + 1, dtype=np.int32)
+    gone = np.zeros(n_all, bool)
+    at = np.arange(max(n_all - 1, 0))
+    while True:
+        at = at[(now[at] != barrier) & (now[after[at]] != barrier)]
         # Pairs are counted in slots first: only those in a slot with enough of them can be frequent.
-        slots = ((now[:-1] * np.int32(40_503) + now[1:]) & np.int32(SLOTS - 1)).astype(np.intp)
-        at = np.flatnonzero((np.bincount(slots, minlength=SLOTS) >= least)[slots])
-        at = at[(now[at] != barrier) & (now[at + 1] != barrier)]
-        own = now[at].astype(np.int64) << 32 | now[at + 1]
-        pair, n = np.unique(own, return_counts=True)
-        often = np.flatnonzero(n >= least)
-        often = often[np.lexsort((pair[often], -n[often]))]
+        slots = ((now[at] * np.int32(40_503) + now[after[at]]) & np.int32(SLOTS - 1)).astype(np.intp)
+        at = at[(np.bincount(slots, minlength=SLOTS) >= least)[slots]]
+        own = now[at].astype(np.int64) << 32 | now[after[at]]
+        order = np.argsort(own)
+        own = own[order]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        pair, n = own[start], np.diff(np.append(start, len(own)))
+        often = n >= least
+        if not often.any():
+            break
+        where = np.empty(len(at), np.int64)
+        where[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), n)
+        pair, n = pair[often], n[often]
+        at, where = at[where >= 0], where[where >= 0]
         left: set[int] = set()
         right: set[int] = set()
-        chosen = []
-        for key in pair[often[: 4 * ROUND_RULES]].tolist():
+        number = np.full(len(pair), -1, np.int64)  # of the new symbol, for the pairs that are taken
+        taken = 0
+        order = np.lexsort((pair, -n))[: 4 * ROUND_RULES]
+        for k, key in zip(order.tolist(), pair[order].tolist(), strict=True):
             a, b = key >> 32, key & 0xFFFFFFFF
-            if a == b:
-                fits = a not in left and a not in right
-            else:
-                fits = a not in right and b not in left
-            if fits:
+            if (a not in left and a not in right) if a == b else (a not in right and b not in left):
                 left.add(a)
                 right.add(b)
-                chosen.append(key)
-                if len(chosen) == ROUND_RULES:
+                number[k] = top + taken
+                taken += 1
+                rules.append(key)
+                if taken == ROUND_RULES:
                     break
-        if not chosen:
-            break
-        is_left = np.zeros(top, bool)
-        is_left[[k >> 32 for k in chosen]] = True
-        some = is_left[now[at]]
-        at, own = at[some], own[some]
-        order = np.argsort(chosen)
-        ranked = np.array(chosen, np.int64)[order]
-        where = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
-        hit = ranked[where] == own
-        at, rank = at[hit], order[where[hit]]
-        twin = now[at] == now[at + 1]
+        symbol = number[where]
+        hit = symbol >= 0
+        spot, symbol = at[hit], symbol[hit]
+        twin = now[spot] == now[after[spot]]
         if twin.any():  # in a run of one symbol, every second place
-            fresh = np.ones(len(at), bool)
-            fresh[1:] = (at[1:] != at[:-1] + 1) | ~twin[1:] | ~twin[:-1]
-            run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-            keep = ~twin | ((np.arange(len(at)) - run_start) % 2 == 0)
-            at, rank = at[keep], rank[keep]
-        now[at] = top + rank
-        stays = np.ones(len(now), bool)
-        stays[at + 1] = False
-        now = now[stays]
-        rules += chosen
-        top += len(chosen)
-        if len(at) < len(now) // 500:
-            break
+            fresh = np.ones(len(spot), bool)
+            fresh[1:] = (spot[1:] != after[spot[:-1]]) | ~twin[1:] | ~twin[:-1]
+            run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(spot)), 0))
+            keep = ~twin | ((np.arange(len(spot)) - run_start) % 2 == 0)
+            spot, symbol = spot[keep], symbol[keep]
+        now[spot] = symbol
+        eaten = after[spot]
+        gone[eaten] = True
+        after[spot] = after[eaten]
+        inner = after[spot] < n_all
+        before[after[spot[inner]]] = spot[inner]
+        look = np.zeros(n_all, bool)
+        look[at] = True
+        look[spot] = True
+        look[before[spot[before[spot] >= 0]]] = True
+        at = np.flatnonzero(look & ~gone)
+        at = at[after[at] < n_all]
+        top += taken
     pairs = np.array(rules, np.int64)
-    return now.astype(np.uint32), np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1).astype(np.uint32) if len(pairs) else np.zeros((0, 2), np.uint32)
+    return now[~gone].astype(np.uint32), np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1).astype(np.uint32) if len(pairs) else np.zeros((0, 2), np.uint32)
+
+
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of ``bits`` bits: their low 16 bits, then each higher bit of all of them, eight to a byte."""
+    planes = [np.packbits((values >> b) & 1, bitorder="little").tobytes() for b in range(16, bits)]
+    return (values & 0xFFFF).astype("<u2").tobytes() + b"".join(planes)
+
+
+def unpacked(raw: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """(numbers, end): the ``n`` numbers that ``packed`` wrote at ``at``."""
+    out = np.frombuffer(raw, "<u2", n, at).astype(np.uint32)
+    at += 2 * n
+    for b in range(16, bits):
+        plane = np.frombuffer(raw, np.uint8, -(-n // 8), at)
+        out |= np.unpackbits(plane, count=n, bitorder="little").astype(np.uint32) << np.uint32(b)
+        at += len(plane)
+    return out, at
 
 
 @dataclass
@@ -245,24 +298,20 @@ class TokenFile:
         return cls(size, symbols, places, rules, lengths[size + 1 :])
 
     def to_bytes(self) -> bytes:
-        wide = "<u4" if self.size + 1 + len(self.rules) > 0xFFFF else "<u2"
-        head = struct.pack("<8sIIIII", MAGIC, self.size, len(self.places), len(self.symbols), len(self.rules), int(wide[-1]))
-        return head + self.places.astype("<u4").tobytes() + self.rules.astype(wide).tobytes() + self.lengths.astype("<u4").tobytes() + self.symbols.astype(wide).tobytes()
+        bits = max(16, (self.size + len(self.rules)).bit_length())
+        head = struct.pack("<8sIIIII", MAGIC, self.size, len(self.places), len(self.symbols), len(self.rules), bits)
+        return head + self.places.astype("<u4").tobytes() + self.lengths.astype("<u4").tobytes() + packed(self.rules.ravel(), bits) + packed(self.symbols, bits)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> TokenFile:
-        magic, size, n_places, n_symbols, n_rules, wide = struct.unpack_from("<8sIIIII", raw)
+        magic, size, n_places, n_symbols, n_rules, bits = struct.unpack_from("<8sIIIII", raw)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = struct.calcsize("<8sIIIII")
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
-            at += out.nbytes
-            return out
-
-        places, rules, lengths, symbols = take("<u4", n_places), take(f"<u{wide}", 2 * n_rules), take("<u4", n_rules), take(f"<u{wide}", n_symbols)
+        places = np.frombuffer(raw, "<u4", n_places, at)
+        lengths = np.frombuffer(raw, "<u4", n_rules, at + places.nbytes)
+        rules, at = unpacked(raw, at + places.nbytes + lengths.nbytes, 2 * n_rules, bits)
+        symbols, _ = unpacked(raw, at, n_symbols, bits)
         return cls(size, symbols, places, rules.reshape(-1, 2), lengths)
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,11 +361,12 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     part: number of the range of ids; start: ids in the part before the file. Null texts count as empty: their
     document has the end id only. Rows of equal ids stand side by side. An empty table gives no files. No
-    other column of docs is read.
+    other column of docs is read. Parts grow in number with the text up to MOST_PARTS, and beyond that in size; files
+    keep theirs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // task_bytes))
+    parts = min(max(1, -(-total // task_bytes)), MOST_PARTS)
     ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +388,7 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                some = batch.slice(at, BATCH_ROWS)
+            for some in of_bytes(batch, BATCH_BYTES):
                 for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist()), strict=True):
                     ids.append(i)
                     held.append(tokens)
@@ -352,6 +401,17 @@ def encode_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return ordered.mapInArrow(write, FILES)
 
 
+def of_bytes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text (column 1), of one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_files(docs: DataFrame, path: str, tokenizer_path: str, **settings) -> None:
     encode_files(docs, tokenizer_path, **settings).write.parquet(path)
 
@@ -378,7 +438,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema(FILES).parquet(path)
-    # One row for each range of ids: a few for every TASK_BYTES of text.
+    # One row for each range of ids: MOST_PARTS at most, whatever the input, so one task may order them.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     found = files.select("part", "start", "doc_ids", "content").mapInArrow(read, DIGESTS)
