@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,14 +30,21 @@ def test_myers_equals_table(pattern, text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab ", min_size=20, max_size=40), min_size=1, max_size=3), st.text("ab ", max_size=150))
-def test_matcher_finds_all(items, text):
-    got = {i: d for i, d, _, _ in D.Matcher(list(enumerate(items))).find(text)}
+@given(st.lists(st.text("ab ", min_size=20, max_size=90), min_size=1, max_size=3), st.text("ab ", max_size=150), st.data())
+def test_matcher_finds_all(items, text, data):
+    # An edited copy of the first item stands in the text, so that there is something to find.
+    copy = list(items[0])
+    for k in data.draw(st.lists(st.integers(0, len(copy) - 1), max_size=9)):
+        copy[k] = data.draw(st.sampled_from(["", "c", "ab"]))
+    text += "".join(copy)
+    got = {i: d for i, d, *_ in D.Matcher(list(enumerate(items))).find(text)}
     for i, item in enumerate(items):
         flat = D.plain(item)
         least = plain_search(flat, D.plain(text))
         if len(flat) >= D.LEAST_CHARS and least <= int(len(flat) * D.ERROR_RATE):
             assert got.get(i) == least
+        elif 0 < len(flat) < D.LEAST_CHARS and re.search(rf"(?<!\w){re.escape(flat)}(?!\w)", D.plain(text)):
+            assert got.get(i) == 0
         else:
             assert i not in got
 
@@ -79,6 +87,17 @@ def test_edge_cases(spark):
     assert D.drop_contaminated(docs, bench.limit(0)).count() == 6
 
 
+def test_short_items_and_clashing_names(spark):
+    rows = [(1, "the answer is Blue  Whale.", 7, "a"), (2, "blue whales", 7, "b"), (3, " Blue\nwhale ", 7, "c"), (4, "nothing", 7, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, matches int, _matches_ string")
+    bench = spark.createDataFrame([(1, "blue whale")], "item_id bigint, text string")
+    got = {r.doc_id: [(m.start, m.stop, m.telling) for m in r.matches] for r in D.mark(docs, bench).collect()}
+    assert got == {1: [(14, 25, False)], 2: [], 3: [(1, 11, True)], 4: []}
+    kept = D.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] != 3]
+
+
 def test_query_finds_all_verbatim_items(spark):
     got = {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, SF).collect()}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
