@@ -22,7 +22,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.start", "m.stop")
 
 
 @query
@@ -37,7 +37,7 @@ SURROGATE_KEY = b"registered-query"
 
 @query
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = surrogates.checked(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    found = surrogates.checked(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
     kinds = F.array_distinct(F.transform("surrogate.found", lambda f: f["kind"]))
     return found.select("doc_id", F.col("surrogate.text").alias("text"), F.size("surrogate.found").cast("long").alias("n_entities"), F.array_join(F.array_sort(kinds), ",").alias("kinds"))
 

@@ -4,8 +4,9 @@ A surrogate is the original under a keyed permutation of all strings of its form
 consonants consonants, digits digits, capitals capitals, letters of a script letters of that script, and
 what is neither stays. The same entity therefore has the same surrogate everywhere (coreference), and
 two entities never share one (distinctness), without a table of either. Given names that are known
-move within the names of their gender and script. The check of all pairs of entity and surrogate
-for collisions is a Spark aggregation over the distinct entities.
+move within the names of their gender and script; others keep their format and end as names of their gender do,
+which a title in the text tells, or else the name's own ending. That no two entities share a surrogate and no entity
+has two is checked by Spark aggregations over the distinct pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 ROUNDS = 8
 VOWELS, CONSONANTS, DIGITS = "aeiouy", "bcdfghjklmnpqrstvwxz", "0123456789"
 
@@ -46,11 +49,25 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){0,4}(?!\w)")
 DATE = re.compile(r"(?:\d{4}[-.]\d\d?[-.]\d\d?|\d\d?[-.]\d\d?[-.]\d{4})\Z")
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+#: What stands before a person's name, in four languages.
+CUES = (
+    "[Mm]y name is|I am called|[Ss]igned(?: by)?:?|Sincerely,|[Rr]egards,|Dear|Attn:?|[Cc]ontact(?: person)?:?|(?:[Ff]ull )?[Nn]ame:|Patient:|Customer:|Employee:|Author:|Applicant:|"
+    "[Ii]ch heiße|[Mm]ein Name ist|Liebe|Lieber|Ansprechpartner(?:in)?:?|Kunde:|Kundin:|[Jj]e m'appelle|[Mm]on nom est|Chère|Cher|[Mm]e llamo|[Mm]i nombre es|Querida|Querido|Estimada|Estimado|Nombre:|Nom:"
+)
 TITLED = re.compile(rf"(?<!\w)({'|'.join(t for ts in TITLES.values() for t in ts)})(\.?) ({_WORD})(?: ({_WORD}))?")
+#: Words that follow such cues and are no names.
+NO_NAMES = frozenset("Sir Madam Customer Customers Hiring Valued Team Colleague Colleagues Editor Friend Friends Reader Readers All Damen Herren Kunde Kunden Kollegen Clients Clientes".split())
+CUED = re.compile(rf"(?<!\w)(?:{CUES})\s+({_WORD}) ({_WORD})(?!\w)")
+ADDRESSED = re.compile(rf"(?<!\w)({_WORD}) ({_WORD}),? ?[<(](?=[\w.+-]+@[\w-]+\.)")
 NAMED = re.compile(rf"(?<!\w)({'|'.join(n for ns in GIVEN.values() for n in ns)}) ({_WORD})")
 
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 POOL = {n: key for key, names in GIVEN.items() for n in names}
+#: Letters that feminine given names mostly end with, and the ending that a surrogate gets, by script and gender.
+FEMININE = "aeiyаяαη"
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "й", ("greek", "f"): "α", ("greek", "m"): "ς"}
+#: Calling codes of one and of two digits; all others have three.
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 @lru_cache(200_000)
@@ -133,10 +150,10 @@ def card(text: str, key: bytes) -> str:
 
 
 def phone(text: str, key: bytes) -> str:
-    """The country code and all but digits stay."""
-    head = m[0] if (m := re.match(r"\+(?:1(?=\D)|\d{1,3}(?=\D)|\d{1,2})", text)) else ""
-    tail = re.sub(r"\D", "", text[len(head) :])
-    return head + _spread(permute(tail, key, "phone" + head), text[len(head) :])
+    """The country code and all but digits stay. The code is told by the digits alone, however they are spaced."""
+    d = re.sub(r"\D", "", text)
+    head = next((d[:n] for n in (1, 2) if d[:n] in CODES), d[:3]) if text.startswith("+") else ""
+    return _spread(head + permute(d[len(head) :], key, "phone" + head), text)
 
 
 def _range_of(ip: int) -> str:
@@ -184,15 +201,26 @@ def family(text: str, key: bytes) -> str:
     return permute(text, key, "family")
 
 
-def given(text: str, key: bytes) -> str:
-    """A known name turns into another of its gender and script; others keep their format and stay unknown."""
+def script(text: str) -> str:
+    name = unicodedata.name(text[0], "LATIN").split()[0].lower()
+    return name if name in ("cyrillic", "greek") else "latin"
+
+
+def gender_of(name: str, told: str = "") -> str:
+    """Of a known name its own; else what a title told, or what the name's ending makes likely."""
+    return POOL[name][1] if name in POOL else told or ("f" if name[-1].lower() in FEMININE else "m")
+
+
+def given(text: str, key: bytes, gender: str = "") -> str:
+    """A known name turns into another of its gender and script; others keep their format, get their gender's ending
+    and stay unknown. Within a gender and script no two names share a surrogate, as the ending is the same."""
     if text in POOL:
         names = sorted(GIVEN[POOL[text]], key=lambda n: _noise(key, "given", n))
         return names[(names.index(text) + 1) % len(names)]
-    out = permute(text, key, "given")
-    while out in POOL:
+    out, ending = permute(text, key, "given"), ENDINGS[script(text), gender_of(text, gender)]
+    while out + ending in POOL:
         out = permute(out, key, "given")
-    return out
+    return out + ending
 
 
 @dataclass(frozen=True)
@@ -200,10 +228,13 @@ class Found:
     kind: str
     start: int
     stop: int
-    entity: str
     surrogate: str
+    entity: str
+    #: How mentions of the surrogate are told to be the same.
+    stands: str
 
 
+#: What makes a surrogate of a mention; the names of a person also hang on the gender.
 MAKERS = {"email": email, "iban": iban, "ipv6": ipv6, "ipv4": ipv4, "card": card, "ssn": lambda t, k: permute(t, k, "ssn"), "phone": phone, "family": family, "given": given}
 
 
@@ -211,39 +242,56 @@ def _capital(word: str | None) -> bool:
     return bool(word) and word[0].isupper() and not word.isupper()
 
 
-def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
+def _candidates(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """(kind, start, stop, gender that a title tells), the surer kinds first."""
     if "@" in text:
-        yield from (("email", *m.span()) for m in EMAIL.finditer(text))
+        yield from (("email", *m.span(), "") for m in EMAIL.finditer(text))
     if any(d in text for d in DIGITS):
-        yield from (("iban", *m.span()) for m in IBAN.finditer(text))
+        yield from (("iban", *m.span(), "") for m in IBAN.finditer(text))
         if ":" in text:
-            yield from (("ipv6", *m.span()) for m in IPV6.finditer(text))
-        yield from (("ipv4", *m.span()) for m in IPV4.finditer(text) if all(int(x) < 256 for x in m[0].split(".")))
+            yield from (("ipv6", *m.span(), "") for m in IPV6.finditer(text))
+        yield from (("ipv4", *m.span(), "") for m in IPV4.finditer(text) if all(int(x) < 256 for x in m[0].split(".")))
         for m in CARD.finditer(text):
             d = re.sub(r"\D", "", m[0])
             if luhn(d[:-1]) == int(d[-1]) or d[0] in "3456" and len(d) in (15, 16) and not m[0].count("-") > 4:
-                yield "card", *m.span()
-        yield from (("ssn", *m.span()) for m in SSN.finditer(text))
+                yield "card", *m.span(), ""
+        yield from (("ssn", *m.span(), "") for m in SSN.finditer(text))
         for m in PHONE.finditer(text):
             n = sum(map(str.isdigit, m[0]))
             marked = m[0][0] in "+(" or n >= 10 and re.search(r"\d[ .-]\d", m[0])
             if marked and 7 <= n <= 15 and not DATE.match(m[0]):
-                yield "phone", *m.span()
+                yield "phone", *m.span(), ""
+    people: dict[tuple[str, str], str] = {}  # full names that something in the text marks, and the gender told of them
+    alone: dict[str, str] = {}
     for m in TITLED.finditer(text):
         if _capital(m[3]):
+            told = GENDER[m[1]]
             if _capital(m[4]):
-                yield "given", *m.span(3)
-                yield "family", *m.span(4)
+                people[m[3], m[4]] = people.get((m[3], m[4])) or told
+                alone[m[3]] = alone.get(m[3]) or told
+            elif m[3] in POOL:
+                yield "given", *m.span(3), ""
             else:
-                yield "given" if m[3] in POOL else "family", *m.span(3)
+                yield "family", *m.span(3), ""
+    for pattern in (CUED, ADDRESSED) if "@" in text else (CUED,):
+        for m in pattern.finditer(text):
+            if _capital(m[1]) and _capital(m[2]) and m[1] not in GENDER and m[1] not in NO_NAMES:
+                people.setdefault((m[1], m[2]), "")
+    # Wherever such a name stands in the text, it is the same person.
+    if people:
+        firsts = "|".join(map(re.escape, sorted({a for a, _ in people})))
+        for m in re.finditer(rf"(?<!\w)({firsts}) ({_WORD})", text):
+            if (m[1], m[2]) in people:
+                yield "given", *m.span(1), alone.get(m[1], "")
+                yield "family", *m.span(2), ""
     for m in NAMED.finditer(text):
         if _capital(m[2]):
-            yield "given", *m.span(1)
-            yield "family", *m.span(2)
+            yield "given", *m.span(1), ""
+            yield "family", *m.span(2), ""
 
 
-def canonical(kind: str, text: str) -> str:
-    """How mentions of one entity are told to be the same."""
+def canonical(kind: str, text: str, gender: str = "") -> str:
+    """How mentions of one entity are told to be the same. An unknown given name may be borne by both genders."""
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", text)
     if kind == "phone":
@@ -252,25 +300,29 @@ def canonical(kind: str, text: str) -> str:
         return text.replace(" ", "")
     if kind == "ipv4":
         return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "given":
+        return f"{text} ({gender_of(text, gender)})"
     return text.lower() if kind in ("email", "ipv6") else text
 
 
 def find(text: str | None, key: bytes, memo: dict | None = None) -> list[Found]:
     """Entities of a whole text with their surrogates, in order, not overlapping; the first kind wins."""
-    out, taken = [], []
-    for kind, a, b in _candidates(text or ""):
-        if any(a < y and x < b for x, y in taken):
+    out, taken = [], bytearray(len(text or ""))
+    for kind, a, b, gender in _candidates(text or ""):
+        if taken.find(1, a, b) >= 0:
             continue
-        taken.append((a, b))
+        taken[a:b] = b"\x01" * (b - a)
         part = text[a:b]
-        at = (kind, part)
+        at = (kind, part, gender)
         if memo is None or at not in memo:
-            made = MAKERS[kind](part, key)
+            made = given(part, key, gender) if kind == "given" else MAKERS[kind](part, key)
+            # The surrogate of a name has the gender that the name has.
+            pair = (made, canonical(kind, part, gender), canonical(kind, made, gender_of(part, gender) if kind == "given" else ""))
             if memo is not None and len(memo) < 100_000:
-                memo[at] = made
+                memo[at] = pair
         else:
-            made = memo[at]
-        out.append(Found(kind, a, b, canonical(kind, part), made))
+            pair = memo[at]
+        out.append(Found(kind, a, b, *pair))
     return sorted(out, key=lambda f: f.start)
 
 
@@ -290,7 +342,7 @@ def replaced(text: Column, key: bytes) -> Column:
                 for f in found:
                     parts += [t[at : f.start], f.surrogate]
                     at = f.stop
-                rows.append((t if not found else "".join([*parts, t[at:]]), [(f.kind, f.start, f.stop, f.entity, canonical(f.kind, f.surrogate)) for f in found]))
+                rows.append((t if not found else "".join([*parts, t[at:]]), [(f.kind, f.start, f.stop, f.entity, f.stands) for f in found]))
             yield pd.DataFrame(rows, columns=["text", "found"])
 
     return F.pandas_udf(replace, REPLACED)(text)
@@ -306,19 +358,31 @@ def anonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     return docs.withColumn("surrogate", replaced(F.col(text_col), key))
 
 
+def _pairs(anonymized: DataFrame) -> DataFrame:
+    """Mentions once per pair, before they meet, so that a frequent one makes no large group."""
+    return anonymized.select(F.explode("surrogate.found").alias("f")).select("f.kind", "f.surrogate", "f.entity").distinct()
+
+
 def collisions(anonymized: DataFrame) -> DataFrame:
-    """(kind, surrogate, entities): surrogates that stand for more than one entity; none are expected.
+    """(kind, surrogate, entities): surrogates that stand for more than one entity; none are expected."""
+    return _pairs(anonymized).groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
-    Mentions are counted once per entity before they meet, so that a frequent one makes no large group.
-    """
-    pairs = anonymized.select(F.explode("surrogate.found").alias("f")).select("f.kind", "f.surrogate", "f.entity").distinct()
-    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+
+def splits(anonymized: DataFrame) -> DataFrame:
+    """(kind, entity, surrogates): entities with more than one surrogate; none are expected."""
+    return _pairs(anonymized).groupBy("kind", "entity").agg(F.count("*").alias("surrogates")).where("surrogates > 1")
 
 
 def checked(docs: DataFrame, key: bytes, text_col: str = "text", most_keys: int = 4) -> DataFrame:
-    """``anonymize`` with the first key, made from ``key``, under which no two entities share a surrogate."""
+    """``anonymize`` with the first key, made from ``key``, under which no two entities share a surrogate.
+
+    What is made under a key is written to the shared folder and checked there, so texts are searched once for each key.
+    That an entity has two surrogates would be a fault of the makers, not of a key, and raises an error.
+    """
     for n in range(most_keys):
-        out = anonymize(docs, hashlib.blake2b(b"%d" % n, key=key).digest(), text_col)
+        out = staged(anonymize(docs, hashlib.blake2b(b"%d" % n, key=key).digest(), text_col), "surrogates")
+        if not (split := splits(out)).isEmpty():
+            raise ValueError(f"an entity has several surrogates: {split.first()}")
         if collisions(out).isEmpty():
             return out
     raise ValueError(f"entities share surrogates under {most_keys} keys")

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -55,6 +56,43 @@ def test_types_gender_and_coreference():
     assert found[1].surrogate != found[2].surrogate and found[1].surrogate[0].isupper()
 
 
+def test_phone_spacing_makes_no_new_entity():
+    for spaced, plain in (("+1 555 123 4567", "+15551234567"), ("+353 86 123 4567", "+353861234567"), ("+49 (30) 1234567", "+49-30-1234567")):
+        a, b = S.phone(spaced, KEY), S.phone(plain, KEY)
+        assert S.canonical("phone", spaced) == S.canonical("phone", plain)
+        assert re.sub(r"[^\d+]", "", a) == re.sub(r"[^\d+]", "", b)
+        assert re.sub(r"\d", "9", a) == re.sub(r"\d", "9", spaced)
+    assert S.phone("+353861234567", KEY)[:4] == "+353" and S.phone("+15551234567", KEY)[:2] == "+1"
+
+
+def test_names_beyond_the_list():
+    text = "My name is Kwame Mensah. Ask Priya Natarajan <p.n@mail1.example.com>. Later Kwame Mensah met Herr Zbigniew Kowalski and Frau Zbigniew Nowak; Zbigniew Kowalski left."
+    found = S.find(text, KEY)
+    named = [(f.kind, text[f.start : f.stop]) for f in found if f.kind != "email"]
+    assert named == [(k, w) for w2 in ("Kwame Mensah", "Priya Natarajan", "Kwame Mensah", "Zbigniew Kowalski", "Zbigniew Nowak", "Zbigniew Kowalski") for k, w in zip(("given", "family"), w2.split(), strict=True)]
+    by_name = {}
+    for f in found:
+        by_name.setdefault(f.entity, set()).add(f.surrogate)
+    assert all(len(x) == 1 for x in by_name.values())
+    assert S.given("Zbigniew", KEY, "m").endswith("o") and S.given("Zbigniew", KEY, "f").endswith("a")
+    assert S.given("Olesya", KEY).endswith("a") and S.given("Ярополк", KEY, "m").endswith("й")
+    names = [a + b + c for a in "BCDFG" for b in "aeiou" for c in ("n", "na", "no", "nan")]
+    for g in "mf":
+        assert len({S.given(n, KEY, g) for n in names}) == len(names)
+    assert not {S.given(n, KEY, "m") for n in names} & {S.given(n, KEY, "f") for n in names}
+
+
+def test_many_entities_take_time_in_proportion():
+    def took(n):
+        text = " ".join(f"u{i}@mail1.example.com" for i in range(n))
+        start = time.perf_counter()
+        assert len(S.find(text, KEY, {})) == n
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 3 * took(8_000) + 0.2
+
+
 CLEAN = ["On 2024-01-15 we counted 1234567 stars and 3.14159 of 12 in version 1.2.3.4.5", "a@b", "The 100 200 300", "f(x) = 10-20", "hash b14913389bbd8c5792", "Mr and Mrs", "x" * 100_000]
 
 
@@ -90,3 +128,6 @@ def test_edge_cases_and_collisions(spark):
     assert S.anonymize(df.limit(0), KEY).count() == 0
     clash = spark.createDataFrame([((None, [("email", 0, 1, "a", "s"), ("email", 0, 1, "b", "s"), ("email", 0, 1, "a", "s")]),)], f"surrogate struct<{S.REPLACED.replace('text ', 'text:', 1).replace('found ', 'found:')}>")
     assert [(r.surrogate, r.entities) for r in S.collisions(clash).collect()] == [("s", 2)]
+    assert S.splits(out).count() == S.splits(clash).count() == 0
+    torn = spark.createDataFrame([((None, [("email", 0, 1, "a", "s"), ("email", 0, 1, "a", "t")]),)], clash.schema)
+    assert [(r.entity, r.surrogates) for r in S.splits(torn).collect()] == [("a", 2)]
