@@ -5,6 +5,8 @@ agree on enough blocks of bits (pigeonhole: all pairs within the radius do) meet
 discarded if any pivot distance differs by more than the radius (triangle inequality), and the rest is
 verified bit by bit. A bucket only emits a spanning forest of its links, never all pairs.
 
+``similar_texts`` goes further than two bits, to edited copies.
+
 Buckets of more members than ``HOT_BUCKET`` take an exact way without pairs: fingerprints lie within a
 radius of 2 exactly if they share a neighbour at distance 0 or 1, so each hot member names its 65 such
 neighbours and all that name the same one are linked to the least of them.
@@ -152,6 +154,23 @@ def links(prints: DataFrame) -> DataFrame:
     return cold.unionByName(hot.join(star, "near").where("fp != v").select(F.col("fp").alias("u"), "v")).distinct()
 
 
+def _fingerprint_classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, text_key, fp, root, component_id): one row per row of docs; root names the component among fingerprints."""
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), fingerprints(F.col(text_col), width).alias("fp")), "prints")
+    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    linked = components(links(distinct)).select(F.col("node").alias("fp"), "root")
+    return _named(rows, distinct, linked, "fp")
+
+
+def _named(rows: DataFrame, distinct: DataFrame, linked: DataFrame, node: str) -> DataFrame:
+    """``rows`` with root and component_id: the least id (``distinct.first``) among the nodes of the component."""
+    named = staged(linked.join(distinct, node).select(node, "root", "first"), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = named.join(least, "root").select(node, "root", "component_id")
+    whole = distinct.join(classes, node, "left").select(node, F.coalesce("root", node).alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return rows.join(whole, node)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fingerprint, component_id): one row per row of ``docs``.
 
@@ -160,101 +179,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their rows but never name a component (a component of null ids only has a null one); repeated rows
     and ids stay; an empty table gives an empty table. No other column of docs is read.
     """
-    rows = staged(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width).alias("fp")), "prints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    linked = components(links(distinct)).select(F.col("node").alias("fp"), "root")
-    named = staged(linked.join(distinct, "fp"), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    whole = distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(whole, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    return _fingerprint_classes(docs, id_col, text_col, width).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the least id (of repeated ones, any one).
+def _one_of_each(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each component of ``classes`` (id, text_key, root).
 
-    Of a component in which no row has an id, one row of each fingerprint stays.
+    It is the one of the least id, null ids last; of rows with that id the one of the least hash of the text; of rows
+    with equal ids and texts any one. Rows that share an id but belong to different components are all judged by themselves.
     """
-    classes = staged(near_duplicates(docs, id_col, text_col, width).select(F.col(id_col).alias("_id"), "component_id", "fingerprint"), "classes")
-    mark = free_name(docs, "_mark")
-    keep = classes.where("_id = component_id").select(F.col("_id").alias(mark)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col])
-    alone = classes.where("component_id is null").select(F.col("fingerprint").alias(mark)).distinct()
-    print_of = free_name(docs, "_print")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn(print_of, fingerprints(F.col(text_col), width))
-    return named.unionByName(nameless.join(alone, F.col(print_of) == F.col(mark), "left_semi").dropDuplicates([print_of]).drop(print_of))
+    mark, key = free_name(docs, "_mark"), free_name(docs, "_key")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("text_key")))
+    kept = classes.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias(mark), F.col("k.text_key").alias(key)).distinct()
+    keyed = docs.withColumn(free_name(docs, "_text_key"), F.xxhash64(text_col))
+    own = keyed.columns[-1]
+    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(mark)) & (F.col(own) == F.col(key)), "left_semi")
+    return found.dropDuplicates([id_col, own]).drop(own)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of fingerprints, chosen as in ``_one_of_each``. Null and empty texts are
+    one component; an empty table stays empty; other columns may have any name.
+    """
+    return _one_of_each(docs, _fingerprint_classes(docs, id_col, text_col, width), id_col, text_col)
 
 
 # ---------------------------------------------------------------- similar texts
 
-#: Longs of a wide fingerprint; the first VERIFY of them decide on a pair.
-PARTS = 8
-VERIFY = 4
-#: Bits of a band. Half of the bands are runs of bits, half take four bits from each of four longs.
-BAND_BITS = 16
-#: Standard deviations above the expected number of differing bits that a candidate may have.
-SLACK = 2.5
 SIMILARITY = 0.8
-#: Members of a block; a bucket of more is compared block against block, in as many tasks.
-BLOCK = 2048
-#: The same for texts, whose rows are larger.
+#: Keys of a text, and least hashes that make up each. Of two texts of similarity s, all LEASTS of a key agree with a chance
+#: of s ** LEASTS; at 0.8 they share a key of BANDS with a chance of 0.998.
+BANDS, LEASTS = 16, 5
+#: Texts of one group that are compared at once; a group of more is compared block against block, in as many tasks.
 TEXT_BLOCK = 1024
+#: Keys that are sent to all tasks at most; more are joined by a shuffle.
+SENT_KEYS = 2_000_000
 
+_RNG = np.random.default_rng(5)
+_TURNS = _RNG.integers(0, 1 << 62, BANDS * LEASTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, BANDS * LEASTS, dtype=np.uint64)
+_MIX = _RNG.integers(0, 1 << 62, (BANDS, LEASTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
-    """PARTS SimHashes of the set of shingles, each under another mixing of their hashes."""
-    hashes, out = np.unique(shingle_hashes(text, width)), []
-    for k in range(PARTS):
-        x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority((x ^ (x >> np.uint64(31))).astype("<u8")))
-    return out
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes, each made of LEASTS least values under other permutations; none for no hashes."""
+    if not len(hashes):
+        return np.zeros(0, "<i8")
+    least = np.full(BANDS * LEASTS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        least = np.minimum(least, (part[:, None] * _TURNS + _SHIFTS).min(axis=0))
+    mixed = ((least.reshape(BANDS, LEASTS) ^ (least.reshape(BANDS, LEASTS) >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (mixed ^ (mixed >> np.uint64(32)) ^ np.arange(BANDS, dtype=np.uint64)).view("<i8")
 
-def most_differing(similarity: float, bits: int = 64 * VERIFY) -> int:
-    """Bits by which some 99 in 100 pairs of this Jaccard similarity of shingles differ at most.
 
-    A bit differs with the chance that the angle between the texts' vectors gives; SLACK is added to the mean.
-    """
-    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.floor(bits * chance + SLACK * np.sqrt(bits * chance * (1 - chance))))
+def sketch(text: str | None, width: int = 5) -> tuple[int, int, np.ndarray]:
+    """(fingerprint, node, keys) of a text; texts with the same set of shingles have the same node."""
+    hashes = shingle_hashes(text, width)
+    distinct = np.unique(hashes)
+    return majority(hashes), xxhash.xxh64_intdigest(distinct.tobytes(), SEED) - (1 << 63), band_keys(distinct)
 
 
-def _wide(text: Column, width: int) -> Column:
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, width) for t in texts], dtype=object)
+def _sketch(text: Column, width: int) -> Column:
+    def sketches(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(t, width) for t in texts], columns=["fp", "node", "keys"])
 
-    return F.pandas_udf(prints, "array<bigint>")(text)
+    return F.pandas_udf(sketches, "fp bigint, node bigint, keys array<bigint>")(text)
 
 
-def _band_keys(wide: Column) -> Column:
-    bands = [F.shiftrightunsigned(wide[k], at).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(PARTS) for at in range(0, 64, BAND_BITS)]
-    for k in range(0, PARTS, 4):
-        for at in range(0, 64, 4):
-            four = [F.shiftleft(F.shiftrightunsigned(wide[k + i], at).bitwiseAND(F.lit(15)), 4 * i) for i in range(4)]
-            bands.append(four[0].bitwiseOR(four[1]).bitwiseOR(four[2]).bitwiseOR(four[3]))
-    return F.array(*[F.xxhash64(F.lit(k), b) for k, b in enumerate(bands)])
+def proposed_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes (node, fp, keys) that may be similar texts, whatever the sizes of the groups.
 
-
-def similar_links(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between nodes (node, wide) that may be texts of the similarity, by the bits that differ.
-
-    Candidates share a band. Not every link is emitted, but the links' connected components are those of all
-    candidates, whatever the sizes of the buckets.
+    Nodes that share a key, or whose fingerprints link as in ``links``, are linked to the least of them; so a group makes a
+    star for each key and no pairs.
     """
-    radius = most_differing(similarity)
-    check = F.slice("wide", 1, VERIFY).alias("fp")
-    rows = _in_blocks(wide.select("node", check, F.explode(_band_keys(F.col("wide"))).alias("key")), BLOCK)
-    few = HOT_BUCKET
-
-    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for now in _whole_keys(batches):
-            nodes = now["node"].to_numpy(np.int64)
-            a, b = _wide_bucket_links(now["key"].to_numpy(np.int64), np.array(now["fp"].tolist(), np.int64), radius, few)
-            yield pd.DataFrame({"u": np.maximum(nodes[a], nodes[b]), "v": np.minimum(nodes[a], nodes[b])})
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, "u bigint, v bigint").distinct()
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
+    by_key = keyed.join(least, "key").where("node != v").select(F.col("node").alias("u"), "v")
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "first")
+    of_print = nodes.join(prints.where("first < last"), "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(prints.select("fp"))
+    ends = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    by_print = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return by_key.unionByName(of_print).unionByName(by_print).distinct()
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -293,34 +300,6 @@ def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _wide_bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int, few: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions with equal keys whose fingerprints differ by ``radius`` bits or fewer, a forest of them.
-
-    All pairs of a bucket of ``few`` members are compared; larger ones go through ``connecting``.
-    """
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(keys)))
-    for start, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
-        own = prints[start : start + size]
-
-        def like(x: int, others: np.ndarray, own: np.ndarray = own) -> np.ndarray:
-            return np.bitwise_count((own[others] ^ own[x]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
-
-        a, b = connecting(size, like)
-        left.append(a + start)
-        right.append(b + start)
-    at, ahead = np.flatnonzero((keys[1:] == keys[:-1]) & np.repeat(sizes <= few, sizes)[1:]), 1
-    while len(at):
-        near = np.bitwise_count((prints[at] ^ prints[at + ahead]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
-        left.append(at[near])
-        right.append(at[near] + ahead)
-        ahead += 1
-        at = at[at + ahead < len(keys)]
-        at = at[keys[at] == keys[at + ahead]]
-    return spanning(np.concatenate(left), np.concatenate(right))
-
-
 def connecting(n: int, like: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions below ``n`` that form a forest of all that ``like(x, others)`` finds alike.
 
@@ -388,7 +367,10 @@ def exact_links(candidates: DataFrame, docs: DataFrame, text_col: str, width: in
     """
     keyed = _in_blocks(candidates.select(F.col("root").alias("key"), "node"), TEXT_BLOCK)
     texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    once = candidates.join(texts, "text_key").select("node", "text").dropDuplicates(["node"])
+    keys = candidates.select("text_key").distinct()
+    if candidates.count() <= SENT_KEYS:  # 16 MB of keys at most; the texts of all others need not be shuffled
+        texts = texts.join(F.broadcast(keys), "text_key", "left_semi")
+    once = texts.dropDuplicates(["text_key"]).join(candidates, "text_key").select("node", "text")
     met = keyed.join(once.select("node", _shingle_set(F.col("text"), width).alias("shingles")), "node").select("key", "node", "shingles")
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,28 +391,25 @@ def exact_links(candidates: DataFrame, docs: DataFrame, text_col: str, width: in
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, component_id) for each row: classes of texts whose sets of shingles have ``similarity`` or more.
 
-    Unlike ``near_duplicates``, which finds all pairs within two bits, this reaches the distances of edited copies. Banding
-    and differing bits propose groups, which hold a pair at the similarity itself with a chance of some 98 in 100 and
-    closer ones almost surely; the Jaccard similarity, counted exactly, decides. Pivot tables discard nothing at such
-    distances, so they are not used here. Nulls, ties and empty tables are treated as there.
+    Unlike ``near_duplicates``, which finds all pairs within two bits, this reaches the distances of edited copies. Fingerprints
+    within two bits, by pivot tables, and shared least hashes propose groups, which hold a pair at a similarity of 0.8 with a
+    chance of 0.998 and closer ones almost surely; the Jaccard similarity, counted exactly, decides. Nulls, ties and empty
+    tables are treated as there.
     """
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), _wide(F.col(text_col), width).alias("wide")).withColumn("node", F.xxhash64("wide")), "wide")
-    distinct = staged(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.min("id").alias("first"), F.min("text_key").alias("text_key")), "distinct")
-    proposed = components(similar_links(distinct.select("node", "wide"), similarity))
+    return _similar_classes(docs, id_col, text_col, width, similarity).select(F.col("id").alias(id_col), "node", "component_id")
+
+
+def _similar_classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(id, text_key, node, root, component_id): one row per row of docs."""
+    held = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), _sketch(F.col(text_col), width).alias("s"))
+    rows = staged(held.select("id", "text_key", "s.*"), "sketches")
+    distinct = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("id").alias("first"), F.min("text_key").alias("text_key")), "distinct")
+    proposed = components(proposed_links(distinct.select("node", "fp", "keys")))
     candidates = staged(proposed.join(distinct.select("node", "text_key"), "node"), "candidates")
     linked = components(exact_links(candidates, docs, text_col, width, similarity))
-    named = staged(linked.join(distinct.select("node", "first"), "node"), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    whole = distinct.select("node", "first").join(named.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.select("id", "node").join(whole, "node").select(F.col("id").alias(id_col), "node", "component_id")
+    return _named(rows.select("id", "text_key", "node"), distinct.select("node", "first"), linked, "node")
 
 
 def drop_similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class of similar texts, as ``drop_near_duplicates`` has it."""
-    classes = staged(similar_texts(docs, id_col, text_col, width, similarity).select(F.col(id_col).alias("_id"), "component_id", "node"), "classes")
-    mark, node = free_name(docs, "_mark"), free_name(docs, "_node")
-    keep = classes.where("_id = component_id").select(F.col("_id").alias(mark)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col])
-    alone = classes.where("component_id is null").select(F.col("node").alias(mark)).distinct()
-    nameless = docs.where(F.col(id_col).isNull()).withColumn(node, F.xxhash64(_wide(F.col(text_col), width)))
-    return named.unionByName(nameless.join(alone, F.col(node) == F.col(mark), "left_semi").dropDuplicates([node]).drop(node))
+    """``docs`` with one row of each class of similar texts, chosen as in ``_one_of_each``."""
+    return _one_of_each(docs, _similar_classes(docs, id_col, text_col, width, similarity), id_col, text_col)

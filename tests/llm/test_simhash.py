@@ -76,6 +76,16 @@ def test_edge_cases(spark):
     assert simhash.drop_near_duplicates(df.where(F.lit(False))).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one, 5, None), (1, two, 5, "x"), (2, one, 6, "y"), (None, two, 7, None), (None, None, 8, "z"), (1, two, 9, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _mark int, _key string")
+    for drop in (simhash.drop_near_duplicates, simhash.drop_similar_texts):
+        kept = drop(df)
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (1, two), (None, None)], key=str)
+
+
 def test_similar_texts(spark):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(3000)]
@@ -109,50 +119,63 @@ def test_similar_texts_in_hot_buckets(spark, monkeypatch, hot):
     assert simhash.drop_similar_texts(df.limit(0)).count() == 0
 
 
-def chains(seed, families, strangers):
-    """Wide fingerprints that all share band 20: chains of 12 of which neighbours differ in each other band, then strangers."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(families):
-        x = rng.integers(0, 2, (32, 16))
-        for k in range(12):
-            x[:, k] ^= 1
-            out.append(x.copy())
-    out += [rng.integers(0, 2, (32, 16)) for _ in range(strangers)]
-    for x in out:
-        x[20] = 1
-    return [[int(v) for v in np.packbits(out[i].astype(bool).ravel(), bitorder="little").view("<i8")] for i in rng.permutation(len(out))]
-
-
-def plain_wide_components(wide):
-    p = np.array(wide, np.int64)[:, : simhash.VERIFY].view(np.uint64)
-    near = np.array([np.bitwise_count(p ^ row).sum(axis=1) for row in p]) <= simhash.most_differing(simhash.SIMILARITY)
-    label = np.arange(len(p))
-    while True:
-        new = np.array([label[near[i]].min() for i in range(len(p))])
-        if (new == label).all():
-            return label.tolist()
-        label = new
+def plain_classes(n, alike):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(n):
+            least = min([label[i], *[label[j] for j in range(n) if alike[i][j]]])
+            changed |= least != label[i]
+            label[i] = least
+    return label
 
 
-@pytest.mark.parametrize(("hot", "block"), [(2, 7), (5, 1000), (128, 30), (128, 1000)])
-def test_crowded_bucket_equals_all_pairs(spark, monkeypatch, hot, block):
-    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
-    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
-    monkeypatch.setattr(simhash, "LEADER_ROUNDS", 0, raising=False)
-    wide = chains(5, 9, 50)
-    df = spark.createDataFrame(list(enumerate(wide)), "node bigint, wide array<bigint>")
-    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df)).collect()}
-    assert [got.get(i, i) for i in range(len(wide))] == plain_wide_components(wide)
-
-
-def test_chain_past_a_leader(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_BUCKET", 3)
-    wide = chains(7, 2, 0)
-    df = spark.createDataFrame(list(enumerate(wide)), "node bigint, wide array<bigint>")
-    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df)).collect()}
-    assert [got.get(i, i) for i in range(len(wide))] == plain_wide_components(wide)
-    assert len(set(got.values())) == 2
+@pytest.mark.parametrize("seed", range(30))
+def test_connecting_keeps_every_component(seed):
+    """Chains past a leader, strangers and dense parts: the forest joins what all links join."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 60))
+    alike = rng.random((n, n)) < rng.choice([0.01, 0.05, 0.3])
+    alike |= alike.T
+    a, b = simhash.connecting(n, lambda x, others: alike[x][others])
+    assert len(a) < n and all(alike[x][y] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    forest = np.zeros((n, n), bool)
+    forest[a, b] = forest[b, a] = True
+    assert plain_classes(n, forest) == plain_classes(n, alike)
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_chain_of_edits_in_one_group(spark, monkeypatch, block):
+    """Each text is like the next one only, and all share a passage; strangers share it too."""
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", block)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(12):
+        rows.append((k, " ".join([f"e{i}" if i < 30 * k else w for i, w in enumerate(words)])))
+    rows += [(100 + k, " ".join([*[f"s{k}x{i}" for i in range(300)], *words[300:350]])) for k in range(10)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    alike = [[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets]
+    want = plain_classes(len(rows), alike)
+    assert want[:12] == [0] * 12 and want[12:] == list(range(12, 22))
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [rows[k][0] for k in want]
+
+
+def test_keys_find_pairs_at_the_similarity():
+    """Recall of the proposals by similarity: 0.8 and above; the similarity itself is counted afterwards."""
+    rng = np.random.default_rng(9)
+    met = {0.8: [], 0.85: [], 0.9: []}
+    for s in met:
+        for _ in range(400):
+            n = int(rng.integers(60, 400))
+            shared = round(n * 2 * s / (1 + s))
+            x = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
+            a, b = simhash.band_keys(x[:n]), simhash.band_keys(x[n - shared :])
+            met[s].append(bool((a == b).any()))
+    assert np.mean(met[0.8]) > 0.985 and np.mean(met[0.85]) > 0.99 and np.mean(met[0.9]) > 0.995
+    far = [bool((simhash.band_keys(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) == simhash.band_keys(rng.integers(0, 1 << 63, 300, dtype=np.uint64))).any()) for _ in range(200)]
+    assert not any(far)
 
 
 @pytest.mark.parametrize("block", [3, 1000])
