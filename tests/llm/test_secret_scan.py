@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from orrerylake.llm import queries, secret_scan
@@ -34,11 +36,17 @@ def plain_entropy(text):
                 if i in covered and run is None:
                     run = i
                 elif i not in covered and run is not None:
-                    spans.append((m.start() + run, 3 + k, m.start() + i))
+                    if not any(re.search(p, m[0][run:i]) for p in secret_scan.ALLOW_WORDS):
+                        spans.append((m.start() + run, 3 + k, m.start() + i))
                     run = None
     return spans
 
 
+def mixed(n, alphabet, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choices(alphabet, k=n))
+
+
 def joined(spans):
     return ",".join(f"{secret_scan.ORDER[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
@@ -53,6 +61,11 @@ CASES = [
     "ffffffffffffffffffffffff 0123456789abcdef0123456789abcdef",
     "key aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xYzaaaaaaaaaaaaaaaaaaaaaaaaaaaaZ9yX8wV7uT6sR5qP4oN3mL2",
     "uuid 9f1c2b3a-4d5e-6f70-8a9b-0c1d2e3f4a5b path usr/local/share/doc-files/readme",
+    "JBSWY3DPEHPK3PXQ7T2KMZXW6YTB k7q2m9x4t8w3z6p1r5v0 SAMPLE-path/example/k7q2m9x4t8w3z6p1r5v0",
+    # Longer than a stretch of windows, with low parts at and between the seams.
+    mixed(700, "aB3dE5fG7hJ9kL1m", 1) + "a" * 60 + mixed(300, "xY0zQ8wV7uT6sR5q", 2) + "a" * 19 + mixed(500, "aB3dE5fG7hJ9kL1m", 3),
+    " ".join(f"0123456789abcdef{i:04x}" for i in range(5_000)),
+    "/".join(["usr"] * 30_000),
     "x" * 50_000 + " api_key = Zx9Cv8Bn7Mq6Wl5Ek4Rj3Th2Yg1Uf0 " + "deadbeef" * 300,
 ]
 
@@ -75,3 +88,18 @@ def test_cases(spark):
         assert r.spans == "kept"
         assert r.got == joined(plain_base(text) + plain_entropy(text)), text[:80]
     assert secret_scan.scan(df.limit(0)).count() == 0
+
+
+def test_time_grows_with_the_matches(spark):
+    """Twice the matches take about twice the time, not four times; so do candidates of twice the length."""
+
+    def took(text):
+        df = spark.createDataFrame([(text,)], "text string")
+        start = time.perf_counter()
+        secret_scan.scan(df).select("found").collect()
+        return time.perf_counter() - start
+
+    many = lambda n: " ".join(f"token={i:012d} 0123456789abcdef{i:04x}" for i in range(n))
+    took(many(100))
+    assert took(many(32_000)) < 3 * took(many(16_000)) + 1
+    assert took(mixed(400_000, "aB3dE5fG7hJ9kL1m", 4)) < 3 * took(mixed(200_000, "aB3dE5fG7hJ9kL1m", 5)) + 1
