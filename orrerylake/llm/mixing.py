@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 OTHER = "other"
 SWEEPS = 25
@@ -109,7 +109,7 @@ def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col:
     columns = docs.columns if keep is None else keep
     keys = {"_source": folded(F.col(source_col), margins["source"]), "_lang": folded(F.col(lang_col), margins["lang"]), "_topic": topic_of(text)}
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("double") / float(1 << BITS)
-    held = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_doc"), *[v.alias(k) for k, v in keys.items()], words_in(text).alias("_tokens"), draw.alias("_draw"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), *[v.alias(k) for k, v in keys.items()], words_in(text).alias("_tokens"), draw.alias("_draw"))
     if keep is not None:
         held = staged(held, "mix")
     cells = held.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).toPandas().rename(columns=lambda c: c.lstrip("_")).sort_values([k[1:] for k in keys], ignore_index=True)
@@ -137,8 +137,12 @@ def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col:
 
 def sample(docs: DataFrame, plan: Plan = PLAN, **settings) -> DataFrame:
     """The rows of docs that the draw takes, with their columns only."""
-    held = docs.withColumnRenamed("mix", "_mix_")
-    return weigh(held, plan, **settings).where("mix.sampled").drop("mix").withColumnRenamed("_mix_", "mix")
+    if "mix" not in [c.lower() for c in docs.columns]:
+        return weigh(docs, plan, **settings).where("mix.sampled").drop("mix")
+    own = next(c for c in docs.columns if c.lower() == "mix")
+    held = free_name(docs, "_own_mix")
+    sampled = weigh(docs.withColumnRenamed(own, held), plan, **settings).where("mix.sampled").drop("mix")
+    return sampled.withColumnRenamed(held, own)
 
 
 def oracle_sql(plan: Plan = PLAN, seed: str = "mix") -> str:
