@@ -1,17 +1,21 @@
 """Main text of web pages: flat blocks, judged by a decision tree on their own and their neighbours' shape.
 
 A page is cut into blocks of text at the tags that start a new line in a browser. Each block is described
-by its word count and link density, by those of the blocks before and after, and by where it stands in
-the page. A decision tree, trained here on the labelled pages of ``labelled_pages``, says which blocks
-belong to the article.
+by its word count and link density, by those of the blocks before and after, by those of the boxes that it
+stands in, and by signs of the elements around it: tags, roles, parts of names. A sign is weighed by how much of the
+page's text its element holds, so that a wrapper of nearly everything says little, whatever it is called. A decision
+tree, trained here on the labelled pages of ``labelled_pages``, says which blocks belong to the article.
+
+Cutting takes time in proportion to the page, however broken it is: nothing is looked for twice from one place on.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +30,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements without content or end tag.
 VOID = frozenset("area base basefont br col embed frame hr img input keygen link meta param source track wbr".split())
 #: Elements whose content is no text of the page; it ends at the end tag of the same name only.
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math canvas object select".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes xmp svg math canvas select".split())
+#: Those of them that take all the rest of the page if they are not ended.
+ENDLESS = frozenset("script style textarea title".split())
+_CELLS = ["td", "th", "tr", "tbody", "thead", "tfoot"]
 #: An end tag is implied by these: the open element ends where one of the others starts.
-IMPLIED = {"p": frozenset("address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+IMPLIED = {
+    "p": frozenset("address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split() + _CELLS),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
+    "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "td": frozenset(_CELLS), "th": frozenset(_CELLS), "tbody": frozenset(_CELLS[3:]), "thead": frozenset(_CELLS[3:]),
+}
 #: Elements that such an end does not reach through.
-FENCES = frozenset("table ul ol dl div article section aside body".split())
+FENCES = frozenset("table ul ol dl div article section aside body blockquote".split())
+#: Elements that hold text without being a part of the page of their own.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption tr tbody thead tfoot table caption html".split())
 
 CONTENT_TAGS = frozenset(["article", "main"])
 SIDE_TAGS = frozenset("nav aside header footer form menu dialog button fieldset address".split())
@@ -42,10 +55,26 @@ SIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion responses".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text prose".split())
+SIGNS = ["content", "side", "comment", "side_name", "content_name", "hidden"]
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>`]+))?""")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: A step inside a tag: blanks and strokes, a name, and how a value starts, if one follows.
+STEP = re.compile(r"""[\s/]*(?:([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(["']|[^\s>"'][^\s>]*)?)?)?""")
 LETTERS = re.compile("[a-z]+")
+LONG_NUMBER = re.compile("&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond all characters as browsers do."""
+    if "&" not in text:
+        return text
+
+    def short(m: re.Match) -> str:
+        is_hex = m[0][2] in "xX"
+        digits = m[0][3 if is_hex else 2 :].rstrip(";").lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if is_hex else ''}{digits or '0'};"
+
+    return html.unescape(LONG_NUMBER.sub(short, text))
 
 
 @dataclass
@@ -53,144 +82,259 @@ class Block:
     text: str
     words: int
     link_words: int
+    links: int
     tag: str
-    inside: frozenset[str]
+    #: For each of SIGNS the number of the innermost element that bears it, or -1.
+    signs: tuple[int, ...]
+    #: Numbers of the innermost two elements that are parts of the page.
+    boxes: tuple[int, int]
     label: int = -1
 
 
 @dataclass
-class _Open:
-    name: str
-    marks: frozenset[str] = field(default_factory=frozenset)
-    label: int = -1
+class Page:
+    blocks: list[Block]
+    #: For each element the first of its blocks, and the one after its last.
+    spans: list[list[int]]
 
 
-def _marks(name: str, attributes: str) -> tuple[frozenset[str], int]:
-    """What an element says of its content, and the label that the labelled pages give it."""
-    out, label = set(), -1
+def _signs(name: str, attributes: dict[str, str]) -> set[str]:
+    """What an element says of its content."""
+    out = set()
     if name in CONTENT_TAGS:
         out.add("content")
     if name in SIDE_TAGS:
         out.add("side")
-    if attributes.strip():
-        for key, value in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id"):
-                parts = set(LETTERS.findall(value))
-                out.update(n for n, w in (("side_name", SIDE_WORDS), ("comment", COMMENT_WORDS), ("content_name", CONTENT_WORDS)) if parts & w)
-            elif key == "role" and value in SIDE_ROLES:
-                out.add("side")
-            elif key == "role" and value in ("main", "article"):
-                out.add("content")
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                out.add("hidden")
-            elif key == "data-label":
-                label = int(value)
-    return frozenset(out), label
-
-
-def blocks(page: str) -> list[Block]:
+    for key, value in attributes.items():
+        value = value.lower()
+        if key in ("class", "id"):
+            parts = set(LETTERS.findall(value))
+            out.update(n for n, w in (("side_name", SIDE_WORDS), ("comment", COMMENT_WORDS), ("content_name", CONTENT_WORDS)) if parts & w)
+        elif key == "role" and value in SIDE_ROLES:
+            out.add("side")
+        elif key == "role" and value in ("main", "article"):
+            out.add("content")
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            out.add("hidden")
+    return out
+
+
+class _Scanner:
+    """Finds strings in a page; what was not found from one place on is not looked for from a later one."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def end_tag(self, name: str, at: int) -> int:
+        """The place behind the end tag of ``name``, or -1."""
+        if name in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(name)
+            return -1
+        return m.end()
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """(attributes, end, closed) of the tag whose name ends at ``at``; end is -1 if it has none. A quote that is
+        never closed is none. closed: whether the tag ends itself."""
+        page, out = self.page, {}
+        while True:
+            m = STEP.match(page, at)
+            at = m.end()
+            key, value = (m[1] or "").lower(), m[2] or ""
+            if value and value in "\"'":
+                stop = self.find(value, at)
+                if stop >= 0:
+                    value, at = page[at:stop], stop + 1
+                else:
+                    value = ""
+            if key:
+                out.setdefault(key, value)
+            if at >= len(page):
+                return out, -1, False
+            if page[at] == ">":
+                return out, at + 1, page[at - 1] == "/"
+            if not m[0]:
+                at += 1
+
+
+def cut(page: str) -> Page:
     """The page's blocks of text in order, character references decoded, white space runs as one blank.
 
     Unclosed and misplaced tags are borne with as browsers do; text outside of any element is a block too.
     """
     out: list[Block] = []
-    stack: list[_Open] = []
-    inside: list[frozenset[str]] = [frozenset()]
+    spans: list[list[int]] = [[0, 0]]
+    scanner = _Scanner(page)
+    # What is open: name, number, signs, boxes, label; and where in the stack each name, block element and stop stands.
+    stack: list[tuple[str, int, tuple[int, ...], tuple[int, int], int]] = [("", 0, (-1,) * len(SIGNS), (0, 0), -1)]
+    places: dict[str, list[int]] = defaultdict(list)
+    outer: list[int] = [0]
+    stops: list[int] = []
+    dead: set[int] = set()  # inline elements that ended while a block inside them stays open
     run: list[str] = []
     linked: list[str] = []
-    links = 0
+    owner: list[tuple] = []  # the element in which the run's first word stands
 
     def flush() -> None:
-        text = " ".join("".join(run).split())
-        if text:
-            label = next((o.label for o in reversed(stack) if o.label >= 0), -1)
-            tag = next((o.name for o in reversed(stack) if o.name not in INLINE), "")
-            out.append(Block(text, len(text.split()), min(len("".join(linked).split()), len(text.split())), tag, inside[-1], label))
+        words = "".join(run).split()
+        if words:
+            _, _, signs, boxes, label = owner[0]
+            out.append(Block(" ".join(words), len(words), min(len("".join(linked).split()), len(words)), linked.count("\n"), stack[outer[-1]][0], signs, boxes, label))
         run.clear()
         linked.clear()
+        owner.clear()
 
     def close_to(depth: int) -> None:
-        nonlocal links
         while len(stack) > depth:
-            links -= stack.pop().name == "a"
-            inside.pop()
+            name, number, *_ = stack.pop()
+            spans[number][1] = len(out)
+            d = len(stack)
+            if d in dead:
+                dead.remove(d)
+            else:
+                places[name].pop()
+            if outer[-1] == d:
+                outer.pop()
+            if stops and stops[-1] == d:
+                stops.pop()
 
     def add(text: str) -> None:
         run.append(text)
-        if links:
-            linked.append(text)
-
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(html.unescape(page[at:]))
+        if not owner and text and not text.isspace():
+            owner.append(stack[-1])
+        if places["a"]:
+            linked.append(text.replace("\n", " ") if text != "\n" else " ")
+
+    at, text_from = 0, 0
+    while True:
+        start = scanner.find("<", at)
+        if start < 0 or start + 1 >= len(page):
+            add(decoded(page[text_from:]))
             break
-        if m.start() > at:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m["cdata"] is not None:
-            add(m["cdata"])
-        if m["name"] is None:
+        ahead = page[start + 1]
+        if ahead in "!?":
+            if page.startswith("<!--", start):
+                stop = scanner.find("-->", start + 2)
+                end = stop + 3 if stop >= 0 else len(page)
+            elif page.startswith("<![CDATA[", start) and (stop := scanner.find("]]>", start)) >= 0:
+                add(decoded(page[text_from:start]) + page[start + 9 : stop])
+                at = text_from = stop + 3
+                continue
+            else:
+                stop = scanner.find(">", start)
+                end = stop + 1 if stop >= 0 else len(page)
+            add(decoded(page[text_from:start]))
+            at = text_from = end
             continue
-        name = m["name"].lower()
-        if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), -1)
+        is_end = ahead == "/"
+        m = None if scanner.find(">", start) < 0 else NAME.match(page, start + 1 + is_end)
+        if m is None or scanner.find(">", m.end()) < 0:
+            at = start + 1
+            continue
+        attributes, end, closed = scanner.attributes(m.end())
+        if end < 0:  # the tag runs to the end of the page
+            end = scanner.find(">", m.end()) + 1
+            attributes = {}
+        add(decoded(page[text_from:start]))
+        at = text_from = end
+        name = m[0].lower()
+        if is_end:
+            where = places[name][-1] if places[name] else -1
             if name not in INLINE:
                 flush()
-                if depth >= 0:
-                    close_to(depth)
-            elif depth >= 0 and not any(o.name not in INLINE for o in stack[depth:]):
-                close_to(depth)
-            elif depth >= 0:  # an inline element that a block has cut off: it ends, the block stays open
-                links -= stack[depth].name == "a"
-                stack[depth].name = ""
+                if where >= 0:
+                    close_to(where)
+            elif where >= 0 and outer[-1] < where:
+                close_to(where)
+            elif where >= 0:
+                places[name].pop()
+                dead.add(where)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if name in ("script", "style", "textarea", "title") else at
-            if name not in INLINE:
-                flush()
+            behind = scanner.end_tag(name, at)
+            if behind >= 0 or name in ENDLESS:
+                at = text_from = behind if behind >= 0 else len(page)
+            flush()
             continue
         if name not in INLINE:
             flush()
-        for i in range(len(stack) - 1, -1, -1):
-            if name in IMPLIED.get(stack[i].name, ()):
-                close_to(i)
-                break
-            if stack[i].name in FENCES:
-                break
-        if name in VOID or m["attributes"].endswith("/") and name in INLINE:
+        while stops and name in IMPLIED.get(stack[stops[-1]][0], ()):
+            close_to(stops[-1])
+        if name in VOID or closed and name in INLINE:
             continue
-        marks, label = _marks(name, m["attributes"])
-        if name in ("html", "body"):  # their classes tell of the page, not of its text
-            marks = frozenset()
-        stack.append(_Open(name, marks, label))
-        # A wrapper named after a side part may hold the article too.
-        inside.append((inside[-1] - {"side_name"} if name in CONTENT_TAGS else inside[-1]) | marks)
-        links += name == "a"
+        _, _, signs, boxes, label = stack[-1]
+        number = len(spans)
+        spans.append([len(out), len(page)])
+        if name not in ("html", "body"):  # their classes tell of the page, not of its text
+            own = _signs(name, attributes)
+            # A wrapper named after a side part may hold the article too.
+            signs = tuple(number if s in own else -1 if s == "side_name" and name in CONTENT_TAGS else n for s, n in zip(SIGNS, signs, strict=True)) if own or name in CONTENT_TAGS else signs
+        if name not in INLINE and name not in LEAVES:
+            boxes = (number, boxes[0])
+        d = len(stack)
+        stack.append((name, number, signs, boxes, int(attributes.get("data-label", label))))
+        places[name].append(d)
+        if name == "a":
+            linked.append("\n")  # one for each link
+        if name not in INLINE:
+            outer.append(d)
+        if name in IMPLIED or name in FENCES:
+            stops.append(d)
     flush()
-    return out
+    close_to(1)
+    spans[0][1] = len(out)
+    return Page(out, [[a, min(b, len(out))] for a, b in spans])
 
 
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_content", "in_side", "in_comment", "side_name", "content_name", "hidden", "heading", "page_has_content"]
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "box_share", "box_density", "outer_share", *SIGNS, "heading", "outside", "links"]
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """FEATURES of each block of a page, by column."""
-    n = len(page)
+def features(page: Page) -> np.ndarray:
+    """FEATURES of each block of a page, by column.
+
+    Shares are parts of the page's words outside of links. A sign for an article has the share of its element,
+    any other what its element leaves out; 0 stands for no sign.
+    """
+    n = len(page.blocks)
     out = np.zeros((n, len(FEATURES)))
-    words = np.array([b.words for b in page], float)
-    density = np.array([b.link_words / b.words for b in page])
+    if not n:
+        return out
+    words = np.array([b.words for b in page.blocks], float)
+    links = np.array([b.link_words for b in page.blocks], float)
+    density = links / words
     out[:, 0], out[:, 1] = words, density
     out[1:, 2], out[1:, 3] = words[:-1], density[:-1]
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
-    for j, mark in enumerate(("content", "side", "comment", "side_name", "content_name", "hidden"), 6):
-        out[:, j] = [mark in b.inside for b in page]
-    out[:, 12] = [b.tag in HEADINGS for b in page]
-    out[:, 13] = out[:, 6].any() if n else 0
+    spans = np.array(page.spans)
+    every, linked = np.concatenate([[0], np.cumsum(words)]), np.concatenate([[0], np.cumsum(links)])
+    held = every[spans[:, 1]] - every[spans[:, 0]]
+    of_links = linked[spans[:, 1]] - linked[spans[:, 0]]
+    share = (held - of_links) / max(every[-1] - linked[-1], 1)
+    boxes = np.array([b.boxes for b in page.blocks])
+    out[:, 6] = share[boxes[:, 0]]
+    out[:, 7] = of_links[boxes[:, 0]] / np.maximum(held[boxes[:, 0]], 1)
+    out[:, 8] = share[boxes[:, 1]]
+    signs = np.array([b.signs for b in page.blocks])
+    for j, sign in enumerate(SIGNS):
+        own = share[signs[:, j]]
+        out[:, 9 + j] = np.where(signs[:, j] < 0, 0, np.maximum(own if "content" in sign else 1 - own, 0.001))
+    out[:, 15] = [b.tag in HEADINGS for b in page.blocks]
+    # Outside of what the page itself marks as its article: the share of that.
+    articles = np.where((signs[:, 0] >= 0) & (signs[:, 2] < 0) & (signs[:, 5] < 0), out[:, 9], 0)
+    out[:, 16] = np.where(articles > 0, 0, articles.max())
+    out[:, 17] = [b.links for b in page.blocks]
     return out
 
 
@@ -207,7 +351,7 @@ class Split:
     above: Leaf | Split
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> Leaf | Split:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 6) -> Leaf | Split:
     """A binary tree by Gini impurity; of equal splits the first feature and the lowest cut win."""
     share = float(y.mean()) if len(y) else 0.0
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
@@ -216,12 +360,15 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> Leaf
     for j in range(x.shape[1]):
         order = np.argsort(x[:, j], kind="stable")
         v, s = x[order, j], np.cumsum(y[order])
-        for i in np.flatnonzero(v[1:] > v[:-1]) + 1:
-            if least <= i <= len(y) - least:
-                a, b = s[i - 1], s[-1] - s[i - 1]
-                cost = 2 * a * (1 - a / i) + 2 * b * (1 - b / (len(y) - i))
-                if cost < best - 1e-9:
-                    best, where = cost, (j, (v[i - 1] + v[i]) / 2)
+        i = np.flatnonzero(v[1:] > v[:-1]) + 1
+        i = i[(i >= least) & (i <= len(y) - least)]
+        if len(i):
+            a = s[i - 1]
+            b = s[-1] - a
+            cost = 2 * a * (1 - a / i) + 2 * b * (1 - b / (len(y) - i))
+            k = int(np.argmin(cost))
+            if cost[k] < best - 1e-9:
+                best, where = float(cost[k]), (j, float(v[i[k] - 1] + v[i[k]]) / 2)
     if where is None:
         return Leaf(share)
     below = x[:, where[0]] < where[1]
@@ -240,8 +387,9 @@ def keeps(tree: Leaf | Split, x: np.ndarray) -> np.ndarray:
 
 
 def training_table() -> tuple[np.ndarray, np.ndarray]:
-    pages = [[b for b in blocks(p) if b.label >= 0] for p in PAGES]
-    return np.concatenate([features(p) for p in pages]), np.concatenate([[b.label for b in p] for p in pages]).astype(float)
+    pages = [cut(p) for p in PAGES]
+    x, y = np.concatenate([features(p) for p in pages]), np.array([b.label for p in pages for b in p.blocks], float)
+    return x[y >= 0], y[y >= 0]
 
 
 @lru_cache(1)
@@ -250,11 +398,9 @@ def trained_tree() -> Leaf | Split:
 
 
 def main_text(page: str | None, tree: Leaf | Split | None = None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
+    found = cut(page or "")
     kept = keeps(tree or trained_tree(), features(found))
-    return " ".join(b.text for b, k in zip(found, kept.tolist(), strict=True) if k)
+    return " ".join(b.text for b, k in zip(found.blocks, kept.tolist(), strict=True) if k)
 
 
 def extracted(page: Column) -> Column:
