@@ -25,6 +25,8 @@ N_SHARDS = 24
 HEAVY = 1 / 64
 #: Groups that one task packs, about.
 TASK_GROUPS = 20_000
+#: Tasks that pack at most; beyond MOST_TASKS * TASK_GROUPS groups each packs more.
+MOST_TASKS = 20_000
 #: Rows that one task numbers, about.
 TASK_ROWS = 100_000
 MEASURES = ["bytes", "tokens", "rows"]
@@ -113,7 +115,7 @@ def shard(docs: DataFrame, keep: list[str], text_col: str = "text", n_shards: in
     # At most 3 * n_shards / HEAVY groups: a bound that does not grow with the input.
     placed_heavy = F.broadcast(docs.sparkSession.createDataFrame(heavy, "key binary, shards array<int>"))
     light = groups.join(placed_heavy, "key", "left_anti")
-    placed_light = staged(_pack_light(light, residual, math.ceil(max(total["n"], 1) / TASK_GROUPS)), "placed")
+    placed_light = staged(_pack_light(light, residual, min(math.ceil(max(total["n"], 1) / TASK_GROUPS), MOST_TASKS)), "placed")
     # A light group has under HEAVY of a shard's rows, so no key of this join is hot.
     chunk = F.pmod("salt", F.lit(math.ceil(max(total["rows"] or 0, 1) / TASK_ROWS))).alias("chunk")
     of_heavy = slim.join(placed_heavy, "key").select("rid", chunk, F.get("shards", F.pmod("salt", F.size("shards")).cast("int")).alias("shard"))

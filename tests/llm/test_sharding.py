@@ -1,6 +1,9 @@
+import hashlib
+import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrerylake.llm import queries, sharding
@@ -24,6 +27,38 @@ def verify(rows, texts, n_shards, balance):
     return homes
 
 
+def plain_packing(loads, left):
+    """Largest group first, each to the bin of the highest dot product with what is left of it."""
+    left, out = [list(x) for x in left], [None] * len(loads)
+    for i in sorted(range(len(loads)), key=lambda i: (-max(loads[i]), i)):
+        worth = [sum(a * b for a, b in zip(x, loads[i], strict=True)) for x in left]
+        out[i] = worth.index(max(worth))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], loads[i], strict=True)]
+    return out
+
+
+def test_packing_equals_the_definition():
+    rng = random.Random(1)
+    for _ in range(60):
+        # Sixteenths are exact in binary, so both ways add up to the same numbers.
+        loads = [[rng.randrange(9) / 16 for _ in range(3)] for _ in range(rng.randrange(40))]
+        left = [[rng.randrange(1, 65) / 16 for _ in range(3)] for _ in range(rng.randrange(1, 7))]
+        assert sharding.pack(np.array(loads).reshape(-1, 3), np.array(left)).tolist() == plain_packing(loads, left)
+
+
+def test_one_task_of_light_groups_equals_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HEAVY", 2.0)  # no group is placed before the others
+    docs = spark.range(400).select("id", F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), (F.col("id") % 11 + 1).cast("int")).alias("text")).where("id != 7")
+    rows = sharding.shard(docs, keep=["id", "text"], n_shards=4).collect()
+    groups = sorted((hashlib.md5(r.text.encode()).digest(), r.size, r.tokens, r.shard) for r in rows)
+    total = [sum(g[1] for g in groups), sum(g[2] for g in groups), len(groups)]
+    turn = int.from_bytes(groups[0][0][:4], "big") % 4
+    order = [(i - turn) % 4 for i in range(4)]
+    loads = np.array([[g[1], g[2], 1] for g in groups]) / total
+    at = sharding.pack(loads, np.full((4, 3), 0.25))
+    assert [order[b] for b in at] == [g[3] for g in groups]
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op9_sharding(spark, SF).collect()
