@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 INTEGER = "^[+-]?(0+|[1-9][0-9]*)$"
 REAL = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
 BASED = "^[0-9]{1,2}#[0-9A-Za-z]+#$"
-#: The number of a quantity, and its unit.
-QUANTITY_VALUE = r"((?:[0-9]|\.|-)+(?:[eE]-?[0-9]+)?)|NULL|UNK|N/A"
-QUANTITY_UNITS = "<(.*)>"
+#: Words that stand for a number.
+NO_NUMBER = ["NULL", "UNK", "N/A"]
 
 
 def based_integer(text: Column) -> Column:
@@ -31,9 +30,15 @@ def items(text: Column) -> Column:
 
 
 def quantity(text: Column) -> Column:
-    """struct<value, units> of ``n <UNIT>``, both as text; null where the text is none."""
-    value = F.regexp_extract(text, QUANTITY_VALUE, 0)
-    return F.when(text.rlike("<.*>") & (value != ""), F.struct(value.alias("value"), F.regexp_extract(text, QUANTITY_UNITS, 1).alias("units")))
+    """struct<value, units> of ``n <UNIT>``, both as text; null where the text is none.
+
+    What stands before the first ``<`` must be a number or a word for none; the unit goes to the last ``>``.
+    """
+    head = F.trim(F.substring_index(text, "<", 1))
+    number = head.rlike(REAL) | head.rlike(INTEGER) | head.isin(NO_NUMBER)
+    unit = F.substring_index(F.substr(text, F.instr(text, "<") + 1), ">", -2)
+    unit = F.substring_index(unit, ">", 1)
+    return F.when(F.contains(text, F.lit("<")) & F.endswith(F.rtrim(text), F.lit(">")) & number, F.struct(head.alias("value"), unit.alias("units")))
 
 
 def typed(text: Column) -> Column:
@@ -46,7 +51,7 @@ def typed(text: Column) -> Column:
     is_based, is_integer, is_real = t.rlike(BASED), t.rlike(INTEGER), t.rlike(REAL) & ~t.rlike("^[+-]?0+[1-9][0-9]*$")
     is_quoted = t.rlike("(?s)^\"[^\"]*\"$|^'[^']*'$")
     is_collection = t.rlike(r"(?s)^[({].*[)}]$")
-    is_quantity = ~is_quoted & ~is_collection & t.rlike("<.*>") & (F.regexp_extract(t, QUANTITY_VALUE, 0) != "")
+    is_quantity = ~is_quoted & ~is_collection & quantity(t).isNotNull()
     kind = F.when(is_based, "based").when(is_integer, "integer").when(is_real, "real").when(is_quoted, "quoted").when(is_collection, "collection").when(is_quantity, "quantity").otherwise("text")
     q = quantity(t)
     number = F.when(is_quantity, q["value"]).otherwise(t)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LETTERS = {"integer": "i", "unsigned": "u", "ieee": "f"}
 
@@ -31,3 +36,67 @@ def bytes_of(values: Column, kind: str, width: int, order: str) -> Column:
         return pd.Series([None if a is None else np.asarray(a, float).astype(dtype).tobytes() for a in arrays], dtype=object)
 
     return F.pandas_udf(encode, "binary")(values)
+
+
+def field_of(block: np.ndarray, kind: str, order: str, start: int, width: int, is_signed: bool) -> np.ndarray | list:
+    """One field of equal records, which are the rows of a block of bytes."""
+    raw = np.ascontiguousarray(block[:, start - 1 : start - 1 + width])
+    if kind in ("integer", "ieee"):
+        letter = "f" if kind == "ieee" else "i" if is_signed else "u"
+        values = raw.view(np.dtype(f"{'<' if order == 'little' else '>'}{letter}{width}")).ravel()
+        return values.astype(values.dtype.newbyteorder("="))
+    if kind == "vax":  # words of two bytes, the higher first, each little-endian
+        bits = raw.view("<u2").astype(np.int64)
+        bits = bits[:, 0] << 16 | bits[:, 1]
+        exponent, fraction = bits >> 23 & 0xFF, bits & 0x7FFFFF
+        value = np.where(bits >> 31, -1.0, 1.0) * np.ldexp((fraction + (1 << 23)).astype(float), (exponent - 128 - 24).astype(int))
+        return np.where(exponent == 0, 0.0, value).astype(np.float32)
+    if kind == "ibm":
+        high = raw[:, 0].astype(int)
+        fraction = np.zeros(len(raw))
+        for k in range(1, width):
+            fraction = fraction * 256 + raw[:, k]
+        return np.where(high >> 7, -1.0, 1.0) * np.ldexp(fraction, 4 * ((high & 0x7F) - 64) - 8 * (width - 1))
+    if kind == "bits":
+        swapped = raw[:, ::-1] if order == "little" else raw
+        return [bytes(r).decode() for r in np.unpackbits(np.ascontiguousarray(swapped), axis=1) + 48]
+    if kind == "ebcdic":
+        return [bytes(r).decode("cp500") for r in raw]
+    if kind == "text":
+        return [bytes(r).decode("latin-1").rstrip(" ") for r in raw]
+    return [bytes(r) for r in raw]
+
+
+def decoded_records(records: DataFrame, fields: list[dict], schema: StructType, record: str = "record") -> DataFrame:
+    """A typed column for each field of a format, decoded from all records of a batch at once.
+
+    Records of another length than the most of their batch, and null ones, give nulls in every field; an empty table stays
+    empty. No other column of ``records`` is kept.
+    """
+    types = [f.dataType.simpleString() for f in schema.fields]
+    end = max((f["start"] - 1 + f["width"] for f in fields), default=0)
+
+    def column(values: np.ndarray | list, there: np.ndarray, type_: str) -> pa.Array:
+        made = pa.array(values)
+        if type_.startswith("decimal"):
+            made = made.cast(pa.decimal128(20, 0))
+        else:
+            made = made.cast({"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string()}.get(type_, pa.binary()))
+        if there.all():
+            return made
+        at = np.where(there, np.cumsum(there) - 1, 0)
+        return made.take(pa.array(at, mask=~there))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(0)
+            sizes = pc.fill_null(pc.binary_length(cells), -1).to_numpy(zero_copy_only=False)
+            whole = sizes[sizes >= end]
+            most = int(np.bincount(whole).argmax()) if len(whole) else -1
+            there = (sizes == most) & (most >= 0)
+            raw = b"".join(cells.filter(pa.array(there)).to_pylist())
+            block = np.frombuffer(raw, np.uint8).reshape(int(there.sum()), most if most >= 0 else end)
+            columns = [column(field_of(block, f["kind"], f["order"], f["start"], f["width"], f["is_signed"]), there, t) for f, t in zip(fields, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f["name"] for f in fields])
+
+    return records.select(record).mapInArrow(decode, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrerylake.functions import values
 from orrerylake.operators import calibrate as C
+from orrerylake.operators import formats as FM
 from orrerylake.operators import corpus as Q
 from orrerylake.sources import made
 
@@ -39,9 +40,24 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", v.alias("v"))
 
 
-@query(sql=f"SELECT event_type, 'N/A' AS name, -32768.0 AS constant FROM ({_PIXELS}) WHERE v = -32768 GROUP BY 1 UNION ALL SELECT event_type, 'UNK', 32767.0 FROM ({_PIXELS}) WHERE v = 32767 GROUP BY 1")
+#: Which constant of its type a value is, by the user's last digit; a click of digit 1 is another one, all else is plain.
+_HELD = {"int16": (("N/A", "-32768"), ("UNK", "32767")), "int64": (("N/A", "-214743648"), ("UNK", "2147483647")), "float32": (("ISIS_LOW_INST_SAT", "-3.4028230607370965e38"), ("UNK", "1e32"))}
+
+
+def _held_sql(kind: str, name: str, value: str, where: str) -> str:
+    number = f"CAST(CAST({value} AS FLOAT) AS DOUBLE)" if kind == "float32" else f"CAST({value} AS DOUBLE)"
+    return f"SELECT DISTINCT '{kind}' AS kind, event_type, '{name}' AS name, {number} AS constant FROM events WHERE {where}"
+
+
+@query(sql=" UNION ALL ".join(_held_sql(k, *c, w) for k, cs in _HELD.items() for c, w in zip(cs, ("user_id % 10 = 0", "user_id % 10 = 1 AND event_type = 'click'"), strict=True)))
 def c3_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.implicit_constants(_pixels(spark, sf_dir), "event_type", "v", "int16")
+    u = F.col("user_id") % 10
+    found = []
+    for kind, ((_, first), (_, second)) in _HELD.items():
+        to = {"int16": "smallint", "int64": "bigint", "float32": "float"}[kind]
+        v = F.when(u == 0, F.lit(first).cast(to)).when((u == 1) & (F.col("event_type") == "click"), F.lit(second).cast(to)).otherwise((F.col("value") % 1000 + 7).cast(to))
+        found.append(C.implicit_constants(table(spark, sf_dir, "events").select("event_type", v.alias("v")), "event_type", "v", kind).select(F.lit(kind).alias("kind"), "event_type", "name", "constant"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(sql=f"SELECT event_id, CASE WHEN v IN (-32768, 32767) THEN NULL ELSE v * 2.0 - 1.0 END AS scaled FROM ({_PIXELS})")
@@ -73,10 +89,20 @@ def c10_finite_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("event_type").agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-@query(sql="SELECT l_orderkey, l_linenumber, 2.5 + l_linenumber * 0.5 AS linear, 2.0 * power(1.5, l_linenumber) AS logarithmic FROM lineitem")
+@query(
+    sql="""
+    SELECT l_orderkey, l_linenumber, round(2.5 + l_linenumber * 0.5, 9) AS linear, round(2.0 * power(1.5, l_linenumber), 9) AS logarithmic, round(log10(power(10.0, 0.5) + l_linenumber * 2.0) / log10(10.0), 9) AS exponential,
+    CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber % 3 = 1 END AS fits FROM lineitem
+    """
+)
 def d13_sampled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.lit(2.5) + i * 0.5).alias("linear"), (F.lit(2.0) * F.pow(F.lit(1.5), i)).alias("logarithmic"))
+    linear = FM.sampled_field(i, F.lit(2.5), F.lit(0.5))
+    logarithmic = FM.sampled_field(i, F.lit(2.0), F.lit(1.5), "logarithmic")
+    exponential = FM.sampled_field(i, F.lit(0.5), F.lit(2.0), "exponential")
+    given = F.when(i % 3 == 1, linear * 1.0009).when(i % 3 == 2, linear * 1.002)
+    rounded = [F.round(c, 9).alias(n) for c, n in ((linear, "linear"), (logarithmic, "logarithmic"), (exponential, "exponential"))]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *rounded, FM.sampling_fits(linear, given).alias("fits"))
 
 
 @query(sql="SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS max FROM events GROUP BY 1")

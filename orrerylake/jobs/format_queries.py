@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrerylake.functions import binary, text
 from orrerylake.operators import formats as FM
+from orrerylake.operators import statements as S
 from orrerylake.sources import made
 
 from .register import query, table
@@ -106,12 +107,12 @@ def f13_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FM.group_names(groups, ["p_brand"], ["p_partkey"]).select("p_partkey", "full_name")
 
 
-@query(sql="SELECT o_orderkey, o_totalprice AS big8, o_totalprice AS little8, CAST(o_custkey AS DOUBLE) / 4 AS big4, CAST(-o_orderkey AS SMALLINT) AS short, o_orderpriority AS ebcdic, true AS flag FROM orders WHERE o_orderkey < 32000")
+@query(sql="SELECT o_orderkey, o_totalprice AS big8, o_totalprice AS little8, CAST(o_custkey AS DOUBLE) / 4 AS big4, CAST(-(o_orderkey % 32000) AS SMALLINT) AS short, o_orderpriority AS ebcdic, true AS flag FROM orders")
 def d1_d6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = F.col, binary
-    return table(spark, sf_dir, "orders").where("o_orderkey < 32000").select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey", b.ieee(b.ieee_bytes(c("o_totalprice"), 8, "big"), 1, 8, "big").alias("big8"), b.ieee(b.ieee_bytes(c("o_totalprice"), 8, "little"), 1, 8, "little").alias("little8"), b.ieee(b.ieee_bytes(c("o_custkey") / 4, 4, "big"), 1, 4, "big").alias("big4"),
-        b.signed(b.integer_bytes(-c("o_orderkey"), 2, "little"), 1, 2, "little").cast("smallint").alias("short"), b.ebcdic(b.to_ebcdic(c("o_orderpriority"))).alias("ebcdic"), b.boolean(b.integer_bytes(c("o_custkey") % 2 + 1, 1, "big"), 1).alias("flag"),
+        b.signed(b.integer_bytes(-(c("o_orderkey") % 32000), 2, "little"), 1, 2, "little").cast("smallint").alias("short"), b.ebcdic(b.to_ebcdic(c("o_orderpriority"))).alias("ebcdic"), b.boolean(b.integer_bytes(c("o_custkey") % 2 + 1, 1, "big"), 1).alias("flag"),
     )
 
 
@@ -150,10 +151,10 @@ def f9_nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", FM.group_offset(F.lit(3).cast("bigint"), around).alias("start"), FM.delimited_position(F.lit(2).cast("bigint"), around).alias("position"))
 
 
-@query(sql="SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v_0, CAST(embedding[2] AS DOUBLE) AS v_1, NULL::DOUBLE AS v_2, 'field_' || label AS name FROM embeddings")
+@query(sql="SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS v_{i}" for i in range(64)) + ", NULL::DOUBLE AS v_64, 'field_' || label AS name FROM embeddings")
 def d12_spread_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"), FM.clean_name(made.text("GROUP_0, GROUP_12, field_", F.col("label"), ", ")).alias("name"))
-    return FM.spread_cells(cells, "v", 3)
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), FM.clean_name(made.text("GROUP_0, GROUP_12, field_", F.col("label"), ", ")).alias("name"))
+    return FM.spread_cells(cells, "v", 65)
 
 
 @query(sql="SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS k, o_orderpriority AS p FROM orders")
@@ -162,3 +163,42 @@ def f10_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [{"name": "k", "kind": "integer", "width": 4, "is_signed": True}, {"name": "p", "kind": "text", "width": 15, "is_signed": False}]
     line = made.text(F.col("o_orderkey"), "|", F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.from_csv(line, FM.schema_of(fields).simpleString()[7:-1].replace(":", " "), {"sep": "|"}).alias("r")).select("o_orderkey", "r.*")
+
+
+_ELEMENT = [{"name": "key", "kind": "integer", "order": "big", "start": 1, "width": 4, "is_signed": False}, {"name": "size", "kind": "integer", "order": "little", "start": 5, "width": 2, "is_signed": True}]
+
+
+@query(sql="SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderkey AS key, -(o_orderkey % 1000) AS size FROM orders")
+def f11_array_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as an array of blocks in one record, decoded again as array<struct>."""
+    one = F.hex(F.concat(binary.integer_bytes(F.col("o_orderkey"), 4, "big"), binary.integer_bytes(-(F.col("o_orderkey") % 1000), 2, "little")))
+    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("d")))).alias("l"))
+    record = F.unhex(F.concat(F.lit("FFFF"), F.array_join(F.transform("l", lambda x: x["d"]), "")))
+    read = held.select("o_custkey", FM.array_elements(record, F.lit(3), F.array(F.size("l"), F.lit(1)), F.lit(6), _ELEMENT).alias("e"))
+    return read.select("o_custkey", F.posexplode("e").alias("i", "x")).select("o_custkey", F.col("i").cast("bigint").alias("i"), F.col("x.key").alias("key"), F.col("x.size").cast("bigint").alias("size"))
+
+
+def _table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for each part: a table with a plain column, a container that stands p_size % 3 + 1 times, and in it items and another container."""
+    column = lambda name, start, more="": f"OBJECT = COLUMN\nNAME = {name}\nDATA_TYPE = MSB_UNSIGNED_INTEGER\nSTART_BYTE = {start}\nBYTES = 2\n{more}END_OBJECT = COLUMN\n"
+    inner = "OBJECT = CONTAINER\nNAME = INNER\nSTART_BYTE = 7\nBYTES = 4\nREPETITIONS = 2\n" + column("C", 3) + "END_OBJECT = CONTAINER\n"
+    items = "OBJECT = COLUMN\nNAME = B\nDATA_TYPE = MSB_UNSIGNED_INTEGER\nSTART_BYTE = 1\nBYTES = 4\nITEMS = 2\nEND_OBJECT = COLUMN\n"
+    label = made.text("OBJECT = TABLE\nROWS = 1\n", column("A", 1), "OBJECT = CONTAINER\nNAME = OUTER\nSTART_BYTE = 3\nBYTES = 14\nREPETITIONS = ", F.col("p_size") % 3 + 1, "\n", items, inner, "END_OBJECT = CONTAINER\n", column("D", 57), "END_OBJECT = TABLE\nEND\n")
+    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+
+
+@query(
+    sql="""
+    SELECT p_partkey, 'TABLE' AS object, name, repetition, item, sb_offset, 2 AS width, sb_offset * 7 % 65536 AS value FROM (
+      SELECT p_partkey, 'A' AS name, 0 AS repetition, 0 AS item, 0 AS sb_offset FROM part UNION ALL SELECT p_partkey, 'D', 0, 0, 56 FROM part
+      UNION ALL SELECT p_partkey, 'B', r, i, 2 + 14 * r + 2 * i FROM part, range(3) a(r), range(2) b(i) WHERE r <= p_size % 3
+      UNION ALL SELECT p_partkey, 'C', 2 * r + q, 0, 2 + 14 * r + 6 + 4 * q + 2 FROM part, range(3) a(r), range(2) b(q) WHERE r <= p_size % 3)
+    """
+)
+def f1_label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From label texts to values: parsed, blocks flattened to offsets, and each field cut from the product's record and decoded."""
+    fields = FM.fields_of_blocks(S.metadata(_table_labels(spark, sf_dir), "p_partkey", "label"), "p_partkey")
+    # A record in which the number at each even byte is seven times the byte's place.
+    record = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(58), F.lit(2)), lambda at: F.hex(binary.integer_bytes(at * 7, 2, "big"))), ""))
+    value = binary.unsigned(record, F.col("SB_OFFSET") + 1, 2, "big")
+    return fields.select("p_partkey", "object", F.col("NAME").alias("name"), F.col("repetition").cast("bigint").alias("repetition"), F.col("item").cast("bigint").alias("item"), F.col("SB_OFFSET").cast("bigint").alias("sb_offset"), F.col("WIDTH").alias("width"), value.cast("bigint").alias("value"))

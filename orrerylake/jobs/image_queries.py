@@ -9,7 +9,7 @@ from orrerylake.functions import vectorized
 from orrerylake.operators import raster as R
 
 from .register import query, table
-from .sinks import grey_map
+from .sinks import grey_map_lines
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +95,19 @@ def i12_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.select("band", F.col("line").cast("bigint").alias("line"), F.col("sample").cast("bigint").alias("sample"), F.round("value", 9).alias("value"), R.shrink_factor(F.lit(64), 25).cast("int").alias("factor"))
 
 
-@query(sql="SELECT label AS band, 'P5' || chr(10) || '64 ' || count(*) || chr(10) || '255' || chr(10) AS head, 64 * count(*) AS n_bytes FROM embeddings GROUP BY 1")
+_BYTES = """
+    SELECT label, vec_id, i, CASE WHEN hi > lo THEN CAST(round_even((greatest(least(v, hi), lo) - lo) / (hi - lo) * 255.0 + 0.0, 0) AS BIGINT) ELSE CAST(round_even(v, 0) AS BIGINT) END AS byte
+    FROM (SELECT *, quantile_cont(v, 0.01) OVER (PARTITION BY label) AS lo, quantile_cont(v, 0.99) OVER (PARTITION BY label) AS hi FROM (SELECT label, vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)))
+"""
+
+
+@query(
+    sql=f"""
+    SELECT label AS band, -1 AS line, 'P5' || chr(10) || '64 ' || count(*) || chr(10) || '255' || chr(10) AS head, NULL AS pixels FROM embeddings GROUP BY 1
+    UNION ALL SELECT label, CAST(vec_id AS INTEGER), NULL, string_agg(printf('%02X', byte), '' ORDER BY i) FROM ({_BYTES}) GROUP BY 1, 2
+    """
+)
 def k3_grey_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.rows_of(R.eight_bit(_cells(spark, sf_dir), ["band"]), ["band"])
-    head = F.regexp_extract(F.decode("content", "ISO-8859-1"), "^(P5\n[0-9]+ [0-9]+\n255\n)", 1)
-    return grey_map(rows, ["band"]).select("band", head.alias("head"), (F.octet_length("content") - F.length(head)).cast("bigint").alias("n_bytes"))
+    is_head = F.col("line") < 0
+    return grey_map_lines(rows, ["band"]).select("band", "line", F.when(is_head, F.decode("content", "US-ASCII")).alias("head"), F.when(~is_head, F.hex("content")).alias("pixels"))

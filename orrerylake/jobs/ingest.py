@@ -47,7 +47,12 @@ def format_of(fields: DataFrame, product: str) -> list[dict]:
     return [{"name": r.unique, "kind": r.code.kind, "order": r.code.order, "start": r.START_BYTE, "width": r.BYTES, "is_signed": r.code.is_signed} for r in named.orderBy("seq").collect()]
 
 
+def store_records(found: DataFrame, fmt: list[dict], out: str, data_set: str, name: str) -> None:
+    """Records of one format (column record) to the columnar store."""
+    decoded = formats.decode_batches(found, fmt)
+    write_store(decoded.withColumns({"data_set": F.lit(data_set), "object": F.lit(name)}), out, ["data_set", "object"])
+
+
 def ingest_binary(spark: SparkSession, data: str, fmt: list[dict], row_bytes: int, out: str, data_set: str, name: str) -> None:
     """All files of one format, which hold records only, to the columnar store."""
-    decoded = formats.decode_records(records.read_fixed_records(spark, data, row_bytes), fmt)
-    write_store(decoded.withColumns({"data_set": F.lit(data_set), "object": F.lit(name)}), out, ["data_set", "object"])
+    store_records(records.read_fixed_records(spark, data, row_bytes), fmt, out, data_set, name)

@@ -113,14 +113,38 @@ def m8_metablock(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ["SPACECRAFT", "PRODUKT_ID", "DESCRIBTION", "PRIZE", "BYTE", "PADED"]
 
 
-@query()
+_KEYS = sorted({k for k, _ in _STATEMENTS if k not in ("OBJECT", "GROUP") and not k.startswith("END")})
+#: The table of common subsequences, a cell at a time.
+_FUZZY = f"""
+    WITH RECURSIVE pairs AS (SELECT term, key FROM (SELECT unnest([{", ".join(f"'{t}'" for t in _TERMS)}]) AS term), (SELECT unnest([{", ".join(f"'{k}'" for k in _KEYS)}]) AS key) WHERE EXISTS (FROM part)),
+    cells AS (
+      SELECT term, key, 1 AS i, 1 AS j, list_resize([0], length(key) + 1, 0) AS above, [0] AS beside FROM pairs
+      UNION ALL
+      SELECT term, key, CASE WHEN j = length(key) THEN i + 1 ELSE i END, CASE WHEN j = length(key) THEN 1 ELSE j + 1 END,
+      CASE WHEN j = length(key) THEN list_append(beside, v) ELSE above END, CASE WHEN j = length(key) THEN [0] ELSE list_append(beside, v) END
+      FROM (SELECT *, CAST(CASE WHEN term[i] = key[j] THEN above[j] + 1 ELSE greatest(above[j + 1], beside[j]) END AS INTEGER) AS v FROM cells WHERE i <= length(term))
+    ),
+    scored AS (SELECT term, key, 2.0::DOUBLE * above[length(key) + 1] / (length(term) + length(key)) AS ratio FROM cells WHERE i = length(term) + 1)
+    SELECT term, key, ratio FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ratio DESC, key) AS n FROM scored) WHERE n = 1
+"""
+
+
+@query(sql=_FUZZY)
 def m9_fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fuzzy_keys(_meta(spark, sf_dir), spark.createDataFrame([(t,) for t in _TERMS], "term string"))
 
 
-@query(sql="SELECT p_partkey, 'P' || p_partkey AS product_id, p_brand AS spacecraft_name, '' AS target_name FROM part")
+_IDENTIFIED = {"PRODUCT_ID": "'P' || p_partkey", "SPACECRAFT_NAME": "p_brand", "ROWS": "'' || p_size", "NOTE": "'1.5'"}
+#: All keys of the identifiers, as the list in the library must have them.
+_ALL_KEYS = (
+    "DATA_SET_ID DATA_SET_NAME DATA_QUALITY_DESC FILE_NAME FILE_RECORDS INSTRUMENT_ID INSTRUMENT_HOST_NAME INSTRUMENT_NAME LABEL_RECORDS NOTE PRODUCT_ID "
+    "PRODUCT_TYPE RECORD_BYTES RECORD_TYPE ROW_BYTES ROWS SPACECRAFT_NAME STANDARD_DATA_PRODUCT_ID"
+).split()
+
+
+@query(sql=f"SELECT p_partkey, {', '.join(_IDENTIFIED.get(k, repr('')) + ' AS ' + k.lower() for k in _ALL_KEYS)} FROM part")
 def m10_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.identifiers(_meta(spark, sf_dir), "p_partkey").select("p_partkey", "product_id", "spacecraft_name", "target_name")
+    return M.identifiers(_meta(spark, sf_dir), "p_partkey")
 
 
 @query(
@@ -133,23 +157,30 @@ def m11_m12_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "name", "indexed", M.object_kind(F.col("name"), F.lit("x.img")).alias("kind"))
 
 
-@query(
-    sql="""
-    SELECT p_partkey, CASE WHEN p_type = 'STANDARD' THEN 'trivial' WHEN p_type = 'SMALL' THEN 'fits' WHEN p_type = 'PROMO' THEN 'table' WHEN p_type = 'ECONOMY' THEN 'desktop image' ELSE 'unknown' END AS kind FROM part
-    WHERE p_type IN ('STANDARD', 'SMALL', 'PROMO', 'ECONOMY')
-    """
-)
+#: Names and files of objects, how they are read, and whether reading everything skips them.
+_OBJECTS = [
+    ("TABLE_STRUCTURE", "x.tab", "trivial", False), ("TIFF_HEADER", "x.dat", "trivial", False), ("PDS_OBJECT", "x.dat", "trivial", False), ("TIFF_IMAGE", "x.dat", "image", False), ("TIFF_DOCUMENT", "x.dat", "unknown", False),
+    ("LABEL", "x.lbl", "label", False), ("IMAGE", "a.b/x.FIT.gz", "fits", False), ("IMAGE_HEADER", "x.fz", "fits", False), ("IMAGE", "x.jp2", "desktop image", False), ("TABLE", "x.tif", "desktop image", False),
+    ("TEXT", "x.txt", "text", False), ("PDF_DOCUMENT", "x.pdf", "text", False), ("MAP_PROJECTION_CATALOG", "x.cat", "text", False), ("DATA_SET_MAP_PROJECTION", "x.cat", "unknown", True), ("FILENAME", "x.img", "text", False),
+    ("INSTRUMENT_DESC", "x.cat", "text", True), ("DESCRIPTION_2", "x.cat", "text", True), ("DESCRIPTIVE_FILE", "x.tab", "text", False), ("ARRAY_TABLE", "x.dat", "array", False), ("TIME_SERIES", "x.dat", "table", False),
+    ("SPECTRUM", "x.dat", "table", False), ("SPREADSHEET", "x.dat", "table", False), ("CONTAINER", "x.dat", "table", False), ("HISTOGRAM", "x.dat", "table", False), ("HISTOGRAM_IMAGE", "x.img", "image", False),
+    ("FILE", "x.dat", "table", False), ("TABLE_HEADER", "x.tab", "header", False), ("TABLE_NAME", "x.tab", "unknown", False), ("FILE_NAME", "x.IMG", "image", False), ("FILE_NAME", "x.csv", "table", False),
+    ("FILE_NAME", "x.md", "text", False), ("FILE_NAME", "x.bin", "unknown", False), ("IMAGE_HEADER", "x.img", "header", False), ("IMAGE_TIME_TABLE", "x.dat", "table", False), ("SPECTRAL_QUBE", "x.qub", "image", False),
+    ("XDR_DOCUMENT", "x.xdr", "image", False), ("MODEL_X", "x.dat", "unknown", False),
+]
+
+
+@query(sql=f"SELECT p_partkey, name, kind, skipped FROM part JOIN (VALUES {', '.join(f'({i}, {n!r}, {k!r}, {x})' for i, (n, _, k, x) in enumerate(_OBJECTS))}) t(i, name, kind, skipped) ON p_partkey % {len(_OBJECTS)} = i")
 def m13_m14_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("p_type")
-    name = F.when(t == "STANDARD", "TABLE_STRUCTURE").when(t == "PROMO", "SPREADSHEET").otherwise("IMAGE")
-    file = F.when(t == "SMALL", "a.b/x.FIT.gz").when(t == "ECONOMY", "x.tif").otherwise("x.dat")
-    return table(spark, sf_dir, "part").where(t.isin("STANDARD", "SMALL", "PROMO", "ECONOMY")).select("p_partkey", M.object_kind(name, file).alias("kind"))
+    of = F.get(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("file")) for n, f, _, _ in _OBJECTS]), (F.col("p_partkey") % len(_OBJECTS)).cast("int"))
+    found = table(spark, sf_dir, "part").select("p_partkey", of["name"].alias("name"), of["file"].alias("file"))
+    return found.select("p_partkey", "name", M.object_kind(F.col("name"), F.col("file")).alias("kind"), M.is_skipped(F.col("name")).alias("skipped"))
 
 
 @query(
     sql="""
-    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_custkey - 1 WHEN 'O' THEN CASE WHEN o_custkey = 1 THEN 0 ELSE 100 * (o_custkey - 1) END ELSE greatest(5000 - 13 * o_custkey, 0) END AS start_byte,
-    CASE WHEN o_orderstatus = 'F' THEN 77 WHEN o_orderstatus = 'O' THEN 100 * o_custkey ELSE 15 * o_custkey END AS length FROM orders WHERE o_custkey > 1
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey - 1 WHEN o_custkey = 1 THEN 0 WHEN o_orderstatus = 'O' THEN 100 * (o_custkey - 1) ELSE greatest(5000 - 13 * o_custkey, 0) END AS start_byte,
+    CASE WHEN o_orderstatus = 'F' THEN 77 WHEN o_orderstatus = 'O' THEN 100 * o_custkey ELSE 15 * o_custkey END AS length FROM orders
     """
 )
 def m15_m16_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +189,7 @@ def m15_m16_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.when(status == "O", 100)
     start = M.start_byte(target, record, F.lit(13), n, F.lit(5000))
     length = M.table_length(F.when(status == "F", F.lit(77)), n, record, F.lit(13), F.lit(2))
-    return table(spark, sf_dir, "orders").where("o_custkey > 1").select("o_orderkey", start.cast("bigint").alias("start_byte"), length.cast("bigint").alias("length"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", start.cast("bigint").alias("start_byte"), length.cast("bigint").alias("length"))
 
 
 @query(sql="SELECT p_partkey, 'ROW_COUNT' AS key, CAST(p_size + 1 AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'ROW_COUNT', '0' FROM part")
@@ -178,14 +209,16 @@ def s1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.file_name(url).alias("name"), files.folder(url).alias("folder"))
 
 
-@query(
-    sql="""
-    SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'label' WHEN 1 THEN 'image' WHEN 2 THEN 'table' WHEN 3 THEN 'text' WHEN 4 THEN 'fits' ELSE 'other' END AS kind FROM part
-    """
-)
+#: Files and their kinds: each suffix once, some in upper case or before another one.
+_FILES = [(f"x.{e.upper() if i % 2 else e}", "label") for i, e in enumerate("xml lbl lblx 2bl 2al 2cl 01l 3bl 3al 3cl".split())]
+_FILES += [("a.img.gz", "image"), ("b.RGB", "image"), ("c.tab", "table"), ("d.csv.zip", "table"), ("e.txt", "text"), ("f.md", "text"), ("g.fits", "fits"), ("h.fit.gz", "fits"), ("i.FITS.bz2", "fits"), ("j.fz", "fits")]
+_FILES += [(f"k.{e}", "desktop image") for e in "bmp tif tiff jp2 jpf jpc jpx jpg jpeg gif png webp".split()] + [(f"l.{e}", "other") for e in ("dat", "html", "fts", "gz", "bin")] + [("img", "other")]
+
+
+@query(sql=f"SELECT p_partkey, file, kind FROM part JOIN (VALUES {', '.join(f'({i}, {f!r}, {k!r})' for i, (f, k) in enumerate(_FILES))}) t(i, file, kind) ON p_partkey % {len(_FILES)} = i")
 def s2_file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.array(*map(F.lit, ["A.LBL", "b.img.gz", "c.TAB", "d.x.txt", "e.fit.bz2", "f.bin"]))
-    return table(spark, sf_dir, "part").select("p_partkey", files.file_kind(F.concat(F.lit("/data/v.1/"), F.get(ends, F.col("p_size") % 6))).alias("kind"))
+    file = F.get(F.array(*[F.lit(f) for f, _ in _FILES]), (F.col("p_partkey") % len(_FILES)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", file.alias("file"), files.file_kind(F.concat(F.lit("/data/v.1/"), file)).alias("kind"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrerylake.functions import binary, text
-from orrerylake.operators import formats, rules
+from orrerylake.operators import formats, rules, special_cases
 from orrerylake.sources import made, records
 
 from .register import query, table
@@ -27,7 +27,7 @@ _FIELDS = [
     """
 )
 def s12_binary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.decode_records(made.binary_records(table(spark, sf_dir, "lineitem")), _FIELDS)
+    return formats.decode_batches(made.binary_records(table(spark, sf_dir, "lineitem")), _FIELDS)
 
 
 @query(sql="SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, true AS fits FROM lineitem")
@@ -68,12 +68,17 @@ def s13_ascii_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("vec_id", line.cast("bigint").alias("line"), sample.cast("bigint").alias("sample"), F.col("v").alias("value"))
 
 
-@query(sql="SELECT event_type, k AS bin, (SELECT count(*) FROM events e WHERE e.event_type = t.event_type AND CAST(floor(e.value / 50) AS BIGINT) = k) AS n FROM (SELECT DISTINCT event_type FROM events) t, range(8) r(k)")
+@query(
+    sql="SELECT event_type, k AS bin, (SELECT count(*) FROM events e WHERE e.event_type = t.event_type AND CAST(floor(e.value / 50) AS BIGINT) = k) AS n FROM (SELECT DISTINCT event_type FROM events) t, (SELECT unnest(range(0, (SELECT CAST(max(floor(value / 50)) AS BIGINT) + 1 FROM events))) AS k)"
+)
 def s14_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = F.floor(F.col("value") / 50)
-    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.count(F.when(bins == k, 1)).alias(f"b{k}") for k in range(8)])
-    content = F.concat(*[binary.integer_bytes(F.col(f"b{k}"), 4, "big") for k in range(8)])
-    each = counts.select("event_type", content.alias("c")).select("event_type", "c", F.explode(formats.repeats(F.lit(8))).alias("bin"))
+    """A histogram of all values for each type, as many bins as the largest value needs, in one field that repeats."""
+    held = table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("value") / 50).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    bins = held.agg(F.max("k") + 1).first()[0] or 1
+    counts = held.groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    digits = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.hex(binary.integer_bytes(F.coalesce(F.try_element_at("m", k), F.lit(0).cast("bigint")), 4, "big")))
+    content = counts.select("event_type", F.unhex(F.array_join(digits, "")).alias("c"))
+    each = content.select("event_type", "c", F.explode(formats.repeats(F.lit(bins))).alias("bin"))
     return each.select("event_type", F.col("bin").cast("bigint").alias("bin"), binary.unsigned(F.col("c"), F.col("bin") * 4 + 1, 4, "big").alias("n"))
 
 
@@ -145,6 +150,41 @@ def m18_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("p_partkey", rules.patched(F.col("p_size"), "ROWS", "int").alias("n_rows"), rules.patched(F.lit(4), "BYTES", "int").alias("n_bytes"))
 
 
+#: Products and what the special cases say of them: a row for each case, by identifiers.
+_SPECIAL = [
+    (dict(data_set_id="CO-S-MIMI-4-CHEMS-CALIB-V1.0"), "READER", "spreadsheet"), (dict(instrument_host_name="CASSINI ORBITER", product_type="ANCILLARY", data_set_id="CO-S-MIMI-4-X"), "READER", "spreadsheet"),
+    (dict(instrument_id="CHEMIN", name="CHMN_SPREADSHEET"), "READER", "spreadsheet"), (dict(data_set_id="MSL-M-SAM-2", product_id="X_QMS_1", name="QMS_TABLE"), "READER", "spreadsheet"),
+    (dict(spacecraft_name="MAGELLAN", name="TABLE", note="Geometry of orbits"), "READER", "without nuls"), (dict(spacecraft_name="MAGELLAN", name="TABLE", note="No Geometry"), None, None),
+    (dict(data_set_id="MGN-V-RSS-5-OCC-PROF-ABS", name="TABLE"), "READER", "records by bytes"), (dict(instrument_id="DLRE", product_type="PCP", name="TABLE"), "READER", "delimited"), (dict(instrument_id="DLRE", product_type="EDR", name="TABLE"), None, None),
+    (dict(data_set_id="MRO-M-MCS-5-DDR-V2.0", name="TABLE"), "READER", "filled headers"), (dict(data_set_id="MRO-M-MCS-5-DDR-V1.0", name="TABLE"), None, None), (dict(data_set_id="IHW-C-PPOL-3-RDR-HALLEY-V1.0", name="TABLE"), "READER", "added breaks"),
+    (dict(data_set_id="IHW-C-PPOL-3-RDR-HALLEY-V1.0", name="IMAGE"), None, None), (dict(data_set_id="VG2-U-LECP-4-RDR-STEP-12.8MIN-V1.0", interchange="ASCII", name="TABLE"), "READER", "white space"),
+    (dict(data_set_id="VG2-U-LECP-4-RDR-STEP-12.8MIN-V1.0", interchange="BINARY", name="TABLE"), None, None), (dict(data_set_id="MER2-M-RSS-1-EDR-V1.0", product_type="UHFD", name="SPREADSHEET"), "READER", "delimited"),
+    (dict(instrument_host_name="MARS EXPRESS", instrument_id="MRS", product_id="L1B_ODF", name="ODF_TABLE"), "READER", "sections"), (dict(instrument_host_name="MARS EXPRESS", instrument_id="MRS", product_id="ODF", name="ODF_TABLE"), None, None),
+    (dict(data_set_id="ICE-C-MAG-3-RDR-X", file="TRAJ_ICE.TAB", name="TABLE"), "READER", "added breaks"), (dict(data_set_id="PVO-V-OIMS-4-IONDENSITY-12S-V1.0", name="TABLE"), "ROWS", "FILE_RECORDS"),
+    (dict(data_set_id="X-VG2-N-MAG-4-RDR-HGCOORDS", standard_data_product_id="ASCII DATA", name="TABLE"), "ROW_BYTES", "145"), (dict(data_set_id="VG2-SS-PLS-3-RDR-FINE-RES-V1.0", name="TABLE", row_bytes="57"), "ROW_BYTES", "64"),
+    (dict(data_set_id="VG2-SS-PLS-3-RDR-FINE-RES-V1.0", name="TABLE", row_bytes="64"), None, None), (dict(name="XDR_DOCUMENT"), "BLOCK", "IMAGE"), (dict(instrument_id="CRAT", product_type="EDR", name="TABLE_1"), "START_BYTE", "64"),
+    (dict(data_set_id="CO-E/V/J-ISSNA/ISSWA-2-EDR-V1.0", clock="1360000000.5"), "START_BYTE", "computed"), (dict(data_set_id="CO-E/V/J-ISSNA/ISSWA-2-EDR-V1.0", clock="1363539030"), None, None),
+    (dict(data_set_id="SLN-L-SP-2", name="SP_SPECTRUM_RAD"), "KIND", "image"),
+]
+_OF = "data_set_id instrument_host_name instrument_id instrument_name interchange clock file name note product_id product_type row_bytes spacecraft_name standard_data_product_id".split()
+
+
+@query(
+    sql="SELECT p_partkey, field, value FROM part JOIN (VALUES "
+    + ", ".join(f"({i}, {'NULL' if f is None else repr(f)}, {'NULL' if v is None else repr(v)})" for i, (_, f, v) in enumerate(_SPECIAL))
+    + f") t(i, field, value) ON p_partkey % {len(_SPECIAL)} = i"
+)
+def m18_special_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part stands for a product with the identifiers of one case; what the archive's rules change in it."""
+    products = F.array(*[F.struct(*[F.lit(p.get(c)).cast("string").alias(c) for c in _OF]) for p, _, _ in _SPECIAL])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(products, (F.col("p_partkey") % len(_SPECIAL)).cast("int")).alias("p")).select("p_partkey", "p.*")
+    stages = ["reader", "block", "start byte", "kind"]
+    for k, stage in enumerate(stages):
+        rows = rules.overrides(rows, special_cases.special_cases(spark), stage, _OF).withColumnRenamed("override", f"_of_{k}")
+    every = F.flatten(F.array(*[F.map_entries(f"_of_{k}") for k in range(len(stages))]))
+    return rows.select("p_partkey", F.get(every, F.lit(0))["key"].alias("field"), F.get(every, F.lit(0))["value"].alias("value"))
+
+
 @query(sql="SELECT n_nationkey, n_name AS title, CAST(n_regionkey AS BIGINT) AS region, n_name || '_0,' || n_name || '_1' AS fields FROM nation")
 def m19_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = made.text('<p:Product xmlns:p="http://x/y" xmlns="z"><p:title>', F.col("n_name"), "</p:title><Area><region>", F.col("n_regionkey"), "</region><Field><name>", F.col("n_name"), "_0</name></Field><Field><name>", F.col("n_name"), "_1</name></Field></Area></p:Product>")

@@ -22,23 +22,28 @@ def turned(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(frame: DataFrame, path: str, by: list[str]) -> None:
-    """One folder for each output; rows are dealt by output, so each task writes few files."""
-    frame.repartition(*by).write.partitionBy(*by).option("header", "true").csv(path)
+    """One folder for each output. Rows are dealt by output, and large outputs are split over tasks when the sizes are known."""
+    frame.hint("rebalance", *by).write.partitionBy(*by).option("header", "true").csv(path)
 
 
 def write_text(frame: DataFrame, path: str, text: str, by: list[str]) -> None:
-    frame.select(*by, F.col(text).alias("value")).repartition(*by).write.partitionBy(*by).text(path)
+    """Texts as files of one folder for each output; null texts are left out."""
+    frame.select(*by, F.col(text).alias("value")).where("value is not null").hint("rebalance", *by).write.partitionBy(*by).text(path)
 
 
-def grey_map(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, content): each image's 8-bit lines as the bytes of a portable grey map."""
-    line = F.array_join(F.transform("samples", lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")
-    images = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("line", line.alias("digits")))).alias("_l"), F.max(F.size("samples")).alias("_w"))
-    head = F.concat(F.lit("P5\n"), F.col("_w").cast("string"), F.lit(" "), F.size("_l").cast("string"), F.lit("\n255\n"))
-    body = F.unhex(F.array_join(F.transform("_l", lambda x: x["digits"]), ""))
-    return images.select(*by, F.concat(F.encode(head, "US-ASCII"), body).alias("content"))
+def grey_map_lines(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, line, content): the bytes of each image's portable grey map as its head, line -1, and one row for each line of pixels.
+
+    Sorted by (by, line) they follow one another in the file, so no image need fit a row or a task. ``rows``: by, line, samples
+    (bytes, all of one length in an image). An image without rows has no head.
+    """
+    pixels = F.unhex(F.array_join(F.transform("samples", lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), ""))
+    sizes = rows.groupBy(*by).agg(F.max(F.size("samples")).alias("w"), F.count("*").alias("h"))
+    head = F.concat(F.lit("P5\n"), F.col("w").cast("string"), F.lit(" "), F.col("h").cast("string"), F.lit("\n255\n"))
+    heads = sizes.select(*by, F.lit(-1).alias("line"), F.encode(head, "US-ASCII").alias("content"))
+    return heads.unionByName(rows.select(*by, F.col("line").cast("int").alias("line"), pixels.alias("content")))
 
 
 def write_store(frame: DataFrame, path: str, by: list[str]) -> None:
-    """The columnar store of decoded objects, in folders by data set and object."""
-    frame.repartition(*by).write.partitionBy(*by).parquet(path)
+    """The columnar store of decoded objects, in folders by data set and object; large objects are split over tasks."""
+    frame.hint("rebalance", *by).write.partitionBy(*by).parquet(path)

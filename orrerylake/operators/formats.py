@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrerylake.functions import binary
+from orrerylake.functions import binary, vectorized
 
 PLACEHOLDER = "PLACEHOLDER"
 
@@ -34,6 +34,56 @@ def flattened(fields: DataFrame) -> DataFrame:
     return item.withColumns({"WIDTH": width.cast("int"), "SB_OFFSET": offset.cast("int")})
 
 
+#: Blocks that define a field, and blocks that repeat what is in them.
+FIELD_BLOCKS = ["COLUMN", "FIELD", "ELEMENT"]
+REPEATED_BLOCKS = ["CONTAINER", "COLLECTION", "ARRAY"]
+_TEXT_KEYS, _NUMBER_KEYS = ["NAME", "DATA_TYPE"], ["START_BYTE", "BYTES", "ITEMS", "ITEM_BYTES", "ITEM_OFFSET", "REPETITIONS", "ROWS", "ROW_BYTES"]
+
+
+def block_table(meta: DataFrame, product: str) -> DataFrame:
+    """(product, at, path, chain, NAME, ..., kind): one row for each block of a label that has statements of its own.
+
+    at: where the block opens; path and chain: names of all blocks around it and itself, and where they open; kind: its own name. Of a repeated key the first value counts. ``meta``: the
+    long metadata table; a block of another label is another block.
+    """
+    inside = meta.where((F.col("depth") > 0) & F.col("key").isNotNull())
+    keys = {k: F.min_by(F.coalesce("value_string", "value_raw"), F.when(F.col("key") == k, F.col("seq"))) for k in _TEXT_KEYS + _NUMBER_KEYS}
+    wide = inside.groupBy(product, F.element_at("blocks", -1).alias("at")).agg(F.first("path").alias("path"), F.first("blocks").alias("chain"), *[c.alias(k) for k, c in keys.items()])
+    return wide.withColumns({"kind": F.element_at("path", -1)} | {k: F.col(k).try_cast("int") for k in _NUMBER_KEYS})
+
+
+def fields_of_blocks(meta: DataFrame, product: str) -> DataFrame:
+    """Every field that the labels' blocks define, with the byte it starts at in the record, repetitions and items spread out.
+
+    (product, object_at, object, at, NAME, DATA_TYPE, repetition, item, SB_OFFSET, WIDTH). Blocks may lie in containers, collections
+    and arrays to any depth: each adds its own start and its repetition's stride, innermost repetitions run fastest. Counts below 1
+    act as 1; missing starts count as 1. Two shuffles by product, of block rows only. An empty table stays empty.
+    """
+    blocks = block_table(meta, product)
+    fields = blocks.where(F.col("kind").isin(FIELD_BLOCKS))
+    around = fields.select(product, "at", F.posexplode(F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("level", "outer"))
+    outer = blocks.select(product, F.col("at").alias("outer"), F.col("kind").alias("outer_kind"), F.col("START_BYTE").alias("start"), F.col("BYTES").alias("bytes"), F.greatest(F.coalesce("REPETITIONS", F.when(F.col("kind") == "COLLECTION", F.lit(1)), F.lit(1)), F.lit(1)).alias("times"))
+    step = F.struct("level", F.coalesce("start", F.lit(1)).alias("start"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "times")
+    repeated = F.col("outer_kind").isin(REPEATED_BLOCKS)
+    chains = around.join(outer, [product, "outer"]).groupBy(product, "at").agg(
+        F.array_sort(F.collect_list(F.when(repeated, step))).alias("steps")
+    )
+    above = F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("chain", F.lit(1), F.size("chain") - 1), lambda kind, at: F.struct(kind.alias("kind"), at.alias("at")))
+    own = F.try_element_at(F.filter(above, lambda b: ~b["kind"].isin(REPEATED_BLOCKS)), F.lit(-1))
+    held = fields.withColumns({"object": own["kind"], "object_at": own["at"]}).join(chains, [product, "at"], "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<struct<level:int,start:int,bytes:int,times:int>>")))
+    total = F.aggregate("steps", F.lit(1), lambda n, s: n * s["times"])
+    each = held.withColumn("repetition", F.explode(F.sequence(F.lit(0), total - 1))).withColumn("item", F.explode(repeats(F.col("ITEMS"))))
+
+    def outward(state: Column, s: Column) -> Column:
+        own = state["rest"] % s["times"]
+        return F.struct(F.floor(state["rest"] / s["times"]).cast("int").alias("rest"), (state["at"] + s["start"] - 1 + own * s["bytes"]).cast("int").alias("at"))
+
+    before = F.aggregate(F.reverse("steps"), F.struct(F.col("repetition").alias("rest"), F.lit(0).alias("at")), outward, lambda x: x["at"])
+    width = F.coalesce("ITEM_BYTES", F.when(F.coalesce("ITEMS", F.lit(1)) > 1, (F.col("BYTES") / F.col("ITEMS")).cast("int")), "BYTES")
+    offset = before + F.coalesce("START_BYTE", F.lit(1)) - 1 + F.col("item") * F.coalesce("ITEM_OFFSET", width)
+    return each.select(product, "object_at", "object", "at", "NAME", "DATA_TYPE", "repetition", "item", offset.cast("int").alias("SB_OFFSET"), width.cast("int").alias("WIDTH"))
+
+
 def filled_bytes(bytes_: Column, items: Column, item_bytes: Column) -> Column:
     return F.coalesce(bytes_, items * item_bytes)
 
@@ -59,25 +109,56 @@ def unique_names(fields: DataFrame, by: list[str], order: list[str], name: str =
     return fields.withColumn("unique", F.when((F.count("*").over(same) > 1) | (F.col(name) == "RESERVED"), F.concat_ws("_", stem, number)).otherwise(stem))
 
 
-def injected(rows: DataFrame, files: DataFrame, object_: str, file_of: Callable[[Column], Column], most_levels: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(rows, missing): structure pointers replaced in place by the rows of the files they name, level by level.
+#: Inclusions of format files by others at most, over the whole archive; a checked bound of what the driver looks at.
+MOST_INCLUSIONS = 100_000
+
+
+def is_structure_pointer(key: Column) -> Column:
+    """Whether a key names a format file: ``^STRUCTURE``, or a longer name that ends so."""
+    return (key == "^STRUCTURE") | (F.startswith(key, F.lit("^")) & F.endswith(key, F.lit("_STRUCTURE")))
+
+
+def _longest_chain(links: list[tuple[str, str]]) -> int:
+    """Steps of the longest way along the links, taken off from its ends."""
+    left, steps = set(links), 0
+    while left:
+        going = {a for a, _ in left}
+        ends = {(a, b) for a, b in left if b not in going}
+        if not ends:
+            raise ValueError("format files include themselves")
+        left, steps = left - ends, steps + 1
+    return steps
+
+
+def injected(rows: DataFrame, files: DataFrame, object_: str, file_of: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows, missing): structure pointers replaced in place by the rows of the files they name, until none is left that names one.
 
     ``rows``: object_, order (array<int>), key, value; ``files``: file, seq, key, value. A pointer that names no file stays and is
-    in ``missing``. Format files are few and shared by many objects; the join is by folded name.
+    in ``missing``. Format files are few and shared by many objects; the join is by folded name. Whether another
+    level is needed is asked of the files alone. Files that include themselves raise an error. Null keys are no pointers.
     """
-    points = F.col("key").rlike(r"^\^(\w+_)?STRUCTURE$")
     inner = files.select(F.col("file").alias("_file"), F.col("seq").alias("_seq"), F.col("key").alias("_key"), F.col("value").alias("_value"))
-    out = rows
-    for _ in range(most_levels):
-        joined = out.withColumn("_file", F.when(points, file_of(F.col("value")))).join(inner, "_file", "left")
+
+    def level(of: DataFrame) -> DataFrame:
+        points = F.coalesce(is_structure_pointer(F.col("key")), F.lit(False))
+        joined = of.withColumn("_file", F.when(points, file_of(F.col("value")))).join(inner, "_file", "left")
         found = F.col("_seq").isNotNull()
-        out = joined.select(
+        return joined.select(
             object_,
             F.when(found, F.concat("order", F.array("_seq"))).otherwise(F.col("order")).alias("order"),
             F.when(found, F.col("_key")).otherwise(F.col("key")).alias("key"),
             F.when(found, F.col("_value")).otherwise(F.col("value")).alias("value"),
         )
-    return out, out.where(points).select(object_, "value").distinct()
+
+    names = files.where(is_structure_pointer(F.col("key"))).select(F.col("file").alias("from"), file_of(F.col("value")).alias("to")).distinct()
+    links = names.join(files.select(F.col("file").alias("to")).distinct(), "to").limit(MOST_INCLUSIONS + 1).collect()
+    if len(links) > MOST_INCLUSIONS:
+        raise ValueError(f"more than {MOST_INCLUSIONS} inclusions")
+    levels = 1 + _longest_chain([(r["from"], r["to"]) for r in links])
+    out = rows
+    for _ in range(levels):
+        out = level(out)
+    return out, out.where(is_structure_pointer(F.col("key"))).select(object_, "value").distinct()
 
 
 def is_ascii(fields: DataFrame, object_: str) -> DataFrame:
@@ -143,6 +224,11 @@ def decode_records(records: DataFrame, fields: list[dict], record: str = "record
     return records.select(*[decoded(F.col(record), f["kind"], f["order"], f["start"], f["width"], f["is_signed"]).alias(f["name"]) for f in fields])
 
 
+def decode_batches(records: DataFrame, fields: list[dict], record: str = "record") -> DataFrame:
+    """The same table as ``decode_records`` for records of one length, a batch of records at a time."""
+    return vectorized.decoded_records(records, fields, schema_of(fields), record)
+
+
 def group_offset(location: Column, groups: Column) -> Column:
     """First byte of a field, from 1, in nested groups: its own location and, for each group around, the group's
     location and its repetition's stride. ``groups``: array<struct<location, stride, repetition>>.
@@ -163,3 +249,36 @@ def spread_cells(frame: DataFrame, column: str, n: int) -> DataFrame:
 def clean_name(name: Column) -> Column:
     """A full name without its unnamed groups and without commas and blanks at its ends."""
     return F.trim(F.regexp_replace(name, r"GROUP_[0-9]+,?\s*", ""), F.lit(", "))
+
+
+def array_offsets(start: Column, axes: Column, element_bytes: Column) -> Column:
+    """First byte, from 0, of each element of an array field, in storage order; ``start`` is the array's first byte, from 1."""
+    n = F.aggregate(axes, F.lit(1), lambda a, b: a * b.cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: start - 1 + i * element_bytes)
+
+
+def array_elements(record: Column, start: Column, axes: Column, element_bytes: Column, fields: list[dict]) -> Column:
+    """An array field whose elements are blocks of fields, as array<struct>; fields start within their element.
+
+    ``fields``: as for ``decode_records``. Elements beyond the record's end have null fields.
+    """
+
+    def element(at: Column) -> Column:
+        own = F.substring(record, at + 1, element_bytes)
+        return F.struct(*[decoded(own, f["kind"], f["order"], f["start"], f["width"], f["is_signed"]).alias(f["name"]) for f in fields])
+
+    return F.transform(array_offsets(start, axes, element_bytes), element)
+
+
+def sampled_field(i: Column, first: Column, step: Column, scale: str = "linear", base: float = 10.0) -> Column:
+    """Value of a uniformly sampled field in record i, from 0: equal steps, equal ratios, or equal steps of a power's logarithm."""
+    if scale == "logarithmic":
+        return first * F.pow(step, i)
+    if scale == "exponential":
+        return F.log10(F.pow(F.lit(base), first) + i * step) / F.log10(F.lit(base))
+    return first + i * step
+
+
+def sampling_fits(made: Column, given: Column, tolerance: float = 0.001) -> Column:
+    """Whether the last value that the sampling makes is the one that the label gives, to a thousandth; null where none is given."""
+    return F.when(given.isNotNull(), F.abs(made - given) <= F.abs(given) * tolerance)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The keys that identify a product.
-IDENTIFIERS = (
-    "MISSION_NAME INSTRUMENT_HOST_NAME INSTRUMENT_HOST_ID INSTRUMENT_NAME INSTRUMENT_ID PRODUCT_TYPE DATA_SET_NAME DATA_SET_ID STANDARD_DATA_PRODUCT_ID FILE_NAME PRODUCT_ID SPACECRAFT_NAME SPACECRAFT_ID "
-    "MISSION_PHASE_NAME TARGET_NAME START_TIME STOP_TIME VOLUME_ID"
-).split()
+IDENTIFIERS = """
+    DATA_SET_ID DATA_SET_NAME DATA_QUALITY_DESC FILE_NAME FILE_RECORDS INSTRUMENT_ID INSTRUMENT_HOST_NAME INSTRUMENT_NAME LABEL_RECORDS NOTE PRODUCT_ID
+    PRODUCT_TYPE RECORD_BYTES RECORD_TYPE ROW_BYTES ROWS SPACECRAFT_NAME STANDARD_DATA_PRODUCT_ID
+""".split()
 
 
 def key_counts(meta: DataFrame, product: str) -> DataFrame:
@@ -59,25 +59,25 @@ def numbered_pointers(meta: DataFrame, product: str) -> DataFrame:
     return pointers(meta).withColumn("indexed", F.when(plain, F.col("name")).otherwise(F.concat_ws("_", F.col("name"), number.cast("string"))))
 
 
-TRIVIAL = ["TIFF", "STRUCTURE", "PDS_OBJECT"]
-
-
 def is_trivial(name: Column) -> Column:
-    tiff = name.contains("TIFF") & ~name.rlike("IMAGE|DOCUMENT")
-    return tiff | name.rlike("STRUCTURE|PDS_OBJECT")
-
-
-#: Object kinds by name, the first that fits holds.
-KINDS = [
-    ("label", "^LABEL$"),
-    ("text", "(DESC(RIPTION)?|DATA_SET_MAP_PROJECT.*|MODEL.*)$"),
-    ("array", "ARRAY"),
-    ("table", "TABLE|SPREADSHEET|CONTAINER|TIME_SERIES|SERIES|SPECTRUM|HISTOGRAM"),
-    ("header", "HEADER"),
-    ("image", "IMAGE|QUB|CUBE"),
-]
-IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff"]
-FITS_SUFFIXES = ["fits", "fit", "fts"]
+    """Objects that are never read by themselves: picture tags, format structures, and inner pipeline objects."""
+    tags = name.contains("TIFF") & ~name.contains("IMAGE") & ~name.contains("DOCUMENT")
+    return tags | name.contains("STRUCTURE") | name.contains("PDS_OBJECT")
+
+
+#: Suffixes of files by how they are read.
+FITS_SUFFIXES = "fits fit fz".split()
+RASTER_SUFFIXES = "img rgb".split()
+TEXT_SUFFIXES = "txt md".split()
+TABLE_SUFFIXES = "tab csv".split()
+IMAGE_SUFFIXES = "bmp tif tiff jp2 jpf jpc jpx jpg jpeg gif png webp".split()
+LABEL_SUFFIXES = "xml lbl lblx 2bl 2al 2cl 01l 3bl 3al 3cl".split()
+#: Parts of object names.
+TEXT_WORDS = "TEXT PDF MAP_PROJECTION_CATALOG FILENAME DESC".split()
+TABLE_WORDS = "TABLE SPREADSHEET CONTAINER SERIES SPECTRUM HISTOGRAM FILE".split()
+IMAGE_WORDS = "IMAGE QUB XDR_DOCUMENT".split()
+#: Ends of names of catalogue and description objects, which reading everything skips.
+SKIPPED_ENDS = ["_DESC", "DESCRIPTION"]
 
 
 def suffixes(file: Column) -> Column:
@@ -91,15 +91,44 @@ def has_suffix(file: Column, kinds: list[str]) -> Column:
     return F.arrays_overlap(suffixes(file), F.array(*map(F.lit, kinds)))
 
 
+def _holds(name: Column, words: list[str], behind: str = "") -> Column:
+    return reduce(lambda a, b: a | b, [name.contains(w + behind) for w in words])
+
+
+def kind_by_suffix(file: Column) -> Column:
+    """How an object is read that is known by its file's name only."""
+    by = [(FITS_SUFFIXES, "fits"), (RASTER_SUFFIXES, "image"), (TEXT_SUFFIXES, "text"), (TABLE_SUFFIXES, "table"), (IMAGE_SUFFIXES, "desktop image")]
+    return reduce(lambda out, c: F.when(has_suffix(file, c[0]), c[1]).otherwise(out), reversed(by), F.lit("unknown"))
+
+
 def object_kind(name: Column, file: Column) -> Column:
-    """How an object is read: an ordered cascade over its name and its file's suffixes."""
-    name = F.upper(name)
-    cases = [(F.coalesce(is_trivial(name), F.lit(False)), "trivial")]
-    cases += [(has_suffix(file, FITS_SUFFIXES), "fits"), (has_suffix(file, IMAGE_SUFFIXES), "desktop image")]
-    cases += [(name.rlike(p), k) for k, p in KINDS]
+    """How an object is read: the first that fits of an ordered cascade over its name and its file's suffixes.
+
+    A null name or file counts as empty: it holds no word and has no suffix.
+    """
+    name, file = F.upper(F.coalesce(name, F.lit(""))), F.coalesce(file, F.lit(""))
+    table = _holds(name, TABLE_WORDS) & ~_holds(name, TABLE_WORDS, "_HEADER") & ~_holds(name, TABLE_WORDS, "_NAME") & ~name.contains("HISTOGRAM_IMAGE")
+    cases = [
+        (is_trivial(name), F.lit("trivial")),
+        (name == "LABEL", F.lit("label")),
+        (has_suffix(file, FITS_SUFFIXES), F.lit("fits")),
+        (has_suffix(file, IMAGE_SUFFIXES), F.lit("desktop image")),
+        (_holds(name, TEXT_WORDS), F.lit("text")),
+        (name.contains("ARRAY"), F.lit("array")),
+        (table, F.lit("table")),
+        (name.contains("HEADER"), F.lit("header")),
+        (_holds(name, IMAGE_WORDS), F.lit("image")),
+        (name.contains("FILE_NAME"), kind_by_suffix(file)),
+    ]
     return reduce(lambda out, c: F.when(c[0], c[1]).otherwise(out), reversed(cases), F.lit("unknown"))
 
 
+def is_skipped(name: Column) -> Column:
+    """Whether reading everything leaves the object out: catalogue entries and descriptions, numbered ones included."""
+    bare = F.regexp_replace(F.upper(name), "_[0-9]*$", "")
+    return F.startswith(F.upper(name), F.lit("DATA_SET_MAP_PROJECT")) | F.endswith(F.upper(name), F.lit(SKIPPED_ENDS[0])) | F.endswith(F.upper(name), F.lit(SKIPPED_ENDS[1])) | F.endswith(bare, F.lit(SKIPPED_ENDS[1]))
+
+
 def start_byte(target: Column, record_bytes: Column, row_bytes: Column, n_rows: Column, file_size: Column) -> Column:
     """First byte, from 0, of an object's target struct<file, value, units>.
 
@@ -145,11 +174,15 @@ def similarity(a: Column, b: Column) -> Column:
     return 2.0 * common / (F.length(a) + F.length(b))
 
 
-def fuzzy_keys(meta: DataFrame, terms: DataFrame, term: str = "term") -> DataFrame:
+def fuzzy_keys(meta: DataFrame, terms: DataFrame, term: str = "term", most_terms: int = 10_000) -> DataFrame:
     """(term, key, ratio): the distinct key most like each term; of equal ones the first by name.
 
-    Distinct keys are a vocabulary, small beside the table; terms are a stated query set.
+    Distinct keys are a vocabulary, small beside the table; terms are a stated query set of at most ``most_terms``, which is
+    checked before they travel with the tasks. Null terms and keys are left out.
     """
-    keys = meta.select("key").distinct()
+    terms = terms.select(term).dropna().distinct()
+    if terms.limit(most_terms + 1).count() > most_terms:
+        raise ValueError(f"more than {most_terms} terms")
+    keys = meta.select("key").dropna().distinct()
     scored = keys.join(F.broadcast(terms), F.lit(True)).select(term, "key", similarity(F.col(term), F.col("key")).alias("ratio"))
     return scored.groupBy(term).agg(F.min_by("key", F.struct(-F.col("ratio"), "key")).alias("key"), F.max("ratio").alias("ratio"))

@@ -92,9 +92,12 @@ def normalized(value: Column, low: Column, high: Column, to: tuple[float, float]
     return F.when(value.isNull(), F.lit(None).cast("double")).when(high > low, (cut - low) / (high - low) * (to[1] - to[0]) + to[0]).otherwise(value)
 
 
-def eight_bit(cells: DataFrame, by: list[str], clip: tuple[float, float] = (1.0, 1.0), value: str = "value") -> DataFrame:
-    """``cells`` with the column byte: 0 to 255 between the bounds of each image, ties to the even number."""
-    limits = bounds(cells, by, clip, value)
+def eight_bit(cells: DataFrame, by: list[str], clip: tuple[float, float] = (1.0, 1.0), value: str = "value", accuracy: int | None = None) -> DataFrame:
+    """``cells`` with the column byte: 0 to 255 between the bounds of each image, ties to the even number.
+
+    Null values have a null byte. ``accuracy``: as in ``bounds``, for images of too many distinct values for one group.
+    """
+    limits = bounds(cells, by, clip, value, accuracy)
     return cells.join(limits, by).withColumn("byte", F.rint(normalized(F.col(value), F.col("low"), F.col("high"), (0.0, 255.0))).cast("smallint")).drop("low", "high")
 
 

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 RULES = "priority int, stage string, column string, test string, operand string, low double, high double, field string, value string"
 
 
-def matches(rule: Column, of: dict[str, Column]) -> Column:
-    """Whether a rule fits a row: its column equals, contains or matches the operand, or lies in its interval."""
-    given = F.lit(None).cast("string")
-    for name, column in of.items():
-        given = F.when(rule["column"] == name, column.cast("string")).otherwise(given)
-    return (
-        F.when(rule["test"] == "equals", given == rule["operand"])
-        .when(rule["test"] == "contains", F.contains(given, rule["operand"]))
-        .when(rule["test"] == "regex", F.regexp_like(given, rule["operand"]))
-        .when(rule["test"] == "interval", given.try_cast("double").between(rule["low"], rule["high"]))
-        .otherwise(False)
-    )
+def fits(condition: Row, column: Column) -> Column:
+    """Whether a column equals, starts with, contains, lacks or matches a condition's operand, or lies in its interval; null fits nothing."""
+    given, operand = column.cast("string"), F.lit(condition.operand)
+    tests = {
+        "equals": given == operand,
+        "starts": F.startswith(given, operand),
+        "contains": F.contains(given, operand),
+        "lacks": ~F.contains(given, operand),
+        "regex": F.regexp_like(given, operand),
+        "interval": given.try_cast("double").between(condition.low, condition.high),
+    }
+    return F.coalesce(tests.get(condition.test, F.lit(False)), F.lit(False))
 
 
 def overrides(rows: DataFrame, rules: DataFrame, stage: str, of: list[str], most_rules: int = 5_000) -> DataFrame:
     """``rows`` with the column override: map of field to value, the first fitting rule by priority for each field.
 
+    Rows of rules that share priority, field and value are the conditions of one rule, all of which must fit. A null column fits
+    no condition. Without rules of the stage the map is empty.
+
     Rules are a stated table of at most ``most_rules`` rows, which is checked before they travel with the tasks; more
     raise an error. No row is joined with another, so nothing is shuffled.
     """
@@ -32,14 +38,14 @@ def overrides(rows: DataFrame, rules: DataFrame, stage: str, of: list[str], most
     if len(held) > most_rules:
         raise ValueError(f"more than {most_rules} rules")
     out = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    fields: dict[str, list] = {}
+    fields: dict[str, dict[tuple, list]] = {}
     for r in held:
-        fields.setdefault(r.field, []).append(r)
+        fields.setdefault(r.field, {}).setdefault((r.priority, r.value), []).append(r)
     for field, own in fields.items():
         value = F.lit(None).cast("string")
-        for r in reversed(own):
-            rule = F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in (("column", "string"), ("test", "string"), ("operand", "string"), ("low", "double"), ("high", "double"))])
-            value = F.when(F.coalesce(matches(rule, {c: F.col(c) for c in of}), F.lit(False)), F.lit(r.value)).otherwise(value)
+        for (_, given), conditions in reversed(own.items()):
+            held_all = reduce(and_, [fits(r, F.col(r["column"])) if r["column"] in of else F.lit(False) for r in conditions])
+            value = F.when(held_all, F.lit(given)).otherwise(value)
         out = F.when(value.isNotNull(), F.map_concat(out, F.create_map(F.lit(field), value))).otherwise(out)
     return rows.withColumn("override", out)
 

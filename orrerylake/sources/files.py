@@ -12,17 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerylake.operators.metadata import suffixes
-
-#: Suffixes by kind of file.
-KINDS = {
-    "label": ["lbl", "lblx", "xml"],
-    "image": ["img", "rgb"],
-    "table": ["tab", "csv", "dat"],
-    "text": ["txt", "md", "html"],
-    "fits": ["fits", "fit", "fts"],
-    "desktop image": ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff"],
-}
+from orrerylake.operators.metadata import FITS_SUFFIXES, IMAGE_SUFFIXES, LABEL_SUFFIXES, RASTER_SUFFIXES, TABLE_SUFFIXES, TEXT_SUFFIXES, suffixes
+
+#: Suffixes by kind of file.
+KINDS = {"label": LABEL_SUFFIXES, "image": RASTER_SUFFIXES, "table": TABLE_SUFFIXES, "text": TEXT_SUFFIXES, "fits": FITS_SUFFIXES, "desktop image": IMAGE_SUFFIXES}
 COMPRESSED = ["gz", "bz2", "zip"]
 LABEL_ORDER = ["xml", "lbl", "lblx"]
 
@@ -127,7 +120,9 @@ def decompressed(files: DataFrame, path: str = "path", content: str = "content")
 
 
 LABEL_LIMIT = 1000 * 1024
-ENDING = "(?s)\nEND {0,8}(\r| {8})|\\x00{3}|\nEND\n"
+#: How a label ends: END on a line of its own, with up to eight blanks and a return, eight more blanks or the line's end behind it; or NULs.
+_AFTER_END = "|".join(["\n", " {0,8}\r", " {8,16}"])
+ENDING = f"\nEND(?:{_AFTER_END})|\x00\x00\x00"
 
 
 def attached_label(content: Column, limit: int = LABEL_LIMIT) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +43,20 @@ def fixed_records(content: Column, record_bytes: int, n: Column | None = None) -
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(content, i * record_bytes + 1, F.lit(record_bytes)))).otherwise(F.array().cast("array<binary>"))
 
 
-def read_fixed_records(spark: SparkSession, path: str, record_bytes: int) -> DataFrame:
-    """(record) of files that hold nothing else; such files are split over many tasks."""
-    return spark.sparkContext.binaryRecords(path, record_bytes).map(lambda r: (bytearray(r),)).toDF("record binary")
+def read_fixed_records(spark: SparkSession, path: str, record_bytes: int, at_once: int = 4096) -> DataFrame:
+    """(record) of files that hold nothing else; such files are split over many tasks.
+
+    Python only joins ``at_once`` records to a block, and Spark cuts them again. A file of another length than a whole number of
+    records raises an error; empty files give no records.
+    """
+
+    def blocks(rows: Iterable[bytes]) -> Iterator[tuple[bytearray]]:
+        rows = iter(rows)
+        while part := b"".join(islice(rows, at_once)):
+            yield (bytearray(part),)
+
+    joined = spark.sparkContext.binaryRecords(path, record_bytes).mapPartitions(blocks).toDF("block binary")
+    return joined.select(F.explode(fixed_records(F.col("block"), record_bytes)).alias("record"))
 
 
 def split_fields(line: Column, pattern: str = r"\s+") -> Column:
