@@ -36,13 +36,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+def staged(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back. ``compression``: zstd for whole texts, to spare disk.
 
     Cuts the lineage at a table which outlives any executor, and gives Catalyst real sizes.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -380,7 +380,7 @@ def checked(docs: DataFrame, key: bytes, text_col: str = "text", most_keys: int
     That an entity has two surrogates would be a fault of the makers, not of a key, and raises an error.
     """
     for n in range(most_keys):
-        out = staged(anonymize(docs, hashlib.blake2b(b"%d" % n, key=key).digest(), text_col), "surrogates")
+        out = staged(anonymize(docs, hashlib.blake2b(b"%d" % n, key=key).digest(), text_col), "surrogates", "zstd")
         if not (split := splits(out)).isEmpty():
             raise ValueError(f"an entity has several surrogates: {split.first()}")
         if collisions(out).isEmpty():
