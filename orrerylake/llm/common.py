@@ -42,7 +42,7 @@ def staged(df: DataFrame, name: str = "stage", compression: str = "snappy") -> D
     Cuts the lineage at a table which outlives any executor, and gives Catalyst real sizes.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.compression.codec.zstd.level", "6").parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
