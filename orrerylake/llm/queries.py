@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, main_text, mixing, quality_rules, secret_scan, sharding, simhash, surrogates, token_files, toxicity
+from . import decontaminate, divergence, main_text, mixing, phrases, quality_rules, secret_scan, sharding, simhash, surrogates, token_files, toxicity
 from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op12_source_divergence"] = divergence.oracle_sql()
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_phrases"] = phrases.oracle_sql()
