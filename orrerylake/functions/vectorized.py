@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +37,14 @@ def bytes_of(values: Column, kind: str, width: int, order: str) -> Column:
     return F.pandas_udf(encode, "binary")(values)
 
 
+def _number(text: bytes, kind: type) -> int | float | None:
+    try:
+        value = kind(text.strip(b" \t\r\n\",\0").decode("ascii"))
+    except (ValueError, UnicodeDecodeError):
+        return None
+    return value if kind is float or -(2**63) <= value < 2**63 else None
+
+
 def field_of(block: np.ndarray, kind: str, order: str, start: int, width: int, is_signed: bool) -> np.ndarray | list:
     """One field of equal records, which are the rows of a block of bytes."""
     raw = np.ascontiguousarray(block[:, start - 1 : start - 1 + width])
@@ -64,39 +71,66 @@ def field_of(block: np.ndarray, kind: str, order: str, start: int, width: int, i
         return [bytes(r).decode("cp500") for r in raw]
     if kind == "text":
         return [bytes(r).decode("latin-1").rstrip(" ") for r in raw]
+    if kind in ("ascii_integer", "ascii_real"):
+        return [_number(bytes(r), int if kind == "ascii_integer" else float) for r in raw]
+    if kind == "boolean":
+        return raw.any(1)
     return [bytes(r) for r in raw]
 
 
+#: Arrow types by the Spark types of fields.
+_ARROW = {
+    "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "decimal(20,0)": pa.decimal128(20, 0), "binary": pa.binary(),
+}
+
+
+def arrow_type(type_: str) -> pa.DataType:
+    return _ARROW.get(type_, pa.binary())
+
+
+def padded_block(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` bytes of every record as rows of a block; shorter records are filled with zeros."""
+    if len(starts) and (sizes == width).all() and (np.diff(starts) == width).all():
+        return data[starts[0] : starts[0] + width * len(starts)].reshape(len(starts), width)
+    if not width or not len(starts):
+        return np.zeros((len(starts), width), np.uint8)
+    over = np.concatenate([data, np.zeros(width, np.uint8)])
+    block = np.ndarray((len(over) - width + 1, width), np.uint8, over, strides=(1, 1))[starts]
+    if (sizes < width).any():
+        block = block * (np.arange(width) < sizes[:, None])
+    return block
+
+
+def fields_of_block(block: np.ndarray, sizes: np.ndarray, fields: list[dict], types: list[str]) -> list[pa.Array]:
+    """One typed array for each field; a record that does not hold all bytes of a field has a null there."""
+    out = []
+    for f, type_ in zip(fields, types, strict=True):
+        there = sizes >= f["start"] - 1 + f["width"]
+        held = pa.array(field_of(block if there.all() else block[there], f["kind"], f["order"], f["start"], f["width"], f["is_signed"]), *([pa.binary()] if arrow_type(type_) == pa.binary() else []))
+        held = held.cast(arrow_type(type_))
+        out.append(held if there.all() else held.take(pa.array(np.where(there, np.cumsum(there) - 1, 0), mask=~there)))
+    return out
+
+
 def decoded_records(records: DataFrame, fields: list[dict], schema: StructType, record: str = "record") -> DataFrame:
     """A typed column for each field of a format, decoded from all records of a batch at once.
 
-    Records of another length than the most of their batch, and null ones, give nulls in every field; an empty table stays
-    empty. No other column of ``records`` is kept.
+    A field is decoded from each record that holds all its bytes, whatever the length of this or any other record; else, and
+    for null records, it is null. An empty table stays empty. No other column of ``records`` is kept.
     """
     types = [f.dataType.simpleString() for f in schema.fields]
     end = max((f["start"] - 1 + f["width"] for f in fields), default=0)
 
-    def column(values: np.ndarray | list, there: np.ndarray, type_: str) -> pa.Array:
-        made = pa.array(values)
-        if type_.startswith("decimal"):
-            made = made.cast(pa.decimal128(20, 0))
-        else:
-            made = made.cast({"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string()}.get(type_, pa.binary()))
-        if there.all():
-            return made
-        at = np.where(there, np.cumsum(there) - 1, 0)
-        return made.take(pa.array(at, mask=~there))
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch.column(0)
-            sizes = pc.fill_null(pc.binary_length(cells), -1).to_numpy(zero_copy_only=False)
-            whole = sizes[sizes >= end]
-            most = int(np.bincount(whole).argmax()) if len(whole) else -1
-            there = (sizes == most) & (most >= 0)
-            raw = b"".join(cells.filter(pa.array(there)).to_pylist())
-            block = np.frombuffer(raw, np.uint8).reshape(int(there.sum()), most if most >= 0 else end)
-            columns = [column(field_of(block, f["kind"], f["order"], f["start"], f["width"], f["is_signed"]), there, t) for f, t in zip(fields, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f["name"] for f in fields])
+            cells = batch.column(0).cast(pa.large_binary())
+            held = cells.fill_null(b"") if cells.null_count else cells
+            offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+            data = np.frombuffer(held.buffers()[2], np.uint8) if len(held) and held.buffers()[2] is not None else np.zeros(0, np.uint8)
+            sizes = np.diff(offsets)
+            if cells.null_count:
+                sizes = np.where(cells.is_valid().to_numpy(zero_copy_only=False), sizes, -1)
+            block = padded_block(data, offsets[:-1], sizes, end)
+            yield pa.RecordBatch.from_arrays(fields_of_block(block, sizes, fields, types), names=[f["name"] for f in fields])
 
     return records.select(record).mapInArrow(decode, schema)

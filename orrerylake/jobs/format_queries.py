@@ -107,12 +107,12 @@ def f13_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FM.group_names(groups, ["p_brand"], ["p_partkey"]).select("p_partkey", "full_name")
 
 
-@query(sql="SELECT o_orderkey, o_totalprice AS big8, o_totalprice AS little8, CAST(o_custkey AS DOUBLE) / 4 AS big4, CAST(-(o_orderkey % 32000) AS SMALLINT) AS short, o_orderpriority AS ebcdic, true AS flag FROM orders")
+@query(sql="SELECT o_orderkey, o_totalprice AS big8, o_totalprice AS little8, CAST(o_custkey AS DOUBLE) / 4 AS big4, CAST(-(o_orderkey % 32000) AS SMALLINT) AS short, o_orderpriority AS ebcdic, o_custkey % 3 <> 0 AS flag FROM orders")
 def d1_d6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = F.col, binary
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", b.ieee(b.ieee_bytes(c("o_totalprice"), 8, "big"), 1, 8, "big").alias("big8"), b.ieee(b.ieee_bytes(c("o_totalprice"), 8, "little"), 1, 8, "little").alias("little8"), b.ieee(b.ieee_bytes(c("o_custkey") / 4, 4, "big"), 1, 4, "big").alias("big4"),
-        b.signed(b.integer_bytes(-(c("o_orderkey") % 32000), 2, "little"), 1, 2, "little").cast("smallint").alias("short"), b.ebcdic(b.to_ebcdic(c("o_orderpriority"))).alias("ebcdic"), b.boolean(b.integer_bytes(c("o_custkey") % 2 + 1, 1, "big"), 1).alias("flag"),
+        b.signed(b.integer_bytes(-(c("o_orderkey") % 32000), 2, "little"), 1, 2, "little").cast("smallint").alias("short"), b.ebcdic(b.to_ebcdic(c("o_orderpriority"))).alias("ebcdic"), b.boolean(b.integer_bytes(c("o_custkey") % 3, 1, "big"), 1).alias("flag"),
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrerylake.functions import binary, text
-from orrerylake.operators import formats, rules, special_cases
+from orrerylake.functions import binary, text, values
+from orrerylake.operators import calibrate, formats, rules, special_cases
 from orrerylake.sources import made, records
 
 from .register import query, table
@@ -118,8 +118,8 @@ def s21_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 7 ELSE l_linenumber & 5 END AS masked FROM lineitem")
 def s22_masked_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = binary.integer_bytes(F.col("l_linenumber"), 2, "big")
-    value = binary.signed(raw, 1, 2, "big")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(value == 7, value).otherwise(value.bitwiseAND(F.lit(5))).alias("masked"))
+    masked = calibrate.bit_masked(binary.signed(raw, 1, 2, "big"), values.based_integer(F.lit("2#0101#")), [7])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", masked.alias("masked"))
 
 
 @query(sql="SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders q WHERE q.o_custkey = orders.o_custkey AND q.o_orderstatus = 'F') AND o_orderstatus <> 'P'")

@@ -124,3 +124,9 @@ def scaled_table(pixels: DataFrame, constants: DataFrame, object_: str, value: s
     """
     held = pixels.join(constants, object_, "left")
     return held.withColumn("scaled", scaled(masked(F.col(value), F.col("specials"), F.col("invalids")).cast("double"), factor, offset)).drop("specials", "invalids")
+
+
+def bit_masked(value: Column, mask: Column, specials: list[int]) -> Column:
+    """An integer AND-ed with the label's bit mask; special values stay as they are, a null mask changes nothing, null stays null."""
+    own = F.when(value.isin(specials), value) if specials else F.when(F.lit(False), value)
+    return own.when(mask.isNull(), value).otherwise(value.bitwiseAND(mask.cast("bigint")))

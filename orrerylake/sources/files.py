@@ -68,11 +68,16 @@ def with_labels(data: DataFrame, files: DataFrame, file: str = "file", explicit:
 
 
 def resolved(names: DataFrame, files: DataFrame, name: str = "name", file: str = "file") -> DataFrame:
-    """``names`` with resolved (null if no file fits) and hits: exact names first, else in any case and compression."""
-    there = files.select(F.col(file).alias("_file"), folded(F.col(file)).alias("_fold"))
-    joined = names.withColumn("_fold", folded(F.col(name))).join(there, "_fold", "left")
-    picked = F.min_by("_file", F.struct(F.col("_file") != F.col(name), "_file"))
-    return joined.groupBy(*names.columns).agg(picked.alias("resolved"), F.count("_file").alias("hits"))
+    """``names`` with resolved (null if no file fits) and hits: exact names first, else in any case and compression.
+
+    Each distinct name is looked up once; repeated rows all stay, null names have no hit. Of several files that fit equally well the
+    first by name is taken. Repeated rows of ``files`` are one file.
+    """
+    there = files.select(F.col(file).alias("_file"), folded(F.col(file)).alias("_fold")).distinct()
+    asked = names.select(F.col(name).alias("_name")).dropna().distinct().withColumn("_fold", folded(F.col("_name")))
+    picked = F.min_by("_file", F.struct(F.col("_file") != F.col("_name"), "_file"))
+    found = asked.join(there, "_fold").groupBy("_name").agg(picked.alias("resolved"), F.count("_file").alias("hits"))
+    return names.join(found, F.col(name) == F.col("_name"), "left").select(*[names[c] for c in names.columns], "resolved", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
 def candidate_paths(names: DataFrame, file: str, folders: str, root_of: Column | None = None) -> DataFrame:
@@ -120,9 +125,9 @@ def decompressed(files: DataFrame, path: str = "path", content: str = "content")
 
 
 LABEL_LIMIT = 1000 * 1024
-#: How a label ends: END on a line of its own, with up to eight blanks and a return, eight more blanks or the line's end behind it; or NULs.
-_AFTER_END = "|".join(["\n", " {0,8}\r", " {8,16}"])
-ENDING = f"\nEND(?:{_AFTER_END})|\x00\x00\x00"
+#: How a label ends.
+ENDINGS = ["\nEND {0,8}(?:\r| {8})", "\x00\x00\x00", "\nEND\n"]
+ENDING = "|".join(ENDINGS)
 
 
 def attached_label(content: Column, limit: int = LABEL_LIMIT) -> Column:

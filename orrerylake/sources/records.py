@@ -99,10 +99,14 @@ def cards(header: Column) -> Column:
 
 
 def unit_at(objects: DataFrame, units: DataFrame, target: str, factors: tuple[int, ...] = (1, 2880)) -> DataFrame:
-    """``objects`` with the header-and-data unit that starts at their target, taken as byte, else as record, from 1."""
-    candidates = objects.select("*", F.posexplode(F.array(*[(F.col(target) - 1) * f for f in factors])).alias("_rank", "_at"))
-    joined = candidates.join(units.withColumnRenamed("start", "_at"), "_at", "left")
-    return joined.groupBy(*objects.columns).agg(F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("_rank"))).alias("unit"))
+    """``objects`` with the header-and-data unit that starts at their target, taken as byte, else as record, from 1.
+
+    Each distinct target is looked up once; repeated rows all stay, a null target has no unit.
+    """
+    asked = objects.select(F.col(target).alias("_target")).dropna().distinct()
+    candidates = asked.select("_target", F.posexplode(F.array(*[(F.col("_target") - 1) * f for f in factors])).alias("_rank", "_at"))
+    found = candidates.join(units.select(F.col("start").alias("_at"), "unit"), "_at").groupBy("_target").agg(F.min_by("unit", F.struct("_rank", "unit")).alias("unit"))
+    return objects.join(found, F.col(target) == F.col("_target"), "left").select(*[objects[c] for c in objects.columns], "unit")
 
 
 def without_nuls(line: Column) -> Column:

@@ -4,12 +4,13 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from orrerylake.functions import values
 from orrerylake.jobs import sinks
 from orrerylake.operators import calibrate, formats, metadata, rules, special_cases, statements
-from orrerylake.sources import records
+from orrerylake.sources import files, records
 
 FIELDS = [
     {"name": n, "kind": k, "order": o, "start": s, "width": w, "is_signed": g}
@@ -43,12 +44,47 @@ def test_batches_bear_ragged_and_null_records(spark):
     good = bytes(range(48))
     df = spark.createDataFrame([(good,), (None,), (b"short",), (good,), (b"",)], "record binary").coalesce(1)
     got = formats.decode_batches(df, FIELDS).collect()
-    assert len(got) == 5 and sum(r.i4 is None and r.txt is None for r in got) == 3
-    assert {r.i4 for r in got} == {None, 0x00010203}
+    assert len(got) == 5 and sum(r.raw is None for r in got) == 3
+    assert sorted(str(r.i4) for r in got) == sorted(["None", "None", str(0x00010203), str(0x00010203), str(int.from_bytes(b"shor"))])
     assert formats.decode_batches(df.limit(0), FIELDS).count() == 0
     assert formats.decode_batches(spark.createDataFrame([(None,)], "record binary"), FIELDS).collect()[0].f8 is None
 
 
+def test_batches_do_not_depend_on_other_records(spark):
+    """A record decodes by itself, whatever the lengths of those in its batch."""
+    field = [{"name": "v", "kind": "integer", "order": "big", "start": 1, "width": 2, "is_signed": False}]
+    rows = [(b"\x00\x01",), (b"\x00\x02",), (b"\x00\x03\xff",), (b"\x04",), (None,), (b"\x00\x01",)]
+    df = spark.createDataFrame(rows, "record binary")
+    want = [1, 2, 3, None, None, 1]
+    assert [r.v for r in formats.decode_batches(df.coalesce(1), field).collect()] == want
+    assert sorted(map(str, (r.v for r in formats.decode_batches(df.repartition(6), field).collect()))) == sorted(map(str, want))
+    assert [r.v for r in formats.decode_records(df.coalesce(1), field).collect()] == want
+
+
+def test_repeated_names_and_targets_stay(spark):
+    names = spark.createDataFrame([("d/A.dat", 1), ("d/A.dat", 1), ("d/none", 2), (None, 3)], "name string, n int")
+    found = spark.createDataFrame([("d/a.DAT",), ("d/a.DAT",), ("d/a.dat.gz",)], "file string")
+    got = sorted(map(str, files.resolved(names, found).collect()))
+    assert got == sorted(map(str, [Row(name="d/A.dat", n=1, resolved="d/a.DAT", hits=2)] * 2 + [Row(name="d/none", n=2, resolved=None, hits=0), Row(name=None, n=3, resolved=None, hits=0)]))
+    objects = spark.createDataFrame([(1, 3), (1, 3), (2, 5761), (3, None), (4, 7)], "o int, target int")
+    units = spark.createDataFrame([(0, 0), (1, 5760)], "unit int, start int")
+    assert sorted((r.o, r.unit) for r in records.unit_at(objects, units, "target").where("unit is not null").collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert records.unit_at(objects, units, "target").count() == 5
+
+
+def test_label_endings(spark):
+    heads = ["A = 1\nEND\r\nrest", "A = 1\nEND\nrest", "A = 1\nEND   \rrest", "A = 1\nEND         rest", "A = 1\x00\x00\x00rest", "A = 1\nENDING = 2\nEND x"]
+    df = spark.createDataFrame([(i, h.encode()) for i, h in enumerate(heads)], "i int, content binary")
+    got = [r.label for r in df.orderBy("i").select(files.attached_label(F.col("content")).alias("label")).collect()]
+    assert got == ["A = 1\nEND\r", "A = 1\nEND\n", "A = 1\nEND   \r", "A = 1\nEND         ", "A = 1\x00\x00\x00", heads[5]]
+
+
+def test_bit_masks(spark):
+    df = spark.createDataFrame([(7, 5), (6, 5), (None, 5), (6, None)], "v int, m int")
+    assert [r.x for r in df.select(calibrate.bit_masked(F.col("v"), F.col("m"), [7]).alias("x")).collect()] == [7, 4, None, 6]
+    assert [r.x for r in df.select(calibrate.bit_masked(F.col("v"), F.col("m"), []).alias("x")).collect()] == [5, 4, None, 6]
+
+
 def test_fixed_records_of_files(spark, tmp_path):
     for name, n in (("a", 9_000), ("b", 0), ("c", 1)):
         (tmp_path / name).write_bytes(b"".join(struct.pack(">iH", k, k % 7) for k in range(n)))
@@ -68,11 +104,11 @@ def test_deep_blocks_raise(spark):
 def test_injected_to_any_level_and_never_round(spark):
     rows = spark.createDataFrame([(1, [0], "^STRUCTURE", "F0"), (1, [1], None, "x"), (2, [0], "^TABLE_STRUCTURE", "none")], "o int, order array<int>, key string, value string")
     chain = [(f"f{k}", 0, "^COLUMN_STRUCTURE", f"F{k + 1}") for k in range(6)] + [("f6", 0, "NAME", "deepest")]
-    files = spark.createDataFrame(chain, "file string, seq int, key string, value string")
-    out, missing = formats.injected(rows, files, "o", F.lower)
+    held = spark.createDataFrame(chain, "file string, seq int, key string, value string")
+    out, missing = formats.injected(rows, held, "o", F.lower)
     assert sorted((r.o, r.key, r.value) for r in out.where("key is not null").collect()) == [(1, "NAME", "deepest"), (2, "^TABLE_STRUCTURE", "none")]
     assert [tuple(r) for r in missing.collect()] == [(2, "none")]
-    loop = spark.createDataFrame([("f0", 0, "^STRUCTURE", "F1"), ("f1", 0, "^STRUCTURE", "F0")], files.schema)
+    loop = spark.createDataFrame([("f0", 0, "^STRUCTURE", "F1"), ("f1", 0, "^STRUCTURE", "F0")], held.schema)
     with pytest.raises(ValueError, match="themselves"):
         formats.injected(rows, loop, "o", F.lower)
 
