@@ -3,7 +3,10 @@
 Proposals live in a bitmap of fixed size. A pass counts a phrase where both its parts, without its last and without its first
 word, are in the bitmap: these are the proposed phrases and those just outside. False hits of the bitmap only make a pass
 count more. A frequent phrase outside the bitmap is a border failure: it joins, and a further pass counts what it opens, until
-there is none. All parts of a frequent phrase are frequent, so in the end each frequent phrase has been counted exactly once.
+there is none. All parts of a frequent phrase are frequent, so in the end each frequent phrase has been counted.
+
+Most of the border is rare, so it is counted by hashes first: tasks hand on packed arrays of hashes and counts, and a hash
+whose sum is too small holds no frequent phrase. The next pass counts the others by their words, so no count rests on a hash.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,18 +34,20 @@ _PAGE = 1 << 15
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _BREAK[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
-_SCHEMA = "lang string, k int, phrase string, n long, h long, known boolean"
+_SCHEMA = "shard int, hashes binary, counts binary, lang string, k int, phrase string, n long"
+#: Bytes of text whose hashes, about, one task sums up.
+SHARD_BYTES = 16 << 20
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A hash's bits spread over all 64."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash's bits spread over all 64, the number of words in the lowest three."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    return (h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFFFFFFFFF8) | np.uint64(k)
 
 
 class Bitmap:
-    """Two bits for each phrase, at places that its hash names. No bits at all: everything is in it."""
+    """Two bits for each phrase, at places that its hash names; without bits it holds everything."""
 
     def __init__(self, bits: np.ndarray | None) -> None:
         self.bits = bits
@@ -51,14 +57,18 @@ class Bitmap:
             return np.ones(len(hashes), bool)
         size = np.uint64(8 * len(self.bits))
         out = np.ones(len(hashes), bool)
-        for half in (hashes, hashes >> np.uint64(32)):
-            at = (half & np.uint64(0xFFFFFFFF)) % size
+        for half in (hashes >> np.uint64(3), hashes >> np.uint64(34)):
+            at = (half & np.uint64(0x3FFFFFFF)) % size
             out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
 
-def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, levels: range) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of one language's texts; with ``before`` only those that it did not let count. k = 0: all words."""
+def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wanted: Bitmap | None, levels: range, shards: int, totals: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of one language's texts.
+
+    By hash: those of the ``levels`` that ``now`` lets count and ``before`` did not. By their words: those in ``wanted``; and with ``totals`` the
+    number of all words, as k = 0.
+    """
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)  # lower() of bytes: A to Z only
     is_word = ~(_BLANK | _BREAK)[data]
     edges = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0)))
@@ -72,55 +82,76 @@ def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, le
     word, names = words.indices.to_numpy(), words.dictionary
     seed = xxhash.xxh64_intdigest(lang.encode())
     word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
+    by_hash: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def rows(k: int, phrase: pa.Array, n: np.ndarray, h: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(k: int, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(n), 20_000):
-            part = slice(at, at + 20_000)
-            size = len(n[part])
+            size = len(n[at : at + 20_000])
+            none = pa.nulls(size, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), phrase[part], pa.array(n[part].astype(np.int64)), pa.array(h[part].view(np.int64)), pa.array(known[part])],
-                names=["lang", "k", "phrase", "n", "h", "known"],
+                [pa.nulls(size, pa.int32()), none, none, pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), phrase[at : at + 20_000], pa.array(n[at : at + 20_000].astype(np.int64))], names=_NAMES
             )
 
-    zero = np.zeros(1, np.uint64)
-    if before is None and 1 in levels:
-        yield from rows(0, pa.array([""]), np.array([len(word)]), zero, np.zeros(1, bool))
-    # Of each place where a phrase of k words begins: which one, and of each phrase its text, its hash and whether it is in the bitmaps.
-    at, ids = np.arange(len(word)), word.astype(np.int64)
-    texts_, hashes = names, _mixed(word_hash)
-    is_in, was_in = now.holds(hashes), None if before is None else before.holds(hashes)
-    if before is None and 1 in levels:
-        yield from rows(1, texts_, np.bincount(ids, minlength=len(texts_)), hashes, is_in)
-    for k in range(2, levels[-1] + 1):
-        # ``at`` ascends: a place's suffix is the phrase that begins one word later, if that was counted.
-        follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]]))
-        left, right = ids[follows], ids[follows + 1]
-        both = is_in[left] & is_in[right]
-        follows, left, right = follows[both], left[both], right[both]
-        if not len(follows):
-            return
-        last = word[at[follows] + k - 1].astype(np.int64)
-        pair, first, ids, n = np.unique(left * len(names) + last, return_index=True, return_inverse=True, return_counts=True)
-        old = None if before is None else was_in[left[first]] & was_in[right[first]]
-        texts_ = pc.binary_join_element_wise(texts_.take(pa.array(pair // len(names))), names.take(pa.array(pair % len(names))), " ")
-        hashes = _mixed(hashes[pair // len(names)] * np.uint64(0x9E3779B97F4A7C15) + word_hash[pair % len(names)] + np.uint64(k))
-        at = at[follows]
+    # Of each place where a phrase of k words begins: which one. Of each phrase: its hash, whether it is in the bitmaps, and the phrase of one word
+    # less and the word that make it.
+    at, ids, n = np.arange(len(word)), word.astype(np.int64), np.bincount(word, minlength=len(names))
+    hashes, told = _mixed(word_hash, 1), np.full(len(names), before is None)
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    if totals:
+        yield from rows(0, pa.array([""]), np.array([len(word)]))
+    for k in range(1, levels[-1] + 1):
+        if k > 1:
+            # ``at`` ascends: a place's suffix is the phrase that begins one word later, if that was counted.
+            follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]]))
+            left, right = ids[follows], ids[follows + 1]
+            both = is_in[left] & is_in[right]
+            follows, left, right = follows[both], left[both], right[both]
+            if not len(follows):
+                break
+            last = word[at[follows] + k - 1].astype(np.int64)
+            ids, pair = pd.factorize(left * len(names) + last)
+            n = np.bincount(ids)
+            told = np.ones(len(pair), bool)
+            if before is not None:  # not counted before: that both parts were counted and in the old bitmap is the same at every place of a phrase
+                told[ids] = ~(was_in[left] & was_in[right])
+            made.append((pair // len(names), pair % len(names)))
+            hashes = _mixed(hashes[made[-1][0]] * np.uint64(0x9E3779B97F4A7C15) + word_hash[made[-1][1]], k)
+            at = at[follows]
         is_in = now.holds(hashes)
         if before is not None:
-            was_in = old & before.holds(hashes)
+            was_in = ~told & before.holds(hashes) if k > 1 else before.holds(hashes)
         if k in levels:
-            told = np.ones(len(n), bool) if old is None else ~old
             which = np.flatnonzero(told)
-            yield from rows(k, texts_.take(pa.array(which)), n[which], hashes[which], is_in[which])
+            by_hash.append((hashes[which], n[which]))
+        if wanted is not None and len(which := np.flatnonzero(wanted.holds(hashes))):
+            phrase = which
+            parts = []
+            for lefts, lasts in reversed(made):
+                parts.append(names.take(pa.array(lasts[phrase])))
+                phrase = lefts[phrase]
+            yield from rows(k, pc.binary_join_element_wise(names.take(pa.array(phrase)), *reversed(parts), " "), n[which])
+    found, n = (np.concatenate([p[i] for p in by_hash]) if by_hash else np.zeros(0, np.int64) for i in (0, 1))
+    if shards and len(found):
+        shard = ((found >> np.uint64(40)) % np.uint64(shards)).astype(np.uint32)
+        order = np.argsort(shard, kind="stable")
+        edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        for one in np.split(order, edges[1:]):
+            none = pa.nulls(1, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard[one[0]]], pa.int32()), pa.array([found[one].tobytes()], pa.binary()), pa.array([n[one].astype(np.uint32).tobytes()], pa.binary()), none, pa.nulls(1, pa.int32()), none, pa.nulls(1, pa.int64())], names=_NAMES
+            )
+
+
+_NAMES = ["shard", "hashes", "counts", "lang", "k", "phrase", "n"]
 
 
-def _counts(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, levels: range) -> DataFrame:
-    """(lang, k, phrase, n, h, known) of (lang, text): one row for each phrase that the bitmaps let count."""
-    held = docs.sparkSession.sparkContext.broadcast((now, before))
+def _counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, wanted: np.ndarray | None, levels: range, shards: int, totals: bool = False) -> DataFrame:
+    """What ``_chunk`` gives, of all tasks of (lang, text). No ``shards``: nothing is counted by hash."""
+    held = docs.sparkSession.sparkContext.broadcast((now, before, wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, was = held.value
-        now_, before_ = Bitmap(at), None if was is None else Bitmap(was)
+        maps = held.value
+        asked = (Bitmap(maps[0]), *[None if m is None else Bitmap(m) for m in maps[1:]], levels, shards, totals)
         texts: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         held_bytes = 0
@@ -133,17 +164,36 @@ def _counts(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None,
                 if held_bytes >= CHUNK_BYTES:
                     largest = max(sizes, key=sizes.get)
                     held_bytes -= sizes.pop(largest)
-                    yield from _chunk(largest, texts.pop(largest), now_, before_, levels)
+                    yield from _chunk(largest, texts.pop(largest), *asked)
         for lang, own in texts.items():
-            yield from _chunk(lang, own, now_, before_, levels)
+            yield from _chunk(lang, own, *asked)
 
-    return docs.mapInArrow(count, _SCHEMA).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.first("known").alias("known"))
+    return docs.mapInArrow(count, _SCHEMA)
+
+
+def _frequent_hashes(counted: DataFrame, least: int, now: np.ndarray | None) -> DataFrame:
+    """(h, failed): hashes whose counts reach ``least``, and whether the bitmap lacks one that could open longer phrases."""
+    held = counted.sparkSession.sparkContext.broadcast(now)
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        h = np.frombuffer(b"".join(group["hashes"]), np.uint64)
+        n = np.frombuffer(b"".join(group["counts"]), np.uint32)
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        many = np.add.reduceat(n[order].astype(np.int64), first) >= least
+        h = h[first][many]
+        failed = np.zeros(len(h), bool) if held.value is None else ~Bitmap(held.value).holds(h) & ((h & np.uint64(7)) < LONGEST)
+        return pd.DataFrame({"h": h.view(np.int64), "failed": failed})
+
+    return counted.where("shard IS NOT NULL").select("shard", "hashes", "counts").groupBy("shard").applyInPandas(summed, "h long, failed boolean")
 
 
 def _with(bits: np.ndarray | None, phrases: DataFrame, size: int) -> np.ndarray:
     """The bitmap with the places of all ``phrases`` (h) set. Spark makes its pages; their number is bounded by the bitmap's size."""
-    low, high = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("h", 32)
-    at = phrases.select(F.explode(F.array(low % size, high % size)).alias("at"))
+    mask = F.lit(0x3FFFFFFF).cast("long")
+    places = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(mask) % size for s in (3, 34)])
+    at = phrases.select(F.explode(places).alias("at"))
     pages = at.groupBy(F.floor(F.col("at") / _PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("at") % _PAGE).cast("long")).alias("bits"))
     out = np.zeros(size // 8, np.uint8) if bits is None else bits.copy()
     for r in pages.collect():
@@ -153,7 +203,7 @@ def _with(bits: np.ndarray | None, phrases: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, one_in: int = 8, lowered: float = 0.5, filter_bits: int = FILTER_BITS) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 100, one_in: int = 4, lowered: float = 0.35, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of up to five words that occur ``least`` times in their language, and k = 0: all its words.
 
     ``docs``: lang, text, without nulls. One row in ``one_in`` is in the sample, drawn by a hash of the row's place;
@@ -162,23 +212,35 @@ def frequent_phrases(docs: DataFrame, least: int = 100, one_in: int = 8, lowered
     """
     picked = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(one_in)) == 0
     sample = staged(docs.where(picked), "sample", "zstd")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     enough = max(1, int(least / one_in * lowered))
     now = None
     for k in range(1, LONGEST):
-        found = _counts(sample, None if k == 1 else now, None, range(k, k + 1)).where((F.col("k") == k) & (F.col("n") >= enough))
+        found = _frequent_hashes(_counted(sample, now, None, None, range(k, k + 1), 1 + size // SHARD_BYTES), enough, None)
         now = _with(now, found, filter_bits)
-    parts, before = [], None
+    shards = 1 + one_in * size // SHARD_BYTES
+    every = range(1, LONGEST + 1)
+    found = staged(_frequent_hashes(_counted(docs, now, None, None, every, shards), least, now), "hashes")
+    parts: list[DataFrame] = []
+    before = now
     while True:
-        counted = _counts(docs, now, before, range(1, LONGEST + 1))
-        part = staged(counted.where((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
-        parts.append(part.select("lang", "k", "phrase", "n"))
-        failed = part.where(~F.col("known") & F.col("k").between(1, LONGEST - 1))
-        if failed.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        before, now = now, _with(now, failed, filter_bits)
-
-
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, top: int = 2000, one_in: int = 8, lowered: float = 0.5, filter_bits: int = FILTER_BITS) -> DataFrame:
+        failed = found.where("failed")
+        closed = failed.isEmpty()
+        now = before if closed else _with(before, failed, filter_bits)
+        counted = staged(_counted(docs, now, before, _with(None, found, filter_bits), every, 0 if closed else shards, totals=not parts), "phrases")
+        sums = counted.where("lang IS NOT NULL").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        parts.append(sums.where((F.col("n") >= least) | (F.col("k") == 0)))
+        if closed:
+            break
+        found = staged(_frequent_hashes(counted, least, now), "hashes")
+        before = now
+        if found.isEmpty():
+            break
+    # A phrase that a bitmap let through by mistake may have been counted twice, each time in full.
+    return staged(reduce(DataFrame.unionByName, parts).groupBy("lang", "k", "phrase").agg(F.max("n").alias("n")), "frequent")
+
+
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, top: int = 2000, one_in: int = 4, lowered: float = 0.35, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's phrases of two to five words that hold together best.
 
     Pieces end at ``. , ; : ! ?`` and line ends, words at blanks and tabs; A to Z are lower-cased. A phrase counts ``a`` times in
