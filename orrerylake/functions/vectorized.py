@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrerylake.sources import ranges
+
 _LETTERS = {"integer": "i", "unsigned": "u", "ieee": "f"}
 
 
@@ -84,30 +87,35 @@ _ARROW = {
 }
 
 
+#: Arrow types of the fields that come as lists.
+_LIST_TYPES = {"bits": pa.string(), "ebcdic": pa.string(), "text": pa.string(), "ascii_integer": pa.int64(), "ascii_real": pa.float64()}
+
+
 def arrow_type(type_: str) -> pa.DataType:
     return _ARROW.get(type_, pa.binary())
 
 
 def padded_block(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-    """The first ``width`` bytes of every record as rows of a block; shorter records are filled with zeros."""
-    if len(starts) and (sizes == width).all() and (np.diff(starts) == width).all():
-        return data[starts[0] : starts[0] + width * len(starts)].reshape(len(starts), width)
+    """The first ``width`` bytes of every record as rows of a block; shorter records are filled with zeros. ``data`` has ``width`` bytes over."""
     if not width or not len(starts):
         return np.zeros((len(starts), width), np.uint8)
-    over = np.concatenate([data, np.zeros(width, np.uint8)])
-    block = np.ndarray((len(over) - width + 1, width), np.uint8, over, strides=(1, 1))[starts]
+    if (sizes == width).all() and (np.diff(starts) == width).all():
+        return data[starts[0] : starts[0] + width * len(starts)].reshape(len(starts), width)
+    block = np.ndarray((len(data) - width + 1, width), np.uint8, data, strides=(1, 1))[starts]
     if (sizes < width).any():
         block = block * (np.arange(width) < sizes[:, None])
     return block
 
 
-def fields_of_block(block: np.ndarray, sizes: np.ndarray, fields: list[dict], types: list[str]) -> list[pa.Array]:
-    """One typed array for each field; a record that does not hold all bytes of a field has a null there."""
+def fields_of_block(block: np.ndarray, sizes: np.ndarray, fields: list[dict], types: list[str | None]) -> list[pa.Array]:
+    """One array for each field, of its type if that is given; a record that does not hold all bytes of a field has a null there."""
     out = []
     for f, type_ in zip(fields, types, strict=True):
         there = sizes >= f["start"] - 1 + f["width"]
-        held = pa.array(field_of(block if there.all() else block[there], f["kind"], f["order"], f["start"], f["width"], f["is_signed"]), *([pa.binary()] if arrow_type(type_) == pa.binary() else []))
-        held = held.cast(arrow_type(type_))
+        values = field_of(block if there.all() else block[there], f["kind"], f["order"], f["start"], f["width"], f["is_signed"])
+        held = pa.array(values, _LIST_TYPES.get(f["kind"], pa.binary())) if isinstance(values, list) else pa.array(values)
+        if type_:
+            held = held.cast(arrow_type(type_))
         out.append(held if there.all() else held.take(pa.array(np.where(there, np.cumsum(there) - 1, 0), mask=~there)))
     return out
 
@@ -130,7 +138,78 @@ def decoded_records(records: DataFrame, fields: list[dict], schema: StructType,
             sizes = np.diff(offsets)
             if cells.null_count:
                 sizes = np.where(cells.is_valid().to_numpy(zero_copy_only=False), sizes, -1)
-            block = padded_block(data, offsets[:-1], sizes, end)
+            block = padded_block(np.concatenate([data, np.zeros(end, np.uint8)]), offsets[:-1], sizes, end)
             yield pa.RecordBatch.from_arrays(fields_of_block(block, sizes, fields, types), names=[f["name"] for f in fields])
 
     return records.select(record).mapInArrow(decode, schema)
+
+
+def _converted(values: pa.Array, type_: str, scale: float | None, offset: float | None) -> pa.Array:
+    if (scale is not None or offset is not None) and not pa.types.is_string(values.type) and not pa.types.is_binary(values.type) and not pa.types.is_boolean(values.type):
+        values = pc.add(pc.multiply(values.cast(pa.float64()), 1.0 if scale is None else scale), 0.0 if offset is None else offset)
+    to = arrow_type(type_)
+    if values.type == to:
+        return values
+    if pa.types.is_string(to) and pa.types.is_binary(values.type):
+        return pa.array([None if v is None else v.hex() for v in values.to_pylist()], pa.string())
+    return values.cast(to)
+
+
+def range_decoder(keys: list[str], columns: dict[str, str], file: str, at_once: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task's part of ``formats.decoded_by_format``: read a range, cut it into records, decode each field of all of them."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            info = {c: batch.column(c).to_pylist() for c in ("first_row", "record_bytes", "skip_bytes", "fields")}
+            for row, content in ranges.slices(batch, file):
+                if not content:
+                    continue
+                record, skip, fields = info["record_bytes"][row], info["skip_bytes"][row] or 0, info["fields"][row] or []
+                end = max((f["start"] - 1 + f["width"] for f in fields), default=0)
+                data = np.frombuffer(content + bytes(end), np.uint8)
+                n = -(-len(content) // record)
+                for k in range(0, n, at_once):
+                    starts = np.arange(k, min(k + at_once, n), dtype=np.int64) * record
+                    sizes = np.minimum(record, len(content) - starts) - skip
+                    held = dict.fromkeys(columns)
+                    block = padded_block(data, np.minimum(starts + skip, len(content)), sizes, end)
+                    for f, values in zip(fields, fields_of_block(block, sizes, fields, [None] * len(fields)), strict=True):
+                        held[f["name"]] = _converted(values, columns[f["name"]], f["scale"], f["offset"])
+                    size = len(starts)
+                    arrays = [pa.nulls(size, arrow_type(columns[c])) if a is None else a for c, a in held.items()]
+                    of = pa.array(np.full(size, row, np.int64))
+                    rows = pa.array(np.arange(size, dtype=np.int64) + k + info["first_row"][row])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in keys], rows, *arrays], names=[*keys, "row", *held])
+
+    return decode
+
+
+def image_decoder(keys: list[str], file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task's part of ``archive.image_lines``: a range of an image's line records to rows (keys, band, line, samples)."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            info = {c: batch.column(c).to_pylist() for c in ("first_row", "record_bytes", "lines", "line_samples", "bands", "order", "prefix", "kind", "byte_order", "pixel_bytes", "is_signed")}
+            for row, content in ranges.slices(batch, file):
+                i = {c: v[row] for c, v in info.items()}
+                n = len(content or b"") // i["record_bytes"]
+                if not n:
+                    continue
+                per_record = i["line_samples"] * (i["bands"] if i["order"] == "SAMPLE_INTERLEAVED" else 1)
+                raw = np.frombuffer(content, np.uint8)[: n * i["record_bytes"]].reshape(n, i["record_bytes"])
+                raw = np.ascontiguousarray(raw[:, i["prefix"] : i["prefix"] + per_record * i["pixel_bytes"]]).reshape(-1, i["pixel_bytes"])
+                values = np.asarray(field_of(raw, i["kind"], i["byte_order"], 1, i["pixel_bytes"], i["is_signed"]), float)
+                at = np.arange(n) + i["first_row"]
+                if i["order"] == "SAMPLE_INTERLEAVED":
+                    values = values.reshape(n, i["line_samples"], i["bands"]).transpose(0, 2, 1).reshape(-1)
+                    band, line = np.tile(np.arange(i["bands"]), n), np.repeat(at, i["bands"])
+                elif i["order"] == "LINE_INTERLEAVED":
+                    band, line = at % i["bands"], at // i["bands"]
+                else:
+                    band, line = at // i["lines"], at % i["lines"]
+                offsets = np.arange(0, len(values) + 1, i["line_samples"], dtype=np.int32)
+                samples = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                of = pa.array(np.full(len(band), row, np.int64))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in keys], pa.array(band.astype(np.int32)), pa.array(line.astype(np.int32)), samples], names=[*keys, "band", "line", "samples"])
+
+    return decode

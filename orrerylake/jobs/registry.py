@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import calibration_queries, format_queries, image_queries, label_queries, record_queries, sink_queries  # noqa: F401
+from . import archive_queries, calibration_queries, format_queries, image_queries, label_queries, record_queries, sink_queries  # noqa: F401
 from .register import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

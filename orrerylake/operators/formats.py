@@ -37,7 +37,9 @@ def flattened(fields: DataFrame) -> DataFrame:
 #: Blocks that define a field, and blocks that repeat what is in them.
 FIELD_BLOCKS = ["COLUMN", "FIELD", "ELEMENT"]
 REPEATED_BLOCKS = ["CONTAINER", "COLLECTION", "ARRAY"]
-_TEXT_KEYS, _NUMBER_KEYS = ["NAME", "DATA_TYPE"], ["START_BYTE", "BYTES", "ITEMS", "ITEM_BYTES", "ITEM_OFFSET", "REPETITIONS", "ROWS", "ROW_BYTES"]
+_TEXT_KEYS = ["NAME", "DATA_TYPE", "INTERCHANGE_FORMAT", "FIELD_DELIMITER", "SAMPLE_TYPE", "BAND_STORAGE_TYPE"]
+_NUMBER_KEYS = ["START_BYTE", "BYTES", "ITEMS", "ITEM_BYTES", "ITEM_OFFSET", "REPETITIONS", "ROWS", "ROW_BYTES", "ROW_PREFIX_BYTES", "ROW_SUFFIX_BYTES", "RECORDS", "LINES", "LINE_SAMPLES", "SAMPLE_BITS", "BANDS", "LINE_PREFIX_BYTES", "LINE_SUFFIX_BYTES"]
+_REAL_KEYS = ["SCALING_FACTOR", "OFFSET"]
 
 
 def block_table(meta: DataFrame, product: str) -> DataFrame:
@@ -47,15 +49,15 @@ def block_table(meta: DataFrame, product: str) -> DataFrame:
     long metadata table; a block of another label is another block.
     """
     inside = meta.where((F.col("depth") > 0) & F.col("key").isNotNull())
-    keys = {k: F.min_by(F.coalesce("value_string", "value_raw"), F.when(F.col("key") == k, F.col("seq"))) for k in _TEXT_KEYS + _NUMBER_KEYS}
+    keys = {k: F.min_by(F.coalesce("value_string", "value_raw"), F.when(F.col("key") == k, F.col("seq"))) for k in _TEXT_KEYS + _NUMBER_KEYS + _REAL_KEYS}
     wide = inside.groupBy(product, F.element_at("blocks", -1).alias("at")).agg(F.first("path").alias("path"), F.first("blocks").alias("chain"), *[c.alias(k) for k, c in keys.items()])
-    return wide.withColumns({"kind": F.element_at("path", -1)} | {k: F.col(k).try_cast("int") for k in _NUMBER_KEYS})
+    return wide.withColumns({"kind": F.element_at("path", -1)} | {k: F.col(k).try_cast("int") for k in _NUMBER_KEYS} | {k: F.col(k).try_cast("double") for k in _REAL_KEYS})
 
 
 def fields_of_blocks(meta: DataFrame, product: str) -> DataFrame:
     """Every field that the labels' blocks define, with the byte it starts at in the record, repetitions and items spread out.
 
-    (product, object_at, object, at, NAME, DATA_TYPE, repetition, item, SB_OFFSET, WIDTH). Blocks may lie in containers, collections
+    (product, object_at, object, at, NAME, DATA_TYPE, repetition, item, SB_OFFSET, WIDTH, SCALING_FACTOR, OFFSET). Blocks may lie in containers, collections
     and arrays to any depth: each adds its own start and its repetition's stride, innermost repetitions run fastest. Counts below 1
     act as 1; missing starts count as 1. Two shuffles by product, of block rows only. An empty table stays empty.
     """
@@ -81,7 +83,7 @@ def fields_of_blocks(meta: DataFrame, product: str) -> DataFrame:
     before = F.aggregate(F.reverse("steps"), F.struct(F.col("repetition").alias("rest"), F.lit(0).alias("at")), outward, lambda x: x["at"])
     width = F.coalesce("ITEM_BYTES", F.when(F.coalesce("ITEMS", F.lit(1)) > 1, (F.col("BYTES") / F.col("ITEMS")).cast("int")), "BYTES")
     offset = before + F.coalesce("START_BYTE", F.lit(1)) - 1 + F.col("item") * F.coalesce("ITEM_OFFSET", width)
-    return each.select(product, "object_at", "object", "at", "NAME", "DATA_TYPE", "repetition", "item", offset.cast("int").alias("SB_OFFSET"), width.cast("int").alias("WIDTH"))
+    return each.select(product, "object_at", "object", "at", "NAME", "DATA_TYPE", "repetition", "item", offset.cast("int").alias("SB_OFFSET"), width.cast("int").alias("WIDTH"), "SCALING_FACTOR", "OFFSET")
 
 
 def filled_bytes(bytes_: Column, items: Column, item_bytes: Column) -> Column:
@@ -185,9 +187,14 @@ def line_prefix(rows: Column, suffix: Column, image: Column) -> Column:
 INTEGERS = {(1, True): "tinyint", (2, True): "smallint", (4, True): "int", (8, True): "bigint", (1, False): "smallint", (2, False): "int", (4, False): "bigint", (8, False): "decimal(20,0)"}
 
 
+_OTHERS = {"ascii_integer": "bigint", "ascii_real": "double", "boolean": "boolean"}
+
+
 def spark_type(kind: str, width: int, is_signed: bool) -> str:
     if kind == "integer":
         return INTEGERS[width, is_signed]
+    if kind in _OTHERS:
+        return _OTHERS[kind]
     if kind in ("ieee", "vax", "ibm"):
         return "float" if width == 4 and kind != "ibm" else "double"
     return {"text": "string", "ebcdic": "string", "bits": "string"}.get(kind, "binary")
@@ -212,6 +219,10 @@ def decoded(record: Column, kind: str, order: str, start: int, width: int, is_si
         value = binary.bit_text(record, start, width, order)
     elif kind == "ebcdic":
         value = binary.ebcdic(F.substring(record, start, width))
+    elif kind in ("ascii_integer", "ascii_real"):
+        value = F.trim(F.decode(F.substring(record, start, width), "ISO-8859-1"), F.lit(' \t\r\n",\0')).try_cast(spark_type(kind, width, is_signed))
+    elif kind == "boolean":
+        value = binary.hex_of(record, start, width, "big").rlike("[^0]")
     elif kind == "text":
         value = F.rtrim(F.decode(F.substring(record, start, width), "ISO-8859-1"))
     else:
@@ -282,3 +293,79 @@ def sampled_field(i: Column, first: Column, step: Column, scale: str = "linear",
 def sampling_fits(made: Column, given: Column, tolerance: float = 0.001) -> Column:
     """Whether the last value that the sampling makes is the one that the label gives, to a thousandth; null where none is given."""
     return F.when(given.isNotNull(), F.abs(made - given) <= F.abs(given) * tolerance)
+
+
+# --- formats as data: many products of many formats at once --------------------------------------------------------
+
+FORMAT = "array<struct<name:string,kind:string,order:string,start:int,width:int,is_signed:boolean,scale:double,offset:double>>"
+#: Columns of all formats together at most; a checked bound of what the driver holds as a schema.
+MOST_COLUMNS = 20_000
+
+
+def field_kind(data_type: Column, width: Column, is_ascii: Column) -> Column:
+    """struct<kind, order, is_signed> of a field; in tables of text, numbers are text, and elsewhere where the type says so."""
+    t = F.regexp_replace(F.upper(data_type), " ", "_")
+    by_text = is_ascii | F.startswith(t, F.lit("ASCII_"))
+    kind = F.when(t.contains("INTEGER"), "ascii_integer").when(t.rlike("REAL|FLOAT"), "ascii_real").otherwise("text")
+    code = binary.type_code(data_type, width)
+    own = F.when(t == "BOOLEAN", F.struct(F.lit("boolean").alias("kind"), F.lit("big").alias("order"), F.lit(False).alias("is_signed"))).otherwise(code)
+    return F.when(by_text, F.struct(kind.alias("kind"), F.lit("big").alias("order"), F.lit(False).alias("is_signed"))).otherwise(own)
+
+
+def fingerprinted(fields: DataFrame, object_: list[str], is_ascii: str = "is_ascii") -> DataFrame:
+    """(object_, fingerprint, fields): each object's format as one value, and a hash of it that equal formats share.
+
+    ``fields``: as ``fields_of_blocks`` gives them, and whether the table is one of text. Names are made unique; fields stand in the order of their
+    bytes. A field whose type has no reading stays as bytes; placeholders and fields without a place or a width go. One shuffle, by object.
+    """
+    held = fields.where(F.col("NAME").isNotNull() & F.col("SB_OFFSET").isNotNull() & (F.col("WIDTH") > 0) & ~F.startswith("NAME", F.lit(PLACEHOLDER)))
+    named = unique_names(held.withColumn("_first", F.col("SB_OFFSET")), object_, ["SB_OFFSET", "at"], start="_first")
+    code = field_kind(F.col("DATA_TYPE"), F.col("WIDTH"), F.coalesce(F.col(is_ascii), F.lit(False)))
+    kind = F.coalesce(code, F.struct(F.lit("void").alias("kind"), F.lit("big").alias("order"), F.lit(False).alias("is_signed")))
+    one = F.struct((F.col("SB_OFFSET") + 1).alias("start"), F.col("unique").alias("name"), kind.alias("k"), F.col("WIDTH").alias("width"), F.nullif(F.col("SCALING_FACTOR"), F.lit(0.0)).alias("scale"), F.nullif(F.col("OFFSET"), F.lit(0.0)).alias("offset"))
+    ordered = named.groupBy(*object_).agg(F.array_sort(F.collect_list(one)).alias("f"))
+    fields_ = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["k"]["kind"].alias("kind"), x["k"]["order"].alias("order"), x["start"].alias("start"), x["width"].alias("width"), x["k"]["is_signed"].alias("is_signed"), x["scale"].alias("scale"), x["offset"].alias("offset")))
+    return ordered.select(*object_, fields_.cast(FORMAT).alias("fields")).withColumn("fingerprint", F.sha2(F.to_json("fields"), 256))
+
+
+def type_of_field(field: dict) -> str:
+    """The Spark type of a field; scaled numbers are doubles."""
+    own = spark_type(field["kind"], field["width"], field["is_signed"])
+    scaled = field["scale"] is not None or field["offset"] is not None
+    return "double" if scaled and own not in ("string", "binary", "boolean") else own
+
+
+_WIDER = ["tinyint", "smallint", "int", "bigint", "decimal(20,0)"]
+
+
+def common_type(types: set[str]) -> str:
+    """One type for a column that formats give differently: the widest integer, double for reals beside anything numeric, else text."""
+    if len(types) == 1:
+        return next(iter(types))
+    if types <= set(_WIDER):
+        return max(types, key=_WIDER.index)
+    return "double" if types <= {*_WIDER, "float", "double"} else "string"
+
+
+def merged_schema(formats: DataFrame, most_columns: int = MOST_COLUMNS) -> dict[str, str]:
+    """Name to type of the columns of all formats, by name. Distinct names and types are looked at by the driver, and their number is checked."""
+    each = formats.dropDuplicates(["fingerprint"]).select(F.explode("fields").alias("f")).select("f.name", "f.kind", "f.width", "f.is_signed", F.when(F.coalesce("f.scale", "f.offset").isNotNull(), 1.0).alias("scale"), F.lit(None).cast("double").alias("offset"))
+    held = each.distinct().limit(most_columns + 1).collect()
+    if len(held) > most_columns:
+        raise ValueError(f"the formats have more than {most_columns} columns together")
+    types: dict[str, set[str]] = {}
+    for r in held:
+        types.setdefault(r.name, set()).add(type_of_field(r.asDict()))
+    return {name: common_type(types[name]) for name in sorted(types)}
+
+
+def decoded_by_format(ranges: DataFrame, keys: list[str], columns: dict[str, str], file: str = "file") -> DataFrame:
+    """(keys, row, columns): the records of byte ranges, each decoded by the format that its row carries, in one pass over all formats.
+
+    ``ranges``: keys, file, at, size, first_row, record_bytes, skip_bytes (bytes before the fields of a record) and fields. ``columns``: as
+    ``merged_schema`` gives them; a column that a format lacks is null. A record that is cut off at the file's end has nulls in the fields that it does
+    not hold. Missing files give no rows.
+    """
+    asked = ranges.select(*keys, file, "at", "size", "first_row", "record_bytes", "skip_bytes", "fields")
+    schema = StructType([*asked.select(*keys).schema.fields, *StructType.fromDDL(", ".join(["row bigint", *[f"`{c}` {t}" for c, t in columns.items()]])).fields])
+    return asked.mapInArrow(vectorized.range_decoder(keys, columns, file), schema)

@@ -146,6 +146,25 @@ def table_length(n_bytes: Column, n_records: Column, record_bytes: Column, row_b
     return F.coalesce(n_bytes, n_records * F.coalesce(record_bytes, row))
 
 
+def table_position(name: Column, record_type: Column, target: Column, start: Column, length: Column, record_bytes: Column, n_rows: Column) -> Column:
+    """struct<as_rows, start, length>: where a table lies, in rows (lines) or in bytes.
+
+    In rows only where a stream's records have no known size, the name says text (ASCII, SPREADSHEET or HEADER) and the target counts records;
+    the first row is number 0. Else in bytes.
+    """
+    by_rows = F.coalesce((record_type == "STREAM") & record_bytes.isNull() & F.upper(name).rlike("ASCII|SPREADSHEET|HEADER") & (F.coalesce(F.upper(target["units"]), F.lit("")) != "BYTES"), F.lit(False))
+    first = F.greatest(F.coalesce(target["value"], F.lit(1).cast("long")) - 1, F.lit(0).cast("long"))
+    return F.struct(by_rows.alias("as_rows"), F.when(by_rows, first).otherwise(start).cast("long").alias("start"), F.when(by_rows, n_rows).otherwise(length).cast("long").alias("length"))
+
+
+def numbered_blocks(blocks: DataFrame, product: str) -> DataFrame:
+    """``blocks`` (at, path, kind) with the column indexed: blocks of one name in one product are NAME_0, NAME_1 in label order, as their pointers are."""
+    same = Window.partitionBy(product, "kind")
+    number = (F.row_number().over(same.orderBy("at")) - 1).cast("string")
+    plain = F.col("kind").rlike("STRUCTURE|PDS_OBJECT") | (F.count("*").over(same) == 1)
+    return blocks.withColumn("indexed", F.when(plain, F.col("kind")).otherwise(F.concat_ws("_", "kind", number)))
+
+
 def edited(meta: DataFrame, where: Column, value: Column | None = None, key: Column | None = None) -> DataFrame:
     """The table with values or keys replaced where a condition holds, at any level."""
     out = meta

@@ -74,3 +74,52 @@ def binary_records(lineitem: DataFrame) -> DataFrame:
         binary.to_ebcdic(c("l_returnflag")),
     )
     return lineitem.select(record.alias("record"))
+
+
+def written(frame: DataFrame, path: str, by: str, content: str) -> None:
+    """The bytes of each row as a file of their own in a folder named after ``by``; Spark ends them with a line feed."""
+    frame.select(by, F.col(content).cast("string").alias("value")).write.partitionBy(by).text(path)
+
+
+HEAD_BYTES = 2048
+#: Orders of a product at most.
+ORDERS_EACH = 1024
+
+
+def _column(name: str, data_type: str, start: int, width: int, *more: str) -> str:
+    return "\n".join(["  OBJECT = COLUMN", f"    NAME = {name}", f"    DATA_TYPE = {data_type}", f"    START_BYTE = {start}", f"    BYTES = {width}", *[f"    {m}" for m in more], "  END_OBJECT = COLUMN"]) + "\n"
+
+
+#: Three formats of the same facts: integers and reals of either order, numbers as text, and a scaled field with items and padding. Row bytes, columns.
+FORMATS = [
+    (20, "BINARY", _column("ORDERKEY", "MSB_INTEGER", 1, 8) + _column("CUSTKEY", "LSB_UNSIGNED_INTEGER", 9, 4) + _column("PRICE", "IEEE_REAL", 13, 8)),
+    (40, "ASCII", _column("ORDERKEY", "INTEGER", 1, 12) + _column("CUSTKEY", "INTEGER", 14, 10) + _column("PRICE", "ASCII_REAL", 24, 16)),
+    (22, "BINARY", _column("PRICE", "PC_REAL", 3, 8) + _column("ORDERKEY", "MSB_UNSIGNED_INTEGER", 11, 4) + _column("CUSTKEY", "LSB_INTEGER", 15, 4, "SCALING_FACTOR = 0.5") + _column("YEARS", "MSB_UNSIGNED_INTEGER", 19, 4, "ITEMS = 2", "ITEM_BYTES = 2")),
+]
+
+
+def order_products(orders: DataFrame) -> DataFrame:
+    """(product, content): one file for each ``ORDERS_EACH`` keys of orders, with an attached label, a table in one of three formats, and an image of
+    two bands with a line for each order and a prefix of two bytes.
+    """
+    c = F.col
+    year = F.year("o_orderdate")
+    one = F.concat(binary.integer_bytes(c("o_orderkey"), 8, "big"), binary.integer_bytes(c("o_custkey"), 4, "little"), binary.ieee_bytes(c("o_totalprice"), 8, "big"))
+    other = F.concat(F.lpad(c("o_orderkey").cast("string"), 12, " "), F.lit(" "), F.lpad(c("o_custkey").cast("string"), 10, " "), F.lpad(F.format_string("%.2f", "o_totalprice"), 16, " "), F.lit("\n")).cast("binary")
+    third = F.concat(F.unhex(F.lit("FFFF")), binary.ieee_bytes(c("o_totalprice"), 8, "little"), binary.integer_bytes(c("o_orderkey"), 4, "big"), binary.integer_bytes(c("o_custkey") * 2, 4, "little"), binary.integer_bytes(year, 2, "big"), binary.integer_bytes(year + 1, 2, "big"))
+    product = F.floor(c("o_orderkey") / ORDERS_EACH)
+    kind = product % 3
+    line = [F.concat(F.unhex(F.lit("AABB")), binary.integer_bytes(-c("o_custkey"), 4, "little"), binary.integer_bytes(c("o_orderkey") + b, 4, "little")) for b in (0, 1)]
+    row = F.struct("o_orderkey", F.hex(F.when(kind == 0, one).when(kind == 1, other).otherwise(third)).alias("row"), *[F.hex(x).alias(f"line{b}") for b, x in enumerate(line)])
+    held = orders.groupBy(product.alias("product")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    n, kind = F.size("rows"), F.col("product") % 3
+    row_bytes, interchange, columns = (F.when(kind == 0, F.lit(FORMATS[0][i])).when(kind == 1, F.lit(FORMATS[1][i])).otherwise(F.lit(FORMATS[2][i])) for i in range(3))
+    label = text(
+        "PDS_VERSION_ID = PDS3\nRECORD_TYPE = FIXED_LENGTH\nDATA_SET_ID = ORDERS\nPRODUCT_ID = ", F.col("product"), "\n^TABLE = ", F.lit(HEAD_BYTES + 1), " <BYTES>\n^IMAGE = ", HEAD_BYTES + 1 + n * row_bytes, " <BYTES>\n",
+        "OBJECT = TABLE\n  INTERCHANGE_FORMAT = ", interchange, "\n  ROWS = ", n, "\n  ROW_BYTES = ", row_bytes, "\n", columns, "END_OBJECT = TABLE\n",
+        "OBJECT = IMAGE\n  LINES = ", n, "\n  LINE_SAMPLES = 2\n  SAMPLE_TYPE = LSB_INTEGER\n  SAMPLE_BITS = 32\n  BANDS = 2\n  BAND_STORAGE_TYPE = ", F.when(kind == 0, "BAND_SEQUENTIAL").otherwise("LINE_INTERLEAVED"),
+        "\n  LINE_PREFIX_BYTES = 2\nEND_OBJECT = IMAGE\nEND\n",
+    )
+    digits, by_band = F.array_join("rows.row", ""), F.concat(F.array_join("rows.line0", ""), F.array_join("rows.line1", ""))
+    by_line = F.array_join(F.transform("rows", lambda r: F.concat(r["line0"], r["line1"])), "")
+    return held.select("product", F.concat(F.rpad(label, HEAD_BYTES, " ").cast("binary"), F.unhex(digits), F.unhex(F.when(kind == 0, by_band).otherwise(by_line))).alias("content"))

@@ -72,6 +72,36 @@ def test_odd_label(spark):
     assert [(x.value, x.units) for x in angle] == [("-4.5e-05", "RAD"), ("1", "RAD")]
 
 
+@pytest.mark.parametrize(
+    ("value", "items", "nested"),
+    [
+        ('("a, b", 2)', ["a, b", "2"], '["a, b",2]'),
+        ("((1,2),(3,4))", ["(1,2)", "(3,4)"], "[[1,2],[3,4]]"),
+        ("(16#FF#, 2)", ["255", "2"], "[255,2]"),
+        ('("A,B.DAT", 5 <BYTES>)', ["A,B.DAT", "5 <BYTES>"], '["A,B.DAT",{"units":"BYTES","value":5}]'),
+        ("{a, 'b)c', (x, {1.5, -.5, +3, 2.})}", ["a", "b)c", "(x, {1.5, -.5, +3, 2.})"], '["a","b)c",["x",[1.5,-0.5,3,2]]]'),
+        ("()", [], "[]"),
+        ('("")', [""], '[""]'),
+        ("(1,,2)", ["1", "", "2"], None),
+        ("(2 <KM, S>, 007, 2001-02-03)", ["2 <KM, S>", "007", "2001-02-03"], '[{"units":"KM, S","value":2},"007","2001-02-03"]'),
+        ('("say ""x""")', None, None),
+        (None, None, None),
+    ],
+)
+def test_collections(spark, value, items, nested):
+    df = spark.createDataFrame([(value,), ("(1,2)",)], "v string").repartition(1)
+    got = df.select("v", values.items(F.col("v")).alias("items"), F.to_json(values.nested_value(F.col("v"))).alias("nested")).where(F.col("v").eqNullSafe(F.lit(value))).first()
+    assert items is None or got.items == items
+    assert nested is None or got.nested == nested
+
+
+def test_quoted_names_in_pointers(spark):
+    label = '^TABLE = ("A,B.DAT", 5 <BYTES>)\n^IMAGE = ("C (1).IMG", 3)\n^TEXT = "D.TXT"\n^X_TABLE = 7\nEND\n'
+    meta = statements.metadata(spark.createDataFrame([("p", label)], "product string, label string"), "product", "label")
+    got = {r.name: (r.file, r.value, r.units) for r in ingest.objects(meta).collect()}
+    assert got == {"TABLE": ("A,B.DAT", 5, "BYTES"), "IMAGE": ("C (1).IMG", 3, None), "TEXT": ("D.TXT", None, None), "X_TABLE": (None, 7, None)}
+
+
 def test_empty_and_null_labels(spark):
     rows = spark.createDataFrame([("a", None), ("b", ""), ("c", "\n\n"), ("d", "END_OBJECT\nEND\nX = 1")], "product string, label string")
     assert [(r.product, r.key) for r in statements.metadata(rows, "product", "label").collect()] == [("d", "X")]
