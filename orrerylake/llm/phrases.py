@@ -2,8 +2,9 @@
 
 Proposals live in a bitmap of fixed size. A pass counts a phrase where both its parts, without its last and without its first
 word, are in the bitmap: these are the proposed phrases and those just outside. False hits of the bitmap only make a pass
-count more. A frequent phrase outside the bitmap is a border failure: it joins, and a further pass counts what it opens, until
-there is none. All parts of a frequent phrase are frequent, so in the end each frequent phrase has been counted.
+count more. A frequent phrase outside the bitmap is a border failure: it joins, and a further pass counts what it opens. That pass
+takes what it opens for proposed, too, up to the longest phrases, so it leaves nothing to be opened: all parts of a frequent
+phrase are frequent, so each frequent phrase has been counted then.
 
 Most of the border is rare, so it is counted by hashes first: tasks hand on packed arrays of hashes and counts, and a hash
 whose sum is too small holds no frequent phrase. The next pass counts the others by their words, so no count rests on a hash.
@@ -34,7 +35,8 @@ _PAGE = 1 << 15
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _BREAK[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
-_SCHEMA = "shard int, hashes binary, counts binary, lang string, k int, phrase string, n long"
+_SCHEMA = "shard int, hashes binary, phrases string, counts binary, lang string, n long"
+_ARROW = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("phrases", pa.string()), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64())])
 #: Bytes of text whose hashes, about, one task sums up.
 SHARD_BYTES = 16 << 20
 
@@ -63,11 +65,11 @@ class Bitmap:
         return out
 
 
-def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wanted: Bitmap | None, levels: range, shards: int, totals: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of one language's texts.
+def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wanted: Bitmap | None, levels: range, shards: int, by_hash: bool, totals: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of one language's texts, packed: a row for each shard of the hashes.
 
-    By hash: those of the ``levels`` that ``now`` lets count and ``before`` did not. By their words: those in ``wanted``; and with ``totals`` the
-    number of all words, as k = 0.
+    ``by_hash``: hashes and counts of those of the ``levels`` that ``now`` lets count and ``before`` did not. ``wanted``: phrases in it, a line each,
+    and counts. ``totals``: the number of all words.
     """
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)  # lower() of bytes: A to Z only
     is_word = ~(_BLANK | _BREAK)[data]
@@ -82,15 +84,16 @@ def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wa
     word, names = words.indices.to_numpy(), words.dictionary
     seed = xxhash.xxh64_intdigest(lang.encode())
     word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
-    by_hash: list[tuple[np.ndarray, np.ndarray]] = []
+    hashed: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def rows(k: int, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(n), 20_000):
-            size = len(n[at : at + 20_000])
-            none = pa.nulls(size, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(size, pa.int32()), none, none, pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), phrase[at : at + 20_000], pa.array(n[at : at + 20_000].astype(np.int64))], names=_NAMES
-            )
+    def row(**cells: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([cells], _ARROW)
+
+    def by_shard(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        shard = ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.uint32)
+        order = np.argsort(shard, kind="stable")
+        for one in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            yield int(shard[one[0]]), one
 
     # Of each place where a phrase of k words begins: which one. Of each phrase: its hash, whether it is in the bitmaps, and the phrase of one word
     # less and the word that make it.
@@ -98,7 +101,7 @@ def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wa
     hashes, told = _mixed(word_hash, 1), np.full(len(names), before is None)
     made: list[tuple[np.ndarray, np.ndarray]] = []
     if totals:
-        yield from rows(0, pa.array([""]), np.array([len(word)]))
+        yield row(lang=lang, n=len(word))
     for k in range(1, levels[-1] + 1):
         if k > 1:
             # ``at`` ascends: a place's suffix is the phrase that begins one word later, if that was counted.
@@ -119,39 +122,32 @@ def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wa
             at = at[follows]
         is_in = now.holds(hashes)
         if before is not None:
-            was_in = ~told & before.holds(hashes) if k > 1 else before.holds(hashes)
-        if k in levels:
+            was_in = before.holds(hashes) & ~told
+            is_in |= told
+        if by_hash and k in levels:
             which = np.flatnonzero(told)
-            by_hash.append((hashes[which], n[which]))
+            hashed.append((hashes[which], n[which]))
         if wanted is not None and len(which := np.flatnonzero(wanted.holds(hashes))):
-            phrase = which
-            parts = []
+            phrase, parts = which, []
             for lefts, lasts in reversed(made):
                 parts.append(names.take(pa.array(lasts[phrase])))
                 phrase = lefts[phrase]
-            yield from rows(k, pc.binary_join_element_wise(names.take(pa.array(phrase)), *reversed(parts), " "), n[which])
-    found, n = (np.concatenate([p[i] for p in by_hash]) if by_hash else np.zeros(0, np.int64) for i in (0, 1))
-    if shards and len(found):
-        shard = ((found >> np.uint64(40)) % np.uint64(shards)).astype(np.uint32)
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        for one in np.split(order, edges[1:]):
-            none = pa.nulls(1, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard[one[0]]], pa.int32()), pa.array([found[one].tobytes()], pa.binary()), pa.array([n[one].astype(np.uint32).tobytes()], pa.binary()), none, pa.nulls(1, pa.int32()), none, pa.nulls(1, pa.int64())], names=_NAMES
-            )
-
-
-_NAMES = ["shard", "hashes", "counts", "lang", "k", "phrase", "n"]
+            texts_ = pc.binary_join_element_wise(names.take(pa.array(phrase)), *reversed(parts), " ")
+            for shard, one in by_shard(hashes[which]):
+                yield row(shard=shard, lang=lang, phrases="\n".join(texts_.take(pa.array(one)).to_pylist()), counts=n[which][one].astype(np.uint32).tobytes())
+    if hashed and sum(len(h) for h, _ in hashed):
+        found, n = (np.concatenate([p[i] for p in hashed]) for i in (0, 1))
+        for shard, one in by_shard(found):
+            yield row(shard=shard, hashes=found[one].tobytes(), counts=n[one].astype(np.uint32).tobytes())
 
 
-def _counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, wanted: np.ndarray | None, levels: range, shards: int, totals: bool = False) -> DataFrame:
-    """What ``_chunk`` gives, of all tasks of (lang, text). No ``shards``: nothing is counted by hash."""
+def _counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, wanted: np.ndarray | None, levels: range, shards: int, by_hash: bool = True, totals: bool = False) -> DataFrame:
+    """What ``_chunk`` gives, of all tasks of (lang, text)."""
     held = docs.sparkSession.sparkContext.broadcast((now, before, wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = held.value
-        asked = (Bitmap(maps[0]), *[None if m is None else Bitmap(m) for m in maps[1:]], levels, shards, totals)
+        asked = (Bitmap(maps[0]), *[None if m is None else Bitmap(m) for m in maps[1:]], levels, shards, by_hash, totals)
         texts: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         held_bytes = 0
@@ -171,6 +167,20 @@ def _counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None,
     return docs.mapInArrow(count, _SCHEMA)
 
 
+def _summed_phrases(counted: DataFrame, least: int) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases that reach ``least``: each shard's packed rows are unpacked and summed in one task."""
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        n: dict[tuple[str, str], int] = {}
+        for lang, phrases, counts in zip(group["lang"], group["phrases"], group["counts"], strict=True):
+            for phrase, c in zip(phrases.split("\n"), np.frombuffer(counts, np.uint32).tolist(), strict=True):
+                n[lang, phrase] = n.get((lang, phrase), 0) + c
+        held = [(lang, phrase.count(" ") + 1, phrase, c) for (lang, phrase), c in n.items() if c >= least]
+        return pd.DataFrame(held, columns=["lang", "k", "phrase", "n"])
+
+    return counted.where("phrases IS NOT NULL").select("shard", "lang", "phrases", "counts").groupBy("shard").applyInPandas(summed, "lang string, k int, phrase string, n long")
+
+
 def _frequent_hashes(counted: DataFrame, least: int, now: np.ndarray | None) -> DataFrame:
     """(h, failed): hashes whose counts reach ``least``, and whether the bitmap lacks one that could open longer phrases."""
     held = counted.sparkSession.sparkContext.broadcast(now)
@@ -186,7 +196,7 @@ def _frequent_hashes(counted: DataFrame, least: int, now: np.ndarray | None) ->
         failed = np.zeros(len(h), bool) if held.value is None else ~Bitmap(held.value).holds(h) & ((h & np.uint64(7)) < LONGEST)
         return pd.DataFrame({"h": h.view(np.int64), "failed": failed})
 
-    return counted.where("shard IS NOT NULL").select("shard", "hashes", "counts").groupBy("shard").applyInPandas(summed, "h long, failed boolean")
+    return counted.where("hashes IS NOT NULL").select("shard", "hashes", "counts").groupBy("shard").applyInPandas(summed, "h long, failed boolean")
 
 
 def _with(bits: np.ndarray | None, phrases: DataFrame, size: int) -> np.ndarray:
@@ -221,23 +231,18 @@ def frequent_phrases(docs: DataFrame, least: int = 100, one_in: int = 4, lowered
     shards = 1 + one_in * size // SHARD_BYTES
     every = range(1, LONGEST + 1)
     found = staged(_frequent_hashes(_counted(docs, now, None, None, every, shards), least, now), "hashes")
-    parts: list[DataFrame] = []
-    before = now
-    while True:
-        failed = found.where("failed")
-        closed = failed.isEmpty()
-        now = before if closed else _with(before, failed, filter_bits)
-        counted = staged(_counted(docs, now, before, _with(None, found, filter_bits), every, 0 if closed else shards, totals=not parts), "phrases")
-        sums = counted.where("lang IS NOT NULL").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-        parts.append(sums.where((F.col("n") >= least) | (F.col("k") == 0)))
-        if closed:
-            break
-        found = staged(_frequent_hashes(counted, least, now), "hashes")
-        before = now
-        if found.isEmpty():
-            break
+    failed = found.where("failed")
+    closed = failed.isEmpty()
+    opened = now if closed else _with(now, failed, filter_bits)
+    counted = staged(_counted(docs, opened, now, _with(None, found, filter_bits), every, shards, by_hash=not closed, totals=True), "phrases")
+    parts = [_summed_phrases(counted, least)]
+    more = None if closed else staged(_frequent_hashes(counted, least, None), "hashes")
+    if more is not None and not more.isEmpty():
+        parts.append(_summed_phrases(_counted(docs, opened, now, _with(None, more, filter_bits), every, shards, by_hash=False), least))
+    totals = counted.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), "n")
     # A phrase that a bitmap let through by mistake may have been counted twice, each time in full.
-    return staged(reduce(DataFrame.unionByName, parts).groupBy("lang", "k", "phrase").agg(F.max("n").alias("n")), "frequent")
+    frequent = reduce(DataFrame.unionByName, parts).groupBy("lang", "k", "phrase").agg(F.max("n").alias("n"))
+    return staged(frequent.unionByName(totals), "frequent")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, top: int = 2000, one_in: int = 4, lowered: float = 0.35, filter_bits: int = FILTER_BITS) -> DataFrame:
