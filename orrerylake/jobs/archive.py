@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orrerylake.functions import binary, text, vectorized
-from orrerylake.operators import formats, rules
+from orrerylake.operators import formats, readers, rules
 from orrerylake.operators import metadata as M
 from orrerylake.sources import files as file_sources
-from orrerylake.sources import ranges
+from orrerylake.sources import ranges, records
 
 from . import ingest
 from .sinks import write_store
@@ -25,7 +25,6 @@ FACTS = [*M.IDENTIFIERS, "SPACECRAFT_CLOCK_STOP_COUNT"]
 OF_BLOCK = ["BYTES", "ROWS", "ROW_BYTES", "ROW_PREFIX_BYTES", "ROW_SUFFIX_BYTES", "RECORDS", "INTERCHANGE_FORMAT", "FIELD_DELIMITER", "LINES", "LINE_SAMPLES", "SAMPLE_BITS", "SAMPLE_TYPE", "BANDS", "BAND_STORAGE_TYPE", "LINE_PREFIX_BYTES", "LINE_SUFFIX_BYTES"]
 #: Columns that rules may ask for, beside the identifiers.
 OF_RULES = [*[k.lower() for k in FACTS], "name", "file", "interchange"]
-READERS = ["table", "image", "text"]
 
 
 def _folder_of(path: Column) -> Column:
@@ -57,7 +56,7 @@ def object_table(meta: DataFrame, files: DataFrame, special: DataFrame | None =
         return rules.overrides(renamed, special, stage, OF_RULES).withColumnsRenamed({"file": "named_file", "_resolved": "file"})
 
     rows = overridden(rows, "kind").withColumn("kind", rules.patched(F.col("kind"), "KIND", "string")).drop("override")
-    rows = overridden(rows, "reader").withColumn("reader", rules.patched(F.lit(None).cast("string"), "READER", "string")).drop("override")
+    rows = overridden(rows, "reader").withColumns({"reader": rules.patched(F.lit(None).cast("string"), "READER", "string"), "skip_lines": rules.patched(F.lit(None).cast("long"), "SKIP_LINES", "long")}).drop("override")
     rows = overridden(rows, "block")
     number = ["rows", "row_bytes", "bytes", "row_prefix_bytes", "row_suffix_bytes"]
     rows = rows.withColumns({f"block_{k}": F.coalesce(F.when(F.col("override")[k.upper()] == "FILE_RECORDS", F.col("file_records").try_cast("int")), rules.patched(F.col(f"block_{k}"), k.upper(), "int")) for k in number}).drop("override")
@@ -79,7 +78,7 @@ def object_table(meta: DataFrame, files: DataFrame, special: DataFrame | None =
     return rows.withColumn("p", position).withColumns(
         {
             "as_rows": F.col("p.as_rows"), "start": F.col("p.start"), "is_ascii": is_ascii, "row_bytes_whole": whole_row,
-            "length": F.when(F.col("p.as_rows"), F.col("p.length")).otherwise(F.least(F.coalesce(F.col("p.length"), rest), rest)),
+            "length": F.when(F.col("p.as_rows"), F.col("p.length")).when(F.col("file_size").isNotNull(), F.least(F.coalesce(F.col("p.length"), rest), rest)),
         }
     ).drop("p", "_start")
 
@@ -131,6 +130,50 @@ def image_lines(objects: DataFrame, range_bytes: int = ranges.RANGE_BYTES) -> Da
     return ranges.dealt(planned).mapInArrow(vectorized.image_decoder(["product", "name"], "file"), schema)
 
 
+def _cells(found: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(product, name, fingerprint, row, columns) of rows with cells and the names of their fields."""
+    names = F.transform("fields", lambda f: f["name"])
+
+    def cell(name: str, type_: str) -> Column:
+        raw = F.get("cells", F.array_position("_names", name).cast("int") - 1)
+        at = F.get("fields", F.array_position("_names", name).cast("int") - 1)
+        value = raw if type_ in ("string", "binary") else F.when(at["scale"].isNotNull() | at["offset"].isNotNull(), (raw.try_cast("double") * F.coalesce(at["scale"], F.lit(1.0)) + F.coalesce(at["offset"], F.lit(0.0))).try_cast(type_)).otherwise(raw.try_cast(type_))
+        return value.cast(type_).alias(name)
+
+    return found.withColumn("_names", names).select("product", "name", "fingerprint", "row", *[cell(c, t) for c, t in columns.items()])
+
+
+def text_rows(objects: DataFrame, fmts: DataFrame, columns: dict[str, str] | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """(product, name, fingerprint, row, columns): the rows of tables that are cut by lines, delimiters or a reader of their own.
+
+    Beside those with a reader these are delimited tables and those whose place is counted in lines. They go to their block's BYTES, else to the file's end.
+    Where rows are counted, by place or by a reader that numbers them, those beyond the label's ROWS are left out. Cells that have no reading in their column's type are null. A reader that does not exist raises an error. Each
+    file is read once, by the group of readers that its tables need.
+    """
+    columns = formats.merged_schema(fmts) if columns is None else columns
+    held = objects.where("kind = 'table' AND file IS NOT NULL AND (reader IS NOT NULL OR as_rows OR block_field_delimiter IS NOT NULL)").join(fmts, ["product", "block_at"])
+    sep = F.when(F.col("block_field_delimiter").isNotNull(), F.coalesce(F.create_map(*[F.lit(x) for pair in records.DELIMITERS.items() for x in pair])[F.col("block_field_delimiter")], F.raise_error(F.concat(F.lit("no delimiter is named "), "block_field_delimiter")).cast("string")))
+    start = F.when(F.col("as_rows"), F.lit(0).cast("long")).otherwise(F.col("start"))
+    end = F.when(~F.col("as_rows") & F.col("block_bytes").isNotNull(), F.least(start + F.col("block_bytes"), F.col("file_size"))).otherwise(F.col("file_size"))
+    tables = held.select(
+        "product", "name", "fingerprint", "fields", "file", readers.chosen(F.col("reader"), F.col("block_field_delimiter")).alias("reader"), sep.alias("delimiter"), F.col("row_bytes_whole").alias("record_bytes"),
+        F.coalesce("skip_lines", F.when(F.col("as_rows"), F.col("start")), F.lit(0).cast("long")).alias("skip_lines"), F.when(F.col("as_rows") | ~F.coalesce(F.col("reader"), F.lit("delimited")).isin(readers.LINE_READERS), F.col("block_rows")).alias("_rows"), start.alias("object_start"), end.alias("object_end"),
+    )
+    key = ["product", "name"]
+    out = None
+    for names, read in readers.GROUPS:
+        own = tables.where(F.col("reader").isin(names))
+        planned = ranges.planned(own, F.col("object_start"), F.col("object_end") - F.col("object_start"), range_bytes=range_bytes)
+        lines = ranges.line_numbers(ranges.lines(ranges.dealt(planned)), key)
+        if read is readers.by_line:  # places counted in lines
+            lines = lines.where("row >= skip_lines").withColumn("row", F.col("row") - F.col("skip_lines"))
+        facts = own.select(*key, "fingerprint", "fields", "_rows")
+        found = read(lines, key).select(*key, "row", "cells").join(facts, key).where("_rows IS NULL OR row < _rows")
+        rows = _cells(found, columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 #: Bytes of a text object at most, as its readers take it.
 TEXT_LIMIT = 80_000
 
@@ -154,5 +197,7 @@ def texts(objects: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
 
 def ingest_archive(objects: DataFrame, fmts: DataFrame, out: str, range_bytes: int = ranges.RANGE_BYTES) -> None:
     """All tables and images of an archive to the columnar store: ``out``/tables by format, ``out``/images."""
-    write_store(table_rows(objects, fmts, range_bytes=range_bytes), f"{out}/tables", ["fingerprint"])
+    columns = formats.merged_schema(fmts)
+    rows = table_rows(objects, fmts, columns, range_bytes).unionByName(text_rows(objects, fmts, columns, range_bytes))
+    write_store(rows, f"{out}/tables", ["fingerprint"])
     write_store(image_lines(objects, range_bytes).withColumn("object", F.col("name")), f"{out}/images", ["object"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrerylake.operators import rules
 from orrerylake.sources import files, made, ranges
 
 from . import archive, ingest
@@ -84,3 +85,22 @@ def s16_lines_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = ranges.line_numbers(ranges.lines(ranges.dealt(ranges.planned(found, F.lit(0), F.col("object_end"), range_bytes=_RANGE))), ["file"])
     text = F.col("line").cast("string")
     return cut.groupBy(F.regexp_extract("file", "product=([0-9]+)/", 1).alias("product")).agg((F.max("row") + 1).alias("lines"), F.sum(F.octet_length("line")).alias("bytes"), F.min_by(F.substring_index(text, " ", 1), "row").cast("bigint").alias("first"))
+
+
+@query(
+    sql=f"""
+    WITH o AS (SELECT *, o_orderkey // {made.ORDERS_EACH} AS n, ({made.LAYOUTS!r})[o_orderkey // {made.ORDERS_EACH} % {len(made.LAYOUTS)} + 1] AS layout FROM orders)
+    SELECT layout, o_orderkey AS orderkey, o_custkey AS custkey, CASE WHEN layout <> 'null spellings' OR o_custkey % 3 <> 0 THEN o_totalprice END AS price FROM o
+    """
+)
+def m18_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text tables of a dozen layouts under like labels: rules name the reader of each, and the readers bring back the same rows."""
+    path = new_folder(spark, "layouts")
+    made.written(made.layout_products(table(spark, sf_dir, "orders")), path, "product", "content")
+    held = [(1, "reader", "data_set_id", "equals", name, None, None, "READER", name) for name in made.LAYOUTS] + [(2, "reader", "data_set_id", "equals", "sections", None, None, "SKIP_LINES", "3")]
+    special = spark.createDataFrame(held, rules.RULES)
+    meta = kept(ingest.catalogue(spark, path, "*.txt"), "metadata")
+    objects = kept(archive.object_table(meta, files.scan(spark, path), special), "objects")
+    rows = archive.text_rows(objects, kept(archive.format_table(meta, objects), "formats"), range_bytes=_RANGE)
+    layout = F.get(F.array(*map(F.lit, made.LAYOUTS)), (F.regexp_extract("product", "product=([0-9]+)/", 1).cast("int") % len(made.LAYOUTS)))
+    return rows.select(layout.alias("layout"), F.col("ORDERKEY").alias("orderkey"), F.col("CUSTKEY").alias("custkey"), F.col("PRICE").alias("price"))

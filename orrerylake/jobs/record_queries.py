@@ -163,7 +163,6 @@ _SPECIAL = [
     (dict(data_set_id="ICE-C-MAG-3-RDR-X", file="TRAJ_ICE.TAB", name="TABLE"), "READER", "added breaks"), (dict(data_set_id="PVO-V-OIMS-4-IONDENSITY-12S-V1.0", name="TABLE"), "ROWS", "FILE_RECORDS"),
     (dict(data_set_id="X-VG2-N-MAG-4-RDR-HGCOORDS", standard_data_product_id="ASCII DATA", name="TABLE"), "ROW_BYTES", "145"), (dict(data_set_id="VG2-SS-PLS-3-RDR-FINE-RES-V1.0", name="TABLE", row_bytes="57"), "ROW_BYTES", "64"),
     (dict(data_set_id="VG2-SS-PLS-3-RDR-FINE-RES-V1.0", name="TABLE", row_bytes="64"), None, None), (dict(name="XDR_DOCUMENT"), "BLOCK", "IMAGE"), (dict(instrument_id="CRAT", product_type="EDR", name="TABLE_1"), "START_BYTE", "64"),
-    (dict(data_set_id="CO-E/V/J-ISSNA/ISSWA-2-EDR-V1.0", clock="1360000000.5"), "START_BYTE", "computed"), (dict(data_set_id="CO-E/V/J-ISSNA/ISSWA-2-EDR-V1.0", clock="1363539030"), None, None),
     (dict(data_set_id="SLN-L-SP-2", name="SP_SPECTRUM_RAD"), "KIND", "image"),
 ]
 _OF = "data_set_id instrument_host_name instrument_id instrument_name interchange clock file name note product_id product_type row_bytes spacecraft_name standard_data_product_id".split()

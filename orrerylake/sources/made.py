@@ -123,3 +123,36 @@ def order_products(orders: DataFrame) -> DataFrame:
     digits, by_band = F.array_join("rows.row", ""), F.concat(F.array_join("rows.line0", ""), F.array_join("rows.line1", ""))
     by_line = F.array_join(F.transform("rows", lambda r: F.concat(r["line0"], r["line1"])), "")
     return held.select("product", F.concat(F.rpad(label, HEAD_BYTES, " ").cast("binary"), F.unhex(digits), F.unhex(F.when(kind == 0, by_band).otherwise(by_line))).alias("content"))
+
+
+#: Layouts of a text table of orders, by the product's number; each wants another reader. The label is the same for all but the delimiter.
+LAYOUTS = ["delimited", "white space", "fixed width", "records by bytes", "moved breaks", "after marker", "sections", "null spellings", "filled headers", "without nuls", "added breaks", "spreadsheet"]
+_TEXT_TABLE = _column("CUSTKEY", "INTEGER", 1, 10) + _column("ORDERKEY", "INTEGER", 12, 12) + _column("PRICE", "ASCII_REAL", 24, 16)
+TEXT_ROW_BYTES = 39
+
+
+def layout_products(orders: DataFrame) -> DataFrame:
+    """(product, content): text tables of ``ORDERS_EACH`` keys of orders each, in one of ``LAYOUTS``, behind an attached label whose data set names the layout."""
+    c = F.col
+    product = F.floor(c("o_orderkey") / ORDERS_EACH)
+    price = F.format_string("%.2f", "o_totalprice")
+    fixed = F.concat(F.lpad(c("o_custkey").cast("string"), 10, " "), F.lit(" "), F.lpad(c("o_orderkey").cast("string"), 12, " "), F.lpad(price, 16, " "))
+    cut = F.concat_ws(";", c("o_custkey").cast("string"), F.concat(F.lit('" '), c("o_orderkey").cast("string"), F.lit('"')), price)
+    spelled = F.concat_ws(";", c("o_custkey").cast("string"), c("o_orderkey").cast("string"), F.when(c("o_custkey") % 3 == 0, "N/A").otherwise(price))
+    under = F.concat(c("o_custkey").cast("string"), F.lit("\n"), c("o_orderkey").cast("string"), F.lit(";"), price)
+    blank = F.concat_ws("  ", F.lit(""), c("o_custkey").cast("string"), c("o_orderkey").cast("string"), price)
+    held = orders.groupBy(product.alias("product")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", fixed.alias("fixed"), cut.alias("cut"), spelled.alias("spelled"), under.alias("under"), blank.alias("blank")))).alias("rows"))
+    kind, n = F.col("product") % len(LAYOUTS), F.size("rows")
+    unbroken, by_line = F.array_join("rows.fixed", ""), F.array_join("rows.cut", "\r\n")
+    body = {
+        "delimited": by_line, "white space": F.array_join("rows.blank", "\n"), "fixed width": F.array_join("rows.fixed", "\n"), "records by bytes": unbroken, "moved breaks": F.regexp_replace(unbroken, "(.{25})", "$1\n"),
+        "after marker": F.concat(F.lit("7;8;9\n// start\n"), by_line), "sections": F.concat(F.lit("a\nb\nc\n"), by_line, F.lit("\n1;2;3")), "null spellings": F.concat(F.lit("# note\n"), F.array_join("rows.spelled", "\n")), "filled headers": F.array_join("rows.under", "\n"),
+        "without nuls": F.regexp_replace(F.array_join("rows.fixed", "\n"), "(\n|^)", "$1\u0000"), "added breaks": unbroken, "spreadsheet": by_line,
+    }
+    layout, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, name in enumerate(LAYOUTS):
+        layout, content = F.when(kind == k, name).otherwise(layout), F.when(kind == k, body[name]).otherwise(content)
+    label = text(
+        "PDS_VERSION_ID = PDS3\nDATA_SET_ID = \"", layout, "\"\n^TABLE = ", F.lit(HEAD_BYTES + 1), " <BYTES>\nOBJECT = TABLE\n  INTERCHANGE_FORMAT = ASCII\n  ROWS = ", n, "\n  ROW_BYTES = ", F.lit(TEXT_ROW_BYTES), "\n  FIELD_DELIMITER = SEMICOLON\n", _TEXT_TABLE, "END_OBJECT = TABLE\nEND\n",
+    )
+    return held.select("product", F.concat(F.rpad(label, HEAD_BYTES, " "), content).cast("binary").alias("content"))
