@@ -6,7 +6,9 @@ product at a time, and no format passes through the driver but as column names a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +19,7 @@ from orrerylake.sources import files as file_sources
 from orrerylake.sources import ranges, records
 
 from . import ingest
+from .scratch import kept
 from .sinks import write_store
 
 #: Facts of a product that readers and rules ask for.
@@ -27,6 +30,22 @@ OF_BLOCK = ["BYTES", "ROWS", "ROW_BYTES", "ROW_PREFIX_BYTES", "ROW_SUFFIX_BYTES"
 OF_RULES = [*[k.lower() for k in FACTS], "name", "file", "interchange"]
 
 
+@dataclass(frozen=True)
+class Archive:
+    """The catalogue of an archive, as tables in the shared folder: the long metadata table, the objects, and the formats of its tables."""
+
+    meta: DataFrame
+    objects: DataFrame
+    formats: DataFrame
+
+
+def opened(spark: SparkSession, path: str, glob: str = "*.{lbl,LBL}", special: DataFrame | None = None) -> Archive:
+    """The archive of all labels below ``path``. Each table is written once, so that what reads them plans and computes nothing again."""
+    meta = kept(ingest.catalogue(spark, path, glob), "metadata")
+    objects = kept(object_table(meta, file_sources.scan(spark, path), special), "objects")
+    return Archive(meta, objects, kept(format_table(meta, objects), "formats"))
+
+
 def _folder_of(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*/)[^/]*$", 1)
 
@@ -195,9 +214,9 @@ def texts(objects: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
     return one.unionByName(joined)
 
 
-def ingest_archive(objects: DataFrame, fmts: DataFrame, out: str, range_bytes: int = ranges.RANGE_BYTES) -> None:
+def ingest_archive(of: Archive, out: str, range_bytes: int = ranges.RANGE_BYTES) -> None:
     """All tables and images of an archive to the columnar store: ``out``/tables by format, ``out``/images."""
-    columns = formats.merged_schema(fmts)
-    rows = table_rows(objects, fmts, columns, range_bytes).unionByName(text_rows(objects, fmts, columns, range_bytes))
+    columns = formats.merged_schema(of.formats)
+    rows = table_rows(of.objects, of.formats, columns, range_bytes).unionByName(text_rows(of.objects, of.formats, columns, range_bytes))
     write_store(rows, f"{out}/tables", ["fingerprint"])
-    write_store(image_lines(objects, range_bytes).withColumn("object", F.col("name")), f"{out}/images", ["object"])
+    write_store(image_lines(of.objects, range_bytes).withColumn("object", F.col("name")), f"{out}/images", ["object"])

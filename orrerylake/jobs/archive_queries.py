@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from orrerylake.operators import rules
 from orrerylake.sources import files, made, ranges
 
-from . import archive, ingest
+from . import archive
 from .register import query, table
-from .scratch import kept, new_folder
+from .scratch import new_folder
 
 #: So small that each table of the test archive is read by several ranges.
 _RANGE = 4096
 
 
-def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
-    """(metadata, objects, folder) of an archive of all orders: a file a product, with its label at the head."""
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[archive.Archive, str]:
+    """An archive of all orders, a file a product with its label at the head, and its folder."""
     path = new_folder(spark, "archive")
     made.written(made.order_products(table(spark, sf_dir, "orders")), path, "product", "content")
-    meta = kept(ingest.catalogue(spark, path, "*.txt"), "metadata")
-    return meta, kept(archive.object_table(meta, files.scan(spark, path)), "objects"), path
+    return archive.opened(spark, path, "*.txt"), path
 
 
 @query(
@@ -32,8 +31,8 @@ def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, st
 )
 def s12_tables_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, tables and images in one file each, three formats in the archive: from labels to rows in one call, split over ranges."""
-    meta, objects, _ = _archive(spark, sf_dir)
-    rows = archive.table_rows(objects, kept(archive.format_table(meta, objects), "formats"), range_bytes=_RANGE)
+    of, _ = _archive(spark, sf_dir)
+    rows = archive.table_rows(of.objects, of.formats, range_bytes=_RANGE)
     product = F.regexp_extract("product", "product=([0-9]+)/", 1)
     return rows.select(product.alias("product"), "row", F.col("ORDERKEY").cast("bigint").alias("orderkey"), F.col("CUSTKEY").alias("custkey"), F.col("PRICE").alias("price"), F.col("YEARS_1").cast("bigint").alias("next_year"))
 
@@ -46,16 +45,16 @@ def s12_tables_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def s15_images_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images behind the tables of the same files, in two storage orders."""
-    _, objects, _ = _archive(spark, sf_dir)
-    lines = archive.image_lines(objects, range_bytes=_RANGE)
+    of, _ = _archive(spark, sf_dir)
+    lines = archive.image_lines(of.objects, range_bytes=_RANGE)
     return lines.select(F.regexp_extract("product", "product=([0-9]+)/", 1).alias("product"), "band", "line", F.col("samples")[0].alias("first"), F.col("samples")[1].alias("second"))
 
 
 @query(sql=f"SELECT n % 3 AS format, count(*) AS rows, sum(price) AS prices FROM (SELECT o_orderkey // {made.ORDERS_EACH} AS n, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders) GROUP BY ALL")
 def k4_mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of three formats to one store by one call; the store is read back by fingerprint."""
-    meta, objects, path = _archive(spark, sf_dir)
-    archive.ingest_archive(objects, kept(archive.format_table(meta, objects), "formats"), f"{path}-store", _RANGE)
+    of, path = _archive(spark, sf_dir)
+    archive.ingest_archive(of, f"{path}-store", _RANGE)
     back = spark.read.parquet(f"{path}-store/tables")
     product = F.regexp_extract("product", "product=([0-9]+)/", 1).cast("bigint")
     return back.groupBy("fingerprint").agg(F.max(product % 3).alias("format"), F.count("*").alias("rows"), F.sum(F.col("PRICE").cast("decimal(18,2)")).alias("prices")).drop("fingerprint")
@@ -70,8 +69,8 @@ def k4_mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def m15_object_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each label's objects lie in its file."""
-    _, objects, _ = _archive(spark, sf_dir)
-    return objects.select(F.regexp_extract("product", "product=([0-9]+)/", 1).alias("product"), "name", "start", "length")
+    of, _ = _archive(spark, sf_dir)
+    return of.objects.select(F.regexp_extract("product", "product=([0-9]+)/", 1).alias("product"), "name", "start", "length")
 
 
 @query(sql=f"SELECT CAST(o_orderkey // {made.ORDERS_EACH} AS VARCHAR) AS product, count(*) AS lines, CAST(sum(octet_length(encode(o_orderpriority)) + length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS bytes, min(o_orderkey) AS first FROM orders GROUP BY ALL")
@@ -98,9 +97,7 @@ def m18_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "layouts")
     made.written(made.layout_products(table(spark, sf_dir, "orders")), path, "product", "content")
     held = [(1, "reader", "data_set_id", "equals", name, None, None, "READER", name) for name in made.LAYOUTS] + [(2, "reader", "data_set_id", "equals", "sections", None, None, "SKIP_LINES", "3")]
-    special = spark.createDataFrame(held, rules.RULES)
-    meta = kept(ingest.catalogue(spark, path, "*.txt"), "metadata")
-    objects = kept(archive.object_table(meta, files.scan(spark, path), special), "objects")
-    rows = archive.text_rows(objects, kept(archive.format_table(meta, objects), "formats"), range_bytes=_RANGE)
+    of = archive.opened(spark, path, "*.txt", spark.createDataFrame(held, rules.RULES))
+    rows = archive.text_rows(of.objects, of.formats, range_bytes=_RANGE)
     layout = F.get(F.array(*map(F.lit, made.LAYOUTS)), (F.regexp_extract("product", "product=([0-9]+)/", 1).cast("int") % len(made.LAYOUTS)))
     return rows.select(layout.alias("layout"), F.col("ORDERKEY").alias("orderkey"), F.col("CUSTKEY").alias("custkey"), F.col("PRICE").alias("price"))

@@ -76,15 +76,14 @@ def test_products_of_several_formats(spark, tmp_path):
     product(tmp_path, "c.lbl", two, struct.pack(">3sQ", b"x y", 2**64 - 1), struct.pack(">3sQ", b"z  ", 1), b"cu")  # cut off
     product(tmp_path, "d.lbl", "A = 1\nEND\n")
     product(tmp_path, "e.lbl", '^TABLE = ("gone.dat", 1)\nOBJECT = TABLE\nROWS = 1\nROW_BYTES = 5\n' + COLUMN.format("A", "MSB_INTEGER", 1, 1, "") + "END_OBJECT = TABLE\nEND\n")
-    meta = ingest.catalogue(spark, str(tmp_path), "*.lbl").cache()
-    objects = archive.object_table(meta, files.scan(spark, str(tmp_path))).cache()
+    of = archive.opened(spark, str(tmp_path), "*.lbl")
+    objects, fmts = of.objects, of.formats
     assert {(r.product[-5:], r.file and r.file[-5:], r.length) for r in objects.collect()} == {("a.lbl", "a.lbl", 21), ("b.lbl", "b.lbl", 21), ("c.lbl", "c.lbl", 24), ("e.lbl", None, None)}
-    fmts = archive.format_table(meta, objects).cache()
     assert fmts.select("fingerprint").distinct().count() == 3
     assert formats.merged_schema(fmts) == {"A": "string", "B": "float", "C": "decimal(20,0)"}
     got = sorted((r.product[-5:], r.row, r.A, r.B, None if r.C is None else int(r.C)) for r in archive.table_rows(objects, fmts, range_bytes=7).collect())
     assert got == [("a.lbl", k, str(-k), k / 2, None) for k in range(3)] + [("b.lbl", k, str(k), float(k), None) for k in range(3)] + [("c.lbl", 0, "x y", None, 2**64 - 1), ("c.lbl", 1, "z", None, 1), ("c.lbl", 2, None, None, None)]
-    archive.ingest_archive(objects, fmts, str(tmp_path / "out"))
+    archive.ingest_archive(of, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/tables")).count() == 9
     with pytest.raises(ValueError):
         formats.merged_schema(fmts, most_columns=1)
@@ -169,12 +168,11 @@ def test_texts_and_rules(spark, tmp_path):
     product(tmp_path, "a.lbl", "^TEXT = 1025 <BYTES>\n^X_HEADER = (\"x.txt\", 2)\n^DOC_TEXT = \"d.pdf\"\nRECORD_TYPE = STREAM\nOBJECT = X_HEADER\nROWS = 2\nEND_OBJECT\nEND\n", b"caf\xe9\r\nend\rx")
     (tmp_path / "x.txt").write_bytes("zero\none é\r\ntwo\nthree\n".encode() + b"\xff")
     (tmp_path / "d.pdf").write_bytes(b"%PDF")
-    meta = ingest.catalogue(spark, str(tmp_path), "*.lbl").cache()
-    objects = archive.object_table(meta, files.scan(spark, str(tmp_path)))
+    objects = archive.opened(spark, str(tmp_path), "*.lbl").objects
     assert {r.name: r.text for r in archive.texts(objects).collect()} == {"TEXT": "café\nend\nx", "X_HEADER": "one é\ntwo"}
     assert {r.name: r.text for r in archive.texts(objects, limit=4).collect()}["TEXT"] == "café"
     special = spark.createDataFrame([(1, "kind", "name", "equals", "TEXT", None, None, "KIND", "image"), (2, "start byte", "name", "equals", "X_HEADER", None, None, "START_BYTE", "64"), (3, "reader", "file", "contains", ".pdf", None, None, "READER", "sections")], rules.RULES)
-    patched = {r.name: (r.kind, r.reader) for r in archive.object_table(meta, files.scan(spark, str(tmp_path)), special).collect()}
+    patched = {r.name: (r.kind, r.reader) for r in archive.opened(spark, str(tmp_path), "*.lbl", special).objects.collect()}
     assert patched == {"TEXT": ("image", None), "X_HEADER": ("header", None), "DOC_TEXT": ("text", "sections")}
 
 
@@ -196,8 +194,7 @@ def test_images_of_every_order_and_split(spark, tmp_path):
     for order, body in bodies.items():
         block = f"^IMAGE = 1025 <BYTES>\nOBJECT = IMAGE\nLINES = 3\nLINE_SAMPLES = 4\nSAMPLE_TYPE = MSB_INTEGER\nSAMPLE_BITS = 16\nBANDS = 2\nBAND_STORAGE_TYPE = {order}\nLINE_PREFIX_BYTES = 2\nEND_OBJECT = IMAGE\nEND\n"
         product(tmp_path, f"{order}.lbl", block, body if order != "LINE_INTERLEAVED" else body[:-1])
-    meta = ingest.catalogue(spark, str(tmp_path), "*.lbl").cache()
-    objects = archive.object_table(meta, files.scan(spark, str(tmp_path))).cache()
+    objects = archive.opened(spark, str(tmp_path), "*.lbl").objects
     for size in (1, 25, 1 << 20):
         got = {}
         for r in archive.image_lines(objects, size).collect():
