@@ -283,7 +283,7 @@ def cut(page: str) -> Page:
         if name not in INLINE and name not in LEAVES:
             boxes = (number, boxes[0])
         d = len(stack)
-        stack.append((name, number, signs, boxes, int(attributes.get("data-label", label))))
+        stack.append((name, number, signs, boxes, LABELS.get(attributes.get("data-label"), label)))
         places[name].append(d)
         if name == "a":
             linked.append("\n")  # one for each link
@@ -297,6 +297,8 @@ def cut(page: str) -> Page:
     return Page(out, [[a, min(b, len(out))] for a, b in spans])
 
 
+#: Marks of labelled pages; any other value of the attribute says nothing.
+LABELS = {"0": 0, "1": 1}
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "box_share", "box_density", "outer_share", *SIGNS, "heading", "outside", "links"]
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,9 +142,17 @@ def _chunk(lang: str, texts: list[bytes], now: Bitmap, before: Bitmap | None, wa
             yield row(shard=shard, hashes=found[one].tobytes(), counts=n[one].astype(np.uint32).tobytes())
 
 
-def _counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, wanted: np.ndarray | None, levels: range, shards: int, by_hash: bool = True, totals: bool = False) -> DataFrame:
+def _sent(of: DataFrame, value: object, sent: list[Broadcast] | None) -> Broadcast:
+    """``value`` on all executors; ``sent`` takes note of it, for its owner to take it back."""
+    out = of.sparkSession.sparkContext.broadcast(value)
+    if sent is not None:
+        sent.append(out)
+    return out
+
+
+def _counted(docs: DataFrame, now: np.ndarray | None, before: np.ndarray | None, wanted: np.ndarray | None, levels: range, shards: int, by_hash: bool = True, totals: bool = False, sent: list[Broadcast] | None = None) -> DataFrame:
     """What ``_chunk`` gives, of all tasks of (lang, text)."""
-    held = docs.sparkSession.sparkContext.broadcast((now, before, wanted))
+    held = _sent(docs, (now, before, wanted), sent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = held.value
@@ -181,9 +190,9 @@ def _summed_phrases(counted: DataFrame, least: int) -> DataFrame:
     return counted.where("phrases IS NOT NULL").select("shard", "lang", "phrases", "counts").groupBy("shard").applyInPandas(summed, "lang string, k int, phrase string, n long")
 
 
-def _frequent_hashes(counted: DataFrame, least: int, now: np.ndarray | None) -> DataFrame:
+def _frequent_hashes(counted: DataFrame, least: int, now: np.ndarray | None, sent: list[Broadcast] | None = None) -> DataFrame:
     """(h, failed): hashes whose counts reach ``least``, and whether the bitmap lacks one that could open longer phrases."""
-    held = counted.sparkSession.sparkContext.broadcast(now)
+    held = _sent(counted, now, sent)
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(group["hashes"]), np.uint64)
@@ -224,25 +233,29 @@ def frequent_phrases(docs: DataFrame, least: int = 100, one_in: int = 4, lowered
     sample = staged(docs.where(picked), "sample", "zstd")
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     enough = max(1, int(least / one_in * lowered))
+    sent: list[Broadcast] = []
     now = None
     for k in range(1, LONGEST):
-        found = _frequent_hashes(_counted(sample, now, None, None, range(k, k + 1), 1 + size // SHARD_BYTES), enough, None)
+        found = _frequent_hashes(_counted(sample, now, None, None, range(k, k + 1), 1 + size // SHARD_BYTES, sent=sent), enough, None, sent)
         now = _with(now, found, filter_bits)
     shards = 1 + one_in * size // SHARD_BYTES
     every = range(1, LONGEST + 1)
-    found = staged(_frequent_hashes(_counted(docs, now, None, None, every, shards), least, now), "hashes")
+    found = staged(_frequent_hashes(_counted(docs, now, None, None, every, shards, sent=sent), least, now, sent), "hashes")
     failed = found.where("failed")
     closed = failed.isEmpty()
     opened = now if closed else _with(now, failed, filter_bits)
-    counted = staged(_counted(docs, opened, now, _with(None, found, filter_bits), every, shards, by_hash=not closed, totals=True), "phrases")
+    counted = staged(_counted(docs, opened, now, _with(None, found, filter_bits), every, shards, by_hash=not closed, totals=True, sent=sent), "phrases")
     parts = [_summed_phrases(counted, least)]
-    more = None if closed else staged(_frequent_hashes(counted, least, None), "hashes")
+    more = None if closed else staged(_frequent_hashes(counted, least, None, sent), "hashes")
     if more is not None and not more.isEmpty():
-        parts.append(_summed_phrases(_counted(docs, opened, now, _with(None, more, filter_bits), every, shards, by_hash=False), least))
+        parts.append(_summed_phrases(_counted(docs, opened, now, _with(None, more, filter_bits), every, shards, by_hash=False, sent=sent), least))
     totals = counted.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), "n")
     # A phrase that a bitmap let through by mistake may have been counted twice, each time in full.
     frequent = reduce(DataFrame.unionByName, parts).groupBy("lang", "k", "phrase").agg(F.max("n").alias("n"))
-    return staged(frequent.unionByName(totals), "frequent")
+    out = staged(frequent.unionByName(totals), "frequent")
+    for held in sent:  # all that needed them is written
+        held.unpersist()
+    return out
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, top: int = 2000, one_in: int = 4, lowered: float = 0.35, filter_bits: int = FILTER_BITS) -> DataFrame:

@@ -244,9 +244,10 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
     """``docs`` and three more columns: counts (struct), rule (int, null: none), kept (boolean).
 
     Every row is judged by itself: repeated rows get equal results, null and empty texts fail the base
-    rule, an empty table stays empty. Columns of docs with these names are replaced.
+    rule, an empty table stays empty. Where docs has columns with these names, they stay and the new ones get underscores
+    behind them.
     """
-    held = free_name(docs, "_counts")
-    out = docs.withColumn(held, text_counts(F.col(text_col)))
-    c = F.col(held)
-    return out.withColumns({"rule": rejecting_rule(rules, c), "kept": ~base_failed(c) & rejecting_rule(rules, c).isNull(), "counts": c}).drop(held)
+    counts = free_name(docs, "counts")
+    out = docs.withColumn(counts, text_counts(F.col(text_col)))
+    c = F.col(counts)
+    return out.withColumns({free_name(docs, "rule"): rejecting_rule(rules, c), free_name(docs, "kept"): ~base_failed(c) & rejecting_rule(rules, c).isNull()})

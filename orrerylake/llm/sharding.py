@@ -88,26 +88,26 @@ def shard(docs: DataFrame, keep: list[str], text_col: str = "text", n_shards: in
     size: UTF-8 bytes of the text plus 8; text_crc32: unsigned; tokens: words between white space; slot:
     the row's number in its shard, from 0 without gaps. Rows of equal texts share a shard unless they
     exceed one in bytes, tokens or rows. Null texts count as empty ones; repeated rows and null ids are
-    rows like any other; an empty table gives an empty table. Columns kept that bear a new column's
-    name are left out.
+    rows like any other; an empty table gives an empty table. Columns kept stay as they are: a new column
+    whose name one of them bears gets underscores behind it.
     """
-    new = ["size", "text_crc32", "tokens", "shard", "slot"]
-    held = [c for c in keep if c.lower() not in new]
+    names = {n: free_name(docs.select(*[F.col(f"`{c}`") for c in keep]), n) for n in ("size", "text_crc32", "tokens", "shard", "slot")}
+    held = [F.col(f"`{c}`") for c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rid = free_name(docs, "_rid")
+    rid, key = free_name(docs, "_rid"), free_name(docs, "_key")
     # The numbers are written with the rows, so that every later step sees the same ones.
     full = staged(
         docs.select(
             *held,
             F.monotonically_increasing_id().alias(rid),
-            (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.regexp_count(text, F.lit("[^ \t-\r]+")).cast("long").alias("tokens"),
-            F.unhex(F.md5(text.cast("binary"))).alias("_key"),
+            (F.octet_length(text) + 8).cast("long").alias(names["size"]),
+            F.crc32(text.cast("binary")).alias(names["text_crc32"]),
+            F.regexp_count(text, F.lit("[^ \t-\r]+")).cast("long").alias(names["tokens"]),
+            F.unhex(F.md5(text.cast("binary"))).alias(key),
         ),
         "shard-rows",
     )
-    slim = full.select(F.col(rid).alias("rid"), F.xxhash64(rid).alias("salt"), F.col("_key").alias("key"), F.col("size").alias("bytes"), "tokens", F.lit(1).cast("long").alias("rows"))
+    slim = full.select(F.col(rid).alias("rid"), F.xxhash64(rid).alias("salt"), F.col(key).alias("key"), F.col(names["size"]).alias("bytes"), F.col(names["tokens"]).alias("tokens"), F.lit(1).cast("long").alias("rows"))
     groups = staged(slim.groupBy("key").agg(*[F.sum(m).alias(m) for m in MEASURES]), "groups")
     total = groups.agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in MEASURES]).first()
     capacity = np.array([max(total[m] or 0, 1) for m in MEASURES], float) / n_shards
@@ -124,8 +124,8 @@ def shard(docs: DataFrame, keep: list[str], text_col: str = "text", n_shards: in
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("shard", "chunk", (F.sum("n").over(_upto("shard", "chunk")) - F.col("n")).alias("before"))
     local = placed.select("rid", "shard", "chunk", (F.row_number().over(_upto(["shard", "chunk"], "rid")) - 1).alias("local"))
-    slots = local.join(before, ["shard", "chunk"]).select(F.col("rid").alias(rid), "shard", (F.col("before") + F.col("local")).cast("long").alias("slot"))
-    return full.join(slots, rid).select(*held, *new)
+    slots = local.join(before, ["shard", "chunk"]).select(F.col("rid").alias(rid), F.col("shard").alias(names["shard"]), (F.col("before") + F.col("local")).cast("long").alias(names["slot"]))
+    return full.join(slots, rid).select(*held, *names.values())
 
 
 def _upto(by: str | list[str], order: str) -> WindowSpec:

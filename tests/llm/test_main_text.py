@@ -100,3 +100,11 @@ def test_edge_cases(spark):
     assert got.columns == df.columns
     assert sorted((r.page_id, len(r.main_text)) for r in got.collect()) == [(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 60_000 * 12 - 1)]
     assert M.extract(df.limit(0)).count() == 0
+
+
+def test_attributes_of_any_value(spark):
+    """Marks that only labelled pages bear may mean anything elsewhere."""
+    for value in ("Price", "", "-1", "99999999999999999999", "1", "0", None):
+        mark = "" if value is None else f' data-label="{value}"'
+        page = f"<html><body><nav>{LINKS}</nav><article{mark}>{BODY}<table><tr><td{mark}>10</td></tr></table></article></body></html>"
+        assert M.extract(spark.createDataFrame([(1, page)], "page_id int, html string")).first().main_text.startswith(" ".join(LONG)), value

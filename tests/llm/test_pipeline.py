@@ -55,3 +55,16 @@ def test_run_bears_nulls_repeats_and_empty_tables(spark, tmp_path):
         # One of the row that stands twice and its near copy stays, and goes through.
         assert seen == ([[1, 1, None], [1], [1]] if some else [[], [], []]) or sorted(map(str, seen[0])) == ["1", "1", "None"] and seen[1:] == [[1], [1]]
         assert {r.doc_id for r in corpus_pipeline.run(spark, str(home)).collect()} <= {1}
+
+
+def test_own_columns_stay(spark, tmp_path):
+    """Columns named like those that the stages make keep their values and types through all stages."""
+    own = ["rule", "kept", "counts", "size", "tokens", "shard", "slot", "text_crc32", "mix", "matches", "_key", "_rid", "toxicity"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", *[f"concat('{c}-', doc_id) AS {c}" for c in own])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[: len(docs.columns)] == docs.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in own)

@@ -72,11 +72,13 @@ def test_many_tasks_and_hot_group(spark, monkeypatch):
     monkeypatch.setattr(sharding, "TASK_GROUPS", 500)
     monkeypatch.setattr(sharding, "TASK_ROWS", 700)
     docs = spark.range(9000).select(
-        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text again").otherwise(F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), (F.col("id") % 37 + 1).cast("int"))).alias("text"), F.lit("x").alias("_rid"), F.lit(5).alias("shard")
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text again").otherwise(F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), (F.col("id") % 37 + 1).cast("int"))).alias("text"), F.lit("x").alias("_rid"), F.lit(5).alias("shard"), F.lit(6).alias("_key"), F.lit(7).alias("tokens")
     )
-    got = sharding.shard(docs, keep=["doc_id", "_rid", "shard"], n_shards=8)
+    got = sharding.shard(docs, keep=["doc_id", "_rid", "shard", "_key", "tokens"], n_shards=8)
     rows = got.collect()
-    assert got.columns == ["doc_id", "_rid", "size", "text_crc32", "tokens", "shard", "slot"]
+    assert got.columns == ["doc_id", "_rid", "shard", "_key", "tokens", "size", "text_crc32", "tokens_", "shard_", "slot"]
+    assert got.select("_rid", "shard", "_key", "tokens").distinct().count() == 1
+    rows = got.drop("shard", "tokens").withColumnsRenamed({"shard_": "shard", "tokens_": "tokens"}).collect()
     homes = verify(rows, {r.doc_id: r.text for r in docs.collect()}, 8, 1.03)
     assert [t for t, s in homes.items() if len(s) > 1] == ["the same text again"]
 
