@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrerylake.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from orrerylake.llm.common import staged, table
+from orrerylake.llm.common import free_name, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs, rules).where(F.col(free_name(docs, "kept"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
