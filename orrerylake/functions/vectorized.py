@@ -78,6 +78,8 @@ def field_of(block: np.ndarray, kind: str, order: str, start: int, width: int, i
         return [_number(bytes(r), int if kind == "ascii_integer" else float) for r in raw]
     if kind == "boolean":
         return raw.any(1)
+    if kind == "logical":  # a letter, T for true
+        return raw[:, 0] == ord("T")
     return [bytes(r) for r in raw]
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerylake.operators import rules
-from orrerylake.sources import files, made, ranges
+from orrerylake.sources import files, fits, made, ranges
 
 from . import archive
 from .register import query, table
-from .scratch import new_folder
+from .scratch import kept, new_folder
 
 #: So small that each table of the test archive is read by several ranges.
 _RANGE = 4096
@@ -101,3 +101,58 @@ def m18_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive.text_rows(of.objects, of.formats, range_bytes=_RANGE)
     layout = F.get(F.array(*map(F.lit, made.LAYOUTS)), (F.regexp_extract("product", "product=([0-9]+)/", 1).cast("int") % len(made.LAYOUTS)))
     return rows.select(layout.alias("layout"), F.col("ORDERKEY").alias("orderkey"), F.col("CUSTKEY").alias("custkey"), F.col("PRICE").alias("price"))
+
+
+def _product() -> Column:
+    return F.regexp_extract("file", "product=([0-9]+)/", 1).alias("product")
+
+
+def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(units, cards) of files made of all orders."""
+    path = new_folder(spark, "units")
+    made.written(made.unit_products(table(spark, sf_dir, "orders")), path, "product", "content")
+    found = kept(fits.units(files.scan(spark, path, "*.txt"), "path"), "units")
+    return found, kept(fits.headers(found), "cards")
+
+
+
+
+@query(
+    sql=f"""
+    WITH p AS (SELECT CAST(o_orderkey // {made.ORDERS_EACH} AS VARCHAR) AS product, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT product, unit, name, (2880 * unit + CASE WHEN unit > 0 THEN (n * 12 + 2879) // 2880 * 2880 ELSE 0 END + CASE WHEN unit > 1 THEN (n * 25 + 2879) // 2880 * 2880 ELSE 0 END)::BIGINT AS header_at, (n * width)::BIGINT AS data_bytes, object
+    FROM p, (SELECT unnest([0, 1, 2])::INTEGER AS unit, unnest(['PRIMARY', 'ORDERS_0', 'ORDERS_1']) AS name, unnest([12, 25, 44]) AS width, unnest(['image''s /', NULL, NULL]) AS object)
+    """
+)
+def s17_s18_header_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each unit of each file begins, as the headers before it tell, with its numbered name and a quoted card."""
+    found, cards = _units(spark, sf_dir)
+    names = cards.groupBy("file", "unit", "name").agg(F.max(F.when(F.col("key") == "OBJECT", F.col("value"))).alias("object"))
+    return found.join(names, ["file", "unit"]).select(_product(), "unit", "name", "header_at", "data_bytes", "object")
+
+
+@query(
+    sql=f"""
+    SELECT CAST(o_orderkey // {made.ORDERS_EACH} AS VARCHAR) AS product, name, (row_number() OVER (PARTITION BY o_orderkey // {made.ORDERS_EACH}, name ORDER BY o_orderkey) - 1)::BIGINT AS row, o_orderkey AS orderkey, o_totalprice AS price,
+    CASE name WHEN 'ORDERS_0' THEN o_custkey * 2.0::DOUBLE END AS cust, CASE name WHEN 'ORDERS_0' THEN -o_custkey * 2.0::DOUBLE END AS minus_cust, CASE name WHEN 'ORDERS_0' THEN o_orderstatus = 'F' END AS done, CASE name WHEN 'ORDERS_1' THEN o_orderpriority END AS priority
+    FROM orders, (SELECT unnest(['ORDERS_0', 'ORDERS_1']) AS name)
+    """
+)
+def s19_unit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary and text tables of the same files, by their own forms, in one pass."""
+    found, cards = _units(spark, sf_dir)
+    rows = fits.table_rows(found, cards, kept(fits.table_fields(cards), "formats"), range_bytes=_RANGE)
+    names = {"ORDERKEY": "orderkey", "PRICE": "price", "CUST_0": "cust", "CUST_1": "minus_cust", "DONE": "done", "PRIORITY": "priority"}
+    return rows.select(_product(), "name", "row", *[F.col(c).alias(n) for c, n in names.items()])
+
+
+@query(
+    sql=f"""
+    SELECT CAST(o_orderkey // {made.ORDERS_EACH} AS VARCHAR) AS product, 0 AS band, (row_number() OVER (PARTITION BY o_orderkey // {made.ORDERS_EACH} ORDER BY o_orderkey) - 1)::INTEGER AS line, o_custkey * 0.5::DOUBLE + 1 AS first, o_orderkey * 0.5::DOUBLE + 1 AS second, NULL::DOUBLE AS third FROM orders
+    """
+)
+def s19_unit_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of the same files, scaled, undefined pixels null."""
+    found, cards = _units(spark, sf_dir)
+    lines = fits.image_lines(found, cards, _RANGE)
+    return lines.select(_product(), "band", "line", *[F.col("samples")[i].alias(n) for i, n in enumerate(("first", "second", "third"))])

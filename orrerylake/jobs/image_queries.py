@@ -78,6 +78,13 @@ def i8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bounds(_cells(spark, sf_dir), ["band"], (1.0, 1.0)).select("band", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+@query(sql="SELECT l_returnflag, trunc(quantile_cont(CAST(l_partkey - 500 AS DOUBLE), 0.07)) AS low, trunc(quantile_cont(CAST(l_partkey - 500 AS DOUBLE), 0.93)) AS high FROM lineitem GROUP BY 1")
+def i8_whole_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of whole pixels are whole."""
+    cells = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_partkey") - 500).alias("value"))
+    return R.bounds(cells, ["l_returnflag"], (7.0, 7.0))
+
+
 @query(sql=f"SELECT band, line, sample, CAST(round_even((greatest(least(value, high), low) - low) / (high - low) * 255, 0) AS SMALLINT) AS byte FROM {_CELLS} JOIN {_BOUNDS} USING (band)")
 def i9_i10_eight_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.eight_bit(_cells(spark, sf_dir), ["band"]).select("band", "line", "sample", "byte")

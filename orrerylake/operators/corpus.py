@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def described(frame: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of a column."""
-    q = [F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return frame.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), *q, F.max(value).alias("max"))
+    """count, mean, std, min, quartiles and max of a column; the quartiles are exact (see ``quantiles``), and null where a group has no value."""
+    plain = frame.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles.quantiles(frame, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnsRenamed({b: f"_{b}" for b in by})
+    joined = plain.join(q, reduce(and_, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True)), "left")
+    return joined.select(*by, "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 LARGE = {"delimited": 20_000_000, "fixed": 40_000_000}

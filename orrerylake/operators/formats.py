@@ -187,7 +187,7 @@ def line_prefix(rows: Column, suffix: Column, image: Column) -> Column:
 INTEGERS = {(1, True): "tinyint", (2, True): "smallint", (4, True): "int", (8, True): "bigint", (1, False): "smallint", (2, False): "int", (4, False): "bigint", (8, False): "decimal(20,0)"}
 
 
-_OTHERS = {"ascii_integer": "bigint", "ascii_real": "double", "boolean": "boolean"}
+_OTHERS = {"ascii_integer": "bigint", "ascii_real": "double", "boolean": "boolean", "logical": "boolean"}
 
 
 def spark_type(kind: str, width: int, is_signed: bool) -> str:
@@ -223,6 +223,8 @@ def decoded(record: Column, kind: str, order: str, start: int, width: int, is_si
         value = F.trim(F.decode(F.substring(record, start, width), "ISO-8859-1"), F.lit(' \t\r\n",\0')).try_cast(spark_type(kind, width, is_signed))
     elif kind == "boolean":
         value = binary.hex_of(record, start, width, "big").rlike("[^0]")
+    elif kind == "logical":
+        value = F.substring(record, start, 1) == F.lit(b"T")
     elif kind == "text":
         value = F.rtrim(F.decode(F.substring(record, start, width), "ISO-8859-1"))
     else:
@@ -366,6 +368,6 @@ def decoded_by_format(ranges: DataFrame, keys: list[str], columns: dict[str, str
     ``merged_schema`` gives them; a column that a format lacks is null. A record that is cut off at the file's end has nulls in the fields that it does
     not hold. Missing files give no rows.
     """
-    asked = ranges.select(*keys, file, "at", "size", "first_row", "record_bytes", "skip_bytes", "fields")
+    asked = ranges.select(*dict.fromkeys([*keys, file, "at", "size", "first_row", "record_bytes", "skip_bytes", "fields"]))
     schema = StructType([*asked.select(*keys).schema.fields, *StructType.fromDDL(", ".join(["row bigint", *[f"`{c}` {t}" for c, t in columns.items()]])).fields])
     return asked.mapInArrow(vectorized.range_decoder(keys, columns, file), schema)

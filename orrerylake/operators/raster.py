@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from . import quantiles
 
 ORDERS = ("BAND_SEQUENTIAL", "LINE_INTERLEAVED", "SAMPLE_INTERLEAVED")
 
@@ -69,21 +72,16 @@ def rgb(cells: DataFrame, by: list[str], chosen: tuple[int, int, int]) -> DataFr
     return some.groupBy(*by).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(n) for b, n in zip(chosen, "rgb", strict=True)])
 
 
-def bounds(cells: DataFrame, by: list[str], clip: tuple[float, float], value: str = "value", accuracy: int | None = None) -> DataFrame:
-    """(by, low, high): percentiles of the values that are not null; 0 means minimum and maximum.
+def bounds(cells: DataFrame, by: list[str], clip: tuple[float, float], value: str = "value") -> DataFrame:
+    """(by, low, high): exact percentiles of the values that are not null, with linear interpolation; 0 means minimum and maximum.
 
-    Exact with linear interpolation, or approximate with ``accuracy`` where one image has too many pixels for it.
+    Where the pixels are whole numbers the bounds are cut to whole numbers, towards zero. No task holds the values of an image (see ``quantiles``). An
+    image without values has no row.
     """
-    low, high = clip[0] / 100, 1 - clip[1] / 100
-
-    def at(share: float, plain: Column) -> Column:
-        if share in (0.0, 1.0):
-            return plain.cast("double")
-        if accuracy:
-            return F.percentile_approx(value, share, accuracy).cast("double")
-        return F.percentile(value, F.lit(share))
-
-    return cells.groupBy(*by).agg(at(low, F.min(value)).alias("low"), at(high, F.max(value)).alias("high"))
+    found = quantiles.quantiles(cells, by, value, {"low": clip[0] / 100, "high": 1 - clip[1] / 100})
+    if isinstance(cells.schema[value].dataType, IntegralType):
+        found = found.withColumns({c: F.when(F.col(c) < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double") for c in ("low", "high")})
+    return found
 
 
 def normalized(value: Column, low: Column, high: Column, to: tuple[float, float] = (0.0, 1.0)) -> Column:
@@ -92,12 +90,12 @@ def normalized(value: Column, low: Column, high: Column, to: tuple[float, float]
     return F.when(value.isNull(), F.lit(None).cast("double")).when(high > low, (cut - low) / (high - low) * (to[1] - to[0]) + to[0]).otherwise(value)
 
 
-def eight_bit(cells: DataFrame, by: list[str], clip: tuple[float, float] = (1.0, 1.0), value: str = "value", accuracy: int | None = None) -> DataFrame:
+def eight_bit(cells: DataFrame, by: list[str], clip: tuple[float, float] = (1.0, 1.0), value: str = "value") -> DataFrame:
     """``cells`` with the column byte: 0 to 255 between the bounds of each image, ties to the even number.
 
-    Null values have a null byte. ``accuracy``: as in ``bounds``, for images of too many distinct values for one group.
+    Null values have a null byte; images without any value have no row.
     """
-    limits = bounds(cells, by, clip, value, accuracy)
+    limits = bounds(cells, by, clip, value)
     return cells.join(limits, by).withColumn("byte", F.rint(normalized(F.col(value), F.col("low"), F.col("high"), (0.0, 255.0))).cast("smallint")).drop("low", "high")
 
 

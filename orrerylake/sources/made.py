@@ -156,3 +156,34 @@ def layout_products(orders: DataFrame) -> DataFrame:
         "PDS_VERSION_ID = PDS3\nDATA_SET_ID = \"", layout, "\"\n^TABLE = ", F.lit(HEAD_BYTES + 1), " <BYTES>\nOBJECT = TABLE\n  INTERCHANGE_FORMAT = ASCII\n  ROWS = ", n, "\n  ROW_BYTES = ", F.lit(TEXT_ROW_BYTES), "\n  FIELD_DELIMITER = SEMICOLON\n", _TEXT_TABLE, "END_OBJECT = TABLE\nEND\n",
     )
     return held.select("product", F.concat(F.rpad(label, HEAD_BYTES, " "), content).cast("binary").alias("content"))
+
+
+def _cards(*cards: Column | str) -> Column:
+    """Hex digits of a header: cards of 80 characters, filled to whole blocks."""
+    whole = F.concat(*[F.rpad(F.lit(c) if isinstance(c, str) else c, 80, " ") for c in (*cards, "END")])
+    return F.hex(F.rpad(whole, 2880 * -(-80 * (len(cards) + 1) // 2880), " ").cast("binary"))
+
+
+def _blocks(digits: Column, fill: str = "0") -> Column:
+    return F.rpad(digits, (F.ceil(F.length(digits) / 5760) * 5760).cast("int"), fill)
+
+
+def unit_products(orders: DataFrame) -> DataFrame:
+    """(product, content): files of three header-and-data units of ``ORDERS_EACH`` keys of orders each: an image with a line for each order, a binary
+    table with cells of two values and a scaled column, and a table of text, both tables of the same name.
+    """
+    c = F.col
+    cell = F.concat(binary.integer_bytes(c("o_orderkey"), 8, "big"), binary.ieee_bytes(c("o_totalprice"), 8, "big"), binary.integer_bytes(c("o_custkey"), 4, "big"), binary.integer_bytes(-c("o_custkey"), 4, "big"), F.when(c("o_orderstatus") == "F", F.lit(b"T")).otherwise(F.lit(b"F")))
+    line = F.concat(binary.integer_bytes(c("o_custkey"), 4, "big"), binary.integer_bytes(c("o_orderkey"), 4, "big"), binary.integer_bytes(F.lit(-99), 4, "big"))
+    written_ = F.concat(F.lpad(c("o_orderkey").cast("string"), 12, " "), F.lit(" "), F.lpad(F.format_string("%.2f", "o_totalprice"), 15, " "), F.lit(" "), F.rpad("o_orderpriority", 15, " ")).cast("binary")
+    held = orders.groupBy(F.floor(c("o_orderkey") / ORDERS_EACH).alias("product")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.hex(cell).alias("cell"), F.hex(line).alias("line"), F.hex(written_).alias("text")))).alias("rows"))
+    n = F.size("rows")
+
+    def card(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{key:<8}= "), F.lpad(value.cast("string"), 20, " "), F.lit(" / made"))
+
+    image = _cards("SIMPLE  =                    T", "BITPIX  =                   32", "NAXIS   =                    2", "NAXIS1  =                    3", card("NAXIS2", n), "BSCALE  =                  0.5", "BZERO   =                  1.0", "BLANK   =                  -99", "OBJECT  = 'image''s /  '", "COMMENT none", "")
+    cells = _cards("XTENSION= 'BINTABLE'", "BITPIX  =                    8", "NAXIS   =                    2", "NAXIS1  =                   25", card("NAXIS2", n), "PCOUNT  =                    0", "GCOUNT  =                    1", "TFIELDS =                    4", "TTYPE1  = 'ORDERKEY'", "TFORM1  = 'K       '", "TTYPE2  = 'PRICE   '", "TFORM2  = '1D      '", "TTYPE3  = 'CUST    '", "TFORM3  = '2J      '", "TSCAL3  =                  2.0", "TTYPE4  = 'DONE    '", "TFORM4  = 'L       '", "EXTNAME = 'ORDERS  '")
+    texts = _cards("XTENSION= 'TABLE   '", "BITPIX  =                    8", "NAXIS   =                    2", "NAXIS1  =                   44", card("NAXIS2", n), "PCOUNT  =                    0", "GCOUNT  =                    1", "TFIELDS =                    3", "TTYPE1  = 'ORDERKEY'", "TFORM1  = 'I12     '", "TBCOL1  =                    1", "TTYPE2  = 'PRICE   '", "TFORM2  = 'F15.2   '", "TBCOL2  =                   14", "TTYPE3  = 'PRIORITY'", "TFORM3  = 'A15     '", "TBCOL3  =                   30", "EXTNAME = 'ORDERS  '")
+    body = F.concat(image, _blocks(F.array_join("rows.line", "")), cells, _blocks(F.array_join("rows.cell", "")), texts, _blocks(F.array_join("rows.text", ""), "20"))
+    return held.select("product", F.unhex(body).alias("content"))

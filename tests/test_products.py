@@ -135,6 +135,9 @@ def test_bounds_and_stretch(spark):
     cells = spark.createDataFrame([("x", float(r)) for r in range(100) for _ in range(10)] + [("x", None)], "image string, value double")
     assert tuple(raster.bounds(cells, ["image"], (10, 10)).first())[1:] == pytest.approx((9.9, 89.1))
     assert tuple(raster.bounds(cells, ["image"], (0, 0)).first())[1:] == (0.0, 99.0)
+    whole = cells.select("image", F.col("value").cast("smallint").alias("value"))
+    assert tuple(raster.bounds(whole, ["image"], (10, 10)).first())[1:] == (9.0, 89.0)
+    assert tuple(raster.bounds(whole.withColumn("value", -F.col("value")), ["image"], (10, 10)).first())[1:] == (-89.0, -9.0)
     bytes_ = [r.byte for r in raster.eight_bit(cells, ["image"], (10, 10)).collect()]
     assert min(b for b in bytes_ if b is not None) == 0 and max(b for b in bytes_ if b is not None) == 255 and None in bytes_
     flat = spark.createDataFrame([("y", 5.0)], "image string, value double")
