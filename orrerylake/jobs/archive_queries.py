@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerylake.operators import rules
+from orrerylake.operators import rules, xml_labels
 from orrerylake.sources import files, fits, made, ranges
 
 from . import archive
@@ -156,3 +156,42 @@ def s19_unit_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, cards = _units(spark, sf_dir)
     lines = fits.image_lines(found, cards, _RANGE)
     return lines.select(_product(), "band", "line", *[F.col("samples")[i].alias(n) for i, n in enumerate(("first", "second", "third"))])
+
+
+def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of a label for each customer: two file areas, structures with and without names, and fields in a group."""
+    c = F.col
+    field = lambda name: made.text("<Field><name>", name, "</name><n>", c("c_nationkey"), "</n></Field>")
+    label = made.text(
+        '<?xml version="1.0"?>\n<!-- customer --><p:Product_Observational xmlns:p="http://x/y" xmlns="z"><Identification_Area><title>', c("c_name"), " &amp; co</title><balance unit='USD'>", F.format_string("%.2f", "c_acctbal"), "</balance></Identification_Area>",
+        "<File_Area_Browse><File><file_name>b", c("c_custkey"), ".img</file_name></File><Array_2D><offset>", c("c_nationkey"), "</offset></Array_2D></File_Area_Browse>",
+        "<File_Area_Observational><File><file_name>a", c("c_custkey"), ".dat</file_name></File><Header><name>", c("c_name"), "</name></Header><Array_3D/><Table_Binary><Record_Binary>", field(F.lit("one")), "<Group>", field(F.lit("two")), "</Group></Record_Binary></Table_Binary></File_Area_Observational>",
+        "</p:Product_Observational>",
+    )
+    return kept(xml_labels.elements(table(spark, sf_dir, "customer").select("c_custkey", label.alias("label")), "c_custkey", "label"), "elements")
+
+
+@query(
+    sql="""
+    SELECT c_custkey, '1.1.1' AS place, 'title' AS key, c_name || ' & co' AS value, NULL AS unit FROM customer UNION ALL SELECT c_custkey, '1.1.2', 'balance', printf('%.2f', c_acctbal), 'USD' FROM customer
+    UNION ALL SELECT c_custkey, '1.3.4.1.1.1', 'name', 'one', NULL FROM customer UNION ALL SELECT c_custkey, '1.3.4.1.1.2', 'n', '' || c_nationkey, NULL FROM customer
+    UNION ALL SELECT c_custkey, '1.3.4.1.2.1.1', 'name', 'two', NULL FROM customer UNION ALL SELECT c_custkey, '1.3.4.1.2.1.2', 'n', '' || c_nationkey, NULL FROM customer
+    """
+)
+def m19_key_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements found by paths, from the root and below anchors, with their places."""
+    found = _xml(spark, sf_dir)
+    tables = xml_labels.findall(found, "c_custkey", "File_Area_Observational/Table_Binary")
+    both = xml_labels.findall(found, "c_custkey", "Identification_Area/*").unionByName(xml_labels.findall(found, "c_custkey", ".//Field/*", tables).drop("anchor"))
+    return both.select("c_custkey", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "key", "value", F.col("attributes")["unit"].alias("unit"))
+
+
+@query(
+    sql="""
+    SELECT c_custkey, 'b' || c_custkey || '.img' AS file_name, 'array' AS kind, 'ARRAY_1' AS id, CAST(c_nationkey AS BIGINT) AS "offset" FROM customer UNION ALL SELECT c_custkey, 'a' || c_custkey || '.dat', 'header', c_name, 0 FROM customer
+    UNION ALL SELECT c_custkey, 'a' || c_custkey || '.dat', 'array', 'ARRAY_0', 0 FROM customer UNION ALL SELECT c_custkey, 'a' || c_custkey || '.dat', 'table', 'TABLE_0', 0 FROM customer
+    """
+)
+def m20_structures_in_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures found in the labels themselves."""
+    return xml_labels.structures(_xml(spark, sf_dir), "c_custkey").select("c_custkey", "file_name", "kind", "id", "offset")
