@@ -204,17 +204,30 @@ def m20_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.structures(files, "c_custkey", "areas").select("c_custkey", "file_name", "kind", "id")
 
 
-@query(
-    sql="""
+_OF_FOUR = """
     SELECT l_orderkey, l_linenumber, o_totalprice AS header_price FROM lineitem JOIN orders ON o_orderkey = l_orderkey
     WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 4)
     """
-)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, at, price, l_orderkey, l_linenumber): orders as header rows, each before its lines; places in the stream have gaps."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    head = orders.select("o_custkey", (F.col("o_orderkey") * 1000).alias("at"), F.col("o_totalprice").alias("price"), F.lit(None).cast("bigint").alias("l_orderkey"), F.lit(None).cast("int").alias("l_linenumber"))
+    body = items.withColumn("_x", place).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return head.unionByName(body.select("o_custkey", (F.col("l_orderkey") * 1000 + F.col("_x")).alias("at"), F.lit(None).cast("double").alias("price"), "l_orderkey", "l_linenumber"))
+
+
+@query(sql=_OF_FOUR)
 def m21_filled_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream per customer with an order as header row before its lines; only blocks of four lines stay."""
-    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    head = orders.select("o_custkey", F.struct(F.col("o_orderkey").alias("k"), F.lit(-1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("x")).alias("at"), F.col("o_totalprice").alias("price"), F.lit(None).cast("bigint").alias("l_orderkey"), F.lit(None).cast("int").alias("l_linenumber"))
-    body = items.withColumn("_x", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("bigint")).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    detail = body.select("o_custkey", F.struct(F.col("l_orderkey").alias("k"), F.lit(0).cast("bigint").alias("n"), F.col("_x").alias("x")).alias("at"), F.lit(None).cast("double").alias("price"), "l_orderkey", "l_linenumber")
-    filled = rules.filled_headers(head.unionByName(detail), "o_custkey", "at", F.col("l_orderkey").isNull(), ["price"], 4)
+    filled = rules.filled_headers(_stream(spark, sf_dir), "o_custkey", "at", F.col("l_orderkey").isNull(), ["price"], 4)
+    return filled.select("l_orderkey", "l_linenumber", "header_price")
+
+
+@query(sql=_OF_FOUR)
+def m21_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of one stream with all orders: no task holds it."""
+    filled = rules.filled_headers(_stream(spark, sf_dir).withColumn("file", F.lit("all")), "file", "at", F.col("l_orderkey").isNull(), ["price"], 4)
     return filled.select("l_orderkey", "l_linenumber", "header_price")

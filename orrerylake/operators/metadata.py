@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrerylake.jobs.scratch import kept
+
 #: The keys that identify a product.
 IDENTIFIERS = """
     DATA_SET_ID DATA_SET_NAME DATA_QUALITY_DESC FILE_NAME FILE_RECORDS INSTRUMENT_ID INSTRUMENT_HOST_NAME INSTRUMENT_NAME LABEL_RECORDS NOTE PRODUCT_ID
@@ -190,18 +192,40 @@ def similarity(a: Column, b: Column) -> Column:
         return F.aggregate(F.transform(other, lambda c, i: F.struct(c.alias("c"), F.get(before, i).alias("up"))), start, cell, lambda s: s["out"])
 
     common = F.element_at(F.aggregate(F.split(a, ""), empty, row), -1)
-    return 2.0 * common / (F.length(a) + F.length(b))
+    return F.coalesce(F.try_divide(2.0 * F.coalesce(common, F.lit(0)), F.length(a) + F.length(b)), F.lit(1.0))
+
+
+def _best(scored: DataFrame, term: str) -> DataFrame:
+    return scored.groupBy(term).agg(F.min_by("key", F.struct(-F.col("ratio"), "key")).alias("key"), F.max("ratio").alias("ratio"))
+
+
+def _pairs_of(text: Column) -> Column:
+    """The distinct pairs of neighbouring characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2))))
+
+
+def fuzzy_candidates(keys: DataFrame, terms: DataFrame, term: str) -> DataFrame:
+    """(term, key): keys that share a pair of neighbouring characters with a term, met by an equi-join on the pairs."""
+    a = terms.select(term, F.explode(_pairs_of(F.col(term))).alias("_pair"))
+    b = keys.select("key", F.explode(_pairs_of(F.col("key"))).alias("_pair"))
+    return a.join(b, "_pair").select(term, "key").distinct()
 
 
 def fuzzy_keys(meta: DataFrame, terms: DataFrame, term: str = "term", most_terms: int = 10_000) -> DataFrame:
     """(term, key, ratio): the distinct key most like each term; of equal ones the first by name.
 
-    Distinct keys are a vocabulary, small beside the table; terms are a stated query set of at most ``most_terms``, which is
-    checked before they travel with the tasks. Null terms and keys are left out.
+    An insertion or deletion spoils two pairs of neighbouring characters at most, so a key of l characters that shares no pair with a term of n has
+    a ratio of 1 - (n - 1) / 4n at most, whatever l is. Keys that share a pair are compared first; only terms whose best ratio is not above that bound
+    are compared with all keys. Distinct keys are a vocabulary, small beside the table; terms are a stated query set of at most ``most_terms``, which is checked. Null
+    terms and keys are left out; an empty term is unlike every key but an empty one.
     """
     terms = terms.select(term).dropna().distinct()
     if terms.limit(most_terms + 1).count() > most_terms:
         raise ValueError(f"more than {most_terms} terms")
-    keys = meta.select("key").dropna().distinct()
-    scored = keys.join(F.broadcast(terms), F.lit(True)).select(term, "key", similarity(F.col(term), F.col("key")).alias("ratio"))
-    return scored.groupBy(term).agg(F.min_by("key", F.struct(-F.col("ratio"), "key")).alias("key"), F.max("ratio").alias("ratio"))
+    keys = kept(meta.select("key").dropna().distinct(), "keys")
+    near = kept(_best(fuzzy_candidates(keys, terms, term).withColumn("ratio", similarity(F.col(term), F.col("key"))), term), "near")
+    n = F.length(term)
+    sure = near.where(F.col("ratio") > 1 - (n - 1) / (4 * n))
+    open_ = terms.join(sure.select(term), term, "left_anti")
+    far = keys.join(F.broadcast(open_), F.lit(True)).select(term, "key", similarity(F.col(term), F.col("key")).alias("ratio"))
+    return sure.unionByName(_best(far, term))

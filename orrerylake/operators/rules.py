@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from . import readers
+
 RULES = "priority int, stage string, column string, test string, operand string, low double, high double, field string, value string"
 
 
@@ -58,14 +60,14 @@ def patched(column: Column, field: str, cast: str) -> Column:
 def filled_headers(rows: DataFrame, file: str, order: str, is_header: Column, header: list[str], block: int) -> DataFrame:
     """Detail rows with the columns of the header row before them; blocks of other than ``block`` details go.
 
-    Files are independent; in one file the order is that of the records.
+    Files are independent; ``order`` is a whole number, such as the number of a record in its file, without ties. The last header is carried from block to block
+    of records, so that no window holds a whole file; one more shuffle, by header, counts its details. Rows before a file's first header go.
     """
-    in_file = Window.partitionBy(file).orderBy(order)
-    held = rows.withColumn("_header", is_header).withColumn("_block", F.sum(F.col("_header").cast("long")).over(in_file))
-    for c in header:
-        held = held.withColumn(f"header_{c}", F.last(F.when(F.col("_header"), F.col(c)), ignorenulls=True).over(in_file))
-    whole = F.count(F.when(~F.col("_header"), 1)).over(Window.partitionBy(file, "_block"))
-    return held.withColumn("_n", whole).where(~F.col("_header") & (F.col("_n") == block) & (F.col("_block") > 0)).drop("_header", "_block", "_n")
+    head = F.when(is_header, F.struct(F.col(order).alias("at"), *[F.col(c).alias(f"h{i}") for i, c in enumerate(header)]))
+    held = readers.last_before(rows, [file], head, order).where(F.col("last").isNotNull() & ~F.coalesce(is_header, F.lit(False)))
+    whole = F.count("*").over(Window.partitionBy(file, "last.at"))
+    kept = held.withColumn("_n", whole).where(F.col("_n") == block)
+    return kept.select(*[F.col(c) for c in rows.columns], *[F.col(f"last.h{i}").alias(f"header_{c}") for i, c in enumerate(header)])
 
 
 def xml_fields(label: Column, schema: str) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from orrerylake.functions.text import stripped
 
+#: Places of a file whose rows one window numbers.
+BLOCK = 10_000
 #: Names of delimiters.
 DELIMITERS = {"COMMA": ",", "VERTICAL_BAR": "|", "SEMICOLON": ";", "TAB": "\t"}
 
@@ -124,4 +126,12 @@ def after_marker(lines: DataFrame, file: str, order: str, marker: Column) -> Dat
 
 
 def numbered(frame: DataFrame, file: str, order: str) -> DataFrame:
-    return frame.withColumn("row", F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1)
+    """``frame`` with the column row, from 0 without gaps, in each file's order (a whole number without ties).
+
+    Rows are numbered inside blocks of places, and blocks by the sums of those before them, so no window holds a whole file.
+    """
+    held = frame.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    counts = held.groupBy(file, "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    inside = F.row_number().over(Window.partitionBy(file, "_block").orderBy(order)) - 1
+    return held.withColumn("row", inside).join(counts.select(file, "_block", before.alias("_before")), [file, "_block"]).withColumn("row", F.col("row") + F.col("_before")).drop("_block", "_before")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrerylake.functions import values
 from orrerylake.jobs import sinks
-from orrerylake.operators import calibrate, formats, metadata, rules, special_cases, statements
+from orrerylake.operators import calibrate, formats, metadata, readers, rules, special_cases, statements
 from orrerylake.sources import files, records
 
 FIELDS = [
@@ -179,3 +179,35 @@ def test_grey_map_lines_make_a_file(spark):
     lines = sinks.grey_map_lines(rows, ["image"]).orderBy("image", "line").collect()
     assert b"".join(r.content for r in lines if r.image == 1) == b"P5\n2 2\n255\n\x00\xff\x10\x20"
     assert sinks.grey_map_lines(rows.limit(0), ["image"]).count() == 0
+
+
+def test_fuzzy_keys_equal_all_comparisons(spark):
+    """The pair filter changes nothing, also where the best key shares no pair with the term."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ABCD"), int(rng.integers(1, 9)))) for _ in range(60)] + ["ACBD", "XY"]
+    terms = ["".join(rng.choice(list("ABCDE"), int(rng.integers(1, 9)))) for _ in range(25)] + ["AXBYCZ", "Q", "ZZZZ", words[0]]
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+        return 2 * row[-1] / (len(a) + len(b))
+
+    got = {r.term: (r.key, r.ratio) for r in metadata.fuzzy_keys(spark.createDataFrame([(w,) for w in words], "key string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    for t in set(terms):
+        best = min((-ratio(t, k), k) for k in set(words))
+        assert got[t] == (best[1], pytest.approx(-best[0])), t
+
+
+def test_headers_carried_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(readers, "BLOCK_LINES", 3)
+    rows = [("f", k, kind, None if kind == "d" else f"h{k}") for k, kind in enumerate("ddhddhdhhdddddddhdd")] + [("g", 0, "d", None)]
+    df = spark.createDataFrame(rows, "file string, row long, kind string, x string").repartition(4)
+    got = sorted((r.row, r.header_x) for r in rules.filled_headers(df, "file", "row", F.col("kind") == "h", ["x"], 2).collect())
+    assert got == [(3, "h2"), (4, "h2"), (17, "h16"), (18, "h16")]
+    assert rules.filled_headers(df.limit(0), "file", "row", F.col("kind") == "h", ["x"], 2).count() == 0
+    monkeypatch.setattr(records, "BLOCK", 4)
+    numbered = records.numbered(df.where("row % 3 = 0"), "file", "row").collect()
+    assert sorted((r.file, r.row) for r in numbered) == [("f", k) for k in range(7)] + [("g", 0)]
