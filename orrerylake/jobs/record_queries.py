@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrerylake.functions import binary, text, values
-from orrerylake.operators import calibrate, formats, rules, special_cases
+from orrerylake.operators import calibrate, formats, readers, rules, special_cases
 from orrerylake.sources import made, records
 
 from .register import query, table
@@ -115,6 +115,18 @@ def s21_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("k").cast("bigint").alias("o_orderkey"), F.regexp_extract("p", "^(.*),x$", 1).alias("priority"), text.null_spellings(F.col("c")).cast("bigint").alias("custkey"))
 
 
+@query(sql="SELECT o_orderkey, o_custkey, o_orderpriority || ';' || chr(10) || chr(10) || o_orderstatus || ',x' AS note FROM orders")
+def s21_quoted_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited records whose quoted fields hold delimiters and line ends, cut into lines and joined again by the parity of quotes, all orders as one file."""
+    c = F.col
+    record = made.text(c("o_orderkey"), ',"', c("o_orderpriority"), ';\n\n', c("o_orderstatus"), ',x",', c("o_custkey"))
+    lines = table(spark, sf_dir, "orders").select(F.posexplode(F.split(record, "\n")).alias("k", "line"), (c("o_orderkey") * 8).alias("at"))
+    held = lines.select(F.lit("all").alias("file"), (F.col("at") + F.col("k")).alias("row"), F.col("line").cast("binary").alias("line"))
+    cells = readers.delimited_fields(F.col("line"), F.lit(","))
+    found = readers.quoted_records(held, ["file"]).select(cells.alias("x"))
+    return found.select(F.col("x")[0].cast("bigint").alias("o_orderkey"), F.col("x")[2].cast("bigint").alias("o_custkey"), F.col("x")[1].alias("note"))
+
+
 @query(sql="SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 7 ELSE l_linenumber & 5 END AS masked FROM lineitem")
 def s22_masked_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = binary.integer_bytes(F.col("l_linenumber"), 2, "big")

@@ -99,7 +99,7 @@ def last_before(lines: DataFrame, object_: list[str], value: Column, row: str =
 #: Readers that look at one line at a time.
 LINE_READERS = ["delimited", "white space", "fixed width", "without nuls", "null spellings"]
 #: Readers that need other lines of the table, too.
-TABLE_READERS = ["records by bytes", "added breaks", "moved breaks", "after marker", "sections", "spreadsheet", "filled headers"]
+TABLE_READERS = ["records by bytes", "added breaks", "moved breaks", "after marker", "sections", "spreadsheet", "filled headers", "quoted records"]
 
 
 def chosen(reader: Column, delimiter: Column) -> Column:
@@ -140,6 +140,25 @@ def by_bytes(lines: DataFrame, object_: list[str]) -> DataFrame:
     return _by_width(records_by_bytes(lines, object_, F.col("record_bytes")).join(facts, object_))
 
 
+def quoted_records(lines: DataFrame, object_: list[str], line: str = "line", row: str = "row") -> DataFrame:
+    """(object_, row, line): records of lines, where a line end inside quotes ends none; the lines of a record are joined by LF.
+
+    Whether a line begins inside quotes is the parity of all quotes before it, which sums over blocks of lines tell, whatever the splits. A quote that is never closed
+    takes the rest of its object into one record. A null line is empty.
+    """
+    held = lines.withColumn(line, F.coalesce(F.col(line), F.lit(b"")))
+    t = F.col(line).cast("string")
+    counted = running_bytes(held, object_, F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit(""))), row)
+    marked = last_before(counted, object_, F.when(F.col("before") % 2 == 0, F.col(row)), row)
+    joined = marked.groupBy(*object_, F.col("last").alias(row)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), t.alias("t")))), lambda x: x["t"]), "\n").cast("binary").alias(line))
+    return renumbered(joined, object_, row)
+
+
+def by_quotes(lines: DataFrame, object_: list[str]) -> DataFrame:
+    facts = lines.groupBy(*object_).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("fields", "delimiter")])
+    return _by_delimiter(quoted_records(lines, object_).join(facts, object_))
+
+
 def behind_marker(lines: DataFrame, object_: list[str]) -> DataFrame:
     return _by_delimiter(after_marker(lines, object_))
 
@@ -164,4 +183,5 @@ GROUPS: list[tuple[list[str], Callable[[DataFrame, list[str]], DataFrame]]] = [
     (["after marker"], behind_marker),
     (["sections", "spreadsheet"], sections),
     (["filled headers"], headers_filled),
+    (["quoted records"], by_quotes),
 ]

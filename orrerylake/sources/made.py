@@ -126,7 +126,7 @@ def order_products(orders: DataFrame) -> DataFrame:
 
 
 #: Layouts of a text table of orders, by the product's number; each wants another reader. The label is the same for all but the delimiter.
-LAYOUTS = ["delimited", "white space", "fixed width", "records by bytes", "moved breaks", "after marker", "sections", "null spellings", "filled headers", "without nuls", "added breaks", "spreadsheet"]
+LAYOUTS = ["delimited", "white space", "fixed width", "records by bytes", "moved breaks", "after marker", "sections", "null spellings", "filled headers", "without nuls", "added breaks", "spreadsheet", "quoted records"]
 _TEXT_TABLE = _column("CUSTKEY", "INTEGER", 1, 10) + _column("ORDERKEY", "INTEGER", 12, 12) + _column("PRICE", "ASCII_REAL", 24, 16)
 TEXT_ROW_BYTES = 39
 
@@ -147,7 +147,7 @@ def layout_products(orders: DataFrame) -> DataFrame:
     body = {
         "delimited": by_line, "white space": F.array_join("rows.blank", "\n"), "fixed width": F.array_join("rows.fixed", "\n"), "records by bytes": unbroken, "moved breaks": F.regexp_replace(unbroken, "(.{25})", "$1\n"),
         "after marker": F.concat(F.lit("7;8;9\n// start\n"), by_line), "sections": F.concat(F.lit("a\nb\nc\n"), by_line, F.lit("\n1;2;3")), "null spellings": F.concat(F.lit("# note\n"), F.array_join("rows.spelled", "\n")), "filled headers": F.array_join("rows.under", "\n"),
-        "without nuls": F.regexp_replace(F.array_join("rows.fixed", "\n"), "(\n|^)", "$1\u0000"), "added breaks": unbroken, "spreadsheet": by_line,
+        "without nuls": F.regexp_replace(F.array_join("rows.fixed", "\n"), "(\n|^)", "$1\u0000"), "added breaks": unbroken, "spreadsheet": by_line, "quoted records": F.array_join(F.transform("rows", lambda r: F.regexp_replace(r["cut"], '" ', '"\n')), "\r\n"),
     }
     layout, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, name in enumerate(LAYOUTS):

@@ -157,6 +157,16 @@ def test_tables_that_need_other_lines(spark, monkeypatch):
         assert f(lines_of(spark, heads).limit(0), ["o"]).count() == 0
 
 
+def test_records_of_quoted_lines(spark, monkeypatch):
+    monkeypatch.setattr(readers, "BLOCK_LINES", 3)
+    held = {"p": [b'1,"a', b"b,", b'c"', b"2,x", b'"3"",', b'4",5', b"", b"6,7", b'open "', b"8,9"], "q": [b"1", None, b'"', b'"']}
+    got = {}
+    for r in sorted(readers.quoted_records(lines_of(spark, held), ["o"]).collect(), key=lambda r: (r.o, r.row)):
+        got.setdefault(r.o, []).append(r.line)
+    assert got == {"p": [b'1,"a\nb,\nc"', b"2,x", b'"3"",\n4",5', b"", b"6,7", b'open "\n8,9'], "q": [b"1", b"", b'"\n"']}
+    assert cells(readers.by_quotes(lines_of(spark, {"p": [b'1;"a', b';b";2', b"3;;"]}, delimiter=";"), ["o"])) == {"p": [(0, ["1", "a\n;b", "2"]), (1, ["3", "", ""])]}
+
+
 def test_unknown_readers_raise(spark):
     df = spark.createDataFrame([("delimited", None), (None, ";"), (None, None), ("nobody", None)], "r string, d string")
     assert [r.c for r in df.where("r IS NULL OR r != 'nobody'").coalesce(1).select(readers.chosen(F.col("r"), F.col("d")).alias("c")).collect()] == ["delimited", "delimited", "fixed width"]
