@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from orrerylake.functions import vectorized
 from orrerylake.operators import raster as R
+from orrerylake.sources import files
 
 from .register import query, table
-from .sinks import grey_map_lines
+from .scratch import new_folder
+from .sinks import grey_map_lines, write_grey_maps
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,3 +120,17 @@ def k3_grey_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.rows_of(R.eight_bit(_cells(spark, sf_dir), ["band"]), ["band"])
     is_head = F.col("line") < 0
     return grey_map_lines(rows, ["band"]).select("band", "line", F.when(is_head, F.decode("content", "US-ASCII")).alias("head"), F.when(~is_head, F.hex("content")).alias("pixels"))
+
+
+@query(
+    sql=f"""
+    SELECT 'image_scaled_' || label || '.pgm' AS file, count(DISTINCT vec_id) * 64 + length('P5' || chr(10) || '64 ' || count(DISTINCT vec_id) || chr(10) || '255' || chr(10)) AS bytes,
+    sha256(unhex(hex('P5' || chr(10) || '64 ' || count(DISTINCT vec_id) || chr(10) || '255' || chr(10)) || string_agg(printf('%02X', byte), '' ORDER BY vec_id, i))) AS content FROM ({_BYTES}) GROUP BY label
+    """
+)
+def k3_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every band of the image as a file of its own, written in two phases and read back byte for byte."""
+    path = new_folder(spark, "grey-maps")
+    write_grey_maps(R.eight_bit(_cells(spark, sf_dir), ["band"]).withColumn("name", F.lit("image")), path, ["name"], "band", scaled=True)
+    back = files.scan(spark, path, "*.pgm", with_content=True)
+    return back.select(files.file_name(F.col("path")).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content"))
