@@ -13,7 +13,7 @@ from .register import query, table
 from .scratch import kept, new_folder
 
 #: So small that each table of the test archive is read by several ranges.
-_RANGE = 4096
+_RANGE = 2000
 
 
 def _archive(spark: SparkSession, sf_dir: str) -> tuple[archive.Archive, str]:

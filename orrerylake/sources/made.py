@@ -83,7 +83,7 @@ def written(frame: DataFrame, path: str, by: str, content: str) -> None:
 
 HEAD_BYTES = 2048
 #: Orders of a product at most.
-ORDERS_EACH = 1024
+ORDERS_EACH = 256
 
 
 def _column(name: str, data_type: str, start: int, width: int, *more: str) -> str:
