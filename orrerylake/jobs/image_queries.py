@@ -134,3 +134,17 @@ def k3_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_grey_maps(R.eight_bit(_cells(spark, sf_dir), ["band"]).withColumn("name", F.lit("image")), path, ["name"], "band", scaled=True)
     back = files.scan(spark, path, "*.pgm", with_content=True)
     return back.select(files.file_name(F.col("path")).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content"))
+
+
+@query(sql=f"SELECT CASE WHEN sample >= 60 THEN 'side' WHEN line % 50 < 2 THEN 'bottom' WHEN band >= 8 THEN 'back' ELSE 'core' END AS part, count(*) AS n, round(sum(value), 6) AS total FROM {_CELLS} GROUP BY ALL")
+def i6_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of a cube with planes beside its samples, in front of its lines and behind its bands."""
+    cells = _cells(spark, sf_dir).withColumn("line", F.col("line") % 50)
+    return cells.groupBy(R.plane_of(60, 48, 8, (0, 2, 0)).alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(sql=f"SELECT ['r', 'g', 'b'][band + 1] AS channel, line - 10 AS line, sample - 5 AS sample, value FROM {_CELLS} WHERE band < 3 AND line BETWEEN 10 AND 399 AND sample BETWEEN 5 AND 20")
+def i7_i13_browse_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section along two axes of the bands that a browse image of four bands shows."""
+    shown = R.browse_bands(_cells(spark, sf_dir).where("band < 4"), 4)
+    return R.cube_section(shown, lines=(10, 400), samples=(5, 21)).select("channel", "line", "sample", "value")

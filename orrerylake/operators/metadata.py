@@ -33,11 +33,14 @@ def metaget(meta: DataFrame, products: DataFrame, product: str, key: str, defaul
 
 
 def metablock(meta: DataFrame, product: str, name: str) -> DataFrame:
-    """Rows of the first block of that name in each product, deeper blocks in it included."""
+    """Rows of the first block of that name in each product, deeper blocks in it included; the whole label where the name is a parameter's, and no block's.
+
+    Products with neither have no rows.
+    """
     level = F.array_position("path", name).cast("int")
-    within = meta.where(level > 0).withColumn("_block", F.struct(level.alias("level"), F.get("blocks", level - 1).alias("at")))
-    first = within.groupBy(product).agg(F.min("_block").alias("_first"))
-    return within.join(first, product).where("_block = _first").drop("_block", "_first")
+    held = meta.withColumn("_block", F.when(level > 0, F.struct(level.alias("level"), F.get("blocks", level - 1).alias("at"))))
+    first = held.groupBy(product).agg(F.min("_block").alias("_first"), F.max(F.col("key") == name).alias("_named")).where("_first IS NOT NULL OR _named")
+    return held.join(first, product).where("_first IS NULL OR _block = _first").drop("_block", "_first", "_named")
 
 
 def identifiers(meta: DataFrame, product: str, keys: list[str] = IDENTIFIERS) -> DataFrame:

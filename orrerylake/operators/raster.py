@@ -62,6 +62,42 @@ def without_planes(cells: DataFrame, samples: int, lines: int, bands: int) -> Da
     return cells.where((F.col("sample") < samples) & (F.col("line") < lines) & (F.col("band") < bands))
 
 
+def plane_of(samples: int, lines: int, bands: int, before: tuple[int, int, int] = (0, 0, 0)) -> Column:
+    """Which part of a cube with planes a pixel lies in: side (beside the samples), bottom (lines), back (bands) or core.
+
+    ``before``: planes in front of the samples, lines and bands; what lies behind them is a plane, too. A pixel in several is in the first of them.
+    """
+    out = F.lit("core")
+    for name, axis, first, n in (("back", "band", before[2], bands), ("bottom", "line", before[1], lines), ("side", "sample", before[0], samples)):
+        out = F.when((F.col(axis) < first) | (F.col(axis) >= first + n), name).otherwise(out)
+    return out
+
+
+def cube_section(cells: DataFrame, bands: tuple[int, int] | None = None, lines: tuple[int, int] | None = None, samples: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels of a section of a cube, counted anew from 0 along each axis; an axis without bounds stays whole. Bounds are from, to (left out)."""
+    out = cells
+    for axis, bound in (("band", bands), ("line", lines), ("sample", samples)):
+        if bound is not None:
+            out = out.where((F.col(axis) >= bound[0]) & (F.col(axis) < bound[1])).withColumn(axis, F.col(axis) - bound[0])
+    return out
+
+
+def browse_bands(cells: DataFrame, n_bands: int, chosen: tuple[int, ...] | None = None, burst: bool = False) -> DataFrame:
+    """The pixels of a browse image, with the column channel: every band with ``burst``; red, green and blue of three ``chosen`` bands, or of the first three where there
+    are three or four; one chosen band; else the middle one. channel: the band's number as text, or r, g, b.
+    """
+    if burst:
+        return cells.withColumn("channel", F.col("band").cast("string"))
+    if chosen is None:
+        chosen = (0, 1, 2) if n_bands in (3, 4) else (middle_band(n_bands) if n_bands > 1 else 0,)
+    if len(chosen) not in (1, 3) or not all(0 <= b < n_bands for b in chosen):
+        raise ValueError(f"{chosen} is neither one nor three of {n_bands} bands")
+    if len(chosen) == 1:
+        return cells.where(F.col("band") == chosen[0]).withColumn("channel", F.col("band").cast("string"))
+    places = F.array(*[F.when(F.lit(b) == F.col("band"), F.lit(c)) for b, c in zip(chosen, "rgb", strict=True)])
+    return cells.where(F.col("band").isin(list(chosen))).withColumn("channel", F.explode(F.array_compact(places)))
+
+
 def middle_band(bands: int) -> int:
     return round(bands / 2)
 

@@ -121,14 +121,23 @@ def _without_notes(lines: DataFrame) -> DataFrame:
     return lines.where((F.length(F.trim(F.col("line").cast("string"))) > 0) & ~records.is_comment(F.col("line").cast("string")))
 
 
+def _end(fields: Column) -> Column:
+    """The last byte of a format; null without one."""
+    return F.aggregate(fields, F.lit(0), lambda n, f: F.greatest(n, f["start"] + f["width"] - 1))
+
+
 def by_line(lines: DataFrame, object_: list[str]) -> DataFrame:
-    """Each line by itself, without a shuffle; a row keeps the number of its line, so dropped ones leave gaps."""
+    """Each line by itself, without a shuffle; a row keeps the number of its line, so dropped ones leave gaps.
+
+    A line of a delimited table that has another number of fields than the format, and is long enough for all its bytes, is read by width.
+    """
     reader, sep = F.col("reader"), F.coalesce("delimiter", F.lit(","))
     plain = without_nuls(lines)
     cut = delimited_fields(F.col("line"), sep)
     cells = (
         F.when(reader.isin("fixed width", "without nuls"), fixed_fields(F.col("line"), F.col("fields")))
         .when(reader == "white space", records.split_fields(F.col("line").cast("string")))
+        .when((reader == "delimited") & (F.size(cut) != F.size("fields")) & (F.octet_length("line") >= _end(F.col("fields"))), fixed_fields(F.col("line"), F.col("fields")))
         .when(reader == "null spellings", F.transform(cut, lambda x: text.null_spellings(x)))
         .otherwise(cut)
     )

@@ -141,6 +141,8 @@ def test_delimited_lines(spark):
     held = {"p": [b'a;" b;c ";3', b";;", b'x;"y', b"", b"# note", b"1;\xc3\xa9\t;2\r"]}
     got = cells(readers.by_line(lines_of(spark, held, reader="delimited", delimiter=";"), ["o"]))
     assert got == {"p": [(0, ["a", "b;c", "3"]), (1, ["", "", ""]), (2, ["x", "y"]), (5, ["1", "é", "2"])]}
+    wide = {"p": [b"a,b", b"xx  yy", b"a"]}
+    assert cells(readers.by_line(lines_of(spark, wide, reader="delimited", delimiter=",", fields=[("m", 1, 2), ("n", 5, 2)]), ["o"])) == {"p": [(0, ["a", "b"]), (1, ["xx", "yy"]), (2, ["a"])]}
     bar = cells(readers.by_line(lines_of(spark, {"p": [b'1|"2|3"', b"N/A| -"]}, reader="null spellings", delimiter="|"), ["o"]))
     assert bar == {"p": [(0, ["1", "2|3"]), (1, [None, None])]}
 

@@ -191,3 +191,24 @@ def test_stream(spark, tmp_path):
     assert run() == sorted([(1, "x"), (2, "y"), (None, "z")], key=str)
     (tmp_path / "in" / "b.tab").write_text("  3 w\n")
     assert run() == sorted([(1, "x"), (2, "y"), (3, "w"), (None, "z")], key=str)
+
+
+def test_blocks_by_name(spark):
+    labels = {"a": "T = 1\nOBJECT = TABLE\nX = 2\nOBJECT = C\nY = 3\nEND_OBJECT\nEND_OBJECT\nOBJECT = TABLE\nX = 9\nEND_OBJECT\nEND\n", "b": "TABLE = 5\nZ = 1\nEND\n", "c": "Z = 1\nEND\n"}
+    meta = statements.metadata(spark.createDataFrame(list(labels.items()), "product string, label string"), "product", "label")
+    assert sorted((r.product, r.key, r.value_raw) for r in metadata.metablock(meta, "product", "TABLE").collect()) == [("a", "X", "2"), ("a", "Y", "3"), ("b", "TABLE", "5"), ("b", "Z", "1")]
+    assert metadata.metablock(meta.limit(0), "product", "TABLE").count() == 0
+
+
+def test_planes_sections_and_browse_bands(spark):
+    cells = spark.createDataFrame([(b, k, s, 100 * b + 10 * k + s) for b in range(5) for k in range(4) for s in range(3)], "band int, line int, sample int, value int")
+    parts = {(r.band, r.line, r.sample): r.part for r in cells.select("*", raster.plane_of(2, 3, 3, (0, 1, 1)).alias("part")).collect()}
+    assert parts[1, 1, 0] == parts[3, 3, 1] == "core" and parts[0, 0, 2] == "side" and parts[0, 0, 0] == "bottom" and parts[4, 2, 1] == parts[0, 1, 1] == "back"
+    assert sum(p == "core" for p in parts.values()) == 2 * 3 * 3
+    some = raster.cube_section(cells, bands=(1, 3), samples=(2, 9)).collect()
+    assert {(r.band, r.line, r.sample, r.value) for r in some} == {(b - 1, k, 0, 100 * b + 10 * k + 2) for b in (1, 2) for k in range(4)}
+    channels = lambda **k: sorted({(r.channel, r.band) for r in raster.browse_bands(cells, **k).collect()})
+    assert channels(n_bands=5) == [("2", 2)] and channels(n_bands=4) == [("b", 2), ("g", 1), ("r", 0)] and channels(n_bands=1) == [("0", 0)]
+    assert channels(n_bands=5, chosen=(4, 4, 0)) == [("b", 0), ("g", 4), ("r", 4)] and channels(n_bands=5, chosen=(3,)) == [("3", 3)] and len(channels(n_bands=5, burst=True)) == 5
+    with pytest.raises(ValueError):
+        raster.browse_bands(cells, 5, (1, 2))
