@@ -1,24 +1,28 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by source, language and topic. The table is raked: scaled to the target share of each
-margin in turn until all hold. A cell's weight is its fitted share over its own; documents are sampled
-with a probability in proportion to it, scaled so that the expected tokens meet the budget.
+margin in turn until all hold; where they cannot all hold, a warning says by how much they miss. A cell's
+weight is its fitted share over its own; documents are sampled with a probability in proportion to it,
+scaled so that the expected tokens meet the budget. ``achieved`` tells what each margin came to.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, staged
 
 OTHER = "other"
-SWEEPS = 25
+#: Raking stops when every margin is met to this relative error, or after so many sweeps.
+TOLERANCE = 1e-12
+SWEEPS = 200
 #: Bits of the hash that decides on a document.
 BITS = 52
 #: The first topic of which a text contains a string is its topic.
@@ -70,14 +74,25 @@ def folded(value: Column, targets: dict[str, float]) -> Column:
     return F.when(value.isin([k for k in targets if k != OTHER]), value).otherwise(F.lit(OTHER))
 
 
-def rake(tokens: np.ndarray, codes: dict[str, np.ndarray], targets: dict[str, np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
-    """Fitted tokens of each cell. ``codes`` give each cell's place in each margin's ``targets``."""
-    fitted = tokens.astype(float)
+def rake(tokens: np.ndarray, codes: dict[str, np.ndarray], targets: dict[str, np.ndarray], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """(fitted tokens of each cell, largest relative error of a margin). ``codes`` give each cell's place in each margin's ``targets``.
+
+    The error is above ``tolerance`` only if ``sweeps`` did not reach it: slow tables, and targets that no
+    weights of the cells there are can meet together.
+    """
+
+    def held(m: str) -> np.ndarray:
+        return np.bincount(codes[m], fitted, len(targets[m]))
+
+    fitted, error = tokens.astype(float), 0.0
     for _ in range(sweeps):
         for m, code in codes.items():
-            have = np.bincount(code, fitted, len(targets[m]))
+            have = held(m)
             fitted = fitted * np.where(have > 0, targets[m] / np.where(have > 0, have, 1), 0)[code]
-    return fitted
+        error = max((float(np.abs(held(m)[goal > 0] / goal[goal > 0] - 1).max()) for m, goal in targets.items()), default=0.0)
+        if error <= tolerance:
+            break
+    return fitted, error
 
 
 def probabilities(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
@@ -100,7 +115,8 @@ def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col:
     written to the shared folder.
 
     Null sources and languages count as other, null texts as empty: those have no tokens, and the
-    probability of their cell. A cell without any tokens has weight 1. The draw hangs on the id alone:
+    probability of their cell. A cell without any tokens has weight 1. Targets that cannot all be met give a
+    warning and the weights of the last sweep. The draw hangs on the id alone:
     repeated rows are sampled together, rows with null ids too. An empty table stays empty. A column of docs
     named mix is replaced.
     """
@@ -125,7 +141,10 @@ def weigh(docs: DataFrame, plan: Plan = PLAN, id_col: str = "doc_id", text_col:
                 continue
             codes[m] = np.array([names.index(x) for x in cells[m][full]])
             targets[m] = share / share.sum() * tokens.sum()
-        weight[full] = rake(tokens[full], codes, targets) / tokens[full]
+        fitted, error = rake(tokens[full], codes, targets)
+        if error > TOLERANCE:
+            warnings.warn(f"the margins do not all hold after {SWEEPS} sweeps: one misses its target by {error:.2g} of it", stacklevel=2)
+        weight[full] = fitted / tokens[full]
     cells["weight"] = weight
     cells["probability"] = probabilities(tokens, weight, plan.keep * tokens.sum())
     # As many rows as there are combinations of the plan's categories, at most.
@@ -145,8 +164,31 @@ def sample(docs: DataFrame, plan: Plan = PLAN, **settings) -> DataFrame:
     return sampled.withColumnRenamed(held, own)
 
 
+def achieved(weighed: DataFrame, plan: Plan = PLAN, source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(margin, category, tokens, target, weighted, expected, cut) of the rows of ``weigh``: what the plan asked and what came of it.
+
+    target: its share among the categories that occur with tokens; null where none of a margin's is asked for.
+    weighted: the share by weights, which equals the target unless ``weigh`` warned. expected: the share of the tokens that the
+    draw takes on average, which falls short where a cell is taken whole (probability 1); cut: the tokens in such cells.
+    Null sources and languages are other, as in ``weigh``. An empty table gives none. Sums are partial before the shuffle.
+    """
+    margins = plan.margins
+    mix = F.col("mix")
+    named = {"source": folded(F.col(source_col), margins["source"]), "lang": folded(F.col(lang_col), margins["lang"]), "topic": mix["topic"]}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), c.alias("category")) for m, c in named.items()]))
+    tokens = mix["tokens"]
+    cut = F.when(mix["probability"] >= 1, tokens).otherwise(0)
+    sums = weighed.select(each.alias("at"), tokens.alias("t"), (tokens * mix["weight"]).alias("w"), (tokens * mix["probability"]).alias("p"), cut.alias("c")).groupBy("at.margin", "at.category").agg(*[F.sum(c).alias(c) for c in "twpc"])
+    # At most one row for each category of the plan, so the windows are small.
+    asked = weighed.sparkSession.createDataFrame([(m, k, float(v)) for m, shares in margins.items() for k, v in shares.items()], "margin string, category string, share double")
+    of = Window.partitionBy("margin")
+    share = F.coalesce("share", F.lit(0.0))
+    found = sums.where("t > 0").join(asked, ["margin", "category"], "left")
+    return found.select("margin", "category", F.col("t").alias("tokens"), F.try_divide(share, F.sum(share).over(of)).alias("target"), F.try_divide("w", F.sum("w").over(of)).alias("weighted"), F.try_divide("p", F.sum("p").over(of)).alias("expected"), F.col("c").alias("cut"))
+
+
 def oracle_sql(plan: Plan = PLAN, seed: str = "mix") -> str:
-    """The same in DuckDB SQL: the sweeps are written out, the budget is met by a running sum."""
+    """The same in DuckDB SQL: the sweeps are a recursion, the budget is met by a running sum."""
 
     def lit(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
@@ -155,19 +197,19 @@ def oracle_sql(plan: Plan = PLAN, seed: str = "mix") -> str:
     fold = lambda c: f"CASE WHEN {c} IN ({', '.join(lit(k) for k in m[c] if k != OTHER)}) THEN {c} ELSE '{OTHER}' END"
     topic = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(text, {lit(x)})' for x in strings)} THEN '{n}'" for n, strings in TOPICS.items()) + f" ELSE '{GENERAL}' END"
     parts = [
-        f"WITH d AS MATERIALIZED (SELECT doc_id, {fold('source')} AS source, {fold('lang')} AS lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)",
+        f"WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {fold('source')} AS source, {fold('lang')} AS lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
-        "f0 AS MATERIALIZED (SELECT *, tokens AS f FROM cells WHERE tokens > 0)",
     ]
     for dim, shares in m.items():
         rows = ", ".join(f"({lit(k)}, CAST({v!r} AS DOUBLE))" for k, v in shares.items())
-        parts.append(f"t_{dim} AS MATERIALIZED (SELECT n, share / sum(share) OVER () * (SELECT sum(tokens) FROM cells) AS goal FROM (VALUES {rows}) t(n, share) WHERE n IN (SELECT {dim} FROM f0))")
-    k = 0
-    for _ in range(SWEEPS):
-        for dim in m:
-            parts.append(f"f{k + 1} AS MATERIALIZED (SELECT f{k}.* REPLACE (f * coalesce(goal, 0) / sum(f) OVER (PARTITION BY {dim}) AS f) FROM f{k} LEFT JOIN t_{dim} ON n = {dim})")
-            k += 1
-    parts.append(f"w AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, coalesce(f / c.tokens, 1.0) AS weight FROM cells c LEFT JOIN f{k} f USING (source, lang, topic))")
+        parts.append(f"t_{dim} AS MATERIALIZED (SELECT n, share / sum(share) OVER () * (SELECT sum(tokens) FROM cells) AS goal FROM (VALUES {rows}) t(n, share) WHERE n IN (SELECT {dim} FROM cells WHERE tokens > 0))")
+    goals = "".join(f" LEFT JOIN t_{dim} ON t_{dim}.n = c.{dim}" for dim in m)
+    parts.append(f"f0 AS MATERIALIZED (SELECT source, lang, topic, tokens AS f, {', '.join(f'coalesce(t_{dim}.goal, 0) AS g_{dim}' for dim in m)} FROM cells c{goals} WHERE tokens > 0)")
+    inner = "f WHERE k < " + str(SWEEPS)
+    for dim in m:
+        inner = f"(SELECT * REPLACE (coalesce(f * g_{dim} / nullif(sum(f) OVER (PARTITION BY {dim}), 0), 0) AS f) FROM {inner})"
+    parts.append(f"f AS (SELECT *, 0 AS k FROM f0 UNION ALL SELECT * REPLACE (k + 1 AS k) FROM {inner})")
+    parts.append(f"w AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, coalesce(f / c.tokens, 1.0) AS weight FROM cells c LEFT JOIN (SELECT * FROM f WHERE k = {SWEEPS}) f USING (source, lang, topic))")
     parts.append("o AS MATERIALIZED (SELECT *, coalesce(sum(tokens) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure, sum(tokens * weight) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY weight DESC, source, lang, topic) AS i FROM w)")
     parts.append(f"s AS MATERIALIZED (SELECT arg_min(s, i) AS s FROM (SELECT i, weight, ({plan.keep!r} * (SELECT sum(tokens) FROM w) - sure) / nullif(rest, 0) AS s FROM o) WHERE s * weight <= 1)")
     parts.append("p AS (SELECT w.*, coalesce(least(1.0, greatest(s, 0) * weight), 1.0) AS probability FROM w, s)")
