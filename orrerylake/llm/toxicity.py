@@ -28,8 +28,6 @@ from .common import free_name, hash_sample, staged
 MAX_EXAMPLES = {1: 4_000, 0: 12_000}
 STARTS = (4, 5, 6, 7)
 LEAST_EXAMPLES = 5
-CANDIDATES = 3_000
-MOST_TERMS = 512
 #: A term must be this telling (log-likelihood ratio).
 LEAST_RATIO = 16.0
 #: Terms that a toxic example is to be told by before it counts as covered.
@@ -64,8 +62,8 @@ def ratio(p: np.ndarray, n: np.ndarray, pos: float, neg: float) -> np.ndarray:
     return np.where(p * max(neg, 1e-9) > n * pos, g, 0)
 
 
-def cover(has: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pos: float, neg: float, most: int, least: float) -> list[int]:
-    """Numbers of the terms chosen. ``has``: for each term the examples that contain it; pos and neg: the
+def cover(has: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pos: float, neg: float, least: float) -> list[int]:
+    """Numbers of the terms chosen, until none that is left gains more than ``least``. ``has``: for each term the examples that contain it; pos and neg: the
     weight of all toxic and other examples, those without any term included. Of terms in the same examples
     the first is taken.
     """
@@ -77,7 +75,7 @@ def cover(has: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pos: flo
     for t, own in enumerate(has):
         value[t] = -1 if own.tobytes() in alike else np.inf
         alike.add(own.tobytes())
-    while len(chosen) < most and len(has):
+    while len(has):
         best, gain = -1, least
         for t in np.argsort(-value, kind="stable"):
             if value[t] <= gain:
@@ -251,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scale = {1: 1.0, 0: max(1.0, totals.get(0, 0) / max(1, totals.get(1, 0)) * max(1, pos) / max(1, neg))}
     prior = (pos + 0.5) / (pos + scale[0] * neg + 1)
     counts = examples.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).where((F.col("p") + F.col("n") >= LEAST_EXAMPLES) & (F.col("p") * neg > F.col("n") * pos * 2))
-    counts = counts.orderBy((F.col("p") / F.sqrt(F.col("p") + F.col("n") * (pos / max(neg, 1)))).desc(), "term").limit(CANDIDATES).toPandas()
+    # Every term that is frequent enough among the examples, whose number is bounded.
+    counts = counts.orderBy((F.col("p") / F.sqrt(F.col("p") + F.col("n") * (pos / max(neg, 1)))).desc(), "term").toPandas()
     g = ratio(counts["p"].to_numpy(float), counts["n"].to_numpy(float) * scale[0], pos, neg * scale[0])
     names = counts["term"][g > LEAST_RATIO].tolist()
     held = examples.select("id", "y", F.array_intersect("terms", F.lit(names) if names else F.array().cast("array<string>")).alias("terms")).where(F.size("terms") > 0).toPandas().sort_values("id", ignore_index=True)
@@ -262,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, own in enumerate(held["terms"]):
         for t in own:
             has[number[t]].append(i)
-    chosen = [names[t] for t in cover([np.array(h, int) for h in has], toxic, weight, pos, neg * scale[0], MOST_TERMS, LEAST_RATIO)]
+    chosen = [names[t] for t in cover([np.array(h, int) for h in has], toxic, weight, pos, neg * scale[0], LEAST_RATIO)]
     df = {t: len(has[number[t]]) for t in chosen}
     vectors = Vectors(chosen, [math.log((1 + pos + neg) / (1 + df[t])) + 1 for t in chosen])
 
@@ -287,7 +286,7 @@ def _term_lists(texts: pd.Series) -> pd.Series:
 
 
 def scores(text: Column, model: Model) -> Column:
-    """struct<score, neighbours, evidence> of each whole text. The model is bounded by MAX_EXAMPLES and MOST_TERMS."""
+    """struct<score, neighbours, evidence> of each whole text. The model holds terms of the examples, which MAX_EXAMPLES bounds."""
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo: dict = {}

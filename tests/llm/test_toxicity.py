@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +28,56 @@ def test_index_is_exact():
         assert {i for s, i in got if round(s, 9) > edge} == {i for s, i in want if round(s, 9) > edge}
 
 
+def test_scores_equal_brute_force(spark):
+    """Vectors, neighbours, votes and scores of every document anew: all examples compared, no index, no memo."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    learnt = labels.where(~T.held_out(F.col("doc_id")))
+    model = T.fit(docs, learnt)
+    number, texts = model.vectors.number, {r.doc_id: r.text for r in docs.collect()}
+
+    def vector(text):
+        out = np.zeros(len(number) + 1)
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for term in [w, *[w[:n] + "*" for n in T.STARTS if len(w) > n]]:
+                if term in number:
+                    out[number[term]] += 1
+        out = np.array([(1 + math.log(c)) * model.vectors.idf[i] if c else 0.0 for i, c in enumerate(out)])
+        if out.any():
+            out[-1] = T.EVERY
+            out /= np.sqrt((out * out).sum())
+        return out
+
+    assert number and len(set(model.ids)) == len(model.ids)
+    assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in model.ids)
+    examples = np.array([vector(texts[i]) for i in model.ids])
+    told = 0
+    for r in queries.op4_toxicity(spark, SF).collect():
+        own = vector(texts[r.doc_id])
+        likeness = np.round(examples @ own, 12)
+        near = [i for i in np.argsort(-likeness, kind="stable")[: T.NEIGHBOURS] if likeness[i] > 0]
+        assert r.neighbours == len(near)
+        if not near:
+            assert r.score == model.blank and r.evidence == []
+            continue
+        told += 1
+        # Where the last neighbours tie, any of them may vote: the vote lies between the extremes.
+        edge = likeness[near[-1]]
+        sure = [i for i in near if likeness[i] > edge + 1e-9]
+        tied = np.flatnonzero(np.abs(likeness - edge) <= 1e-9)
+        votes = []
+        for order in (np.argsort(model.toxic[tied]), np.argsort(-model.toxic[tied])):
+            voters = sure + list(tied[order][: len(near) - len(sure)])
+            up, all_ = 0.5 * model.prior, 0.5
+            for i in voters:
+                share = likeness[i] * (model.weight[i])
+                up, all_ = up + share * model.toxic[i], all_ + share
+            x = up / all_
+            votes.append(1 / (1 + math.exp(-(model.slope * math.log(x / (1 - x)) + model.offset))))
+        assert min(votes) - 1e-6 <= r.score <= max(votes) + 1e-6
+        assert [round(likeness[model.ids.index(e)], 9) for e in r.evidence] == [round(likeness[i], 9) for i in near[:3]]
+    assert told > 20
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
