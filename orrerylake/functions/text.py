@@ -19,6 +19,18 @@ def null_spellings(text: Column, spellings: list[str] = NA_SPELLINGS) -> Column:
     return F.when(~F.trim(text).isin(spellings), text)
 
 
+#: What spells a missing value in tables of single instruments.
+SPELLINGS_OF = {"REMS": ["UNK", "NULL"], "CRISM": ["N/A"]}
+
+
+def null_spellings_of(text: Column, instrument: Column, spellings: dict[str, list[str]] = SPELLINGS_OF, other: list[str] = NA_SPELLINGS) -> Column:
+    """Null where the trimmed text spells a missing value for that instrument; ``other`` holds for instruments not named and null ones."""
+    out = null_spellings(text, other)
+    for name, own in spellings.items():
+        out = F.when(instrument == name, null_spellings(text, own)).otherwise(out)
+    return out
+
+
 def ascii_integer(text: Column, base: int = 10) -> Column:
     """Exact integer of base 2, 8, 10 or 16 as decimal(38,0); null where it is none."""
     t = F.trim(text)

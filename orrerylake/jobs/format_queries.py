@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrerylake.functions import binary, text
@@ -107,6 +107,42 @@ def f13_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FM.group_names(groups, ["p_brand"], ["p_partkey"]).select("p_partkey", "full_name")
 
 
+@query(
+    sql="""
+    WITH g AS (SELECT o_custkey, o_orderkey, coalesce(nullif(o_orderpriority, '1-URGENT'), 'GROUP_' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)) AS name FROM orders),
+    h AS (SELECT o_orderkey, CASE WHEN count(*) OVER s > 1 THEN name || '_' || (row_number() OVER (s ORDER BY o_orderkey) - 1) ELSE name END AS name FROM g WINDOW s AS (PARTITION BY o_custkey, name)),
+    f AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, 'F' || CAST(l_quantity AS INT) % 3 AS name FROM lineitem)
+    SELECT l_orderkey, k, h.name || ', GROUP_' || (k - 1) // 2 || ', ' || CASE WHEN count(*) OVER s > 1 THEN f.name || '_' || (row_number() OVER (s ORDER BY k) - 1) ELSE f.name END AS full_name
+    FROM f JOIN h ON o_orderkey = l_orderkey WINDOW s AS (PARTITION BY l_orderkey, (k - 1) // 2, f.name)
+    """
+)
+def f13_nested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a record, its orders are groups, some without a name, each two lines a nameless group in them, lines its fields."""
+    c = F.col
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", c("o_orderkey").cast("int").alias("o"), "o_orderpriority")
+    items = table(spark, sf_dir, "lineitem").withColumn("k", place).select(c("l_orderkey").cast("int").alias("o"), "k", F.floor((c("k") - 1) / 2).cast("int").alias("pair"), F.concat(F.lit("F"), (c("l_quantity").cast("int") % 3).cast("string")).alias("name"))
+    lines = items.join(orders, "o")
+    none = F.lit(None).cast("string")
+    each = (
+        orders.select("o_custkey", F.array("o").alias("place"), F.lit(True).alias("is_group"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("name"))
+        .unionByName(lines.select("o_custkey", F.array("o", "pair").alias("place"), F.lit(True).alias("is_group"), none.alias("name")).distinct())
+        .unionByName(lines.select("o_custkey", F.array("o", "pair", "k").alias("place"), F.lit(False).alias("is_group"), "name"))
+    )
+    found = FM.nested_names(each, ["o_custkey"]).where("NOT is_group")
+    return found.select(c("place")[0].cast("bigint").alias("l_orderkey"), c("place")[2].cast("bigint").alias("k"), "full_name")
+
+
+@query(sql="SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'N/A' END WHEN 1 THEN CASE WHEN o_orderstatus = 'F' THEN 'UNK' END ELSE NULL END AS found FROM orders")
+def d11_by_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spellings mean a missing value to one instrument and are text to another."""
+    k = F.col("o_orderkey") % 3
+    cell = F.when(F.col("o_orderstatus") == "F", "UNK").otherwise("N/A")
+    instrument = F.when(k == 0, "REMS").when(k == 1, "CRISM")
+    found = text.null_spellings_of(F.concat(F.lit("   "), cell), instrument)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.trim(found).alias("found"))
+
+
 @query(sql="SELECT o_orderkey, o_totalprice AS big8, o_totalprice AS little8, CAST(o_custkey AS DOUBLE) / 4 AS big4, CAST(-(o_orderkey % 32000) AS SMALLINT) AS short, o_orderpriority AS ebcdic, o_custkey % 3 <> 0 AS flag FROM orders")
 def d1_d6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = F.col, binary

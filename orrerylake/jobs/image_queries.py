@@ -39,6 +39,25 @@ def i2_i3_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", R.cube_properties(names, items).alias("c"), pads.alias("q")).select("p_partkey", "c.*", F.col("q.prefix").alias("prefix"), F.col("q.error").isNotNull().alias("bad"))
 
 
+@query(
+    sql="""
+    SELECT l_orderkey, l_linenumber AS n, CASE WHEN n IN (1, 2, 3) THEN CAST(l_quantity AS INT) WHEN n = 7 THEN NULL ELSE 0 END AS back, CASE n WHEN 3 THEN NULL WHEN 4 THEN 2 ELSE 0 END AS side,
+    CASE n WHEN 2 THEN 'pads of lines and planes together' WHEN 3 THEN 'planes are no whole number of pixels' WHEN 6 THEN 'pads of lines in bands that are not interleaved by line' WHEN 7 THEN 'planes without an order of axes' END AS error FROM lineitem
+    """
+)
+def i3_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line stands for a cube: back planes, side planes, pads of lines, and what cannot be read of them."""
+    n, none = F.col("l_linenumber"), F.array().cast("array<int>")
+    axes = F.when(n < 7, F.array(*map(F.lit, R.AXES)))
+    items = {"PREFIX": F.array(n.cast("int"), F.lit(0), F.lit(0)), "SUFFIX": F.array(F.lit(0), F.lit(0), F.col("l_quantity").cast("int"))}
+    widths = F.map_from_arrays(F.concat(F.when(n.isin(1, 2, 3, 7), F.array(F.lit("BAND_SUFFIX"))).otherwise(none.cast("array<string>")), F.when(n.isin(3, 4), F.array(F.lit("SAMPLE_PREFIX"))).otherwise(none.cast("array<string>"))),
+                               F.concat(F.when(n.isin(1, 2, 3, 7), F.array(F.array(F.lit(4)))).otherwise(F.array().cast("array<array<int>>")), F.when(n.isin(3, 4), F.array(F.array(F.lit(2)))).otherwise(F.array().cast("array<array<int>>"))))
+    line = R.line_pads(F.when(n.isin(2, 5, 6), 8), F.lit(None).cast("int"), F.lit(4))
+    held = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), R.plane_pads(axes, items, widths, F.lit(4)).alias("p"), line.alias("q"))
+    order = F.when(F.col("n") == 6, R.ORDERS[0]).otherwise(R.ORDERS[1])
+    return held.select("l_orderkey", "n", F.col("p.after.bands").alias("back"), F.col("p.before.samples").alias("side"), R.pads_error(F.col("q"), F.col("p"), F.lit(3), order).alias("error"))
+
+
 _PLACES = " UNION ALL ".join(
     f"SELECT '{o}' AS storage, vec_id, {b} AS band, {ln} AS line, {s} AS sample, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i)"
     for o, b, ln, s in (("BSQ", "i // 16", "(i // 8) % 2", "i % 8"), ("BIL", "(i // 8) % 4", "i // 32", "i % 8"), ("BIP", "i % 4", "i // 32", "(i // 4) % 8"))

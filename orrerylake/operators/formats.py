@@ -178,6 +178,31 @@ def group_names(groups: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return full.withColumn("full_name", F.concat_ws(", ", "_group", "unique")).drop("_group", "unique")
 
 
+def nested_names(items: DataFrame, by: list[str], place: str = "place", is_group: str = "is_group", name: str = "name") -> DataFrame:
+    """``items`` with full_name: the names of the groups around an item, from the outermost, and its own, by ", ".
+
+    ``place`` is an item's path in its object, array<int>: each number its position within the group that holds it. A group without
+    a name becomes GROUP_n, n counted among the groups within the same one, named ones too; groups, or fields, of one name within
+    the same group are numbered _0, _1. Groups nest to any depth. A field without a name counts as empty. An item whose place is null has no full
+    name; repeated places within an object are items of one place and get the names of each other's fields only once.
+    Columns of items named _inside, _own, _kind, _at or full_name are replaced.
+    """
+    c = F.col
+    inside = F.when(F.size(place) > 1, F.slice(c(place), F.lit(1), F.size(place) - 1)).otherwise(F.array().cast("array<int>"))
+    kinds = items.withColumn("_inside", inside).withColumn("_kind", F.coalesce(c(is_group), F.lit(False)))
+    siblings = Window.partitionBy(*by, "_inside", "_kind")
+    number = F.dense_rank().over(siblings.orderBy(place)) - 1
+    named = kinds.withColumn("_own", F.coalesce(name, F.when(c("_kind"), F.concat(F.lit("GROUP_"), number.cast("string"))).otherwise("")))
+    same = Window.partitionBy(*by, "_inside", "_kind", "_own")
+    known = named.withColumn("_own", F.when(F.count("*").over(same) > 1, F.concat_ws("_", "_own", (F.row_number().over(same.orderBy(place)) - 1).cast("string"))).otherwise(c("_own")))
+    groups = known.where("_kind").groupBy(*by, c(place).alias("_at")).agg(F.min("_own").alias("_group"))
+    above = known.where(F.size("_inside") > 0).select(*by, "_inside").distinct()
+    prefixes = above.select(*by, "_inside", F.explode(F.transform(F.sequence(F.lit(1), F.size("_inside")), lambda n: F.slice("_inside", F.lit(1), n))).alias("_at"))
+    paths = prefixes.join(groups, [*by, "_at"]).groupBy(*by, "_inside").agg(F.array_sort(F.collect_list(F.struct("_at", "_group"))).alias("_path"))
+    full = known.join(paths, [*by, "_inside"], "left").withColumn("full_name", F.when(c(place).isNotNull(), F.concat_ws(", ", c("_path")["_group"], "_own")))
+    return full.select(*[k for k in items.columns if k not in ("_inside", "_own", "_kind", "_at", "full_name")], "full_name")
+
+
 def line_prefix(rows: Column, suffix: Column, image: Column) -> Column:
     """struct<rows, row_suffix_bytes> of a table beside an image's lines, from the image block unless given."""
     return F.struct(F.coalesce(rows, image["LINES"]).alias("rows"), F.coalesce(suffix, (image["SAMPLE_BITS"] / 8 * image["LINE_SAMPLES"]).cast("int")).alias("row_suffix_bytes"))

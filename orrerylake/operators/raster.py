@@ -31,6 +31,48 @@ def line_pads(prefix_bytes: Column, suffix_bytes: Column, pixel_bytes: Column) -
     return F.struct((p / pixel_bytes).cast("int").alias("prefix"), (s / pixel_bytes).cast("int").alias("suffix"), F.when((p % pixel_bytes != 0) | (s % pixel_bytes != 0), "line padding is no whole number of pixels").alias("error"))
 
 
+AXES = ("SAMPLE", "LINE", "BAND")
+
+
+def plane_pads(axes: Column, items: dict[str, Column], item_bytes: Column, pixel_bytes: Column) -> Column:
+    """struct<before, after, error> of a cube with planes beside its axes; before and after are struct<samples, lines, bands> in pixels.
+
+    ``axes``: the axes' names, fastest first. ``items``: under PREFIX and SUFFIX the numbers of items of the axes, in their order.
+    ``item_bytes``: map of AXIS_SIDE, as BAND_SUFFIX, to an array of bytes an item: one value holds for all items, several are an item
+    each. What the map does not name has no planes; a null map has none at all. Where planes are named without items or
+    axes, differ in width, or are no whole number of pixels, error says so and that number is null.
+    """
+    numbers, errors = {}, []
+    for side in ("PREFIX", "SUFFIX"):
+        for axis in AXES:
+            width = F.try_element_at(item_bytes, F.lit(f"{axis}_{side}"))
+            count = F.get(items[side], (F.array_position(axes, axis) - 1).cast("int"))
+            total = F.when(F.size(width) > 1, F.aggregate(width, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(count * F.get(width, F.lit(0)))
+            error = (
+                F.when(width.isNull(), None).when(items[side].isNull(), "planes without a number of items").when(count.isNull(), "planes without an order of axes")
+                .when(F.size(F.array_distinct(width)) > 1, "planes of different widths").when(total % pixel_bytes != 0, "planes are no whole number of pixels")
+            )
+            errors.append(error)
+            numbers[axis, side] = F.when(width.isNull(), 0).when(error.isNull(), (total / pixel_bytes).cast("int"))
+
+    def beside(side: str) -> Column:
+        return F.struct(*[numbers[axis, side].alias(f"{axis.lower()}s") for axis in AXES])
+
+    several = F.aggregate(F.array(*[((numbers[a, "PREFIX"] + numbers[a, "SUFFIX"]) > 0).cast("int") for a in AXES]), F.lit(0), lambda n, x: n + x) > 1
+    return F.struct(beside("PREFIX").alias("before"), beside("SUFFIX").alias("after"), F.coalesce(*errors, F.when(several, "planes along several axes")).alias("error"))
+
+
+def pads_error(line: Column, planes: Column, bands: Column, order: Column) -> Column:
+    """What is wrong with an image's pads, given those of its lines (``line_pads``) and of its axes (``plane_pads``); null if they can be read.
+
+    Their own errors come first. Pads of lines go neither with planes nor with several bands unless the bands are interleaved by line.
+    """
+    padded = (line["prefix"] + line["suffix"]) > 0
+    flat = F.greatest(*[planes[part][f"{axis.lower()}s"] for part in ("before", "after") for axis in AXES]) == 0
+    stored = (F.coalesce(bands, F.lit(1)) > 1) & order.isNotNull() & (order != ORDERS[1])
+    return F.coalesce(line["error"], planes["error"], F.when(padded & ~flat, "pads of lines and planes together"), F.when(padded & stored, "pads of lines in bands that are not interleaved by line"))
+
+
 def place(index: Column, lines: int, samples: int, bands: int, order: str) -> tuple[Column, Column, Column]:
     """(band, line, sample) of a pixel by its place in the file."""
     if order == ORDERS[2]:
