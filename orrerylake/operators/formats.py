@@ -184,8 +184,8 @@ def nested_names(items: DataFrame, by: list[str], place: str = "place", is_group
     ``place`` is an item's path in its object, array<int>: each number its position within the group that holds it. A group without
     a name becomes GROUP_n, n counted among the groups within the same one, named ones too; groups, or fields, of one name within
     the same group are numbered _0, _1. Groups nest to any depth. A field without a name counts as empty. An item whose place is null has no full
-    name; repeated places within an object are items of one place and get the names of each other's fields only once.
-    Columns of items named _inside, _own, _kind, _at or full_name are replaced.
+    name. Repeated rows all stay and are numbered like siblings; of groups with one place the first by name holds for what is in them.
+    An empty table gives none. Columns of items named _inside, _own, _kind and _at go, one named full_name is replaced.
     """
     c = F.col
     inside = F.when(F.size(place) > 1, F.slice(c(place), F.lit(1), F.size(place) - 1)).otherwise(F.array().cast("array<int>"))

@@ -58,6 +58,8 @@ def test_nested_names(spark):
         1: "ID", 2: "GROUP_0", 3: "GROUP_0, X", 4: "GROUP_0, IN", 5: "GROUP_0, IN, X", 6: "GROUP_0, GROUP_1", 7: "GROUP_0, GROUP_1, GROUP_0", 8: "GROUP_0, GROUP_1, GROUP_0, ",
         9: "G_0", 10: "G_0, X_0", 11: "G_0, X_1", 12: "G_1", 13: "G_1, X", 14: "G", 15: "GROUP_0", 16: None, 17: "alone", 18: "Y_1", 19: "Y_0",
     }
+    twice = spark.createDataFrame([("a", [0], True, "G", 1), ("a", [0], True, "G", 2), ("a", [0, 0], False, "X", 3), ("a", [0, 0], False, "X", 4)], "product string, place array<int>, is_group boolean, name string, n int")
+    assert sorted(r.full_name for r in formats.nested_names(twice, ["product"]).collect()) == ["G_0", "G_0, X_0", "G_0, X_1", "G_1"]
     assert formats.nested_names(items.limit(0), ["product"]).columns == items.columns
     assert formats.nested_names(items.limit(0), ["product"]).count() == 0
 
