@@ -27,7 +27,7 @@ FACTS = [*M.IDENTIFIERS, "SPACECRAFT_CLOCK_STOP_COUNT"]
 #: Facts of an object's own block.
 OF_BLOCK = ["BYTES", "ROWS", "ROW_BYTES", "ROW_PREFIX_BYTES", "ROW_SUFFIX_BYTES", "RECORDS", "INTERCHANGE_FORMAT", "FIELD_DELIMITER", "LINES", "LINE_SAMPLES", "SAMPLE_BITS", "SAMPLE_TYPE", "BANDS", "BAND_STORAGE_TYPE", "LINE_PREFIX_BYTES", "LINE_SUFFIX_BYTES"]
 #: Columns that rules may ask for, beside the identifiers.
-OF_RULES = [*[k.lower() for k in FACTS], "name", "file", "interchange"]
+OF_RULES = [*[k.lower() for k in FACTS], "name", "file", "interchange", "clock"]
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def object_table(meta: DataFrame, files: DataFrame, special: DataFrame | None =
     asked = found.withColumn("_path", F.when(F.col("file").isNull(), F.col("product")).when(F.col("file").contains("/"), F.col("file")).otherwise(F.concat(_folder_of(F.col("product")), F.col("file"))))
     sizes = files.select(F.col("path").alias("_file"), F.col("length").alias("file_size")).distinct()
     there = file_sources.resolved(asked, files, "_path", "path").withColumnsRenamed({"file": "named_file", "resolved": "file"}).drop("hits", "_path")
-    rows = there.join(sizes, F.col("file") == F.col("_file"), "left").drop("_file").withColumn("interchange", F.col("block_interchange_format"))
+    rows = there.join(sizes, F.col("file") == F.col("_file"), "left").drop("_file").withColumns({"interchange": F.col("block_interchange_format"), "clock": F.col("spacecraft_clock_stop_count")})
 
     def overridden(frame: DataFrame, stage: str) -> DataFrame:
         if special is None:
@@ -83,7 +83,9 @@ def object_table(meta: DataFrame, files: DataFrame, special: DataFrame | None =
     whole_row = F.coalesce("block_row_prefix_bytes", F.lit(0)) + F.col("block_row_bytes") + F.coalesce("block_row_suffix_bytes", F.lit(0))
     target = F.struct(F.col("named_file").alias("file"), F.col("value"), F.col("units"))
     start = M.start_byte(target, record_bytes, F.col("block_row_bytes"), F.col("block_rows"), F.col("file_size"))
-    rows = overridden(rows, "start byte").withColumn("_start", rules.patched(start, "START_BYTE", "long")).drop("override")
+    # Pointers of some labels count records one too far, but for the one to the header.
+    computed = F.when((F.col("override")["START_BYTE"] == "computed") & (F.col("name") != "IMAGE_HEADER"), record_bytes * (F.col("value") - 2))
+    rows = overridden(rows, "start byte").withColumn("_start", F.coalesce(computed, rules.patched(start, "START_BYTE", "long"))).drop("override", "clock")
 
     image = image_facts()
     length = (

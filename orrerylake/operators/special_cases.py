@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .rules import RULES
 
-#: A condition: column, test, operand. Columns are the identifiers in lower case, ``name`` of the object, ``file``, ``interchange`` and ``clock``.
+#: A condition: column, test, operand; of an interval the operand is its two ends. Columns are the identifiers in lower case, ``name`` of the object, ``file``, ``interchange`` and ``clock``.
 Condition = tuple[str, str, str]
 
 #: Which products need what. Stage, field and value, and the cases they hold for; all conditions of a case must hold.
@@ -95,6 +95,9 @@ CASES: list[tuple[str, str, str, list[list[Condition]]]] = [
     ("start byte", "START_BYTE", "64", [
         [("instrument_id", "equals", "CRAT"), ("product_type", "equals", "EDR"), ("name", "equals", "TABLE_1")],
     ]),
+    ("start byte", "START_BYTE", "computed", [
+        [("data_set_id", "equals", "CO-E/V/J-ISSNA/ISSWA-2-EDR-V1.0"), ("clock", "interval", "1359362956 1363539029")],
+    ]),
     ("kind", "KIND", "image", [
         [("data_set_id", "contains", "SLN-L-SP"), ("name", "contains", "SPECTRUM")],
     ]),
@@ -116,5 +119,9 @@ CASES: list[tuple[str, str, str, list[list[Condition]]]] = [
 def special_cases(spark: SparkSession) -> DataFrame:
     """RULES with a row for each condition; the conditions of a case share its priority, and earlier cases go first."""
     every = [(stage, field, value, case) for stage, field, value, cases in CASES for case in cases]
-    rows = [(priority, stage, column, test, operand, None, None, field, value) for priority, (stage, field, value, case) in enumerate(every, 1) for column, test, operand in case]
+
+    def operands(test: str, operand: str) -> tuple[str | None, float | None, float | None]:
+        return (None, *map(float, operand.split())) if test == "interval" else (operand, None, None)
+
+    rows = [(priority, stage, column, test, *operands(test, operand), field, value) for priority, (stage, field, value, case) in enumerate(every, 1) for column, test, operand in case]
     return spark.createDataFrame(rows, RULES)
