@@ -10,11 +10,11 @@ from orrerylake.operators import metadata as M
 from orrerylake.operators import statements as S
 from orrerylake.sources import files, made
 
-from .register import query, table
+from .register import query, spread, table
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made.part_labels(table(spark, sf_dir, "part"))
+    return made.part_labels(spread(table(spark, sf_dir, "part"), "p_partkey"))
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:

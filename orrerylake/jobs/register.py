@@ -23,3 +23,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a table that one task takes where much is made of each row.
+TASK_ROWS = 5_000
+
+
+def spread(frame: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``frame`` dealt by ``key`` to tasks of about ``task_rows`` rows.
+
+    A table of narrow rows is a small file, or one group of rows in it, which Spark reads in one task; that task would do all the work on what is made of
+    them. With as many tasks as the rows need, none does more when the table grows, and what is put together by ``key`` afterwards needs no other shuffle.
+    """
+    return frame.repartition(max(1, -(-frame.count() // task_rows)), key)
