@@ -9,7 +9,7 @@ from orrerylake.operators import rules, xml_labels
 from orrerylake.sources import files, fits, made, ranges
 
 from . import archive
-from .register import query, table
+from .register import query, spread, table
 from .scratch import kept, new_folder
 
 #: So small that each table of the test archive is read by several ranges.
@@ -168,7 +168,7 @@ def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<File_Area_Observational><File><file_name>a", c("c_custkey"), ".dat</file_name></File><Header><name>", c("c_name"), "</name></Header><Array_3D/><Table_Binary><Record_Binary>", field(F.lit("one")), "<Group>", field(F.lit("two")), "</Group></Record_Binary></Table_Binary></File_Area_Observational>",
         "</p:Product_Observational>",
     )
-    return kept(xml_labels.elements(table(spark, sf_dir, "customer").select("c_custkey", label.alias("label")), "c_custkey", "label"), "elements")
+    return kept(xml_labels.elements(spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", label.alias("label")), "c_custkey", "label"), "elements")
 
 
 @query(

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 _ELEMENTS = "seq int, depth int, path array<string>, place array<int>, key string, value string, attributes map<string,string>, leaf boolean, error string"
+#: Elements that a task holds before it gives them on, about; those of one label stay together.
+AT_ONCE = 5_000
 
 
 def _elements(text: str) -> list[dict]:
@@ -66,12 +68,22 @@ def elements(labels: DataFrame, product: str, label: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([("seq", pa.int32()), ("depth", pa.int32()), ("path", pa.list_(pa.string())), ("place", pa.list_(pa.int32())), ("key", pa.string()), ("value", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("leaf", pa.bool_()), ("error", pa.string())])
+
+        def made(batch: pa.RecordBatch, owners: list[int], rows: list[dict]) -> pa.RecordBatch:
+            own = batch.column(0).take(pa.array(owners, pa.int64()))
+            return pa.RecordBatch.from_arrays([own, *[pa.array([r[f.name] for r in rows], f.type) for f in arrow]], names=[product, *names])
+
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):  # one label at a time: they may be large
-                rows = _elements(text)
-                made = pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], arrow)
-                own = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *made.columns], names=[product, *names])
+            owners, rows = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found = _elements(text)
+                owners.extend([k] * len(found))
+                rows.extend(found)
+                if len(rows) >= AT_ONCE:  # labels may be large
+                    yield made(batch, owners, rows)
+                    owners, rows = [], []
+            if rows:
+                yield made(batch, owners, rows)
 
     return asked.mapInArrow(read, types)
 
