@@ -136,7 +136,7 @@ def table_rows(objects: DataFrame, fmts: DataFrame, columns: dict[str, str] | No
     tables = objects.where("kind = 'table' AND reader IS NULL AND NOT as_rows AND file IS NOT NULL AND row_bytes_whole > 0 AND block_field_delimiter IS NULL")
     held = tables.join(fmts, ["product", "block_at"]).select("product", "name", "fingerprint", "fields", "file", "start", "length", F.col("row_bytes_whole").alias("record_bytes"), F.coalesce("block_row_prefix_bytes", F.lit(0)).alias("skip_bytes"))
     planned = ranges.planned(held, F.col("start"), F.col("length"), F.col("record_bytes"), range_bytes)
-    return formats.decoded_by_format(ranges.dealt(planned), ["product", "name", "fingerprint"], columns)
+    return formats.decoded_by_format(ranges.dealt(planned, task_bytes=ranges.DECODED_TASK_BYTES), ["product", "name", "fingerprint"], columns)
 
 
 def image_lines(objects: DataFrame, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
@@ -148,7 +148,7 @@ def image_lines(objects: DataFrame, range_bytes: int = ranges.RANGE_BYTES) -> Da
     images = objects.where("kind = 'image' AND file IS NOT NULL").withColumn("i", image_facts()).where("i.record_bytes > 0 AND i.kind IN ('integer', 'ieee', 'vax', 'ibm')")
     planned = ranges.planned(images.select("product", "name", "file", "start", "length", "i.*"), F.col("start"), F.col("length"), F.col("record_bytes"), range_bytes)
     schema = StructType([*planned.select("product", "name").schema.fields, *StructType.fromDDL("band int, line int, samples array<double>").fields])
-    return ranges.dealt(planned).mapInArrow(vectorized.image_decoder(["product", "name"], "file"), schema)
+    return ranges.dealt(planned, task_bytes=ranges.DECODED_TASK_BYTES).mapInArrow(vectorized.image_decoder(["product", "name"], "file"), schema)
 
 
 def _cells(found: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -185,7 +185,7 @@ def text_rows(objects: DataFrame, fmts: DataFrame, columns: dict[str, str] | Non
     for names, read in readers.GROUPS:
         own = tables.where(F.col("reader").isin(names))
         planned = ranges.planned(own, F.col("object_start"), F.col("object_end") - F.col("object_start"), range_bytes=range_bytes)
-        lines = ranges.line_numbers(ranges.lines(ranges.dealt(planned)), key)
+        lines = ranges.line_numbers(ranges.lines(ranges.dealt(planned, task_bytes=ranges.DECODED_TASK_BYTES)), key)
         if read is readers.by_line:  # places counted in lines
             lines = lines.where("row >= skip_lines").withColumn("row", F.col("row") - F.col("skip_lines"))
         facts = own.select(*key, "fingerprint", "fields", "_rows")

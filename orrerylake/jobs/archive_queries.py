@@ -16,10 +16,19 @@ from .scratch import kept, new_folder
 _RANGE = 2000
 
 
+#: Orders that one task makes products of.
+_TASK_ORDERS = 20_000
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, those of a product in one task."""
+    return spread(table(spark, sf_dir, "orders"), F.floor(F.col("o_orderkey") / made.ORDERS_EACH), _TASK_ORDERS)
+
+
 def _archive(spark: SparkSession, sf_dir: str) -> tuple[archive.Archive, str]:
     """An archive of all orders, a file a product with its label at the head, and its folder."""
     path = new_folder(spark, "archive")
-    made.written(made.order_products(table(spark, sf_dir, "orders")), path, "product", "content")
+    made.written(made.order_products(_orders(spark, sf_dir)), path, "product", "content")
     return archive.opened(spark, path, "*.txt"), path
 
 
@@ -95,7 +104,7 @@ def s16_lines_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m18_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text tables of a dozen layouts under like labels: rules name the reader of each, and the readers bring back the same rows."""
     path = new_folder(spark, "layouts")
-    made.written(made.layout_products(table(spark, sf_dir, "orders")), path, "product", "content")
+    made.written(made.layout_products(_orders(spark, sf_dir)), path, "product", "content")
     held = [(1, "reader", "data_set_id", "equals", name, None, None, "READER", name) for name in made.LAYOUTS] + [(2, "reader", "data_set_id", "equals", "sections", None, None, "SKIP_LINES", "3")]
     of = archive.opened(spark, path, "*.txt", spark.createDataFrame(held, rules.RULES))
     rows = archive.text_rows(of.objects, of.formats, range_bytes=_RANGE)
@@ -110,7 +119,7 @@ def _product() -> Column:
 def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(units, cards) of files made of all orders."""
     path = new_folder(spark, "units")
-    made.written(made.unit_products(table(spark, sf_dir, "orders")), path, "product", "content")
+    made.written(made.unit_products(_orders(spark, sf_dir)), path, "product", "content")
     found = kept(fits.units(files.scan(spark, path, "*.txt"), "path"), "units")
     return found, kept(fits.headers(found), "cards")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS = 5_000
 
 
-def spread(frame: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+def spread(frame: DataFrame, key: Column | str, task_rows: int = TASK_ROWS) -> DataFrame:
     """``frame`` dealt by ``key`` to tasks of about ``task_rows`` rows.
 
     A table of narrow rows is a small file, or one group of rows in it, which Spark reads in one task; that task would do all the work on what is made of

@@ -140,7 +140,7 @@ def table_rows(found: DataFrame, cards: DataFrame, fmts: DataFrame, columns: dic
     held = found.select("file", "unit", "data_at").join(facts, ["file", "unit"]).join(fmts, ["file", "unit"]).where("naxis1 > 0 AND naxis2 > 0")
     record = F.col("naxis1").cast("int")
     planned = ranges.planned(held.withColumns({"record_bytes": record, "skip_bytes": F.lit(0)}), F.col("data_at"), F.col("naxis1").cast("long") * F.col("naxis2").cast("long"), record, range_bytes)
-    return formats.decoded_by_format(ranges.dealt(planned), ["file", "name"], columns)
+    return formats.decoded_by_format(ranges.dealt(planned, task_bytes=ranges.DECODED_TASK_BYTES), ["file", "name"], columns)
 
 
 def image_lines(found: DataFrame, cards: DataFrame, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
@@ -164,7 +164,7 @@ def image_lines(found: DataFrame, cards: DataFrame, range_bytes: int = ranges.RA
     planned = ranges.planned(held.where("record_bytes > 0"), F.col("data_at"), length, F.col("record_bytes"), range_bytes)
     keys = ["file", "name", "bscale", "bzero", "blank"]
     schema = StructType([*planned.select(*keys).schema.fields, *StructType.fromDDL("band int, line int, samples array<double>").fields])
-    raw = ranges.dealt(planned).mapInArrow(vectorized.image_decoder(keys, "file"), schema)
+    raw = ranges.dealt(planned, task_bytes=ranges.DECODED_TASK_BYTES).mapInArrow(vectorized.image_decoder(keys, "file"), schema)
 
     def scaled(x: Column) -> Column:
         return F.when(x == F.col("blank"), F.lit(None).cast("double")).otherwise(x * F.coalesce("bscale", F.lit(1.0)) + F.coalesce("bzero", F.lit(0.0)))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range, and of the ranges of a task, about.
 RANGE_BYTES, TASK_BYTES = 32 << 20, 128 << 20
+#: The same for ranges that are decoded to rows, which take many times their bytes.
+DECODED_TASK_BYTES = 8 << 20
 
 
 def planned(objects: DataFrame, start: Column, length: Column, record_bytes: Column | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:

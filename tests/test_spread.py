@@ -1,7 +1,10 @@
 """Work on rows of small tables is dealt to tasks by the number of rows, not by the table's files."""
 
-from orrerylake.jobs import format_queries, label_queries, registry
+from pyspark.sql import functions as F
+
+from orrerylake.jobs import archive_queries, format_queries, label_queries, registry
 from orrerylake.jobs.register import TASK_ROWS, spread
+from orrerylake.sources import made
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -22,3 +25,8 @@ def test_empty_and_null(spark):
     empty = spark.createDataFrame([], "k int")
     assert spread(empty, "k").collect() == []
     assert sorted(map(repr, spread(spark.createDataFrame([(None,), (1,), (1,)], "k int"), "k", 1).collect())) == ["Row(k=1)", "Row(k=1)", "Row(k=None)"]
+
+
+def test_orders_of_a_product_go_to_one_of_many_tasks(spark):
+    parts = archive_queries._orders(spark, LARGER).select(F.floor(F.col("o_orderkey") / made.ORDERS_EACH).alias("p"), F.spark_partition_id().alias("at")).groupBy("p").agg(F.count_distinct("at").alias("n"), F.max("at").alias("at")).collect()
+    assert {r.n for r in parts} == {1} and len({r["at"] for r in parts}) == 8
