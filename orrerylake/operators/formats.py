@@ -102,13 +102,14 @@ def without_placeholders(flat: DataFrame) -> DataFrame:
 
 
 def unique_names(fields: DataFrame, by: list[str], order: list[str], name: str = "NAME", start: str | None = "START_BYTE") -> DataFrame:
-    """Column ``unique``: repeated names get _0, _1 in order; reserved fields are named after their first byte."""
+    """Column ``unique``: repeated names get _0, _1 in order; reserved fields are named after their first byte. A column named _nth goes."""
     same = Window.partitionBy(*by, name)
-    number = (F.row_number().over(same.orderBy(*order)) - 1).cast("string")
+    # Numbered first: the order that numbering sorts by serves the counts too, and rows are sorted once.
+    numbered = fields.withColumn("_nth", (F.row_number().over(same.orderBy(*order)) - 1).cast("string"))
     stem = F.col(name)
     if start:
         stem = F.when(stem == "RESERVED", F.concat_ws("_", stem, F.min(start).over(same).cast("string"))).otherwise(stem)
-    return fields.withColumn("unique", F.when((F.count("*").over(same) > 1) | (F.col(name) == "RESERVED"), F.concat_ws("_", stem, number)).otherwise(stem))
+    return numbered.withColumn("unique", F.when((F.count("*").over(same) > 1) | (F.col(name) == "RESERVED"), F.concat_ws("_", stem, "_nth")).otherwise(stem)).drop("_nth")
 
 
 #: Inclusions of format files by others at most, over the whole archive; a checked bound of what the driver looks at.

@@ -1,9 +1,10 @@
 """Work on rows of small tables is dealt to tasks by the number of rows, not by the table's files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrerylake.jobs import archive_queries, format_queries, label_queries, registry
-from orrerylake.jobs.register import TASK_ROWS, spread
+from orrerylake.jobs.register import SORT_ROWS, TASK_ROWS, spread
 from orrerylake.sources import made
 
 LARGER = "/root/testdata/sf0.1"
@@ -30,3 +31,30 @@ def test_empty_and_null(spark):
 def test_orders_of_a_product_go_to_one_of_many_tasks(spark):
     parts = archive_queries._orders(spark, LARGER).select(F.floor(F.col("o_orderkey") / made.ORDERS_EACH).alias("p"), F.spark_partition_id().alias("at")).groupBy("p").agg(F.count_distinct("at").alias("n"), F.max("at").alias("at")).collect()
     assert {r.n for r in parts} == {1} and len({r["at"] for r in parts}) == 8
+
+
+@pytest.fixture
+def one_shuffle_partition(spark):
+    """As where the tables have outgrown the session's number of partitions."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def rows_of_tasks(frame):
+    return [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_names_are_sorted_once_by_tasks_of_bounded_size(spark, one_shuffle_partition, monkeypatch):
+    for most, tasks in ((SORT_ROWS, 4), (100_000, 6)):
+        monkeypatch.setattr(format_queries, "SORT_ROWS", most)
+        named = registry.QUERIES["f3_names"](spark, LARGER)
+        sizes = rows_of_tasks(named)
+        assert len(sizes) == tasks and sum(sizes) == 600_000 and max(sizes) < 1.1 * 600_000 / tasks
+        plan = plan_of(named)
+        assert (plan.count("Sort ["), plan.count("Exchange hashpartitioning")) == (1, 1)
