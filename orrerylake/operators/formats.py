@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,29 +181,39 @@ def group_names(groups: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return full.withColumn("full_name", F.concat_ws(", ", "_group", "unique")).drop("_group", "unique")
 
 
-def nested_names(items: DataFrame, by: list[str], place: str = "place", is_group: str = "is_group", name: str = "name") -> DataFrame:
+def nested_names(items: DataFrame, by: list[str], place: str = "place", is_group: str = "is_group", name: str = "name", depth: int | None = None, tasks: int | None = None) -> DataFrame:
     """``items`` with full_name: the names of the groups around an item, from the outermost, and its own, by ", ".
 
     ``place`` is an item's path in its object, array<int>: each number its position within the group that holds it. A group without
     a name becomes GROUP_n, n counted among the groups within the same one, named ones too; groups, or fields, of one name within
     the same group are numbered _0, _1. Groups nest to any depth. A field without a name counts as empty. An item whose place is null has no full
-    name. Repeated rows all stay and are numbered like siblings; of groups with one place the first by name holds for what is in them.
-    An empty table gives none. Columns of items named _inside, _own, _kind and _at go, one named full_name is replaced.
+    name, one whose object is null only its own. Repeated rows all stay and are numbered like siblings; of groups with one place the first by name holds for what is in them.
+    An empty table gives none. Columns of items named _inside, _own, _kind, _number and _outer go, one named full_name is replaced.
+
+    ``depth``: groups around an item at most; an item with more raises an error. Without it a pass over the items finds it. ``tasks``: objects
+    are dealt whole to so many tasks, in one shuffle; without it Spark deals groups, then outermost groups, as it chooses.
     """
     c = F.col
-    inside = F.when(F.size(place) > 1, F.slice(c(place), F.lit(1), F.size(place) - 1)).otherwise(F.array().cast("array<int>"))
-    kinds = items.withColumn("_inside", inside).withColumn("_kind", F.coalesce(c(is_group), F.lit(False)))
+    if depth is None:
+        depth = max(0, (items.agg(F.max(F.size(place))).first()[0] or 0) - 1)
+    inside = F.when(F.size(place) - 1 > depth, F.raise_error(F.lit(f"an item lies in more than {depth} groups"))).when(F.size(place) > 1, F.slice(c(place), F.lit(1), F.size(place) - 1)).otherwise(F.array().cast("array<int>"))
+    kinds = (items.repartition(tasks, *by) if tasks else items).withColumn("_inside", inside).withColumn("_kind", F.coalesce(c(is_group), F.lit(False)))
     siblings = Window.partitionBy(*by, "_inside", "_kind")
     number = F.dense_rank().over(siblings.orderBy(place)) - 1
     named = kinds.withColumn("_own", F.coalesce(name, F.when(c("_kind"), F.concat(F.lit("GROUP_"), number.cast("string"))).otherwise("")))
     same = Window.partitionBy(*by, "_inside", "_kind", "_own")
-    known = named.withColumn("_own", F.when(F.count("*").over(same) > 1, F.concat_ws("_", "_own", (F.row_number().over(same.orderBy(place)) - 1).cast("string"))).otherwise(c("_own")))
-    groups = known.where("_kind").groupBy(*by, c(place).alias("_at")).agg(F.min("_own").alias("_group"))
-    above = known.where(F.size("_inside") > 0).select(*by, "_inside").distinct()
-    prefixes = above.select(*by, "_inside", F.explode(F.transform(F.sequence(F.lit(1), F.size("_inside")), lambda n: F.slice("_inside", F.lit(1), n))).alias("_at"))
-    paths = prefixes.join(groups, [*by, "_at"]).groupBy(*by, "_inside").agg(F.array_sort(F.collect_list(F.struct("_at", "_group"))).alias("_path"))
-    full = known.join(paths, [*by, "_inside"], "left").withColumn("full_name", F.when(c(place).isNotNull(), F.concat_ws(", ", c("_path")["_group"], "_own")))
-    return full.select(*[k for k in items.columns if k not in ("_inside", "_own", "_kind", "_at", "full_name")], "full_name")
+    numbered = named.withColumn("_number", (F.row_number().over(same.orderBy(place)) - 1).cast("string"))
+    known = numbered.withColumn("_own", F.when(F.count("*").over(same) > 1, F.concat_ws("_", "_own", "_number")).otherwise(c("_own"))).withColumn("_outer", F.get(place, F.lit(0)))
+    # In the order of places a group stands before all that is in it, so the last group of a level is the one around an item, if its place begins the item's.
+    before = Window.partitionBy(*by, "_outer").orderBy(place, F.desc("_own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    has_object = reduce(and_, [c(k).isNotNull() for k in by])
+
+    def around(n: int) -> Column:
+        group = F.last(F.when(c("_kind") & (F.size(place) == n), F.struct(c(place).alias("at"), c("_own").alias("name"))), ignorenulls=True).over(before)
+        return F.when(has_object & (F.size("_inside") >= n) & (group["at"] == F.slice("_inside", F.lit(1), F.lit(n))), group["name"])
+
+    full = known.withColumn("full_name", F.when(c(place).isNotNull(), F.concat_ws(", ", *map(around, range(1, depth + 1)), "_own")))
+    return full.select(*[k for k in items.columns if k not in ("_inside", "_own", "_kind", "_number", "_outer", "full_name")], "full_name")
 
 
 def line_prefix(rows: Column, suffix: Column, image: Column) -> Column:

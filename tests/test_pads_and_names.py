@@ -64,6 +64,19 @@ def test_nested_names(spark):
     assert formats.nested_names(items.limit(0), ["product"]).count() == 0
 
 
+def test_nested_names_of_a_stated_depth(spark):
+    rows = [
+        ("a", [0], True, "G", 1), ("a", [0], True, "F", 2), ("a", [0, 0], True, None, 3), ("a", [0, 0, 1], False, "X", 4), ("a", [1, 0, 1], False, "X", 5), ("a", [1], False, "no group", 6), ("b", [0, 5], True, "H", 7), ("b", [0, 5, 0], False, "Y", 8),
+        (None, [0], True, "N", 9), (None, [0, 0], False, "Z", 10), ("c", [None], True, "U", 11), ("c", [None, 2], False, "V", 12),
+    ]
+    items = spark.createDataFrame(rows, "product string, place array<int>, is_group boolean, name string, n int")
+    want = {1: "G", 2: "F", 3: "F, GROUP_0", 4: "F, GROUP_0, X", 5: "X", 6: "no group", 7: "H", 8: "H, Y", 9: "N", 10: "Z", 11: "U", 12: "U, V"}
+    for settings in ({}, {"depth": 2}, {"depth": 5}, {"depth": 2, "tasks": 3}):
+        assert {r.n: r.full_name for r in formats.nested_names(items, ["product"], **settings).collect()} == want
+    with pytest.raises(Exception, match="more than 1 groups"):
+        formats.nested_names(items, ["product"], depth=1).collect()
+
+
 @pytest.mark.parametrize(("instrument", "cell", "want"), [("REMS", "   UNK", None), ("REMS", " N/A ", " N/A "), ("REMS", "", ""), ("CRISM", "N/A   ", None), ("CRISM", "NULL", "NULL"), ("OTHER", "NULL", None), (None, " - ", None), ("REMS", None, None)])
 def test_spellings_by_instrument(spark, instrument, cell, want):
     row = spark.createDataFrame([(instrument, cell)], "i string, c string")

@@ -7,6 +7,8 @@ from orrerylake.jobs import archive_queries, format_queries, label_queries, regi
 from orrerylake.jobs.register import SORT_ROWS, TASK_ROWS, spread
 from orrerylake.sources import made
 
+from .conftest import SF_MID
+
 LARGER = "/root/testdata/sf0.1"
 
 
@@ -58,3 +60,13 @@ def test_names_are_sorted_once_by_tasks_of_bounded_size(spark, one_shuffle_parti
         assert len(sizes) == tasks and sum(sizes) == 600_000 and max(sizes) < 1.1 * 600_000 / tasks
         plan = plan_of(named)
         assert (plan.count("Sort ["), plan.count("Exchange hashpartitioning")) == (1, 1)
+
+
+def test_nested_names_are_dealt_by_their_number_in_one_shuffle(spark, one_shuffle_partition, monkeypatch):
+    monkeypatch.setattr(format_queries, "SORT_ROWS", 40_000)
+    named = registry.QUERIES["f13_nested_names"](spark, SF_MID)
+    sizes = rows_of_tasks(named)
+    assert len(sizes) == 14 and sum(sizes) == 60_000 and max(sizes) < 1.5 * 60_000 / 14
+    # Orders and lines to meet, then customers' rows; no table is made twice.
+    plan = plan_of(named)
+    assert (plan.count("Exchange hashpartitioning"), plan.count("FileScan"), plan.count("Join [")) == (3, 2, 1)
