@@ -61,20 +61,18 @@ def fields_of_blocks(meta: DataFrame, product: str) -> DataFrame:
 
     (product, object_at, object, at, NAME, DATA_TYPE, repetition, item, SB_OFFSET, WIDTH, SCALING_FACTOR, OFFSET). Blocks may lie in containers, collections
     and arrays to any depth: each adds its own start and its repetition's stride, innermost repetitions run fastest. Counts below 1
-    act as 1; missing starts count as 1. Two shuffles by product, of block rows only. An empty table stays empty.
+    act as 1; missing starts count as 1. No join: a product's repeated blocks, which its label holds in one row too, travel as one array beside each of its fields. Two shuffles at
+    most, of block rows only; none where ``meta`` is dealt by product. An empty table stays empty.
     """
-    blocks = block_table(meta, product)
-    fields = blocks.where(F.col("kind").isin(FIELD_BLOCKS))
-    around = fields.select(product, "at", F.posexplode(F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("level", "outer"))
-    outer = blocks.select(product, F.col("at").alias("outer"), F.col("kind").alias("outer_kind"), F.col("START_BYTE").alias("start"), F.col("BYTES").alias("bytes"), F.greatest(F.coalesce("REPETITIONS", F.when(F.col("kind") == "COLLECTION", F.lit(1)), F.lit(1)), F.lit(1)).alias("times"))
-    step = F.struct("level", F.coalesce("start", F.lit(1)).alias("start"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "times")
-    repeated = F.col("outer_kind").isin(REPEATED_BLOCKS)
-    chains = around.join(outer, [product, "outer"]).groupBy(product, "at").agg(
-        F.array_sort(F.collect_list(F.when(repeated, step))).alias("steps")
-    )
+    c, of_product = F.col, Window.partitionBy(product)
+    step = F.struct(F.coalesce("START_BYTE", F.lit(1)).alias("start"), F.coalesce("BYTES", F.lit(0)).alias("bytes"), F.greatest(F.coalesce("REPETITIONS", F.lit(1)), F.lit(1)).alias("times"))
+    repeats_ = c("kind").isin(REPEATED_BLOCKS) & c(product).isNotNull() & c("at").isNotNull()
+    beside = {"_at": F.collect_list(F.when(repeats_, c("at"))).over(of_product), "_step": F.collect_list(F.when(repeats_, step)).over(of_product)}
+    fields = block_table(meta, product).withColumns(beside).where(c("kind").isin(FIELD_BLOCKS))
+    around = F.transform(F.slice("chain", F.lit(1), F.size("chain") - 1), lambda at: F.get("_step", F.array_position("_at", at) - 1))
     above = F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("chain", F.lit(1), F.size("chain") - 1), lambda kind, at: F.struct(kind.alias("kind"), at.alias("at")))
     own = F.try_element_at(F.filter(above, lambda b: ~b["kind"].isin(REPEATED_BLOCKS)), F.lit(-1))
-    held = fields.withColumns({"object": own["kind"], "object_at": own["at"]}).join(chains, [product, "at"], "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<struct<level:int,start:int,bytes:int,times:int>>")))
+    held = fields.withColumns({"object": own["kind"], "object_at": own["at"], "steps": F.array_compact(around)}).drop("_at", "_step")
     total = F.aggregate("steps", F.lit(1), lambda n, s: n * s["times"])
     each = held.withColumn("repetition", F.explode(F.sequence(F.lit(0), total - 1))).withColumn("item", F.explode(repeats(F.col("ITEMS"))))
 

@@ -120,6 +120,28 @@ def test_fields_of_blocks_edge_cases(spark):
     assert sorted((r.p, r.NAME, r.SB_OFFSET, r.WIDTH, r.object) for r in got) == [(p, "A", s, w, "TABLE") for p in (1, 2) for s, w in ((0, 2), (2, 4))]
 
 
+def test_blocks_around_fields(spark):
+    """Nine deep, beside a block of the same names, in one without statements; labels whose blocks open at the same lines, and one without a product."""
+
+    def block(kind, inside, start=None, more=""):
+        return f"OBJECT = {kind}\n" + (f"START_BYTE = {start}\n" if start else "") + more + inside + f"END_OBJECT = {kind}\n"
+
+    def label(stride):
+        deep = block("COLUMN", "NAME = DEEP\nBYTES = 1\n", 2)
+        for k in range(7):
+            deep = block("CONTAINER", deep, 2, f"BYTES = {stride}\nREPETITIONS = 2\n" if k == 6 else "")
+        beside = block("CONTAINER", block("COLUMN", "NAME = BESIDE\nBYTES = 1\n", 3), 100)
+        bare = block("COLLECTION", block("COLUMN", "NAME = BARE\nBYTES = 1\n", 5))
+        return block("TABLE", deep + beside + bare, more="ROWS = 1\n") + "END\n"
+
+    labels = spark.createDataFrame([(1, label(50)), (2, label(60)), (None, label(50))], "p int, label string")
+    meta = statements.nested(statements.statement_rows(labels, "p", "label"), "p", most_depth=9).where("not opens and not closes").withColumns({"value_raw": F.col("value"), "value_string": F.col("value")})
+    got = formats.fields_of_blocks(meta, "p").collect()
+    # A label without a product knows no blocks around its fields.
+    want = {(p, n, k, s) for p, stride in ((1, 50), (2, 60)) for n, k, s in (("DEEP", 0, 8), ("DEEP", 1, 8 + stride), ("BESIDE", 0, 101), ("BARE", 0, 4))} | {(None, "DEEP", 0, 1), (None, "BESIDE", 0, 2), (None, "BARE", 0, 4)}
+    assert len(got) == len(want) and {(r.p, r.NAME, r.repetition, r.SB_OFFSET) for r in got} == want and {r.object for r in got} == {"TABLE"}
+
+
 @pytest.mark.parametrize(("text", "want"), [("5 <KM>", ("5", "KM")), (" -4.5E-05 <rad> ", ("-4.5E-05", "rad")), ("N/A <S>", ("N/A", "S")), ("about 5 <KM>", None), ("5", None), (None, None), ("", None), ("<KM>", None), ("1.5 <M/S**2>", ("1.5", "M/S**2"))])
 def test_quantities(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(values.quantity(F.trim("t")).alias("q")).first().q

@@ -70,3 +70,9 @@ def test_nested_names_are_dealt_by_their_number_in_one_shuffle(spark, one_shuffl
     # Orders and lines to meet, then customers' rows; no table is made twice.
     plan = plan_of(named)
     assert (plan.count("Exchange hashpartitioning"), plan.count("FileScan"), plan.count("Join [")) == (3, 2, 1)
+
+
+def test_blocks_of_labels_meet_without_joins(spark):
+    """Spark takes what is made of a narrow row for no larger than the row, so that a join would send the blocks of all labels through the driver."""
+    plan = plan_of(registry.QUERIES["f1_label_blocks"](spark, LARGER))
+    assert (plan.count("Join"), plan.count("Exchange"), plan.count("FileScan")) == (0, 1, 1)
